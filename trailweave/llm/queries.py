@@ -5,10 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, sharding
+from . import bpe, chat, mixing, sharding
 from .common import table
 
 
+def tokenizer_path() -> str:
+    """The public byte-level tokenizer's file; it stays where the library has it."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_digest(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -28,6 +39,7 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op2_bpe": op2_bpe,
         "op6_chat_format": op6_chat_format,
         "op7_mix_sources": op7_mix_sources,
         "op10_shard": op10_shard,
