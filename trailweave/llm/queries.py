@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, mixing, sharding
+from . import bpe, chat, mixing, near, sharding
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digest(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -40,6 +44,7 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op2_bpe": op2_bpe,
+        "op4_ngram_jaccard": op4_ngram_jaccard,
         "op6_chat_format": op6_chat_format,
         "op7_mix_sources": op7_mix_sources,
         "op10_shard": op10_shard,
