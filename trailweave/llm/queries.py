@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, mixing, near, sharding
+from . import bpe, chat, mixing, near, quality, sharding
 from .common import table
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality"))
+
+
 def tokenizer_path() -> str:
     """The public byte-level tokenizer's file; it stays where the library has it."""
     import public_tokenizers
@@ -43,6 +47,7 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_quality_rules": op1_quality_rules,
         "op2_bpe": op2_bpe,
         "op4_ngram_jaccard": op4_ngram_jaccard,
         "op6_chat_format": op6_chat_format,
