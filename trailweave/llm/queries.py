@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, mixing, near, quality, sharding
+from . import bpe, chat, langid, mixing, near, quality, sharding
 from .common import table
 
 
@@ -24,6 +24,11 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digest(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -49,6 +54,7 @@ def queries() -> dict:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op2_bpe": op2_bpe,
+        "op3_language_id": op3_language_id,
         "op4_ngram_jaccard": op4_ngram_jaccard,
         "op6_chat_format": op6_chat_format,
         "op7_mix_sources": op7_mix_sources,
