@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, mixing, near, quality, sharding
+from . import bpe, chat, gif, langid, mixing, near, quality, sharding
 from .common import table
 
 
@@ -45,6 +45,10 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.fair_mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif.store_digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -58,6 +62,7 @@ def queries() -> dict:
         "op4_ngram_jaccard": op4_ngram_jaccard,
         "op6_chat_format": op6_chat_format,
         "op7_mix_sources": op7_mix_sources,
+        "op9_gif_media": op9_gif_media,
         "op10_shard": op10_shard,
     }
 
