@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, gif, langid, mixing, near, quality, sharding
+from . import bpe, chat, gif, langid, lattice, mixing, near, quality, sharding
 from .common import table
 
 
@@ -33,6 +33,10 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -60,6 +64,7 @@ def queries() -> dict:
         "op2_bpe": op2_bpe,
         "op3_language_id": op3_language_id,
         "op4_ngram_jaccard": op4_ngram_jaccard,
+        "op5_lattice_dedup": op5_lattice_dedup,
         "op6_chat_format": op6_chat_format,
         "op7_mix_sources": op7_mix_sources,
         "op9_gif_media": op9_gif_media,
