@@ -81,18 +81,30 @@ def word_table(words: DataFrame, tokenizer_json: str) -> DataFrame:
 
 
 class CommonWords:
-    """Words and ids as Arrow columns: found by hash, compared by value."""
+    """Words and ids as Arrow columns sorted by the words' hashes: found by hash, compared by value."""
 
-    def __init__(self, words: pa.Array, ids: pa.Array):
-        hashes = self.hashed(words)
-        order = np.argsort(hashes, kind="stable")
-        self.hashes, self.words, self.ids = hashes[order], words.take(pa.array(order)), ids.take(pa.array(order))
+    def __init__(self, table: pa.Table):
+        t = table.combine_chunks()
+        self.words, self.ids = (t.column(c).chunk(0).cast(k) if t.num_rows else pa.array([], k) for c, k in (("word", pa.string()), ("ids", pa.list_(pa.int32()))))
+        self.hashes = t.column("hash").to_numpy() if t.num_rows else np.zeros(0, np.uint64)
 
     @staticmethod
     def hashed(words: pa.Array) -> np.ndarray:
         import xxhash
 
-        return np.fromiter((xxhash.xxh64_intdigest(w) for w in words.cast(pa.binary()).to_pylist()), np.uint64, len(words))
+        parts = (words.slice(i, 50_000).cast(pa.binary()).to_pylist() for i in range(0, len(words), 50_000))
+        return np.fromiter((xxhash.xxh64_intdigest(w) for part in parts for w in part), np.uint64, len(words))
+
+    @classmethod
+    def packed(cls, table: pa.Table) -> bytes:
+        """The table of word and ids as Arrow bytes, sorted by hash."""
+        table = table.combine_chunks()
+        hashes = np.concatenate([np.zeros(0, np.uint64), *(cls.hashed(c) for c in table.column("word").chunks)])
+        table = table.append_column("hash", pa.array(hashes)).sort_by("hash")
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as out:
+            out.write_table(table)
+        return sink.getvalue().to_pybytes()
 
     def find(self, words: pa.Array) -> np.ndarray:
         """The row of each word, or -1."""
@@ -100,7 +112,7 @@ class CommonWords:
             return np.full(len(words), -1)
         wanted = self.hashed(words)
         at = np.minimum(np.searchsorted(self.hashes, wanted), len(self.words) - 1)
-        same = pc.equal(self.words.take(pa.array(at)), words).to_numpy(zero_copy_only=False)
+        same = pc.equal(self.words.take(pa.array(at)), words).to_numpy(zero_copy_only=False).copy()
         for i in np.nonzero(~same & (self.hashes[at] == wanted))[0].tolist():  # other words with that hash lie behind
             for j in range(at[i] + 1, len(self.words)):
                 if self.hashes[j] != wanted[i]:
@@ -112,28 +124,24 @@ class CommonWords:
 
 
 def _common(docs: DataFrame, tokenizer_json: str, sample_texts: int, common_words: int) -> bytes:
-    """The common words' table as Arrow bytes: at most ``common_words`` rows, from ``sample_texts`` texts or so."""
+    """The common words' table: at most ``common_words`` rows, from ``sample_texts`` texts or so."""
     n = docs.count()
     some = docs.where(F.pmod(F.xxhash64(F.lit(5), "text"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, sample_texts / max(1, n))))
-    table = word_table(some.select(F.explode(split_words()).alias("word")), tokenizer_json)
-    table = cut(table)
+    table = word_table(some.select(F.explode(split_words()).alias("word")), tokenizer_json).persist()
     least, total = 1, table.count()
     while total > common_words:
         least *= 2
         total = table.where(F.col("n") >= least).count()
-    packed = table.where(F.col("n") >= least).select("word", "ids").toArrow()
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, packed.schema) as out:
-        out.write_table(packed)
-    return sink.getvalue().to_pybytes()
+    packed = CommonWords.packed(table.where(F.col("n") >= least).select("word", "ids").toArrow())
+    table.unpersist()
+    return packed
 
 
 def _opened(packed: bytes, made: dict = {}) -> CommonWords:  # noqa: B006  one table a worker
     key = hashlib.md5(packed).digest()
     if key not in made:
         made.clear()
-        t = pa.ipc.open_stream(packed).read_all().combine_chunks()
-        made[key] = CommonWords(*(t.column(c).chunk(0).cast(k) if t.num_rows else pa.array([], k) for c, k in (("word", pa.string()), ("ids", pa.list_(pa.int32())))))
+        made[key] = CommonWords(pa.ipc.open_stream(packed).read_all())
     return made[key]
 
 
@@ -147,7 +155,7 @@ def encode_digest(docs: DataFrame, tokenizer_path: str, sample_texts: int = SAMP
     with open(tokenizer_path, encoding="utf-8") as f:
         told = f.read()
     docs = docs.drop("n_tokens", "ids_sha256", "decoded_sha256", "_id", "_text", "_z", "_words", "_rare")
-    keyed = docs.select("*", F.xxhash64(F.lit(1), "doc_id").alias("_id"), F.xxhash64("text").alias("_text"))
+    keyed = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("_id"), F.hash("doc_id", "text").alias("_text"))
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast((_common(docs, told, sample_texts, common_words), told))
 
@@ -184,15 +192,16 @@ def encode_digest(docs: DataFrame, tokenizer_path: str, sample_texts: int = SAMP
             of = pa.array([known[w] for w in words], pa.list_(pa.int32())).take(coded.indices)
             yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_text"), batch.column("at"), of], ["_id", "_text", "at", "ids"])
 
-    places = keyed.select("_id", "_text", split_words().alias("_words")).mapInArrow(missing, "word string, _id long, _text long, at int")
-    coded = places.repartition("word").sortWithinPartitions("word").mapInArrow(encode, "_id long, _text long, at int, ids array<int>")
-    rare = coded.groupBy("_id", "_text").agg(F.collect_list(F.struct("at", "ids")).alias("_rare"))
+    places = keyed.select("_id", "_text", split_words().alias("_words")).mapInArrow(missing, "word string, _id long, _text int, at int")
+    coded = places.repartition("word").sortWithinPartitions("word").mapInArrow(encode, "_id long, _text int, at int, ids array<int>")
+    # Dealt by document first, so that rows travel as they are and not as partial lists.
+    rare = coded.repartition("_id", "_text").groupBy("_id", "_text").agg(F.collect_list(F.struct("at", "ids")).alias("_rare"))
 
     @F.arrow_udf("binary")
     def packed(text: pa.Array) -> pa.Array:
         import zstandard
 
-        z = zstandard.ZstdCompressor(level=1)
+        z = zstandard.ZstdCompressor(level=3)
         return pa.array([None if t is None else z.compress(t) for t in text.cast(pa.binary()).to_pylist()], pa.binary())
 
     others = [c for c in docs.columns if c != "text"]

@@ -8,9 +8,11 @@ that cannot reach it, and each pair left is verified once on the whole sets.
 * Equal sets are one node, so copies are never paired.
 * Rarity comes from counts over all documents, kept in a table of fixed size of counters that
   shingles share by hash. An error in a count only changes the order, the same for all documents.
-* A shingle that few nodes share gives its pairs at once. Where many share it, each is first paired
-  with a few of them; once the components so found are known, only pairs from different components
-  are left to verify. The components are exact, and a large group of near copies costs its size.
+* The suffix filter compares bitmaps of parities, which differ in no more bits than the sets differ
+  in shingles, before any text is sent to be verified.
+* A shingle that few nodes share gives its pairs at once. Where many share it, only pairs across the
+  components known so far are taken, one for two components, until none is left that has not
+  failed. The components are exact, and a large group of near copies costs about its size.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ WORDS, PERCENT = 5, 80
 COUNTERS = 1 << 18
 #: Nodes on one shingle whose pairs are all verified at once.
 FEW = 6
-#: Ranges of hashes that the suffix filter compares.
-RANGES = 32
+#: Bits of the bitmaps that the suffix filter compares.
+BITS = 1024
 
 
 def _of_text(batch, words: int):
@@ -125,7 +127,7 @@ def _compatible(n, at, i, j, percent):
 
 
 def _candidates(percent: int, few: int):
-    """Rows sorted by h, n, doc_id: pairs (a, b) to verify, and (h, a, n, at) rows of shingles with many nodes."""
+    """Rows sorted by h: pairs (a, b) where few nodes share a shingle, (h, a, n, at) rows where many do."""
 
     def rows(batches):
         for t in _runs(batches, "h"):
@@ -139,91 +141,140 @@ def _candidates(percent: int, few: int):
             starts = np.nonzero(np.append(True, h[1:] != h[:-1]))[0]
             sizes = np.diff(np.append(starts, len(h)))
             many = np.repeat(sizes > few, sizes)
-            begin = np.repeat(starts, sizes)
-            place = np.arange(len(h))
-            pairs = []
-            for back in range(1, few):  # each with those before it: all pairs where few share the shingle
-                i = place[(place - back >= begin) & (~many | (back <= 1))]
-                pairs.append((i, i - back))
-            # Where many do, each with two that its run of like sizes agrees on.
-            band = np.zeros(len(h), np.int64)
-            big = place[many]
-            if len(big):
-                band[big] = np.floor(np.log(n[big]) / np.log(100 / percent) * 2).astype(np.int64)
-                for salt in (np.uint64(1), np.uint64(2)):
-                    rank = mix(doc.view(np.uint64) + salt)
-                    o = big[np.lexsort((rank[big], band[big], h[big]))]
-                    fresh = np.append(True, (h[o][1:] != h[o][:-1]) | (band[o][1:] != band[o][:-1]))
-                    leader = o[np.maximum.accumulate(np.where(fresh, np.arange(len(o)), 0))]
-                    pairs.append((o, leader))
-            i, j = (np.concatenate(x) for x in zip(*pairs))
-            ok = (i != j) & _compatible(n, at, i, j, percent)
+            begin, place = np.repeat(starts, sizes), np.arange(len(h))
+            i = np.concatenate([place[(place - back >= begin) & ~many] for back in range(1, few)])
+            j = i - np.repeat(np.arange(1, few), [((place - back >= begin) & ~many).sum() for back in range(1, few)])
+            ok = _compatible(n, at, i, j, percent)
             a, b = np.minimum(doc[i[ok]], doc[j[ok]]), np.maximum(doc[i[ok]], doc[j[ok]])
             one = np.unique(np.stack([a, b]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
-            out = [(pa.array(one[0]), pa.array(one[1]), pa.nulls(one.shape[1], pa.int64()), pa.nulls(one.shape[1], pa.int32()), pa.nulls(one.shape[1], pa.int32()))]
+            none = lambda m, kind: pa.nulls(m, kind)
+            m, big = one.shape[1], place[many]
+            if m:
+                yield pa.RecordBatch.from_arrays([pa.array(one[0]), pa.array(one[1]), none(m, pa.int64()), none(m, pa.int32()), none(m, pa.int32())], ["a", "b", "h", "n", "at"])
             if len(big):
-                out.append((pa.array(doc[big]), pa.nulls(len(big), pa.int64()), pa.array(h[big]), pa.array(n[big], pa.int32()), pa.array(at[big], pa.int32())))
-            for columns in out:
-                if len(columns[0]):
-                    yield pa.RecordBatch.from_arrays(list(columns), ["a", "b", "h", "n", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc[big]), none(len(big), pa.int64()), pa.array(h[big]), pa.array(n[big], pa.int32()), pa.array(at[big], pa.int32())], ["a", "b", "h", "n", "at"])
 
     return rows
 
 
+def _bitmaps(hashes: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """BITS parities of each set: two bitmaps differ in no more bits than their sets differ in shingles."""
+    text = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
+    bits = np.zeros((len(begins) - 1, BITS), np.uint8)
+    np.bitwise_xor.at(bits, (text, (hashes >> np.uint64(20)).astype(np.int64) % BITS), 1)
+    return np.packbits(bits, axis=1)
+
+
+def _differ(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(one ^ two).sum(-1, dtype=np.int64)
+
+
+def _opened(column: pa.Array) -> pa.Array:
+    import zstandard
+
+    z = zstandard.ZstdDecompressor()
+    return pa.array([z.decompress(x) for x in column.to_pylist()], pa.binary())
+
+
+def _nodes(known: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """doc_id, n, bits, z (the text, compressed) of the documents in ``wanted``."""
+
+    def rows(batches):
+        for batch in batches:
+            for start, n in chunks(batch.column("z"), 500_000):
+                hashes, begins = shingles(*utf8(_opened(batch.column("z").slice(start, n))), words)
+                bits = _bitmaps(hashes, begins)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, n), pa.array(np.diff(begins), pa.int32()), pa.array([b.tobytes() for b in bits], pa.binary()), batch.column("z").slice(start, n)], ["doc_id", "n", "bits", "z"])
+
+    def packed(text: pa.Array) -> pa.Array:
+        import zstandard
+
+        z = zstandard.ZstdCompressor(level=3)
+        return pa.array([z.compress(t or b"") for t in text.cast(pa.binary()).to_pylist()], pa.binary())
+
+    texts = known.select("doc_id", F.arrow_udf(packed, "binary")("text").alias("z")).join(wanted, "doc_id", "left_semi")
+    return texts.groupBy("doc_id").agg(F.max("z").alias("z")).mapInArrow(rows, "doc_id long, n int, bits binary, z binary")
+
+
+def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Suffix filter: the pairs whose bitmaps do not rule the threshold out."""
+    a = nodes.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"))
+    b = nodes.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
+
+    def rows(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            na, nb = (batch.column(c).to_numpy().astype(np.int64) for c in ("na", "nb"))
+            one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BITS // 8) for c in ("ba", "bb"))
+            ok = _differ(one, two) <= na + nb - 2 * _needed(na, nb, percent)
+            yield batch.select(["a", "b"]).filter(pa.array(ok))
+
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "ba", "bb").mapInArrow(rows, "a long, b long")
+
+
 def _crossing(percent: int):
-    """Rows sorted by h: the pairs of nodes in different components that pass the filters."""
+    """Rows sorted by h: pairs that would join the components which a shingle's nodes are still in.
+
+    All pairs across components are looked at that pass the filters and have not failed; once a pair
+    is handed on, its components count as one here, so a shingle gives fewer pairs than it has nodes.
+    """
 
     def rows(batches):
         for t in _runs(batches, "h"):
             h, doc, n, at, part = (t.column(c).to_numpy() for c in ("h", "a", "n", "at", "component"))
+            bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint8).reshape(-1, BITS // 8)
+            failed = t.column("failed").to_pylist()
+            order = np.lexsort((mix(doc.view(np.uint64)), h))  # the same order of nodes for all shingles
             n, at = n.astype(np.int64), at.astype(np.int64)
-            order = np.lexsort((doc, n, h))
-            h, doc, n, at, part = h[order], doc[order], n[order], at[order], part[order]
-            stop = np.append(np.nonzero(h[1:] != h[:-1])[0] + 1, len(h))
-            begin = 0
-            for end in stop.tolist():
-                p = part[begin:end]
-                if (p != p[0]).any():
-                    for i in range(begin, end - 1):
-                        j = np.arange(i + 1, begin + np.searchsorted(n[begin:end], 100 * n[i] // percent, "right"))
-                        j = j[part[j] != part[i]]
-                        j = j[_compatible(n, at, i, j, percent)] if len(j) else j
-                        if len(j):
-                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(doc[i], doc[j])), pa.array(np.maximum(doc[i], doc[j]))], ["a", "b"])
-                begin = end
+            begin, out = 0, [[], []]
+            for end in np.append(np.nonzero(np.diff(h[order]))[0] + 1, len(h)).tolist():
+                mine, begin = order[begin:end], end
+                label = part[mine].copy()
+                for i in range(len(mine) - 1):
+                    k = i + 1 + np.nonzero(label[i + 1 :] != label[i])[0]
+                    if not len(k):
+                        if (label == label[0]).all():
+                            break
+                        continue
+                    x, y = mine[i], mine[k]
+                    ok = _compatible(n, at, x, y, percent)
+                    k, y = k[ok], y[ok]
+                    ok = _differ(bits[x], bits[y]) <= n[x] + n[y] - 2 * _needed(n[x], n[y], percent)
+                    if failed[x]:
+                        ok &= ~np.isin(doc[y], failed[x])
+                    k = k[ok]
+                    met, one = np.unique(label[k], return_index=True)
+                    for other in k[one].tolist():
+                        out[0].append(min(doc[x], doc[mine[other]]))
+                        out[1].append(max(doc[x], doc[mine[other]]))
+                    label[np.isin(label, met)] = label[i]
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
 
     return rows
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold; texts has doc_id, text of the nodes."""
+def _verify(pairs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b), each with whether its whole sets reach the threshold."""
 
     def rows(batches):
         for batch in batches:
-            one, two = batch.column("ta"), batch.column("tb")
-            for start, n in chunks(one, 1_000_000):
-                ha, ba = shingles(*utf8(one.slice(start, n)), words)
-                hb, bb = shingles(*utf8(two.slice(start, n)), words)
+            for start, n in chunks(batch.column("za"), 300_000):
+                some = batch.slice(start, n)
+                (ha, ba), (hb, bb) = (shingles(*utf8(_opened(some.column(c))), words) for c in ("za", "zb"))
                 na, nb = np.diff(ba), np.diff(bb)
-                row_a, row_b = np.repeat(np.arange(n), na), np.repeat(np.arange(n), nb)
-                need = _needed(na, nb, percent)
-                # Suffix filter: sets differ at least by what their counts in ranges of hashes differ.
-                shift = np.uint64(64 - RANGES.bit_length() + 1)
-                bars = [np.bincount(r * RANGES + (x >> shift).astype(np.int64), minlength=n * RANGES).reshape(n, RANGES) for r, x in ((row_a, ha), (row_b, hb))]
-                may = np.abs(bars[0] - bars[1]).sum(1) <= na + nb - 2 * need
-                ka, kb = may[row_a], may[row_b]
-                h = np.concatenate([ha[ka], hb[kb]])
-                r = np.concatenate([row_a[ka], row_b[kb]])
+                h, r = np.concatenate([ha, hb]), np.concatenate([np.repeat(np.arange(n), na), np.repeat(np.arange(n), nb)])
                 o = np.lexsort((h, r))
                 both = (h[o][1:] == h[o][:-1]) & (r[o][1:] == r[o][:-1])
                 shared = np.bincount(r[o][1:][both], minlength=n)
-                ok = may & (na > 0) & (nb > 0) & (100 * shared >= percent * (na + nb - shared))
-                yield pa.RecordBatch.from_arrays([batch.column(c).slice(start, n).filter(pa.array(ok)) for c in ("a", "b")], ["a", "b"])
+                ok = (na > 0) & (nb > 0) & (100 * shared >= percent * (na + nb - shared))
+                yield pa.RecordBatch.from_arrays([some.column("a"), some.column("b"), pa.array(ok)], ["a", "b", "linked"])
 
-    first = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    second = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
+    first = nodes.select(F.col("doc_id").alias("b"), F.col("z").alias("zb"))
+    second = nodes.select(F.col("doc_id").alias("a"), F.col("z").alias("za"))
     met = pairs.join(first, "b").join(second, "a")
-    return met.select("a", "b", "ta", "tb").mapInArrow(rows, "a long, b long")
+    return met.select("a", "b", "za", "zb").mapInArrow(rows, "a long, b long, linked boolean")
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, counters: int = COUNTERS, few: int = FEW) -> DataFrame:
@@ -244,18 +295,28 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     sets = every.where("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("node"))
     prefixes = _prefixes(known, words, percent, counters)
     found = cut(prefixes.repartition("h").sortWithinPartitions("h").mapInArrow(_candidates(percent, few), "a long, b long, h long, n int, at int"))
-    pairs = cut(found.where("b is not null").select("a", "b").distinct())
+    pairs = found.where("b is not null").select("a", "b").distinct()
     crowded = found.where("b is null").drop("b")
-    nodes = found.select(F.explode(F.array("a", "b")).alias("doc_id")).where("doc_id is not null").distinct()
-    texts = cut(known.join(nodes, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text")))
-    links = cut(_verify(pairs, texts, words, percent))
-    parts = components(links)
-    told = crowded.join(parts.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
-    mixed = told.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("h")
-    left = told.join(mixed, "h", "left_semi").repartition("h").sortWithinPartitions("h")
-    more = left.mapInArrow(_crossing(percent), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
-    late = cut(_verify(more, texts, words, percent))
-    if not late.isEmpty():
-        parts = components(links.unionByName(late))
+    wanted = found.select(F.explode(F.array("a", "b")).alias("doc_id")).where("doc_id is not null").distinct()
+    nodes = cut(_nodes(known, wanted, words))
+    tested = cut(_verify(_likely(pairs, nodes, percent), nodes, words, percent))
+    crowded = cut(crowded.join(nodes.select(F.col("doc_id").alias("a"), "bits"), "a"))
+    # A part of the crowded shingles joins most of what there is to join; all of them finish it.
+    share, parts = 16, components(tested.where("linked"))
+    while True:
+        failed = tested.where("not linked").select("a", "b")
+        failed = failed.unionByName(failed.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.collect_set("b").alias("failed"))
+        told = crowded.where(F.pmod(F.xxhash64("h"), F.lit(share)) == 0).join(parts.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
+        mixed = told.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("h")
+        left = told.join(mixed, "h", "left_semi").join(failed, "a", "left").select("h", "a", "n", "at", "bits", "component", "failed")
+        more = cut(left.repartition("h").sortWithinPartitions("h").mapInArrow(_crossing(percent), "a long, b long").distinct())
+        if more.isEmpty():
+            if share == 1:
+                break
+            share = 1
+            continue
+        tested = cut(tested.unionByName(_verify(more, nodes, words, percent)))
+        parts = components(tested.where("linked"))
+        share = 1
     reps = sets.join(parts, "node", "left").select("s1", "s2", "n_shingles", F.coalesce("component", "node").alias("component_id"))
     return every.join(reps, ["s1", "s2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component_id")), "doc_id").alias("component_id"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, gif, langid, lattice, mixing, near, quality, sharding
+from . import bpe, chat, extract, gif, langid, lattice, mixing, near, quality, sharding
 from .common import table
 
 
@@ -49,6 +49,10 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.fair_mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op9_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.store_digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -67,6 +71,7 @@ def queries() -> dict:
         "op5_lattice_dedup": op5_lattice_dedup,
         "op6_chat_format": op6_chat_format,
         "op7_mix_sources": op7_mix_sources,
+        "op8_html_extract": op8_html_extract,
         "op9_gif_media": op9_gif_media,
         "op10_shard": op10_shard,
     }
