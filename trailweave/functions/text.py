@@ -44,7 +44,7 @@ def first_filled(*columns) -> Column:
 
 def split_tags(text, mark: str = ";") -> Column:
     """Parts of a list in a text, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(text, mark), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(text, mark), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def out_of_service(keys) -> Column:
