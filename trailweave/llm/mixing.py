@@ -99,7 +99,7 @@ def fair_mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int
     else:
         place = lambda t: F.struct(t.alias("t"), F.col("skey"), F.col("_u"), F.col("doc_id"), F.col("size"))
         bound = F.struct(F.lit(last["t"]).alias("t"), F.lit(last["skey"]).alias("skey"), F.lit(last["_u"]).alias("_u"), F.lit(last["doc_id"]).cast(dict(docs.dtypes)["doc_id"]).alias("doc_id"), F.lit(last["size"]).cast("long").alias("size"))
-        copies = F.coalesce(sum((place(F.col("finish")[e]) <= bound).cast("int") for e in range(epochs)), F.lit(0))
+        copies = F.when(F.col("finish").isNotNull(), sum((place(F.col("finish")[e]) <= bound).cast("int") for e in range(epochs))).otherwise(F.lit(0))
     out = timed.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size"))
     return out.drop("skey", "source_rows", "budget", "_u", "_buckets", "_b", "_offset", "_within")
 
