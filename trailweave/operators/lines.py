@@ -8,17 +8,22 @@ from pyspark.sql import functions as F
 from ..config import CONFIG
 from ..functions.geo import degree_distance, haversine_m
 
-BY_ROUTE = Window.partitionBy("route").orderBy("seq")
-SO_FAR = BY_ROUTE.rowsBetween(Window.unboundedPreceding, 0)
+
+def _by_route():
+    return Window.partitionBy("route").orderBy("seq")
+
+
+def _so_far():
+    return _by_route().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def with_steps(vertices: DataFrame) -> DataFrame:
     """step_m and step_deg from the vertex before (0 at the first), d_elev, and the running dist_km."""
-    lag = lambda c: F.lag(c).over(BY_ROUTE)
+    lag = lambda c: F.lag(c).over(_by_route())
     stepped = vertices.withColumn("step_m", F.coalesce(haversine_m(lag("lat"), lag("lon"), F.col("lat"), F.col("lon")), F.lit(0.0)))
     stepped = stepped.withColumn("step_deg", F.coalesce(degree_distance(lag("lon"), lag("lat"), F.col("lon"), F.col("lat")), F.lit(0.0)))
     stepped = stepped.withColumn("d_elev", F.coalesce(F.col("elev") - lag("elev"), F.lit(0.0)))
-    return stepped.withColumn("dist_km", F.sum("step_m").over(SO_FAR) / 1000.0)
+    return stepped.withColumn("dist_km", F.sum("step_m").over(_so_far()) / 1000.0)
 
 
 def length_km(vertices: DataFrame) -> DataFrame:
@@ -50,7 +55,7 @@ def minutes_of_step() -> Column:
 
 def with_time(vertices: DataFrame) -> DataFrame:
     """The steps with the running walking time in minutes."""
-    return with_steps(vertices).withColumn("step_min", minutes_of_step()).withColumn("time_min", F.sum("step_min").over(SO_FAR))
+    return with_steps(vertices).withColumn("step_min", minutes_of_step()).withColumn("time_min", F.sum("step_min").over(_so_far()))
 
 
 def gain_loss(elevations: Column) -> Column:
@@ -102,7 +107,7 @@ def resample(vertices: DataFrame, step_m: float) -> DataFrame:
     A sample on a vertex belongs to the segment that ends there.
     """
     end = with_steps(vertices).withColumn("to_m", F.col("dist_km") * 1000.0)
-    lag = lambda c: F.lag(c).over(BY_ROUTE)
+    lag = lambda c: F.lag(c).over(_by_route())
     seg = end.select("route", "seq", "lon", "lat", "elev", "to_m", *(lag(c).alias(f"{c}0") for c in ("lon", "lat", "elev", "to_m")))
     first = F.when(F.col("seq") == 2, F.lit(0)).otherwise(F.floor(F.col("to_m0") / step_m) + 1)
     last = F.floor(F.col("to_m") / step_m)
