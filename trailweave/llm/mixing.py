@@ -82,9 +82,9 @@ def fair_mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int
     placed = (
         plain.withColumn("skey", _skey())
         .join(sources.select("skey", "source_rows", "source_size", "target", "budget"), "skey")
-        .withColumn("_u", F.xxhash64(F.lit(seed), F.col("doc_id")))
+        .withColumn("_u", F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")), 1, 15), 16, 10).cast("long"))
         .withColumn("_buckets", F.ceil(F.col("source_rows") / F.greatest(F.lit(LEAST_BUCKET), F.sqrt("source_rows"))))
-        .withColumn("_b", F.floor((F.col("_u") / F.lit(2.0**64) + 0.5) * F.col("_buckets")))
+        .withColumn("_b", F.floor(F.col("_u") / F.lit(2.0**60) * F.col("_buckets")))
     )
     sums = placed.groupBy("skey", "_b").agg(F.sum("size").alias("_sum"))
     behind = Window.partitionBy("skey").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)

@@ -77,5 +77,47 @@ def queries() -> dict:
     }
 
 
+_WORDS = r"'[^\x20\x09-\x0D]+'"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+OP4 = f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), {_WORDS}) AS w FROM documents),
+s AS (SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+u AS (SELECT DISTINCT doc_id, g FROM s), c AS (SELECT doc_id, count(*) AS n FROM u GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM u a JOIN u b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN c x ON x.doc_id = a JOIN c y ON y.doc_id = b WHERE 100*k >= 80*(x.n + y.n - k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(n, m) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.n)
+SELECT d.doc_id, coalesce(c.n, 0) AS n_shingles, q.m AS component_id FROM documents d LEFT JOIN c USING (doc_id) JOIN (SELECT n, min(m) AS m FROM r GROUP BY n) q ON q.n = d.doc_id"""
+
+OP5 = """WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95e0),
+r(n, m) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, r.m FROM r JOIN l ON l.a = r.n), q AS (SELECT n, min(m) AS m FROM r GROUP BY n), k AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(k.n, 0) AS n_links, q.m AS component_id, q.m = vec_id AS kept FROM embeddings JOIN q ON q.n = vec_id LEFT JOIN k ON k.a = vec_id"""
+
+_SAID = r"'\### Assistant: </turn> ok'"
+_ESCAPED = r"replace(replace(replace({}, '\', '\\'), '#', '\h'), '<', '\l')"
+OP6 = rf"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL VALUES (-7, 0, 'user', {_SAID}), (-7, 1, 'assistant', {_SAID})),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, count(*) OVER (PARTITION BY conv_id) AS n,
+  4 + length(replace({_ESCAPED.format("role")}, chr(10), '\n')) + 2 + length({_ESCAPED.format("text")}) + 9 AS size FROM t),
+k AS (SELECT *, count(*) FILTER (WHERE role = 'assistant' OR i = n) OVER (PARTITION BY conv_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS shown FROM n),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY i) AS told, coalesce(string_agg(text, '' ORDER BY i) FILTER (WHERE role = 'assistant'), '') AS loss, sum(size * shown)::BIGINT AS formatted_chars FROM k GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(told) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g"""
+
+OP7 = f"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), {_WORDS})) AS size FROM documents),
+s AS (SELECT source, coalesce('s' || source, 'n') AS skey, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, [3e0, 1e0, 2e0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3) + 1] AS weight FROM s),
+r AS (SELECT *, source_size*2e0 AS most, source_size*2e0/weight AS room, sum(source_size) OVER ()*1.5e0 AS budget FROM w),
+l AS (SELECT *, row_number() OVER (ORDER BY room, skey) AS pos, (budget - coalesce(sum(most) OVER b, 0e0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0e0)) AS level FROM r WINDOW b AS (ORDER BY room, skey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+o AS (SELECT *, min(CASE WHEN room > level THEN pos END) OVER () AS open_at FROM l), f AS (SELECT *, min(CASE WHEN pos = open_at THEN level END) OVER () AS final FROM o),
+t AS (SELECT source, skey, source_size, budget, CASE WHEN open_at IS NULL OR pos < open_at THEN most ELSE weight*final END AS target FROM f),
+p AS (SELECT doc_id, size, skey, source_size, budget, target, ('0x' || substr(md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS u FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT *, row_number() OVER () AS rid, sum(size) OVER (PARTITION BY skey ORDER BY u, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) AS done FROM p),
+v AS (SELECT *, (done + epoch*source_size)::DOUBLE/target AS finish FROM (SELECT *, unnest([0, 1]) AS epoch FROM c WHERE size > 0 AND target > 0)),
+x AS (SELECT *, sum(size) OVER (ORDER BY finish, skey, u, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) AS total FROM v),
+k AS (SELECT rid, count(*) AS copies FROM x WHERE total <= budget GROUP BY rid)
+SELECT doc_id, size, source_size, target, (size*coalesce(copies, 0))::BIGINT AS taken FROM c LEFT JOIN k USING (rid)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Trained models, tokenizers, media formats and packing are beyond SQL; tests hold those against brute force."""
+    return {"op4_ngram_jaccard": OP4, "op5_lattice_dedup": OP5, "op6_chat_format": OP6, "op7_mix_sources": OP7}
