@@ -81,12 +81,14 @@ def word_table(words: DataFrame, tokenizer_json: str) -> DataFrame:
 
 
 class CommonWords:
-    """Words and ids as Arrow columns sorted by the words' hashes: found by hash, compared by value."""
+    """Words and ids as Arrow columns, found by hash and compared by value."""
 
     def __init__(self, table: pa.Table):
         t = table.combine_chunks()
         self.words, self.ids = (t.column(c).chunk(0).cast(k) if t.num_rows else pa.array([], k) for c, k in (("word", pa.string()), ("ids", pa.list_(pa.int32()))))
-        self.hashes = t.column("hash").to_numpy() if t.num_rows else np.zeros(0, np.uint64)
+        hashes = self.hashed(self.words)
+        self.order = np.argsort(hashes)
+        self.hashes = hashes[self.order]
 
     @staticmethod
     def hashed(words: pa.Array) -> np.ndarray:
@@ -95,16 +97,23 @@ class CommonWords:
         parts = (words.slice(i, 50_000).cast(pa.binary()).to_pylist() for i in range(0, len(words), 50_000))
         return np.fromiter((xxhash.xxh64_intdigest(w) for part in parts for w in part), np.uint64, len(words))
 
-    @classmethod
-    def packed(cls, table: pa.Table) -> bytes:
-        """The table of word and ids as Arrow bytes, sorted by hash."""
-        table = table.combine_chunks()
-        hashes = np.concatenate([np.zeros(0, np.uint64), *(cls.hashed(c) for c in table.column("word").chunks)])
-        table = table.append_column("hash", pa.array(hashes)).sort_by("hash")
+    @staticmethod
+    def packed(table: pa.Table) -> bytes:
+        """The table of word and ids as compressed Arrow bytes; words in order lie next to their like. Every executor keeps a copy."""
+        ids = pc.cast(table.column("ids"), pa.list_(pa.int32()))
+        table = pa.table({"word": table.column("word"), "ids": ids}).sort_by("word")
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, table.schema) as out:
             out.write_table(table)
-        return sink.getvalue().to_pybytes()
+        import zstandard
+
+        return zstandard.ZstdCompressor(level=9).compress(sink.getvalue())
+
+    @classmethod
+    def unpacked(cls, packed: bytes) -> CommonWords:
+        import zstandard
+
+        return cls(pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(packed)).read_all())
 
     def find(self, words: pa.Array) -> np.ndarray:
         """The row of each word, or -1."""
@@ -112,15 +121,16 @@ class CommonWords:
             return np.full(len(words), -1)
         wanted = self.hashed(words)
         at = np.minimum(np.searchsorted(self.hashes, wanted), len(self.words) - 1)
-        same = pc.equal(self.words.take(pa.array(at)), words).to_numpy(zero_copy_only=False).copy()
+        rows = self.order[at]
+        same = pc.equal(self.words.take(pa.array(rows)), words).to_numpy(zero_copy_only=False).copy()
         for i in np.nonzero(~same & (self.hashes[at] == wanted))[0].tolist():  # other words with that hash lie behind
             for j in range(at[i] + 1, len(self.words)):
                 if self.hashes[j] != wanted[i]:
                     break
-                if self.words[j].as_py() == words[i].as_py():
-                    at[i], same[i] = j, True
+                if self.words[self.order[j]].as_py() == words[i].as_py():
+                    rows[i], same[i] = self.order[j], True
                     break
-        return np.where(same, at, -1)
+        return np.where(same, rows, -1)
 
 
 def _common(docs: DataFrame, tokenizer_json: str, sample_texts: int, common_words: int) -> bytes:
@@ -141,7 +151,7 @@ def _opened(packed: bytes, made: dict = {}) -> CommonWords:  # noqa: B006  one t
     key = hashlib.md5(packed).digest()
     if key not in made:
         made.clear()
-        made[key] = CommonWords(pa.ipc.open_stream(packed).read_all())
+        made[key] = CommonWords.unpacked(packed)
     return made[key]
 
 
