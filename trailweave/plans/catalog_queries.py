@@ -166,7 +166,7 @@ def _tumbling(spark, d):
 
 def _elevation_json(spark, d):
     """Each line's profile as one JSON text with fixed decimals."""
-    v = vertex(spark, d).where("seq <= 20")
+    v = vertex(spark, d)
     one = lambda c: F.col(c).cast("decimal(12,1)").cast("string")
     g = v.withColumn("e", F.floor(F.col("elev") * 10 + 0.5) / 10).groupBy("route").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", one("e").alias("e")))), lambda x: x["e"]).alias("es"))
     return g.select("route", F.concat(F.lit('{"elevations":['), F.array_join("es", ","), F.lit("]}")).alias("json"))
@@ -182,7 +182,7 @@ def _geojson(spark, d):
 
 def _gpx(spark, d):
     """Each line as track points in a text, six decimals."""
-    v = vertex(spark, d).where("seq <= 10")
+    v = vertex(spark, d)
     micro = lambda c: F.floor(F.col(c) * 1e6 + 0.5).cast("bigint").cast("string")
     p = F.concat(F.lit('<trkpt lat="'), micro("lat"), F.lit('" lon="'), micro("lon"), F.lit('"/>'))
     return v.groupBy("route").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", p.alias("p")))), lambda x: x["p"]), "").alias("gpx"))
@@ -219,9 +219,9 @@ QUERIES = {
     "incremental_skip": (_skip, SKIP_SQL),
     "ttl_filter": (_ttl, "WITH o AS (SELECT o_orderstatus, datediff('day', o_orderdate, TIMESTAMP '1998-08-01') AS age, CASE WHEN o_orderstatus = 'F' THEN 900 ELSE 300 END AS ttl FROM orders) SELECT o_orderstatus, count(*) FILTER (WHERE age <= ttl) AS hits, count(*) FILTER (WHERE age > ttl) AS misses FROM o GROUP BY 1"),
     "tumbling_resample": (_tumbling, f"SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, {rnd('sum(value)', 2)} AS total, arg_max(event_id, (ts, event_id)) AS last_id FROM events GROUP BY ALL"),
-    "export_elevation": (_elevation_json, f"WITH {VERTEX} SELECT route, '{{\"elevations\":[' || string_agg((floor(elev*10e0+0.5e0)/10e0)::DECIMAL(12,1)::VARCHAR, ',' ORDER BY seq) || ']}}' AS json FROM vertex WHERE seq <= 20 GROUP BY route"),
+    "export_elevation": (_elevation_json, f"WITH {VERTEX} SELECT route, '{{\"elevations\":[' || string_agg((floor(elev*10e0+0.5e0)/10e0)::DECIMAL(12,1)::VARCHAR, ',' ORDER BY seq) || ']}}' AS json FROM vertex GROUP BY route"),
     "export_geojson": (_geojson, f"WITH {SITE} SELECT area, '{{\"type\":\"FeatureCollection\",\"features\":[' || string_agg('{{\"type\":\"Feature\",\"id\":' || site || ',\"kind\":\"' || kind || '\"}}', ',' ORDER BY site) || ']}}' AS json FROM site WHERE kind = 'train' GROUP BY area"),
-    "export_gpx_text": (_gpx, f"WITH {VERTEX} SELECT route, string_agg('<trkpt lat=\"' || floor(lat*1e6+0.5e0)::BIGINT || '\" lon=\"' || floor(lon*1e6+0.5e0)::BIGINT || '\"/>', '' ORDER BY seq) AS gpx FROM vertex WHERE seq <= 10 GROUP BY route"),
+    "export_gpx_text": (_gpx, f"WITH {VERTEX} SELECT route, string_agg('<trkpt lat=\"' || floor(lat*1e6+0.5e0)::BIGINT || '\" lon=\"' || floor(lon*1e6+0.5e0)::BIGINT || '\"/>', '' ORDER BY seq) AS gpx FROM vertex GROUP BY route"),
     "accent_search": (_search, f"WITH {ROUTES} SELECT id, region FROM routes WHERE contains(lower(name || ' e' || region), 'easia')"),
     "ref_string_sort": (_sorted, f"WITH {ROUTES} SELECT id, region, row_number() OVER (PARTITION BY region ORDER BY ref, id)::INT AS place FROM routes"),
 }

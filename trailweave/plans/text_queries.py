@@ -13,15 +13,15 @@ PLAIN = f"translate({{}}, {ACCENTS})"
 
 
 def _slugs(spark, d):
-    c = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 40).alias("t"))
-    return c.select("doc_id", tx.slug(F.regexp_replace("t", r"\s+", " ")).alias("slug"), tx.station_slug(F.col("t")).alias("station_slug"))
+    """Hashes of the slugs of whole texts."""
+    c = table(spark, d, "documents")
+    return c.select("doc_id", F.sha2(tx.slug(F.col("text")), 256).alias("slug"), F.sha2(tx.station_slug(F.col("text")), 256).alias("station_slug"))
 
 
-_one = "regexp_replace(substr(text,1,40), '\\s+', ' ', 'g')"
 SLUG_SQL = (
-    "WITH t AS (SELECT doc_id, " + PLAIN.format(_one) + " AS a, " + PLAIN.format("substr(text,1,40)") + " AS b FROM documents) SELECT doc_id, "
-    "trim(regexp_replace(regexp_replace(regexp_replace(lower(a), '[^\\x00-\\x7F]', '', 'g'), '[^a-z0-9_\\s-]', '', 'g'), '[\\s-]+', '-', 'g'), '-') AS slug, "
-    "array_to_string(list_filter(string_split(regexp_replace(lower(b), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: length(w) > 1), '-') AS station_slug FROM t"
+    "WITH t AS (SELECT doc_id, " + PLAIN.format("text") + " AS a FROM documents) SELECT doc_id, "
+    "sha256(trim(regexp_replace(regexp_replace(regexp_replace(lower(a), '[^\\x00-\\x7F]', '', 'g'), '[^a-z0-9_\\s-]', '', 'g'), '[\\s-]+', '-', 'g'), '-')) AS slug, "
+    "sha256(array_to_string(list_filter(string_split(regexp_replace(lower(a), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: length(w) > 1), '-')) AS station_slug FROM t"
 )
 
 
@@ -116,8 +116,8 @@ def _lines(spark, d):
 
 def _members(spark, d):
     """Relation members in order: an order's lines looked up in parts; missing parts are skipped, places stay in order."""
-    l = table(spark, d, "lineitem").where("l_orderkey < 2000")  # noqa: E741
-    p = table(spark, d, "part").where("p_partkey % 9 <> 0").select(F.col("p_partkey").alias("l_partkey"), "p_name")
+    l = table(spark, d, "lineitem")  # noqa: E741
+    p = table(spark, d, "part").where("p_size > 5").select(F.col("p_partkey").alias("l_partkey"), "p_name")
     j = l.join(p, "l_partkey").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "p_name"))).alias("m"))
     return j.select("l_orderkey", F.size("m").alias("n"), F.array_join(F.transform("m", lambda x: x["l_partkey"].cast("string")), ",").alias("members"))
 
@@ -143,7 +143,7 @@ QUERIES = {
     ),
     "relation_members": (
         _members,
-        "SELECT l_orderkey, count(*)::INT AS n, string_agg(l_partkey::VARCHAR, ',' ORDER BY l_linenumber, l_partkey, p_name) AS members FROM lineitem JOIN (SELECT * FROM part WHERE p_partkey % 9 <> 0) ON p_partkey = l_partkey WHERE l_orderkey < 2000 GROUP BY 1",
+        "SELECT l_orderkey, count(*)::INT AS n, string_agg(l_partkey::VARCHAR, ',' ORDER BY l_linenumber, l_partkey, p_name) AS members FROM lineitem JOIN (SELECT * FROM part WHERE p_size > 5) ON p_partkey = l_partkey GROUP BY 1",
     ),
     "label_shares": (_labels_stats, "SELECT source, count(*) AS n, floor(avg(quality)*1e3+0.5e0)/1e3 AS good, floor(avg(toxic)*1e3+0.5e0)/1e3 AS toxic FROM labels JOIN documents USING (doc_id) GROUP BY source"),
 }

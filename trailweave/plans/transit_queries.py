@@ -36,7 +36,7 @@ def _places_flat(spark, d):
 
 
 def _names(spark, d):
-    names = table(spark, d, "customer").where("c_custkey < 30").select(F.col("c_custkey").alias("route"), F.col("c_mktsegment").alias("name"))
+    names = table(spark, d, "customer").where("c_mktsegment <> 'MACHINERY'").select(F.col("c_custkey").alias("route"), F.col("c_mktsegment").alias("name"))
     n = transit.line_names(_at_places(spark, d), names)
     return n.select("site", F.array_join("lines", "|").alias("lines"))
 
@@ -135,7 +135,7 @@ QUERIES = {
     "station_routes": (_places_flat, f"WITH {AT_PLACES} SELECT site, array_to_string(routes, ',') AS routes FROM pr"),
     "transit_line_names": (
         _names,
-        f"WITH {AT_PLACES}, e AS (SELECT site, unnest(routes) AS route FROM pr), n AS (SELECT site, CASE WHEN route >= 0 THEN coalesce(c_mktsegment, route::VARCHAR) END AS line FROM e LEFT JOIN (SELECT * FROM customer WHERE c_custkey < 30) ON c_custkey = route) "
+        f"WITH {AT_PLACES}, e AS (SELECT site, unnest(routes) AS route FROM pr), n AS (SELECT site, CASE WHEN route >= 0 THEN coalesce(c_mktsegment, route::VARCHAR) END AS line FROM e LEFT JOIN (SELECT * FROM customer WHERE c_mktsegment <> 'MACHINERY') ON c_custkey = route) "
         "SELECT site, coalesce(string_agg(line, '|' ORDER BY line), '') AS lines FROM n GROUP BY site",
     ),
     "transport_connected": (
