@@ -11,8 +11,8 @@ that cannot reach it, and each pair left is verified once on the whole sets.
 * The suffix filter compares bitmaps of parities, which differ in no more bits than the sets differ
   in shingles, before any text is sent to be verified.
 * A shingle that few nodes share gives its pairs at once. Where many share it, only pairs across the
-  components known so far are taken, one for two components, until none is left that has not
-  failed. The components are exact, and a large group of near copies costs about its size.
+  components known so far are taken: twice one for two components, then all that are left. The
+  components are exact, and a large group of near copies costs about its size.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ WORDS, PERCENT = 5, 80
 COUNTERS = 1 << 18
 #: Nodes on one shingle whose pairs are all verified at once.
 FEW = 6
-#: Bits of the bitmaps that the suffix filter compares.
-BITS = 1024
+#: Bits for each shingle in the bitmaps that the suffix filter compares, at least.
+BITS = 4
 
 
 def _of_text(batch, words: int):
@@ -157,16 +157,38 @@ def _candidates(percent: int, few: int):
     return rows
 
 
-def _bitmaps(hashes: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """BITS parities of each set: two bitmaps differ in no more bits than their sets differ in shingles."""
-    text = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
-    bits = np.zeros((len(begins) - 1, BITS), np.uint8)
-    np.bitwise_xor.at(bits, (text, (hashes >> np.uint64(20)).astype(np.int64) % BITS), 1)
-    return np.packbits(bits, axis=1)
+class Bitmaps:
+    """Parities of sets by hash: two bitmaps differ in no more bits than their sets differ in shingles.
 
+    A bitmap has at least BITS bits for each shingle of its set, a power of two of them; folding it in
+    halves gives the bitmap of half that width, by which sets of unlike sizes are compared.
+    """
 
-def _differ(one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(one ^ two).sum(-1, dtype=np.int64)
+    @staticmethod
+    def of(hashes: np.ndarray) -> bytes:
+        width = max(512, 1 << (BITS * len(hashes) - 1).bit_length())
+        return np.packbits((np.bincount((hashes >> np.uint64(20)).astype(np.int64) & (width - 1), minlength=width) & 1).astype(np.uint8)).tobytes()
+
+    def __init__(self, packed: list[bytes]):
+        self.width = np.array([len(p) for p in packed], np.int64)
+        self.place = np.zeros(len(packed), np.int64)
+        self.own, self.half = {}, {}
+        for w in np.unique(self.width).tolist():
+            mine = np.nonzero(self.width == w)[0]
+            self.place[mine] = np.arange(len(mine))
+            self.own[w] = np.frombuffer(b"".join(packed[i] for i in mine.tolist()), np.uint8).reshape(-1, w)
+            self.half[w] = self.own[w][:, : w // 2] ^ self.own[w][:, w // 2 :]
+
+    def differ(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Bits that differ for each pair of rows; 0, which rules nothing out, for sizes too unlike."""
+        out = np.zeros(len(i), np.int64)
+        for w in np.unique(self.width[i]).tolist():
+            for v, one, two in ((w, self.own, self.own), (2 * w, self.own, self.half), (w // 2, self.half, self.own)):
+                on = np.nonzero((self.width[i] == w) & (self.width[j] == v))[0]
+                for k in range(0, len(on), 20_000):
+                    some = on[k : k + 20_000]
+                    out[some] = np.bitwise_count(one[w][self.place[i[some]]] ^ two[v][self.place[j[some]]]).sum(1, dtype=np.int64)
+        return out
 
 
 def _opened(column: pa.Array) -> pa.Array:
@@ -183,8 +205,8 @@ def _nodes(known: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
         for batch in batches:
             for start, n in chunks(batch.column("z"), 500_000):
                 hashes, begins = shingles(*utf8(_opened(batch.column("z").slice(start, n))), words)
-                bits = _bitmaps(hashes, begins)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, n), pa.array(np.diff(begins), pa.int32()), pa.array([b.tobytes() for b in bits], pa.binary()), batch.column("z").slice(start, n)], ["doc_id", "n", "bits", "z"])
+                bits = [Bitmaps.of(hashes[a:b]) for a, b in zip(begins, begins[1:])]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, n), pa.array(np.diff(begins), pa.int32()), pa.array(bits, pa.binary()), batch.column("z").slice(start, n)], ["doc_id", "n", "bits", "z"])
 
     def packed(text: pa.Array) -> pa.Array:
         import zstandard
@@ -206,25 +228,24 @@ def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             na, nb = (batch.column(c).to_numpy().astype(np.int64) for c in ("na", "nb"))
-            one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BITS // 8) for c in ("ba", "bb"))
-            ok = _differ(one, two) <= na + nb - 2 * _needed(na, nb, percent)
+            both, at = Bitmaps(batch.column("ba").to_pylist() + batch.column("bb").to_pylist()), np.arange(batch.num_rows)
+            ok = both.differ(at, at + batch.num_rows) <= na + nb - 2 * _needed(na, nb, percent)
             yield batch.select(["a", "b"]).filter(pa.array(ok))
 
     return pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "ba", "bb").mapInArrow(rows, "a long, b long")
 
 
-def _crossing(percent: int):
-    """Rows sorted by h: pairs that would join the components which a shingle's nodes are still in.
+def _crossing(percent: int, every: bool):
+    """Rows sorted by h: pairs across the components which a shingle's nodes are still in, that pass all filters.
 
-    All pairs across components are looked at that pass the filters and have not failed; once a pair
-    is handed on, its components count as one here, so a shingle gives fewer pairs than it has nodes.
+    Either ``every`` such pair, or a forest of them: once a pair is handed on, its components count as
+    one here, so that a shingle gives fewer pairs than it has nodes.
     """
 
     def rows(batches):
         for t in _runs(batches, "h"):
             h, doc, n, at, part = (t.column(c).to_numpy() for c in ("h", "a", "n", "at", "component"))
-            bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint8).reshape(-1, BITS // 8)
-            failed = t.column("failed").to_pylist()
+            bitmaps = Bitmaps(t.column("bits").to_pylist())
             order = np.lexsort((mix(doc.view(np.uint64)), h))  # the same order of nodes for all shingles
             n, at = n.astype(np.int64), at.astype(np.int64)
             begin, out = 0, [[], []]
@@ -240,17 +261,17 @@ def _crossing(percent: int):
                     x, y = mine[i], mine[k]
                     ok = _compatible(n, at, x, y, percent)
                     k, y = k[ok], y[ok]
-                    ok = _differ(bits[x], bits[y]) <= n[x] + n[y] - 2 * _needed(n[x], n[y], percent)
-                    if failed[x]:
-                        ok &= ~np.isin(doc[y], failed[x])
+                    ok = bitmaps.differ(np.full(len(y), x), y) <= n[x] + n[y] - 2 * _needed(n[x], n[y], percent)
                     k = k[ok]
-                    met, one = np.unique(label[k], return_index=True)
-                    for other in k[one].tolist():
-                        out[0].append(min(doc[x], doc[mine[other]]))
-                        out[1].append(max(doc[x], doc[mine[other]]))
-                    label[np.isin(label, met)] = label[i]
+                    if not every and len(k):
+                        met, one = np.unique(label[k], return_index=True)
+                        k = k[one]
+                        label[np.isin(label, met)] = label[i]
+                    out[0].append(np.minimum(doc[x], doc[mine[k]]))
+                    out[1].append(np.maximum(doc[x], doc[mine[k]]))
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
+                pairs = np.unique(np.stack([np.concatenate(x) for x in out]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], ["a", "b"])
 
     return rows
 
@@ -291,8 +312,8 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = docs.where("doc_id is not null")
-    every = cut(_sets(docs, words))
-    sets = every.where("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("node"))
+    told_sets = cut(_sets(docs, words))
+    sets = told_sets.where("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("node"))
     prefixes = _prefixes(known, words, percent, counters)
     found = cut(prefixes.repartition("h").sortWithinPartitions("h").mapInArrow(_candidates(percent, few), "a long, b long, h long, n int, at int"))
     pairs = found.where("b is not null").select("a", "b").distinct()
@@ -300,23 +321,18 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     wanted = found.select(F.explode(F.array("a", "b")).alias("doc_id")).where("doc_id is not null").distinct()
     nodes = cut(_nodes(known, wanted, words))
     tested = cut(_verify(_likely(pairs, nodes, percent), nodes, words, percent))
-    crowded = cut(crowded.join(nodes.select(F.col("doc_id").alias("a"), "bits"), "a"))
-    # A part of the crowded shingles joins most of what there is to join; all of them finish it.
-    share, parts = 16, components(tested.where("linked"))
-    while True:
-        failed = tested.where("not linked").select("a", "b")
-        failed = failed.unionByName(failed.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.collect_set("b").alias("failed"))
+    parts = components(tested.where("linked"))
+    bits = nodes.select(F.col("doc_id").alias("a"), "bits")
+    # A forest of pairs on some of the crowded shingles joins most of what there is to join, one on all
+    # of them nearly all; every pair that is still across two components then decides the rest.
+    for share, every_pair in ((16, False), (1, False), (1, True)):
         told = crowded.where(F.pmod(F.xxhash64("h"), F.lit(share)) == 0).join(parts.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
         mixed = told.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("h")
-        left = told.join(mixed, "h", "left_semi").join(failed, "a", "left").select("h", "a", "n", "at", "bits", "component", "failed")
-        more = cut(left.repartition("h").sortWithinPartitions("h").mapInArrow(_crossing(percent), "a long, b long").distinct())
-        if more.isEmpty():
-            if share == 1:
-                break
-            share = 1
-            continue
-        tested = cut(tested.unionByName(_verify(more, nodes, words, percent)))
-        parts = components(tested.where("linked"))
-        share = 1
+        left = told.join(mixed, "h", "left_semi").join(bits, "a").select("h", "a", "n", "at", "bits", "component")
+        more = left.repartition("h").sortWithinPartitions("h").mapInArrow(_crossing(percent, every_pair), "a long, b long").distinct()
+        late = cut(_verify(more.join(tested.select("a", "b"), ["a", "b"], "left_anti"), nodes, words, percent))
+        if not late.isEmpty():
+            tested = tested.unionByName(late)
+            parts = components(tested.where("linked"))
     reps = sets.join(parts, "node", "left").select("s1", "s2", "n_shingles", F.coalesce("component", "node").alias("component_id"))
-    return every.join(reps, ["s1", "s2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component_id")), "doc_id").alias("component_id"))
+    return told_sets.join(reps, ["s1", "s2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce(F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")), "doc_id").alias("component_id"))
