@@ -11,8 +11,8 @@ that cannot reach it, and each pair left is verified once on the whole sets.
 * The suffix filter compares bitmaps of parities, which differ in no more bits than the sets differ
   in shingles, before any text is sent to be verified.
 * A shingle that few nodes share gives its pairs at once. Where many share it, only pairs across the
-  components known so far are taken: twice one for two components, then all that are left. The
-  components are exact, and a large group of near copies costs about its size.
+  components known so far are taken: first a forest of them on a part of the shingles, then all that
+  are left. The components are exact, and a large group of near copies costs about its size.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ COUNTERS = 1 << 18
 #: Nodes on one shingle whose pairs are all verified at once.
 FEW = 6
 #: Bits for each shingle in the bitmaps that the suffix filter compares, at least.
-BITS = 4
+BITS = 2
 
 
 def _of_text(batch, words: int):
@@ -321,18 +321,22 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     wanted = found.select(F.explode(F.array("a", "b")).alias("doc_id")).where("doc_id is not null").distinct()
     nodes = cut(_nodes(known, wanted, words))
     tested = cut(_verify(_likely(pairs, nodes, percent), nodes, words, percent))
-    parts = components(tested.where("linked"))
     bits = nodes.select(F.col("doc_id").alias("a"), "bits")
-    # A forest of pairs on some of the crowded shingles joins most of what there is to join, one on all
-    # of them nearly all; every pair that is still across two components then decides the rest.
-    for share, every_pair in ((16, False), (1, False), (1, True)):
-        told = crowded.where(F.pmod(F.xxhash64("h"), F.lit(share)) == 0).join(parts.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
-        mixed = told.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("h")
-        left = told.join(mixed, "h", "left_semi").join(bits, "a").select("h", "a", "n", "at", "bits", "component")
+
+    def crossing(some: DataFrame, every_pair: bool) -> DataFrame:
+        """Verified pairs, not tested before, across components on shingles of (h, a, n, at, component)."""
+        mixed = some.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("h")
+        left = some.join(mixed, "h", "left_semi").join(bits, "a").select("h", "a", "n", "at", "bits", "component")
         more = left.repartition("h").sortWithinPartitions("h").mapInArrow(_crossing(percent, every_pair), "a long, b long").distinct()
-        late = cut(_verify(more.join(tested.select("a", "b"), ["a", "b"], "left_anti"), nodes, words, percent))
-        if not late.isEmpty():
-            tested = tested.unionByName(late)
-            parts = components(tested.where("linked"))
+        return cut(_verify(more.join(tested.select("a", "b"), ["a", "b"], "left_anti"), nodes, words, percent))
+
+    # A forest of pairs on a sixteenth of the crowded shingles joins most of what there is to join;
+    # every likely pair on all of them that is then still across two components decides the rest.
+    tested = tested.unionByName(crossing(crowded.where(F.pmod(F.xxhash64("h"), F.lit(16)) == 0).withColumn("component", F.col("a")), False))
+    parts = components(tested.where("linked"))
+    placed = crowded.join(parts.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
+    late = crossing(placed, True).where("linked")
+    if not late.isEmpty():
+        parts = components(tested.where("linked").unionByName(late))
     reps = sets.join(parts, "node", "left").select("s1", "s2", "n_shingles", F.coalesce("component", "node").alias("component_id"))
     return told_sets.join(reps, ["s1", "s2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce(F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")), "doc_id").alias("component_id"))
