@@ -148,7 +148,8 @@ def fit_rules(labelled: DataFrame, most_rows: int = MOST_ROWS) -> RuleEnsemble:
     rows = labelled
     if total > most_rows:
         rows = rows.where(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 20)) < int((1 << 20) * most_rows / total))
-    rows = cut(rows.select(F.col("label").cast("double").alias("label"), "statistics", array_to_vector("statistics").alias("features")))
+    rows = rows.select(F.col("label").cast("double").alias("label"), "statistics", array_to_vector("statistics").alias("features"))
+    rows = cut(rows.repartition(8))  # bounded, and read by every iteration of the fits
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, maxBins=64, minInstancesPerNode=5, featureSubsetStrategy="onethird").fit(rows)
     rules = sorted({r for t in forest.trees for r in tree_rules(t.toDebugString)})
     ones = F.array(*(rule_column(r).cast("double") for r in rules))
