@@ -25,13 +25,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
-
 # White space as Unicode has it, without U+180E, which is not.
 _SPACE = "\\x09-\\x0D\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
 PIECE = f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+"
 #: Texts in the sample that common words come from, at most, and common words, at most.
-SAMPLE_TEXTS, COMMON_WORDS = 60_000, 2_000_000
+SAMPLE_TEXTS, COMMON_WORDS = 130_000, 3_000_000
 _FOUND = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -100,20 +98,15 @@ class CommonWords:
     @staticmethod
     def packed(table: pa.Table) -> bytes:
         """The table of word and ids as compressed Arrow bytes; words in order lie next to their like. Every executor keeps a copy."""
-        ids = pc.cast(table.column("ids"), pa.list_(pa.int32()))
-        table = pa.table({"word": table.column("word"), "ids": ids}).sort_by("word")
+        table = table.select(["word", "ids"]).sort_by("word").combine_chunks()
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, table.schema) as out:
+        with pa.CompressedOutputStream(sink, "zstd") as packed, pa.ipc.new_stream(packed, table.schema) as out:
             out.write_table(table)
-        import zstandard
-
-        return zstandard.ZstdCompressor(level=9).compress(sink.getvalue())
+        return sink.getvalue().to_pybytes()
 
     @classmethod
     def unpacked(cls, packed: bytes) -> CommonWords:
-        import zstandard
-
-        return cls(pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(packed)).read_all())
+        return cls(pa.ipc.open_stream(pa.CompressedInputStream(pa.BufferReader(packed), "zstd").read()).read_all())
 
     def find(self, words: pa.Array) -> np.ndarray:
         """The row of each word, or -1."""
