@@ -63,6 +63,14 @@ def test_bpe_ids_decode_to_the_text(docs):
     assert back == {i: t or "" for i, t in enumerate(TEXTS)}
 
 
+def test_bpe_keeps_texts_without_id_apart_where_their_short_hashes_meet(spark):
+    texts = ["zq1166", "zq101096", "zq1166"]
+    df = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    assert df.select(F.hash("doc_id", "text")).distinct().count() == 1
+    got = bpe.encode_digest(df, queries.tokenizer_path(), sample_texts=0).collect()
+    assert sorted((r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got) == sorted(_tokens(t) for t in texts)
+
+
 def test_bpe_empty_table(spark):
     assert bpe.encode_digest(spark.createDataFrame([], SCHEMA), queries.tokenizer_path()).collect() == []
 

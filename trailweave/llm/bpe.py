@@ -9,8 +9,9 @@ whatever Unicode version the pattern's classes follow. Each distinct word is enc
 * any other word where a shuffle by word has gathered its places, from where its ids go back to
   their documents by position.
 
-Which words are common decides only how they travel. Texts meet the ids of their uncommon words in
-one join by document, compressed. Decoding joins every id to its piece.
+Which words are common decides only how they travel. Equal texts are encoded once: texts are told
+apart by 128 bits of their SHA-256, not by id, meet the ids of their uncommon words by it, compressed,
+and what was found joins all rows of that text. Decoding joins every id to its piece.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ _SPACE = "\\x09-\\x0D\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\
 PIECE = f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+"
 #: Texts in the sample that common words come from, at most, and common words, at most.
 SAMPLE_TEXTS, COMMON_WORDS = 60_000, 2_000_000
-_FOUND = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+_FOUND = "_key binary, n_tokens long, ids_sha256 binary, decoded_sha256 binary"
 
 
 def split_words(text: str = "text"):
@@ -157,28 +158,36 @@ def encode_digest(docs: DataFrame, tokenizer_path: str, sample_texts: int = SAMP
     """
     with open(tokenizer_path, encoding="utf-8") as f:
         told = f.read()
-    docs = docs.drop("n_tokens", "ids_sha256", "decoded_sha256", "_id", "_text", "_z", "_words", "_rare")
-    keyed = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("_id"), F.hash("doc_id", "text").alias("_text"))
+    docs = docs.drop("n_tokens", "ids_sha256", "decoded_sha256", "_key", "_z", "_rare")
+    # A null text counts as an empty one: neither has a token.
+    keyed = docs.withColumn("_key", F.unhex(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 32)))
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast((_common(docs, told, sample_texts, common_words), told))
 
+    @F.arrow_udf("binary")
+    def packed(text: pa.Array) -> pa.Array:
+        import zstandard
+
+        z = zstandard.ZstdCompressor(level=3)
+        return pa.array([None if t is None else z.compress(t) for t in text.cast(pa.binary()).to_pylist()], pa.binary())
+
+    # Copies collapse before they travel, too.
+    texts = keyed.select("_key", packed("text").alias("_z")).groupBy("_key").agg(F.first("_z", ignorenulls=True).alias("_z"))
+
     def missing(batches):
-        """(word, document, position) of every word that the common table lacks."""
+        """(word, text's key, position) of every word that the common table lacks."""
         for batch in batches:
             table = _opened(shared.value[0])
-            column = batch.column("_words")
-            for start in range(0, len(column), 1000):
-                some = column.slice(start, 1000)
-                sizes = some.value_lengths().to_numpy(zero_copy_only=False)
-                coded = some.flatten().dictionary_encode()
+            for start in range(0, batch.num_rows, 500):
+                split, coded = _split(batch.column("_z").slice(start, 500))
+                sizes = np.fromiter(map(len, split), np.int64, len(split))
                 lost = table.find(coded.dictionary) < 0
                 where = np.nonzero(lost[coded.indices.to_numpy()])[0] if len(coded.dictionary) else np.zeros(0, np.int64)
                 if not len(where):
                     continue
-                row = np.repeat(np.arange(len(some)), sizes)[where]
+                row = np.repeat(np.arange(len(split)), sizes)[where]
                 at = where - (np.cumsum(sizes) - sizes)[row]
-                rows = pa.array(row + start)
-                yield pa.RecordBatch.from_arrays([coded.dictionary.take(coded.indices.take(pa.array(where))), batch.column("_id").take(rows), batch.column("_text").take(rows), pa.array(at, pa.int32())], ["word", "_id", "_text", "at"])
+                yield pa.RecordBatch.from_arrays([coded.dictionary.take(coded.indices.take(pa.array(where))), batch.column("_key").take(pa.array(row + start)), pa.array(at, pa.int32())], ["word", "_key", "at"])
 
     def encode(batches):
         """Rows sorted by word: each word is encoded at its first row."""
@@ -193,40 +202,25 @@ def encode_digest(docs: DataFrame, tokenizer_path: str, sample_texts: int = SAMP
             last = batch.column("word")[-1].as_py()
             ids = known[last]
             of = pa.array([known[w] for w in words], pa.list_(pa.int32())).take(coded.indices)
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_text"), batch.column("at"), of], ["_id", "_text", "at", "ids"])
-
-    places = keyed.select("_id", "_text", split_words().alias("_words")).mapInArrow(missing, "word string, _id long, _text int, at int")
-    coded = places.repartition("word").sortWithinPartitions("word").mapInArrow(encode, "_id long, _text int, at int, ids array<int>")
-    # Dealt by document first, so that rows travel as they are and not as partial lists.
-    rare = coded.repartition("_id", "_text").groupBy("_id", "_text").agg(F.collect_list(F.struct("at", "ids")).alias("_rare"))
-
-    @F.arrow_udf("binary")
-    def packed(text: pa.Array) -> pa.Array:
-        import zstandard
-
-        z = zstandard.ZstdCompressor(level=3)
-        return pa.array([None if t is None else z.compress(t) for t in text.cast(pa.binary()).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("_key"), batch.column("at"), of], ["_key", "at", "ids"])
 
-    others = [c for c in docs.columns if c != "text"]
-    sent = keyed.select(*others, "_id", "_text", packed("text").alias("_z"))
-    met = sent.join(rare, ["_id", "_text"], "left").select(*others, "_z", F.col("_rare.at").alias("_at"), F.col("_rare.ids").alias("_ids"))
-    types = dict(docs.dtypes)
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in others), _FOUND])
+    places = texts.mapInArrow(missing, "word string, _key binary, at int")
+    coded = places.repartition("word").sortWithinPartitions("word").mapInArrow(encode, "_key binary, at int, ids array<int>")
+    # Dealt by text first, so that rows travel as they are and not as partial lists.
+    rare = coded.repartition("_key").groupBy("_key").agg(F.collect_list(F.struct("at", "ids")).alias("_rare"))
+    met = texts.join(rare, "_key", "left").select("_key", "_z", F.col("_rare.at").alias("_at"), F.col("_rare.ids").alias("_ids"))
 
     def digest(batches):
-        import zstandard
-
-        unz, table, pattern = zstandard.ZstdDecompressor(), None, re.compile(PIECE)
+        table = None
         told = pieces_of(shared.value[1])
         pieces = pa.array([told.get(i, b"") for i in range(max(told) + 1)], pa.large_binary())
         names = pa.array([b"%d," % i for i in range(len(pieces))], pa.large_binary())
         for batch in batches:
             table = table or _opened(shared.value[0])
-            kept = batch.select(others)
+            kept = batch.select(["_key"])
             for start in range(0, batch.num_rows, 500):
-                z, at, ids = (batch.column(c).slice(start, 500).to_pylist() for c in ("_z", "_at", "_ids"))
-                split = [pattern.findall(unz.decompress(x).decode()) if x else [] for x in z]
-                coded = pa.array([w for ws in split for w in ws], pa.string()).dictionary_encode()
+                at, ids = (batch.column(c).slice(start, 500).to_pylist() for c in ("_at", "_ids"))
+                split, coded = _split(batch.column("_z").slice(start, 500))
                 found = table.find(coded.dictionary)
                 by_place = {ws[a]: x for ws, aa, xx in zip(split, at, ids) if aa for a, x in zip(aa, xx)}
                 lost = np.nonzero(found < 0)[0]
@@ -239,7 +233,18 @@ def encode_digest(docs: DataFrame, tokenizer_path: str, sample_texts: int = SAMP
                 ends = in_words[np.cumsum([0, *map(len, split)])].tolist()
                 yield _digested(kept.slice(start, 500), _joined(names, flat), _joined(pieces, flat), ends)
 
-    return met.mapInArrow(digest, schema)
+    others = [c for c in docs.columns if c != "text"]
+    told_hex = [F.lower(F.hex(c)).alias(c) for c in ("ids_sha256", "decoded_sha256")]
+    return keyed.select(*others, "_key").join(met.mapInArrow(digest, _FOUND), "_key", "left").select(*others, "n_tokens", *told_hex)
+
+
+def _split(packed: pa.Array) -> tuple[list[list[str]], pa.DictionaryArray]:
+    """The words of compressed texts, and all of them in one column."""
+    import zstandard
+
+    unz, pattern = zstandard.ZstdDecompressor(), re.compile(PIECE)
+    split = [pattern.findall(unz.decompress(z).decode()) if z else [] for z in packed.to_pylist()]
+    return split, pa.array([w for ws in split for w in ws], pa.string()).dictionary_encode()
 
 
 def _joined(strings: pa.Array, ids: pa.Array) -> tuple[memoryview, np.ndarray]:
@@ -253,10 +258,10 @@ def _digested(kept, names, pieces, ends) -> pa.RecordBatch:
     n, ids, texts = [], [], []
     for a, b in zip(ends, ends[1:]):
         n.append(b - a)
-        ids.append(hashlib.sha256(names[0][names[1][a] : max(names[1][a], names[1][b] - 1)]).hexdigest())
+        ids.append(hashlib.sha256(names[0][names[1][a] : max(names[1][a], names[1][b] - 1)]).digest())
         decoded = bytes(pieces[0][pieces[1][a] : pieces[1][b]]).decode("utf-8", "replace")
-        texts.append(hashlib.sha256(decoded.encode()).hexdigest())
-    return pa.RecordBatch.from_arrays([*kept.columns, pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], [*kept.schema.names, "n_tokens", "ids_sha256", "decoded_sha256"])
+        texts.append(hashlib.sha256(decoded.encode()).digest())
+    return pa.RecordBatch.from_arrays([*kept.columns, pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(texts, pa.binary())], [*kept.schema.names, "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
 def encode(docs: DataFrame, tokenizer_path: str, key: str = "doc_id") -> DataFrame:
