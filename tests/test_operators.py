@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trailweave.functions import geo, text
 from trailweave.operators import catalog, folds, graph, lines, spatial, transit
+from trailweave.plans import assembly_queries, route_queries, transit_queries
 
 
 def _one(spark, column):
@@ -184,6 +185,38 @@ def test_geometry(spark):
     assert _one(spark, geo.tile_samples(F.lit(2 * 1201 * 1201))) == 1201 and _one(spark, geo.tile_samples(F.lit(5))) is None
 
 
+def _events(spark, path, users):
+    """Tables in which user u has users[u] events of one value, and one customer."""
+    rows = spark.createDataFrame(list(users.items()), "user_id long, n int")
+    rows = rows.select("user_id", F.explode(F.sequence(F.lit(1), "n")).alias("i"))
+    rows.select(F.col("i").cast("long").alias("event_id"), F.timestamp_seconds("i").alias("ts"), "user_id", F.lit(245.0).alias("value")).write.parquet(f"{path}/events.parquet")
+    return str(path)
+
+
+def _sites(monkeypatch, module, spark, *places):
+    made = spark.createDataFrame([(i, *p) for i, p in enumerate(places)], "site long, lon double, lat double")
+    monkeypatch.setattr(module, "site", lambda spark, d: made)
+
+
+def test_parts_of_a_route_over_25000_vertices_stay_its_own(spark, tmp_path, monkeypatch):
+    path = _events(spark, tmp_path, {0: 25_030})
+    _sites(monkeypatch, assembly_queries, spark, (2.0 + 25_010 * 0.002, 43.0))
+    assert [(r.site, r.route, r.part) for r in assembly_queries._multipart(spark, path).collect()] == [(0, 0, 1000)]
+
+
+def test_vertices_of_a_route_over_100000_keep_their_nearest_places(spark, tmp_path, monkeypatch):
+    path = _events(spark, tmp_path, {0: 100_001, 1: 1})
+    other = (2.0 + 7919 % 997 / 997.0 + 0.002, 43.0 + 104729 % 991 / 991.0)  # at route 1's vertex
+    _sites(monkeypatch, route_queries, spark, (2.0 + 100_001 * 0.002 + 0.0199, 43.0), other)
+    assert sorted(r.site for r in route_queries._ever_nearest(spark, path).collect()) == [0, 1]
+
+
+def test_components_of_an_area_over_100000_stations(spark, monkeypatch):
+    steps = spark.createDataFrame([(0, 100_001, 100_002, 9.0), (1, 1, 2, 9.0)], "area int, src int, dst int, km double")
+    monkeypatch.setattr(transit_queries, "_edges", lambda spark, d: steps)
+    assert [r.nodes for r in transit_queries._components(spark, None).collect()] == [2, 2]
+
+
 def test_label_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(12)] + [(50, 40), (50, 60)], "a long, b long")
     got = {r.node: r.component for r in graph.label_components(edges).collect()}

@@ -187,7 +187,7 @@ FROM matched WHERE dist_m <= CASE WHEN kind = 'bus' THEN 400e0 ELSE 900e0 END GR
 
 def _ever_nearest(spark, d):
     one = F.lit(1).alias("all")
-    return spatial.ever_nearest(site(spark, d).select(one, "site", "lon", "lat"), vertex(spark, d).select(one, (F.col("route") * 100000 + F.col("seq")).alias("seq"), "lon", "lat"), "all", 0.02).select("site")
+    return spatial.ever_nearest(site(spark, d).select(one, "site", "lon", "lat"), vertex(spark, d).select(one, F.struct("route", "seq").alias("seq"), "lon", "lat"), "all", 0.02).select("site")
 
 
 EVER_SQL = f"""WITH {SITE}, {VERTEX}, met AS (SELECT route, seq, site, pow(v.lon-s.lon,2)+pow(v.lat-s.lat,2) AS d2 FROM vertex v JOIN site s ON abs(v.lon-s.lon) <= 0.02e0 AND abs(v.lat-s.lat) <= 0.02e0),

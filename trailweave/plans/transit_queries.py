@@ -105,8 +105,9 @@ def _components(spark, d):
     from ..operators.graph import label_components
 
     e = _edges(spark, d)
-    node = lambda c: (F.col("area") * 100000 + F.col(c)).alias(c)
-    return label_components(e.select(node("src").alias("a"), node("dst").alias("b"))).groupBy("component").agg(F.count(F.lit(1)).alias("nodes"))
+    node = lambda c: F.struct("area", F.col(c).alias("idx"))
+    counted = label_components(e.select(node("src").alias("a"), node("dst").alias("b"))).groupBy("component").agg(F.count(F.lit(1)).alias("nodes"))
+    return counted.select((F.col("component.area") * 100000 + F.col("component.idx")).alias("component"), "nodes")
 
 
 COMPONENTS_SQL = f"""WITH RECURSIVE {NODES}, e AS (SELECT a.area*100000+a.idx AS a, b.area*100000+b.idx AS b FROM nodes a JOIN nodes b ON a.area = b.area AND a.idx < b.idx AND b.km-a.km BETWEEN 8 AND 25),
