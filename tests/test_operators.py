@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trailweave.functions import geo, text
 from trailweave.operators import catalog, folds, graph, lines, spatial, transit
-from trailweave.plans import assembly_queries, route_queries, transit_queries
+from trailweave.plans import assembly_queries, route_queries, text_queries, transit_queries
 
 
 def _one(spark, column):
@@ -217,6 +217,25 @@ def test_components_of_an_area_over_100000_stations(spark, monkeypatch):
     assert [r.nodes for r in transit_queries._components(spark, None).collect()] == [2, 2]
 
 
+PLACES = [
+    ("De Vannes à Auray", "Auray"), ("  Du Bourg au Croisic \u00a0", "Croisic"), ("Des Monts aux Étangs bleus", "Étangs bleus"), ("De à Paris", "Paris"), ("Au fil de la Seine", None), ("De Vannes à pied", None),
+    ("De Vannes à Auray, par la côte", None), ("Deçà au Nord", None), ("to Brest of Brittany", None), ("", None), ("De là\u2028à Brest", "Brest"), ("De Caen à X", None), ("De Caen à X ", None),
+]
+
+
+def test_destinations_are_found_in_every_line_by_the_names_rule(spark, tmp_path):
+    import duckdb
+
+    text_rows = [(1, "\n".join(p for p, _ in PLACES)), (2, "first line\nDe Vannes à Auray"), (3, None)]
+    spark.createDataFrame(text_rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    query, sql = text_queries.QUERIES["destination_lines"]
+    got = sorted(tuple(r) for r in query(spark, str(tmp_path)).collect())
+    assert got == [(1, i, want) for i, (_, want) in enumerate(PLACES, 1)] + [(2, 1, None), (2, 2, "Auray")]
+    duck = duckdb.connect()
+    duck.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(duck.execute(sql).fetchall()) == got
+
+
 def test_label_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(12)] + [(50, 40), (50, 60)], "a long, b long")
     got = {r.node: r.component for r in graph.label_components(edges).collect()}

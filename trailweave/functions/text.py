@@ -76,3 +76,13 @@ def replace_once(text, mark, value) -> Column:
     """The first ``mark`` in the text replaced by ``value``."""
     at = F.instr(text, mark) if isinstance(mark, str) else F.locate(mark, text)
     return F.when(at > 0, F.concat(F.substring(text, F.lit(1), at - 1), value, F.substring(text, at + len(mark), F.length(text)))).otherwise(text)
+
+
+# White space and the ends of words as Unicode has them, as classes that mean the same in Java and in RE2.
+_SPACE = r"[\t-\r\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+DESTINATION = rf"^{_SPACE}*(?:De|Du|Des)(?:[^\p{{L}}\p{{N}}_\n][^\n]*?)?{_SPACE}+(?:à|au|aux){_SPACE}+([A-ZÀÂÉÈÊÎÔÛÇ][^,]*?[^,{_SPACE[1:]}){_SPACE}*\z"
+
+
+def destination(name: Column) -> Column:
+    """What follows à/au/aux in a name that starts with De/Du/Des, if it has a capital and no comma; else null."""
+    return F.nullif(F.regexp_extract(name, DESTINATION, 1), F.lit(""))

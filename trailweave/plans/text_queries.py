@@ -103,11 +103,17 @@ PROMPT_SQL = """WITH p AS (SELECT *, list_sort(string_split(p_name, ' ')) AS w F
 
 
 def _destination(spark, d):
-    """What follows the first 'to' or 'of' before a word with a capital, in the pages' and documents' first lines."""
+    """What follows the first 'to', 'of', 'de' or 'von' in the documents' first lines; ``destination_lines`` reads the whole texts by the reference's rule."""
     t = table(spark, d, "documents").select("doc_id", F.element_at(F.split("text", "\n"), 1).alias("line"))
     return t.select("doc_id", F.regexp_extract("line", r"^[A-Z]\S* .*?\b(?:to|of|de|von) ([A-Za-z]\S*)", 1).alias("destination"))
 
 
+def _destination_lines(spark, d):
+    """The destination in each line of the whole texts, by its number from 1; null where a line has none."""
+    t = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    return t.select("doc_id", (F.col("at") + 1).cast("long").alias("line_no"), tx.destination(F.col("line")).alias("destination"))
+
+
 def _lines(spark, d):
     """Lines of the texts: how many, how many are empty after a trim, the longest."""
     t = table(spark, d, "documents").select("doc_id", F.split("text", "\n").alias("ls"))
@@ -137,6 +143,10 @@ QUERIES = {
     "locale_from_url": (_urls, URLS_SQL),
     "prompt_content": (_prompt, PROMPT_SQL),
     "destination_regex": (_destination, "SELECT doc_id, regexp_extract(string_split(text, chr(10))[1], '^[A-Z]\\S* .*?\\b(?:to|of|de|von) ([A-Za-z]\\S*)', 1) AS destination FROM documents"),
+    "destination_lines": (
+        _destination_lines,
+        f"WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS line_no FROM t) SELECT doc_id, line_no, nullif(regexp_extract(line, '{tx.DESTINATION}', 1), '') AS destination FROM l",
+    ),
     "split_lines": (
         _lines,
         "WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents) SELECT doc_id, len(ls)::INT AS n, len(list_filter(ls, lambda x: trim(x) = ''))::INT AS empty, list_max(list_transform(ls, lambda x: length(x)))::INT AS longest FROM t",
