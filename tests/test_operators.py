@@ -217,6 +217,18 @@ def test_components_of_an_area_over_100000_stations(spark, monkeypatch):
     assert [r.nodes for r in transit_queries._components(spark, None).collect()] == [2, 2]
 
 
+def _nodes_table(kms):
+    return [(area, i, float(km)) for area, line in kms.items() for i, km in enumerate(line, 1)]
+
+
+def test_round_trip_keeps_only_loops_that_steps_join(spark, monkeypatch):
+    made = spark.createDataFrame(_nodes_table({0: [0, 10, 20, 30, 40], 1: [0, 10, 40, 50], 2: [0, 9, 12, 21, 30], 3: [0]}), "area int, idx int, km double")
+    monkeypatch.setattr(transit_queries, "_nodes", lambda spark, d: made)
+    got = {r.area: (r.wraps, r.total_km, r.lo, r.hi, r.path) for r in transit_queries._round_trip(spark, None).collect()}
+    assert got == {0: (2, 46.0, 1, 4, "1>2>4"), 2: (5, 36.0, 1, 3, "1>3")}
+    assert 1 in {r.area for r in transit_queries._wraps(spark, None).collect()}
+
+
 PLACES = [
     ("De Vannes à Auray", "Auray"), ("  Du Bourg au Croisic \u00a0", "Croisic"), ("Des Monts aux Étangs bleus", "Étangs bleus"), ("De à Paris", "Paris"), ("Au fil de la Seine", None), ("De Vannes à pied", None),
     ("De Vannes à Auray, par la côte", None), ("Deçà au Nord", None), ("to Brest of Brittany", None), ("", None), ("De là\u2028à Brest", "Brest"), ("De Caen à X", None), ("De Caen à X ", None),

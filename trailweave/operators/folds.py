@@ -99,3 +99,24 @@ def longest_path(nodes: Column, min_km: float, max_km: float) -> Column:
     start = F.array().cast("array<struct<km: double, reached: boolean, hotel: boolean, train: boolean, at: double>>")
     ends = lambda best: F.array_max(F.transform(F.filter(best, lambda b: b["train"] & (b["km"] > 0)), lambda b: b["km"]))
     return F.aggregate(nodes, start, merge, ends)
+
+
+def forward_path(nodes: Column, lo: Column, hi: Column, min_km: float, max_km: float) -> Column:
+    """Numbers of the nodes on the longest forward path from ``lo`` to ``hi`` over ordered nodes (idx, km); null if none reaches ``hi``.
+
+    Every path to a node is as long as the way to it, so the first node that reaches it stays its predecessor.
+    State: the nodes reached, each with its predecessor.
+    """
+    kind = "array<struct<idx: int, km: double, prev: int>>"
+
+    def merge(seen, x):
+        prev = F.filter(seen, lambda b: (x["km"] - b["km"] >= min_km) & (x["km"] - b["km"] <= max_km))
+        first = x["idx"] == lo
+        here = F.array(F.struct(x["idx"].alias("idx"), x["km"].alias("km"), F.when(~first, F.get(prev, F.lit(0))["idx"]).alias("prev"))).cast(kind)
+        return F.when(first | (F.size(prev) > 0), F.concat(seen, here)).otherwise(seen)
+
+    seen = F.aggregate(F.filter(nodes, lambda x: (x["idx"] >= lo) & (x["idx"] <= hi)), F.array().cast(kind), merge)
+    start = F.struct(hi.cast("int").alias("need"), F.array().cast("array<int>").alias("path"))
+    back = lambda s, x: F.when(x["idx"] == s["need"], F.struct(x["prev"].alias("need"), F.concat(F.array(x["idx"]), s["path"]).alias("path"))).otherwise(s)
+    path = F.aggregate(F.reverse(seen), start, back, lambda s: s["path"])
+    return F.when(F.size(path) > 1, path)

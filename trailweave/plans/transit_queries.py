@@ -121,7 +121,10 @@ def _longest(spark, d):
 
 
 def _wraps(spark, d):
-    """Pairs of stations whose way around the loop, circumference less the way between, is a step; and the longest total."""
+    """Pairs of stations whose way around the loop, circumference less the way between, is a step; and the longest total.
+
+    Whether steps lead from one to the other is not looked at here, but in ``round_trip``.
+    """
     n = _nodes(spark, d)
     c = n.groupBy("area").agg((F.max("km") + 6).alias("around"))
     hi, lo = n.join(c, "area").select("area", "around", F.col("idx").alias("hi"), F.col("km").alias("b")), n.select("area", F.col("idx").alias("lo"), F.col("km").alias("a"))
@@ -130,6 +133,32 @@ def _wraps(spark, d):
     return w.groupBy("area").agg(F.count(F.lit(1)).alias("wraps"), F.max(F.col("b") - F.col("a") + F.col("wrap")).alias("best_total"), F.min_by(F.struct("lo", "hi"), F.struct(-(F.col("b") - F.col("a")), "lo", "hi")).alias("p")).select("area", "wraps", "best_total", "p.lo", "p.hi")
 
 
+def _round_trip(spark, d):
+    """Wrap pairs whose high station steps reach from the low one, and by nation the first of the longest loops with its path.
+
+    Both sides of a pair meet in kilometre bands of the way between them; a loop is as long as the way around.
+    """
+    n = _nodes(spark, d)
+    c = n.groupBy("area").agg((F.max("km") + 6).alias("around"), F.sort_array(F.collect_list(F.struct("idx", "km"))).alias("nodes"))
+    around = c.select("area", "around")
+    least = F.floor((F.col("a") + F.col("around") - 25) / 25)
+    lo = n.join(around, "area").select("area", "around", F.col("idx").alias("lo"), F.col("km").alias("a")).withColumn("band", F.explode(F.array(least, least + 1)))
+    hi = n.select("area", F.col("idx").alias("hi"), F.col("km").alias("b"), F.floor(F.col("km") / 25).alias("band"))
+    w = lo.join(hi, ["area", "band"]).where("hi > lo and around - (b - a) between 8 and 25").select("area", "around", "lo", "hi")
+    w = w.join(c.select("area", "nodes"), "area").withColumn("path", folds.forward_path(F.col("nodes"), F.col("lo"), F.col("hi"), 8.0, 25.0)).where("path is not null")
+    best = w.groupBy("area").agg(F.count(F.lit(1)).alias("wraps"), F.min_by(F.struct("around", "lo", "hi", "path"), F.struct("hi", "lo")).alias("p"))
+    return best.select("area", "wraps", F.col("p.around").alias("total_km"), "p.lo", "p.hi", F.array_join(F.transform("p.path", lambda x: x.cast("string")), ">").alias("path"))
+
+
+ROUND_TRIP_SQL = f"""WITH RECURSIVE {NODES}, c AS (SELECT area, max(km)+6 AS around FROM nodes GROUP BY area),
+w AS (SELECT h.area, l.idx AS lo, h.idx AS hi, l.km AS a FROM nodes h JOIN nodes l ON h.area = l.area AND h.idx > l.idx JOIN c ON c.area = h.area WHERE around-(h.km-l.km) BETWEEN 8 AND 25),
+r(area, lo, idx, km) AS (SELECT area, lo, lo, a FROM w UNION SELECT b.area, r.lo, b.idx, b.km FROM r JOIN nodes b ON b.area = r.area AND b.idx > r.idx AND b.km-r.km BETWEEN 8 AND 25),
+best AS (SELECT w.area, count(*) AS wraps, arg_min(w.lo, (w.hi, w.lo)) AS lo, arg_min(w.hi, (w.hi, w.lo)) AS hi FROM w JOIN r ON r.area = w.area AND r.lo = w.lo AND r.idx = w.hi GROUP BY w.area),
+pred AS (SELECT b.area, b.lo, b.idx, min(a.idx) AS prev FROM r a JOIN r b ON a.area = b.area AND a.lo = b.lo AND b.idx > a.idx AND b.km-a.km BETWEEN 8 AND 25 GROUP BY ALL),
+back(area, lo, idx, path) AS (SELECT area, lo, hi, hi::VARCHAR FROM best UNION ALL SELECT p.area, p.lo, p.prev, p.prev || '>' || back.path FROM back JOIN pred p ON p.area = back.area AND p.lo = back.lo AND p.idx = back.idx)
+SELECT best.area, wraps, around AS total_km, best.lo, hi, path FROM best JOIN c ON c.area = best.area JOIN back ON back.area = best.area AND back.lo = best.lo AND back.idx = best.lo"""
+
+
 QUERIES = {
     "gtfs_band_join": (_band, f"WITH {BAND} SELECT site, stop, {rnd('dist_m', 1)} AS dist_m FROM band WHERE dist_m <= 2000e0"),
     "stop_route_set": (_at_stops, f"WITH {AT_STOPS} SELECT stop, count(*) AS n_routes, min(route) AS first_route, sum(route)::BIGINT AS sum_routes FROM at_stop GROUP BY stop"),
@@ -162,6 +191,7 @@ QUERIES = {
         f"WITH RECURSIVE {NODES}, d(area, idx, km, total) AS (SELECT area, idx, km, 0e0 FROM nodes WHERE train UNION SELECT b.area, b.idx, b.km, d.total + b.km - d.km FROM d JOIN nodes a ON a.area = d.area AND a.idx = d.idx JOIN nodes b ON b.area = d.area AND b.idx > d.idx AND b.km-d.km BETWEEN 8 AND 25 WHERE d.total = 0 OR a.hotel) "
         f"SELECT d.area, {rnd('max(total)', 1)} AS km FROM d JOIN nodes n ON n.area = d.area AND n.idx = d.idx WHERE n.train AND total > 0 GROUP BY d.area",
     ),
+    "round_trip": (_round_trip, ROUND_TRIP_SQL),
     "best_loop_total": (
         _wraps,
         f"WITH {NODES}, c AS (SELECT area, max(km)+6 AS around FROM nodes GROUP BY area), w AS (SELECT h.area, l.idx AS lo, h.idx AS hi, h.km-l.km AS fwd, around-(h.km-l.km) AS wrap FROM nodes h JOIN nodes l ON h.area = l.area AND h.idx > l.idx JOIN c ON c.area = h.area) "
