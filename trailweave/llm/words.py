@@ -29,6 +29,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Bytes that running sums are taken over at a time, so that memory follows the number of spans.
+_BLOCK = 1 << 15
+
+
 def _powers(base: np.uint64, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     if n:
@@ -36,6 +40,10 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
+_UP, _DOWN = _powers(_BASE, _BLOCK), _powers(_INVERSE, _BLOCK)
+_BLOCK_UP, _BLOCK_DOWN = (np.uint64(pow(int(b), _BLOCK, 1 << 64)) for b in (_BASE, _INVERSE))
+
+
 def word_spans(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and how many lie before each text's start (one entry more than texts)."""
     inside = ~SPACE[data]
@@ -49,11 +57,22 @@ def word_spans(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes."""
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(data)), dtype=np.uint64, out=sums[1:])
-    back = _powers(_INVERSE, len(data) + 1)
-    return mix((sums[stops] - sums[starts]) * back[starts])
+    """A 64-bit hash of each span of bytes; starts and stops ascend."""
+    at_start, at_stop = np.zeros(len(starts), np.uint64), np.zeros(len(stops), np.uint64)
+    blocks = len(data) // _BLOCK + 1
+    scales = _powers(_BLOCK_UP, blocks)
+    carry = np.zeros(1, np.uint64)
+    edges = np.arange(blocks + 1) * _BLOCK
+    sides = [(out, places, np.searchsorted(places, edges)) for out, places in ((at_start, starts), (at_stop, stops))]
+    for k in range(blocks):
+        part = data[edges[k] : edges[k + 1]]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * _UP[: len(part)], dtype=np.uint64, out=sums[1:])
+        sums *= scales[k]
+        for out, places, cuts in sides:
+            out[cuts[k] : cuts[k + 1]] = sums[places[cuts[k] : cuts[k + 1]] - edges[k]] + carry
+        carry += sums[-1:]
+    return mix((at_stop - at_start) * _DOWN[starts % _BLOCK] * _powers(_BLOCK_DOWN, blocks)[starts // _BLOCK])
 
 
 def shingles(data: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
