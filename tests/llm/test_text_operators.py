@@ -71,6 +71,25 @@ def test_bpe_keeps_texts_without_id_apart_where_their_short_hashes_meet(spark):
     assert sorted((r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got) == sorted(_tokens(t) for t in texts)
 
 
+def test_bpe_repeated_rows_cost_no_more_than_their_number(spark):
+    rows = [(None, "zq88267 never common"), (None, "zq289600 never common")] * 2000 + [(7, "w" * 100_000), (8, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = bpe.encode_digest(df, queries.tokenizer_path(), sample_texts=0).collect()
+    told = {_tokens(t) for t in {t for _, t in rows}}
+    assert len(got) == len(rows) and {(r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got} == told
+
+
+def test_bpe_common_table_is_bounded_in_bytes(spark):
+    texts = ["長" * 2000 + str(i) for i in range(50)] + ["short words here"] * 50
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    with open(queries.tokenizer_path(), encoding="utf-8") as f:
+        told = f.read()
+    table = bpe._common(df, told, 1000, 100, 20_000)
+    assert table.column("word").to_pylist() == [b" here", b" words", b"short"]
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.encode_digest(df, queries.tokenizer_path(), common_bytes=20_000).collect()}
+    assert got == {i: _tokens(t) for i, t in enumerate(texts)}
+
+
 def test_bpe_empty_table(spark):
     assert bpe.encode_digest(spark.createDataFrame([], SCHEMA), queries.tokenizer_path()).collect() == []
 
@@ -97,9 +116,55 @@ def test_quality_edge_cases(spark, docs):
             assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
 
 
-def test_quality_rules_come_from_tree_paths():
-    tree = "DecisionTree\n  If (feature 1 <= 0.5)\n   If (feature 0 > 2.0)\n    Predict: 1.0\n   Else (feature 0 <= 2.0)\n    Predict: 0.0\n  Else (feature 1 > 0.5)\n   Predict: 0.0\n"
-    assert quality.tree_rules(tree) == [((0, "<=", 2.0), (1, "<=", 0.5)), ((0, ">", 2.0), (1, "<=", 0.5)), ((1, "<=", 0.5),), ((1, ">", 0.5),)]
+def _plain_statistics(text):
+    """The statistics one by one, from their definitions."""
+    import re
+
+    b = (text or "").encode()
+    words = re.findall(rb"[^\x20\x09-\x0D]+", b)
+    low = [bytes(c + 32 if 65 <= c < 91 else c for c in w) for w in words]
+    lines = [x for x in b.split(b"\n") if x]
+    marks = set(b"#$%&*+/<=>@[\\]^_`{|}~")
+    size, n = max(1, len(b)), max(1, len(words))
+    repeats = lambda x: (len(x) - len(set(x))) / max(1, len(x))
+    of = lambda kind: sum(c in kind for c in b) / size
+    count = lambda w, kind: sum(c in kind for c in w)
+    mark = [count(w, marks | {33}) for w in words]
+    return [
+        len(words), sum(map(len, words)) / n, sum(len(w) > 15 for w in words) / n, of(range(65, 91)), of(range(48, 58)), of(marks), of(set(b"!\"'(),-.:;?")), of({32, *range(9, 14)}), of(range(128, 256)),
+        size / (1 + b.count(b"\n")), repeats(low), repeats(list(zip(low, low[1:]))), repeats(lines),
+        sum(count(w, range(65, 91)) > 1 and not count(w, range(97, 123)) for w in words) / n, sum(0 < m < len(w) for m, w in zip(mark, words)) / n, sum(m == len(w) for m, w in zip(mark, words)) / n, len(set(b)),
+    ]
+
+
+def test_quality_statistics_and_score_equal_plain_python(spark, data):
+    d = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").limit(300)
+    odd = spark.createDataFrame([(10**6 + i, t) for i, t in enumerate([*TEXTS, "a\nb\na\n", "a\nb\na", "x " * 200_000, "y" * 300_000, "\n" * 9])], "doc_id long, text string")
+    got = d.unionByName(odd).withColumn("s", quality.text_statistics("text")).collect()
+    for r in got:
+        assert np.allclose(r.s, _plain_statistics(r.text)), (r.doc_id, r.text[:80])
+    rng = np.random.default_rng(2)
+    x = np.array([r.s for r in got])
+    model = quality.fit_rules(x, (x[:, 0] + rng.normal(0, 20, len(x)) > 100).astype(int))
+    assert len(model.rules) > 3
+    scored = d.unionByName(odd).withColumn("s", quality.text_statistics("text")).select("s", model.column("s").alias("p")).collect()
+    for r in scored:
+        total = model.intercept + sum(w for rule, w in zip(model.rules, model.weights) if all(r.s[k] <= at if op == "<=" else r.s[k] > at for k, op, at in rule))
+        assert np.isclose(r.p, 1 / (1 + np.exp(-total)))
+
+
+def test_quality_rules_are_paths_and_lasso_leaves_few():
+    rng = np.random.default_rng(3)
+    x = rng.random((3000, len(quality.STATISTICS)))
+    y = ((x[:, 2] > 0.5) & (x[:, 5] <= 0.3)).astype(int)
+    model = quality.fit_rules(x, y)
+    assert all(len({(k, op) for k, op, _ in rule}) == len(rule) <= quality.DEPTH for rule in model.rules)
+    assert 0 < len(model.rules) < len(quality.grow_rules(x, y)) / 2
+    assert {k for k, _, _ in model.rules[np.argmax(np.abs(model.weights))]} & {2, 5}
+    again = quality.fit_rules(x, y)
+    assert again.told() == model.told()
+    ties = quality.fit_rules(np.ones((50, len(quality.STATISTICS))), np.arange(50) % 2)  # nothing to split on
+    assert ties.rules == [] and abs(ties.intercept) < 1e-9
 
 
 def test_language_of_held_out_rows_and_edge_cases(spark, data):

@@ -1,37 +1,44 @@
 """BPE encoding and decoding through a table of distinct words.
 
-Spark splits every text into words, a word being a run of white space and the run of other
-characters behind it. No pre-token of the byte-level pattern reaches across such a boundary (none
-holds a non-space followed by a space), so encoding words one by one equals encoding the text,
-whatever Unicode version the pattern's classes follow. Each distinct word is encoded once:
+Every text is split into words, a word being a run of white space and the run of other characters
+behind it. No pre-token of the byte-level pattern reaches across such a boundary (none holds a
+non-space followed by a space), so encoding words one by one equals encoding the text, whatever
+Unicode version the pattern's classes follow. Each distinct word is encoded once:
 
-* common words (those of a bounded sample of texts) into a table of bounded size that every task gets;
+* common words (those of a sample of rows) into a table of bounded bytes that every task gets;
 * any other word where a shuffle by word has gathered its places, from where its ids go back to
-  their documents by position.
+  their texts by position.
 
-Which words are common decides only how they travel. Equal texts are encoded once: texts are told
-apart by 128 bits of their SHA-256, not by id, meet the ids of their uncommon words by it, compressed,
-and what was found joins all rows of that text. Decoding joins every id to its piece.
+Which words are common decides only how they travel. A text travels once for all its copies in a
+task, not as text but as the numbers of its words in the table with holes for the others; it meets
+the ids for its holes by a 64-bit hash and its length, and what was found joins all rows of that text. Decoding joins every id to its piece.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-import re
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import chunks, utf8
+from .words import SPACE, span_hashes
+
 # White space as Unicode has it, without U+180E, which is not.
 _SPACE = "\\x09-\\x0D\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
 PIECE = f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+"
-#: Texts in the sample that common words come from, at most, and common words, at most.
-SAMPLE_TEXTS, COMMON_WORDS = 60_000, 2_000_000
-_FOUND = "_key binary, n_tokens long, ids_sha256 binary, decoded_sha256 binary"
+# The same beyond ASCII in UTF-8: characters of two and of three bytes.
+_WIDE = [chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+#: Rows in the sample that common words come from, about; common words and their bytes, at most.
+SAMPLE_TEXTS, COMMON_WORDS, COMMON_BYTES = 60_000, 2_000_000, 48_000_000
+#: A text's key: 64 bits of hash and its bytes. Texts that agree in both but not in 64 further bits stop the job.
+_KEY = ("_k1", "_len")
+_FOUND = "_k1 long, _len int, n_tokens long, ids_sha256 binary, decoded_sha256 binary"
 
 
 def split_words(text: str = "text"):
@@ -79,172 +86,246 @@ def word_table(words: DataFrame, tokenizer_json: str) -> DataFrame:
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).withColumn("ids", ids("word"))
 
 
+def word_starts(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where the words of texts side by side in UTF-8 begin; a word ends where the next begins."""
+    space = SPACE[data]
+    at = np.nonzero((data == 0xC2) | (data - 0xE1 < 3))[0]
+    if len(at):
+        padded = np.append(data, np.zeros(2, np.uint8)).astype(np.uint32)
+        two, three = (padded[at] << 8) + padded[at + 1], (padded[at] << 16) + (padded[at + 1] << 8) + padded[at + 2]
+        for n, code in ((2, two), (3, three)):
+            found = at[np.isin(code, [int.from_bytes(w) for w in _WIDE if len(w) == n])]
+            for k in range(n):
+                space[found + k] = True
+    begin = space.copy()
+    begin[1:] &= ~space[:-1]
+    begin[ends[:-1][np.diff(ends) > 0]] = True
+    return np.nonzero(begin)[0]
+
+
+def words_of(column: pa.Array):
+    """For slices of a text column: start, number of texts, their words as an Arrow dictionary array, and where each text's begin."""
+    for start, n in chunks(column):
+        data, ends = utf8(column.slice(start, n))
+        at = word_starts(data, ends)
+        places = pa.py_buffer(np.append(at, len(data)).astype(np.int64))
+        words = pa.Array.from_buffers(pa.large_binary(), len(at), [None, places, pa.py_buffer(data)])
+        yield start, n, words.dictionary_encode(), np.searchsorted(at, ends)
+
+
 class CommonWords:
-    """Words and ids as Arrow columns, found by hash and compared by value."""
+    """Words by number, found by hash and compared by value."""
 
-    def __init__(self, table: pa.Table):
-        t = table.combine_chunks()
-        self.words, self.ids = (t.column(c).chunk(0).cast(k) if t.num_rows else pa.array([], k) for c, k in (("word", pa.string()), ("ids", pa.list_(pa.int32()))))
+    def __init__(self, words: pa.Array):
+        self.words = words.cast(pa.large_binary())
         hashes = self.hashed(self.words)
-        self.order = np.argsort(hashes)
+        self.order = np.argsort(hashes, kind="stable")
         self.hashes = hashes[self.order]
 
-    @staticmethod
-    def hashed(words: pa.Array) -> np.ndarray:
-        import xxhash
-
-        parts = (words.slice(i, 50_000).cast(pa.binary()).to_pylist() for i in range(0, len(words), 50_000))
-        return np.fromiter((xxhash.xxh64_intdigest(w) for part in parts for w in part), np.uint64, len(words))
+    def __len__(self) -> int:
+        return len(self.words)
 
     @staticmethod
-    def packed(table: pa.Table) -> bytes:
-        """The table of word and ids as compressed Arrow bytes; words in order lie next to their like. Every executor keeps a copy."""
-        table = table.select(["word", "ids"]).sort_by("word").combine_chunks()
-        sink = pa.BufferOutputStream()
-        with pa.CompressedOutputStream(sink, "zstd") as packed, pa.ipc.new_stream(packed, table.schema) as out:
-            out.write_table(table)
-        return sink.getvalue().to_pybytes()
-
-    @classmethod
-    def unpacked(cls, packed: bytes) -> CommonWords:
-        return cls(pa.ipc.open_stream(pa.CompressedInputStream(pa.BufferReader(packed), "zstd").read()).read_all())
+    def hashed(words: pa.Array) -> np.ndarray:
+        data, ends = utf8(words)
+        return span_hashes(data, ends[:-1], ends[1:])
 
     def find(self, words: pa.Array) -> np.ndarray:
-        """The row of each word, or -1."""
-        if not len(self.words) or not len(words):
-            return np.full(len(words), -1)
+        """The number of each word, or len(self)."""
+        if not len(self) or not len(words):
+            return np.full(len(words), len(self))
         wanted = self.hashed(words)
-        at = np.minimum(np.searchsorted(self.hashes, wanted), len(self.words) - 1)
+        at = np.minimum(np.searchsorted(self.hashes, wanted), len(self) - 1)
         rows = self.order[at]
         same = pc.equal(self.words.take(pa.array(rows)), words).to_numpy(zero_copy_only=False).copy()
         for i in np.nonzero(~same & (self.hashes[at] == wanted))[0].tolist():  # other words with that hash lie behind
-            for j in range(at[i] + 1, len(self.words)):
+            for j in range(at[i] + 1, len(self)):
                 if self.hashes[j] != wanted[i]:
                     break
                 if self.words[self.order[j]].as_py() == words[i].as_py():
                     rows[i], same[i] = self.order[j], True
                     break
-        return np.where(same, rows, -1)
-
-
-def _common(docs: DataFrame, tokenizer_json: str, sample_texts: int, common_words: int) -> bytes:
-    """The common words' table: at most ``common_words`` rows, from ``sample_texts`` texts or so."""
-    n = docs.count()
-    some = docs.where(F.pmod(F.xxhash64(F.lit(5), "text"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, sample_texts / max(1, n))))
-    table = word_table(some.select(F.explode(split_words()).alias("word")), tokenizer_json).persist()
-    least, total = 1, table.count()
-    while total > common_words:
-        least *= 2
-        total = table.where(F.col("n") >= least).count()
-    packed = CommonWords.packed(table.where(F.col("n") >= least).select("word", "ids").toArrow())
+        return np.where(same, rows, len(self))
+
+
+def _common(docs: DataFrame, tokenizer_json: str, sample_texts: int, common_words: int, common_bytes: int) -> pa.Table:
+    """word, ids of the words most frequent in a sample of rows, most frequent first; bounded in rows and bytes."""
+
+    def counted(batches):
+        for batch in batches:
+            for _, _, words, _ in words_of(batch.column("text")):
+                yield pa.RecordBatch.from_arrays([words.dictionary.cast(pa.binary()), pa.array(np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary)))], ["word", "n"])
+
+    @F.arrow_udf("array<int>")
+    def ids(column: pa.Array) -> pa.Array:
+        return pa.array(encode_words(tokenizer_json, [w.decode() for w in column.to_pylist()]), pa.list_(pa.int32()))
+
+    share = min(1.0, sample_texts / max(1, docs.count()))
+    some = docs.select("text").where(F.rand(5) < share)  # by row, so that copies are in it in proportion
+    table = some.mapInArrow(counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).persist(StorageLevel.DISK_ONLY)
+    spread = table.groupBy(F.least("n", F.lit(10_000)).alias("n")).agg(F.count(F.lit(1)).alias("words"), F.sum(F.length("word")).alias("bytes")).orderBy(F.desc("n"))
+    least, words, size = 1 << 62, 0, 0
+    for row in spread.collect():  # 10,000 rows at most
+        words, size = words + row["words"], size + row["bytes"]
+        if words > common_words or size > common_bytes:
+            break
+        least = row["n"]
+    got = table.where(F.col("n") >= least).withColumn("ids", ids("word")).toArrow()
     table.unpersist()
-    return packed
+    return got.sort_by([("n", "descending"), ("word", "ascending")]).select(["word", "ids"]).combine_chunks()
+
+
+def _packed(column: pa.ChunkedArray) -> bytes:
+    """A column as compressed Arrow bytes, to be sent to every executor."""
+    table = pa.table({"x": column})
+    sink = pa.BufferOutputStream()
+    with pa.CompressedOutputStream(sink, "zstd") as packed, pa.ipc.new_stream(packed, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
 
 
-def _opened(packed: bytes, made: dict = {}) -> CommonWords:  # noqa: B006  one table a worker
+def _unpacked(packed: bytes) -> pa.Array:
+    table = pa.ipc.open_stream(pa.CompressedInputStream(pa.BufferReader(packed), "zstd").read()).read_all()
+    column = table.column("x").combine_chunks()
+    return column if isinstance(column, pa.Array) else pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], table.schema.field("x").type)
+
+
+def _once(packed: bytes, make, made: dict = {}):  # noqa: B006  one of each kind a worker
     key = hashlib.md5(packed).digest()
-    if key not in made:
-        made.clear()
-        made[key] = CommonWords.unpacked(packed)
-    return made[key]
+    if make not in made or made[make][0] != key:
+        made[make] = key, make(packed)
+    return made[make][1]
 
 
-def encode_digest(docs: DataFrame, tokenizer_path: str, sample_texts: int = SAMPLE_TEXTS, common_words: int = COMMON_WORDS) -> DataFrame:
+def _table_of_words(packed: bytes) -> CommonWords:
+    return CommonWords(_unpacked(packed))
+
+
+def encode_digest(docs: DataFrame, tokenizer_path: str, sample_texts: int = SAMPLE_TEXTS, common_words: int = COMMON_WORDS, common_bytes: int = COMMON_BYTES) -> DataFrame:
     """All columns of ``docs`` but text, plus n_tokens, ids_sha256 and decoded_sha256 of the text.
 
     Defined cases: null and empty texts have no token, and the hashes of nothing; repeated rows each
-    get their row; null ids pass through; an empty table gives an empty result; columns named like
-    the ones added, or beginning with an underscore as the ones used here, are replaced.
+    get their row, their text being encoded once; null ids pass through; an empty table gives an
+    empty result; columns named like the ones added, or like the keys used here, are replaced.
     """
     with open(tokenizer_path, encoding="utf-8") as f:
         told = f.read()
-    docs = docs.drop("n_tokens", "ids_sha256", "decoded_sha256", "_key", "_z", "_rare")
-    # A null text counts as an empty one: neither has a token.
-    keyed = docs.withColumn("_key", F.unhex(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 32)))
+    docs = docs.drop("n_tokens", "ids_sha256", "decoded_sha256", *_KEY)
+    text = F.coalesce("text", F.lit(""))  # a null text counts as an empty one: neither has a token
+    keyed = docs.withColumn("_k1", F.xxhash64(F.lit(1), text)).withColumn("_len", F.octet_length(text))
+    table = _common(docs, told, sample_texts, common_words, common_bytes)
     sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast((_common(docs, told, sample_texts, common_words), told))
+    shared_words, shared_ids = sc.broadcast(_packed(table.column("word"))), sc.broadcast((_packed(table.column("ids")), told))
+    texts = keyed.select(*_KEY, F.xxhash64(F.lit(2), text).alias("_k2"), "text")
+    narrow = "<u2" if max(pieces_of(told), default=0) < 1 << 16 else "<i4"
 
-    @F.arrow_udf("binary")
-    def packed(text: pa.Array) -> pa.Array:
+    def coded(batches, rare: bool):
+        """Of every text: its words' numbers, compressed; or (word, position) of every word that the table lacks."""
         import zstandard
 
-        z = zstandard.ZstdCompressor(level=3)
-        return pa.array([None if t is None else z.compress(t) for t in text.cast(pa.binary()).to_pylist()], pa.binary())
-
-    # Copies collapse before they travel, too.
-    texts = keyed.select("_key", packed("text").alias("_z")).groupBy("_key").agg(F.first("_z", ignorenulls=True).alias("_z"))
-
-    def missing(batches):
-        """(word, text's key, position) of every word that the common table lacks."""
+        common, z, seen = _once(shared_words.value, _table_of_words), zstandard.ZstdCompressor(level=3), set()
         for batch in batches:
-            table = _opened(shared.value[0])
-            for start in range(0, batch.num_rows, 500):
-                split, coded = _split(batch.column("_z").slice(start, 500))
-                sizes = np.fromiter(map(len, split), np.int64, len(split))
-                lost = table.find(coded.dictionary) < 0
-                where = np.nonzero(lost[coded.indices.to_numpy()])[0] if len(coded.dictionary) else np.zeros(0, np.int64)
-                if not len(where):
-                    continue
-                row = np.repeat(np.arange(len(split)), sizes)[where]
-                at = where - (np.cumsum(sizes) - sizes)[row]
-                yield pa.RecordBatch.from_arrays([coded.dictionary.take(coded.indices.take(pa.array(where))), batch.column("_key").take(pa.array(row + start)), pa.array(at, pa.int32())], ["word", "_key", "at"])
+            keys = list(zip(*(batch.column(k).to_pylist() for k in _KEY)))
+            fresh = []
+            for i, k in enumerate(keys):  # copies in one task travel once
+                if k not in seen:
+                    seen.add(k)
+                    fresh.append(i)
+            if len(seen) > 500_000:
+                seen.clear()
+            batch = batch.take(pa.array(fresh, pa.int64())) if len(fresh) < len(keys) else batch
+            for start, n, words, first in words_of(batch.column("text")):
+                mine = [batch.column(k).slice(start, n) for k in _KEY]
+                number = common.find(words.dictionary)[words.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
+                if rare:
+                    lost = np.nonzero(number == len(common))[0]
+                    row = np.searchsorted(first, lost, "right") - 1
+                    lacked = words.dictionary.take(words.indices.take(pa.array(lost)))
+                    yield pa.RecordBatch.from_arrays([lacked.cast(pa.binary()), *(k.take(pa.array(row)) for k in mine), pa.array(lost - first[row], pa.int32())], ["word", *_KEY, "at"])
+                else:
+                    planes = number.astype("<u4").view(np.uint8).reshape(-1, 4)
+                    more = batch.column("_k2").slice(start, n).to_pylist()
+                    packed = [k.to_bytes(8, "little", signed=True) + z.compress(planes[a:b, :3].T.tobytes()) for k, a, b in zip(more, first, first[1:])]
+                    yield pa.RecordBatch.from_arrays([*mine, pa.array(np.full(n, -1), pa.int32()), pa.array(packed, pa.binary())], [*_KEY, "at", "told"])
 
     def encode(batches):
         """Rows sorted by word: each word is encoded at its first row."""
         last, ids = None, None
         for batch in batches:
+            if not batch.num_rows:
+                continue
             coded = batch.column("word").dictionary_encode()
             words = coded.dictionary.to_pylist()
             fresh = [w for w in words if w != last]
-            known = dict(zip(fresh, encode_words(shared.value[1], fresh)))
+            known = dict(zip(fresh, (np.array(x, narrow).tobytes() for x in encode_words(shared_ids.value[1], [w.decode() for w in fresh]))))
             if last is not None:
                 known.setdefault(last, ids)
             last = batch.column("word")[-1].as_py()
             ids = known[last]
-            of = pa.array([known[w] for w in words], pa.list_(pa.int32())).take(coded.indices)
-            yield pa.RecordBatch.from_arrays([batch.column("_key"), batch.column("at"), of], ["_key", "at", "ids"])
-
-    places = texts.mapInArrow(missing, "word string, _key binary, at int")
-    coded = places.repartition("word").sortWithinPartitions("word").mapInArrow(encode, "_key binary, at int, ids array<int>")
-    # Dealt by text first, so that rows travel as they are and not as partial lists.
-    rare = coded.repartition("_key").groupBy("_key").agg(F.collect_list(F.struct("at", "ids")).alias("_rare"))
-    met = texts.join(rare, "_key", "left").select("_key", "_z", F.col("_rare.at").alias("_at"), F.col("_rare.ids").alias("_ids"))
-
-    def digest(batches):
-        table = None
-        told = pieces_of(shared.value[1])
-        pieces = pa.array([told.get(i, b"") for i in range(max(told) + 1)], pa.large_binary())
-        names = pa.array([b"%d," % i for i in range(len(pieces))], pa.large_binary())
-        for batch in batches:
-            table = table or _opened(shared.value[0])
-            kept = batch.select(["_key"])
-            for start in range(0, batch.num_rows, 500):
-                at, ids = (batch.column(c).slice(start, 500).to_pylist() for c in ("_at", "_ids"))
-                split, coded = _split(batch.column("_z").slice(start, 500))
-                found = table.find(coded.dictionary)
-                by_place = {ws[a]: x for ws, aa, xx in zip(split, at, ids) if aa for a, x in zip(aa, xx)}
-                lost = np.nonzero(found < 0)[0]
-                names_lost = coded.dictionary.take(pa.array(lost)).to_pylist()
-                every = pa.concat_arrays([table.ids, pa.array([by_place[w] for w in names_lost], pa.list_(pa.int32()))])
-                rows = found.copy()
-                rows[lost] = len(table.ids) + np.arange(len(lost))
-                of = every.take(pa.array(rows, pa.int64())).take(coded.indices)
-                flat, in_words = of.flatten(), np.concatenate([[0], np.cumsum(of.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
-                ends = in_words[np.cumsum([0, *map(len, split)])].tolist()
-                yield _digested(kept.slice(start, 500), _joined(names, flat), _joined(pieces, flat), ends)
+            of = pa.array([known[w] for w in words], pa.binary()).take(coded.indices)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (*_KEY, "at")), of], [*_KEY, "at", "told"])
 
+    def finish(batches):
+        """Rows sorted by text and position: the numbers of a text's words, then the ids for its holes in order."""
+        table = pieces = names = rest = None
+        for batch in batches:
+            if table is None:
+                table = _once(shared_ids.value[0], _unpacked)
+                by_id = pieces_of(shared_ids.value[1])
+                pieces = pa.array([by_id.get(i, b"") for i in range(max(by_id) + 1)], pa.large_binary())
+                names = pa.array([b"%d," % i for i in range(len(pieces))], pa.large_binary())
+            t = pa.Table.from_batches([batch])
+            t = pa.concat_tables([rest, t]) if rest is not None else t
+            begins = np.nonzero(t.column("at").to_numpy() == -1)[0]
+            if not len(begins):
+                rest = t
+                continue
+            k = [t.column(c).to_numpy() for c in _KEY]
+            last = begins[-1]
+            while last and all(c[last] == c[last - 1] for c in k):  # the last text may go on in the next batch
+                last -= 1
+            if last:
+                yield _digested(t.slice(0, last), table, pieces, names, narrow)
+            rest = t.slice(last)
+        if rest is not None and rest.num_rows:
+            yield _digested(rest, table, pieces, names, narrow)
+
+    row = "_k1 long, _len int, at int, told binary"
+    places = texts.mapInArrow(lambda b: coded(b, True), "word binary, _k1 long, _len int, at int")
+    rare = places.repartition("word").sortWithinPartitions("word").mapInArrow(encode, row)
+    numbers = texts.mapInArrow(lambda b: coded(b, False), row)
+    met = numbers.unionByName(rare).repartition(*_KEY).sortWithinPartitions(*_KEY, "at").mapInArrow(finish, _FOUND)
     others = [c for c in docs.columns if c != "text"]
     told_hex = [F.lower(F.hex(c)).alias(c) for c in ("ids_sha256", "decoded_sha256")]
-    return keyed.select(*others, "_key").join(met.mapInArrow(digest, _FOUND), "_key", "left").select(*others, "n_tokens", *told_hex)
+    return keyed.select(*others, *_KEY).join(met, list(_KEY), "left").select(*others, "n_tokens", *told_hex)
 
 
-def _split(packed: pa.Array) -> tuple[list[list[str]], pa.DictionaryArray]:
-    """The words of compressed texts, and all of them in one column."""
+def _digested(t: pa.Table, table: pa.Array, pieces: pa.Array, names: pa.Array, narrow: str) -> pa.RecordBatch:
+    """n_tokens and digests of whole texts from their sorted rows; repeated rows, of copies, count once."""
     import zstandard
 
-    unz, pattern = zstandard.ZstdDecompressor(), re.compile(PIECE)
-    split = [pattern.findall(unz.decompress(z).decode()) if z else [] for z in packed.to_pylist()]
-    return split, pa.array([w for ws in split for w in ws], pa.string()).dictionary_encode()
+    t = t.combine_chunks()
+    k = [t.column(c).to_numpy() for c in (*_KEY, "at")]
+    fresh = np.ones(len(k[0]), bool)
+    fresh[1:] = np.any([c[1:] != c[:-1] for c in k], axis=0)
+    for i in np.nonzero(~fresh & (k[-1] == -1))[0].tolist():
+        if t.column("told")[i].as_py()[:8] != t.column("told")[i - 1].as_py()[:8]:
+            raise RuntimeError("two texts agree in length and hash; another seed of the hash tells them apart")
+    t = t.filter(pa.array(fresh)) if not fresh.all() else t
+    own = t.column("at").to_numpy() == -1
+    unz = zstandard.ZstdDecompressor()
+    planes = [np.frombuffer(unz.decompress(x[8:]), np.uint8).reshape(3, -1) for x in t.column("told").filter(pa.array(own)).to_pylist()]
+    first = np.concatenate([[0], np.cumsum([p.shape[1] for p in planes])])
+    number = np.concatenate([p[0] + (p[1].astype(np.int64) << 8) + (p[2].astype(np.int64) << 16) for p in planes])
+    data, ends = utf8(t.column("told").filter(pa.array(~own)).combine_chunks())
+    holes = np.nonzero(number == len(table))[0]
+    if len(holes) != len(ends) - 1:
+        raise RuntimeError(f"{len(holes)} words lack ids, {len(ends) - 1} came")
+    number[holes] += np.arange(len(holes))
+    late = pa.ListArray.from_arrays(pa.array(ends // np.dtype(narrow).itemsize, pa.int32()), pa.array(np.frombuffer(data.tobytes(), narrow).astype(np.int32)))
+    of = pa.concat_arrays([table, late]).take(pa.array(number))
+    flat, in_words = of.flatten(), np.concatenate([[0], np.cumsum(of.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+    return _hashed(t.select(list(_KEY)).filter(pa.array(own)), _joined(names, flat), _joined(pieces, flat), in_words[first].tolist())
 
 
 def _joined(strings: pa.Array, ids: pa.Array) -> tuple[memoryview, np.ndarray]:
@@ -254,14 +335,15 @@ def _joined(strings: pa.Array, ids: pa.Array) -> tuple[memoryview, np.ndarray]:
     return memoryview(data) if data is not None else memoryview(b""), np.frombuffer(at, np.int64, len(taken) + 1)
 
 
-def _digested(kept, names, pieces, ends) -> pa.RecordBatch:
+def _hashed(kept: pa.Table, names, pieces, ends) -> pa.RecordBatch:
     n, ids, texts = [], [], []
     for a, b in zip(ends, ends[1:]):
         n.append(b - a)
         ids.append(hashlib.sha256(names[0][names[1][a] : max(names[1][a], names[1][b] - 1)]).digest())
         decoded = bytes(pieces[0][pieces[1][a] : pieces[1][b]]).decode("utf-8", "replace")
         texts.append(hashlib.sha256(decoded.encode()).digest())
-    return pa.RecordBatch.from_arrays([*kept.columns, pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(texts, pa.binary())], [*kept.schema.names, "n_tokens", "ids_sha256", "decoded_sha256"])
+    keys = [kept.column(k).combine_chunks() for k in _KEY]
+    return pa.RecordBatch.from_arrays([*keys, pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(texts, pa.binary())], [*_KEY, "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
 def encode(docs: DataFrame, tokenizer_path: str, key: str = "doc_id") -> DataFrame:
