@@ -76,9 +76,10 @@ def test_jaccard_empty_table(spark):
     assert near.jaccard_components(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
-def test_components_of_paths_and_stars(spark):
+@pytest.mark.parametrize("edges_a_task", [7, 1000])
+def test_components_of_paths_and_stars(spark, edges_a_task):
     edges = [(i, i + 1) for i in range(30)] + [(100, 100 + i) for i in range(1, 20)] + [(7, 7), (201, 200)]
-    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long").repartition(9), edges_a_task).collect()}
     assert got == {**{i: 0 for i in range(31)}, **{100 + i: 100 for i in range(20)}, 200: 200, 201: 200}
 
 
@@ -291,6 +292,36 @@ def test_pipeline_stages_take_effect(spark, data):
     assert docs.count() > 0 and {"n_tokens", "ids_sha256", "decoded_sha256"} <= set(docs.columns)
 
 
+def test_pipeline_stages_on_odd_rows(spark, data):
+    names = ["budget", "source_rows", "taken", "score", "size", "component_id", "_skey", "told", "h", "statistics"]
+    base = spark.read.parquet(f"{data}/documents.parquet").limit(60).collect()
+    rows = [(r.doc_id, r.text, r.lang, r.source) for r in base]
+    rows += [(900001, None, None, None), (900002, "", "en", None), (None, rows[0][1], None, "web"), (None, None, None, None), rows[0], rows[0], (rows[1][0], "an other text of the same id as one before it here", "en", None)]
+    schema = "doc_id long, text string, lang string, source string, " + ", ".join(f"{n} long" for n in names)
+    docs = spark.createDataFrame([(*r, *range(7, 7 + len(names))) for r in rows], schema)
+    given = {}
+    for r in docs.collect():
+        given[tuple(r)] = given.get(tuple(r), 0) + 1
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, data)
+        if i < 4:
+            got = out.collect()
+            assert out.columns == docs.columns and got
+            most = 2 if i == 3 else 1
+            for r in got:
+                assert got.count(r) <= most * given[tuple(r)]
+        else:
+            assert out.count() == len(rows) and {r.budget for r in out.collect()} == {7}
+        empty = stage(spark, docs.limit(0), data)
+        assert empty.columns == out.columns and empty.count() == 0
+    one = near.keep_one(docs)
+    kept = [(r.doc_id, r.text) for r in one.collect()]
+    assert kept.count(rows[0][:2]) == (1 if rows[0][0] == min(r[0] for r in rows if r[0] is not None and r[1] == rows[0][1]) else 0)
+    assert (900001, None) in kept and (900002, "") in kept and kept.count((None, None)) == 1
+    assert (rows[1][0], rows[-1][1]) in kept
+    assert sorted(map(str, one.collect())) == sorted(map(str, near.keep_one(docs.repartition(3)).collect()))
+
+
 def test_every_numbered_query_is_registered():
     names = queries.queries()
     assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)] == [1] * 10

@@ -33,6 +33,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def aside(docs: DataFrame, *keep: str):
+    """``docs`` with its other columns in one struct, out of the way of names that an operator adds, and what puts them back."""
+    others = [c for c in docs.columns if c not in keep]
+    slim = docs.select(*keep, F.struct(*others).alias("__aside")) if others else docs.select(*keep)
+
+    def back(df: DataFrame) -> DataFrame:
+        return df.select(*(F.col(c) if c in keep else F.col("__aside").getField(c).alias(c) for c in docs.columns))
+
+    return slim, back
+
+
 def held_out(doc_id: str = "doc_id"):
     """crc32 of the id as text, modulo 4, is 2: these rows teach nothing."""
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))

@@ -23,6 +23,8 @@ SHARE = 1.5
 EPOCHS = 2
 SEED = 20_011
 LEAST_BUCKET = 64
+#: Sources that are joined by broadcast, some 100 bytes each; more are joined by a shuffle.
+MOST_BROADCAST = 50_000
 
 
 def word_count(text: str = "text") -> Column:
@@ -62,10 +64,10 @@ def _skey() -> Column:
 
 
 def _order(*first: str) -> list[Column]:
-    return [*(F.col(c) for c in first), F.col("skey"), F.col("_u"), F.col("doc_id").asc_nulls_first(), F.col("size")]
+    return [*(F.col(c) for c in first), F.col("_skey"), F.col("_u"), F.col("doc_id").asc_nulls_first(), F.col("size")]
 
 
-def fair_mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
+def fair_mix(docs: DataFrame, **how) -> DataFrame:
     """All columns of ``docs`` plus source_size, target, finish (array by epoch), copies and taken.
 
     ``docs`` needs doc_id, source and a non-negative long ``size``. ``copies`` is how often the mix
@@ -73,60 +75,69 @@ def fair_mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int
     budget is taken; the order is cut at the first document that would pass the budget.
 
     Defined cases: a document of size 0 and all documents of a table without words are not taken;
-    null sources are one source, after the others; null ids are one id; rows that agree in id,
-    source and size may stand for one another; an empty table gives an empty result. Columns that
-    begin with an underscore or bear the names of the columns added here are replaced.
+    null sources are one source, after the others; rows with a null id are shuffled by a hash of the
+    row; rows that agree in id, source and size may stand for one another; an empty table gives an
+    empty result. Columns named like those added here are replaced; any other passes through.
     """
-    plain = docs.drop("source_size", "target", "finish", "copies", "taken", "skey")
-    sources = cut(source_targets(plain, weights, share, epochs))
+    return _mixed(docs, **how).drop("_skey", "_u")
+
+
+def _mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
+    """fair_mix with _skey and _u, which break ties between finish times."""
+    plain = docs.drop("source_size", "target", "finish", "copies", "taken", "_skey", "_source_rows", "_budget", "_u", "_buckets", "_b", "_offset", "_within")
+    sources = cut(source_targets(plain, weights, share, epochs).select(F.col("skey").alias("_skey"), F.col("source_rows").alias("_source_rows"), "source_size", "target", F.col("budget").alias("_budget")))
+    few = F.broadcast if sources.count() <= MOST_BROADCAST else (lambda df: df)
+    row = F.xxhash64(*(c for c, kind in plain.dtypes if "map<" not in kind))  # spreads rows without an id
+    known_id = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("n"), row.cast("string")))
     placed = (
-        plain.withColumn("skey", _skey())
-        .join(sources.select("skey", "source_rows", "source_size", "target", "budget"), "skey")
-        .withColumn("_u", F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")), 1, 15), 16, 10).cast("long"))
-        .withColumn("_buckets", F.ceil(F.col("source_rows") / F.greatest(F.lit(LEAST_BUCKET), F.sqrt("source_rows"))))
+        plain.withColumn("_skey", _skey())
+        .join(few(sources), "_skey")
+        .withColumn("_u", F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), known_id).cast("binary")), 1, 15), 16, 10).cast("long"))
+        .withColumn("_buckets", F.ceil(F.col("_source_rows") / F.greatest(F.lit(LEAST_BUCKET), F.sqrt("_source_rows"))))
         .withColumn("_b", F.floor(F.col("_u") / F.lit(2.0**60) * F.col("_buckets")))
     )
-    sums = placed.groupBy("skey", "_b").agg(F.sum("size").alias("_sum"))
-    behind = Window.partitionBy("skey").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = cut(sums.select("skey", "_b", F.coalesce(F.sum("_sum").over(behind), F.lit(0)).alias("_offset")))
-    inside = Window.partitionBy("skey", "_b").orderBy("_u", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, 0)
+    sums = placed.groupBy("_skey", "_b").agg(F.sum("size").alias("_sum"))
+    behind = Window.partitionBy("_skey").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = cut(sums.select("_skey", "_b", F.coalesce(F.sum("_sum").over(behind), F.lit(0)).alias("_offset")))
+    inside = Window.partitionBy("_skey", "_b").orderBy("_u", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, 0)
     done = F.col("_offset") + F.col("_within")
     finish = F.array(*((done + F.lit(e) * F.col("source_size")) / F.col("target") for e in range(epochs)))
-    timed = placed.withColumn("_within", F.sum("size").over(inside)).join(offsets, ["skey", "_b"]).withColumn("finish", F.when((F.col("size") > 0) & (F.col("target") > 0), finish))
-    last = _last_taken(timed.select("finish", "skey", "_u", "doc_id", "size", "budget"))
+    timed = placed.withColumn("_within", F.sum("size").over(inside)).join(offsets, ["_skey", "_b"]).withColumn("finish", F.when((F.col("size") > 0) & (F.col("target") > 0), finish))
+    last = _last_taken(timed.select("finish", "_skey", "_u", "doc_id", "size", "_budget"))
     if last is None:
         copies = F.lit(0)
     else:
-        place = lambda t: F.struct(t.alias("t"), F.col("skey"), F.col("_u"), F.col("doc_id"), F.col("size"))
-        bound = F.struct(F.lit(last["t"]).alias("t"), F.lit(last["skey"]).alias("skey"), F.lit(last["_u"]).alias("_u"), F.lit(last["doc_id"]).cast(dict(docs.dtypes)["doc_id"]).alias("doc_id"), F.lit(last["size"]).cast("long").alias("size"))
+        place = lambda t: F.struct(t.alias("t"), F.col("_skey"), F.col("_u"), F.col("doc_id"), F.col("size"))
+        bound = F.struct(F.lit(last["t"]).alias("t"), F.lit(last["_skey"]).alias("_skey"), F.lit(last["_u"]).alias("_u"), F.lit(last["doc_id"]).cast(dict(docs.dtypes)["doc_id"]).alias("doc_id"), F.lit(last["size"]).cast("long").alias("size"))
         copies = F.when(F.col("finish").isNotNull(), sum((place(F.col("finish")[e]) <= bound).cast("int") for e in range(epochs))).otherwise(F.lit(0))
     out = timed.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size"))
-    return out.drop("skey", "source_rows", "budget", "_u", "_buckets", "_b", "_offset", "_within")
+    return out.drop("_source_rows", "_budget", "_buckets", "_b", "_offset", "_within")
 
 
 def _last_taken(timed: DataFrame):
     """The place in the global order of the last copy within the budget, or None."""
-    n, budget = timed.agg(F.count("finish"), F.max("budget")).first()
+    n, budget = timed.agg(F.count("finish"), F.max("_budget")).first()
     if not n or not budget:
         return None
-    copies = timed.where("finish is not null").select(F.explode("finish").alias("t"), "skey", "_u", "doc_id", "size")
+    copies = timed.where("finish is not null").select(F.explode("finish").alias("t"), "_skey", "_u", "doc_id", "size")
     copies = copies.withColumn("_h", F.floor(F.col("t") * F.lit(float(max(1, int(n**0.5))))))
     running = Window.orderBy("_h").rowsBetween(Window.unboundedPreceding, 0)
     bars = copies.groupBy("_h").agg(F.sum("size").alias("_sum")).withColumn("_total", F.sum("_sum").over(running))
     over = bars.where(F.col("_total") > budget).agg(F.min_by(F.struct("_h", F.col("_total") - F.col("_sum")), "_h")).first()[0]
     if over is None:
-        return copies.agg(F.max(F.struct("t", "skey", "_u", "doc_id", "size")).alias("m")).first()["m"]
+        return copies.agg(F.max(F.struct("t", "_skey", "_u", "doc_id", "size")).alias("m")).first()["m"]
     edge = copies.where(F.col("_h") == over[0])
     total = F.lit(over[1]) + F.sum("size").over(Window.orderBy(*_order("t")).rowsBetween(Window.unboundedPreceding, 0))
     kept = edge.withColumn("_total", total).where(F.col("_total") <= budget)
-    last = kept.agg(F.max(F.struct("t", "skey", "_u", "doc_id", "size")).alias("m")).first()["m"]
+    last = kept.agg(F.max(F.struct("t", "_skey", "_u", "doc_id", "size")).alias("m")).first()["m"]
     if last is None:
-        last = copies.where(F.col("_h") < over[0]).agg(F.max(F.struct("t", "skey", "_u", "doc_id", "size")).alias("m")).first()["m"]
+        last = copies.where(F.col("_h") < over[0]).agg(F.max(F.struct("t", "_skey", "_u", "doc_id", "size")).alias("m")).first()["m"]
     return last
 
 
 def mixed_stream(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: one row per copy taken, with finish_time, range-sorted over the whole output."""
-    mixed = fair_mix(docs, **how)
+    mixed = _mixed(docs, **how)
     taken = mixed.where("copies > 0").withColumn("finish_time", F.explode(F.slice("finish", F.lit(1), F.col("copies"))))
-    return taken.drop("finish", "copies", "taken", "source_size", "target").orderBy("finish_time", "doc_id")
+    ordered = taken.orderBy(*_order("finish_time"))
+    return ordered.drop("finish", "copies", "taken", "source_size", "target", "_skey", "_u")

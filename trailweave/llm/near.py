@@ -5,21 +5,22 @@ order, rare shingles first; two sets that reach the threshold then share a shing
 prefixes. Documents meet on prefix shingles, the length, positional and suffix filters drop pairs
 that cannot reach it, and each pair left is verified once on the whole sets.
 
-* Equal sets are one node, so copies are never paired.
-* Rarity comes from counts over all documents, kept in a table of fixed size of counters that
-  shingles share by hash. An error in a count only changes the order, the same for all documents.
+* Equal sets are one node, named by a 64-bit hash of the set, so copies are never paired.
+* Rarity comes from counts over all documents, kept in counters that shingles share by hash; their
+  number grows with that of shingles up to a bound. An error in a count only changes the order, the
+  same for all documents.
 * The suffix filter compares bitmaps of parities, which differ in no more bits than the sets differ
   in shingles, before any text is sent to be verified.
 * A shingle that few nodes share gives its pairs at once. Where many share it, only pairs across the
-  components known so far are taken: first a forest of them on a part of the shingles, then all that
-  are left. The components are exact, and a large group of near copies costs about its size.
+  components known so far are taken: first forests of them, on a part of the shingles and on all, then
+  all that are left. The components are exact, and a large group of near copies costs about its size.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import chunks, cut, utf8
@@ -27,11 +28,15 @@ from .components import components
 from .words import mix, shingles
 
 WORDS, PERCENT = 5, 80
-COUNTERS = 1 << 18
+#: Counters of rarity: one for so many shingles, between these bounds; a broadcast byte each.
+SHINGLES_A_COUNTER, LEAST_COUNTERS, MOST_COUNTERS = 8, 1 << 18, 1 << 24
+#: Counters that travel together, and bits of the bitmap of documents whose texts are sent.
+_BLOCK, _SENT_BITS = 1 << 16, 1 << 26
 #: Nodes on one shingle whose pairs are all verified at once.
 FEW = 6
-#: Bits for each shingle in the bitmaps that the suffix filter compares, at least.
-BITS = 2
+#: Bits for each shingle in the bitmaps that the suffix filter compares, at least: with 8, few pairs
+#: below the threshold pass it.
+BITS = 8
 
 
 def _of_text(batch, words: int):
@@ -48,32 +53,52 @@ def _sums(hashes: np.ndarray, begins: np.ndarray) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, s1, s2 (what identifies the set) of every row."""
+    """doc_id, told (a hash of the text), n_shingles, s1, s2 (what identifies the set) of every row."""
 
     def rows(batches):
         for batch in batches:
+            at = 0
             for ids, hashes, begins in _of_text(batch, words):
+                told, at = batch.column("told").slice(at, len(ids)), at + len(ids)
                 two = (_sums(hashes, begins), _sums(hashes * np.uint64(0x2545F4914F6CDD1D), begins))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(begins)), *(pa.array(s.view(np.int64)) for s in two)], ["doc_id", "n_shingles", "s1", "s2"])
+                yield pa.RecordBatch.from_arrays([ids, told, pa.array(np.diff(begins)), *(pa.array(s.view(np.int64)) for s in two)], ["doc_id", "told", "n_shingles", "s1", "s2"])
 
-    return docs.mapInArrow(rows, "doc_id long, n_shingles long, s1 long, s2 long")
+    return docs.withColumn("told", F.xxhash64("text")).mapInArrow(rows, "doc_id long, told long, n_shingles long, s1 long, s2 long")
+
+
+def _counter(hashes: np.ndarray, counters: int) -> np.ndarray:
+    return (hashes >> np.uint64(36)).astype(np.int64) & (counters - 1)
 
 
 def _ranks(docs: DataFrame, words: int, counters: int) -> np.ndarray:
-    """How common the shingles of each counter are, counted over all documents; ``counters`` long."""
+    """How common the shingles of each counter are, in 256 steps, counted over all documents; ``counters`` bytes."""
+    import zstandard
 
-    def rows(batches):
-        counts = np.zeros(counters, np.int64)
+    def count(batches):
+        counts = np.zeros(counters, np.int32)
         for batch in batches:
             for _, hashes, _ in _of_text(batch, words):
-                counts += np.bincount((hashes >> np.uint64(40)).astype(np.int64) % counters, minlength=counters)
-        used = np.nonzero(counts)[0]
-        for i in range(0, len(used), 65536):
-            yield pa.RecordBatch.from_arrays([pa.array(used[i : i + 65536], pa.int32()), pa.array(counts[used[i : i + 65536]])], ["counter", "n"])
-
-    got = docs.mapInArrow(rows, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()  # of fixed size
-    out = np.zeros(counters, np.int64)
-    out[got.column("counter").to_numpy()] = got.column("n").to_numpy()
+                used, n = np.unique(_counter(hashes, counters), return_counts=True)
+                counts[used] += n
+        z = zstandard.ZstdCompressor(level=1)
+        for k, block in enumerate(counts.reshape(-1, _BLOCK)):
+            if block.any():  # low bytes side by side, then the next ones, which are mostly zero
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([z.compress(block.view(np.uint8).reshape(-1, 4).T.tobytes())], pa.binary())], ["block", "counts"])
+
+    def add(batches):
+        unz, total = zstandard.ZstdDecompressor(), {}
+        for batch in batches:
+            for k, told in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist()):
+                counts = np.frombuffer(unz.decompress(told), np.uint8).reshape(4, -1).T.copy().view(np.int32).ravel()
+                total[k] = total.get(k, 0) + counts.astype(np.int64)
+        for k, n in total.items():
+            step = np.where(n < 64, n, np.minimum(255, 64 + 6 * (np.log2(np.maximum(n, 64)) - 6)))
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([step.astype(np.uint8).tobytes()], pa.binary())], ["block", "ranks"])
+
+    out = np.zeros(counters, np.uint8)
+    got = docs.mapInArrow(count, "block int, counts binary").repartition("block").mapInArrow(add, "block int, ranks binary").toArrow()  # a byte a counter
+    for k, told in zip(got.column("block").to_pylist(), got.column("ranks").to_pylist()):
+        out[k * _BLOCK : (k + 1) * _BLOCK] = np.frombuffer(told, np.uint8)
     return out
 
 
@@ -83,23 +108,30 @@ def _needed(a, b, percent: int):
 
 
 def _prefixes(docs: DataFrame, words: int, percent: int, counters: int) -> DataFrame:
-    """h, doc_id, s1, n, at for each prefix shingle of each document with a set."""
+    """h, node, n, at for each prefix shingle of each set; a task names a set once for all its copies."""
     ranks = docs.sparkSession.sparkContext.broadcast(_ranks(docs, words, counters))
 
     def rows(batches):
+        seen: set[int] = set()
         for batch in batches:
-            for ids, hashes, begins in _of_text(batch, words):
+            for _, hashes, begins in _of_text(batch, words):
                 n = np.diff(begins)
+                node = _sums(hashes, begins).view(np.int64)
+                fresh = np.zeros(len(n), bool)
+                for i in np.nonzero(n)[0].tolist():
+                    if (k := int(node[i])) not in seen:
+                        seen.add(k)
+                        fresh[i] = True
+                if len(seen) > 500_000:
+                    seen.clear()
                 text = np.repeat(np.arange(len(n)), n)
-                common = ranks.value[(hashes >> np.uint64(40)).astype(np.int64) % counters]
-                order = np.lexsort((hashes, common, text))
+                order = np.lexsort((hashes, ranks.value[_counter(hashes, counters)], text))
                 at = np.arange(len(hashes)) - begins[:-1][text]
-                keep = at < (n - -(-percent * n // 100) + 1)[text]
-                s1 = _sums(hashes, begins).view(np.int64)
-                text, rows_ = text[keep], order[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[rows_].view(np.int64)), ids.take(pa.array(text)), pa.array(s1[text]), pa.array(n[text], pa.int32()), pa.array(at[keep], pa.int32())], ["h", "doc_id", "s1", "n", "at"])
+                keep = (at < (n - -(-percent * n // 100) + 1)[text]) & fresh[text]
+                of = text[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[order[keep]].view(np.int64)), pa.array(node[of]), pa.array(n[of], pa.int32()), pa.array(at[keep], pa.int32())], ["h", "node", "n", "at"])
 
-    return docs.mapInArrow(rows, "h long, doc_id long, s1 long, n int, at int")
+    return docs.mapInArrow(rows, "h long, node long, n int, at int")
 
 
 def _runs(batches, key: str):
@@ -131,12 +163,12 @@ def _candidates(percent: int, few: int):
 
     def rows(batches):
         for t in _runs(batches, "h"):
-            h, doc, s1, n, at = (t.column(c).to_numpy() for c in ("h", "doc_id", "s1", "n", "at"))
+            h, doc, n, at = (t.column(c).to_numpy() for c in ("h", "node", "n", "at"))
             n, at = n.astype(np.int64), at.astype(np.int64)
-            order = np.lexsort((doc, s1, n, h))
-            h, doc, s1, n, at = h[order], doc[order], s1[order], n[order], at[order]
+            order = np.lexsort((doc, n, h))
+            h, doc, n, at = h[order], doc[order], n[order], at[order]
             first = np.ones(len(h), bool)
-            first[1:] = (h[1:] != h[:-1]) | (s1[1:] != s1[:-1]) | (n[1:] != n[:-1])  # of equal sets the least id stays
+            first[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])  # a node that several tasks named is one
             h, doc, n, at = h[first], doc[first], n[first], at[first]
             starts = np.nonzero(np.append(True, h[1:] != h[:-1]))[0]
             sizes = np.diff(np.append(starts, len(h)))
@@ -198,30 +230,52 @@ def _opened(column: pa.Array) -> pa.Array:
     return pa.array([z.decompress(x) for x in column.to_pylist()], pa.binary())
 
 
+def _sent_bitmap(ids: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size by hash of ``doc_id``: texts of other documents need not be sent."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(_SENT_BITS))
+    place = place + 1  # Spark numbers buckets of 32768 values from 1, beginning with value 1
+    parts = ids.groupBy(F.bitmap_bucket_number(place).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()  # of fixed size
+    out = np.zeros((_SENT_BITS // 32768 + 1, 4096), np.uint8)
+    for r in parts:
+        out[r["k"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.ravel()
+
+
 def _nodes(known: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """doc_id, n, bits, z (the text, compressed) of the documents in ``wanted``."""
+    """node, doc_id, n, bits, z (the text, compressed) for each (node, doc_id) in ``wanted``."""
+    ids = wanted.select("doc_id").distinct()
+    sent = known.sparkSession.sparkContext.broadcast(_sent_bitmap(ids))
+
+    def packed(batches):
+        import zstandard
+
+        z = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            place = batch.column("place").to_numpy()
+            byte = (place // 32768 + 1) * 4096 + place % 32768 // 8
+            on = np.nonzero(sent.value[byte] >> (place % 8).astype(np.uint8) & 1)[0]
+            some = batch.take(pa.array(on))
+            texts = [z.compress(t or b"") for t in some.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(texts, pa.binary())], ["doc_id", "z"])
 
     def rows(batches):
         for batch in batches:
             for start, n in chunks(batch.column("z"), 500_000):
                 hashes, begins = shingles(*utf8(_opened(batch.column("z").slice(start, n))), words)
                 bits = [Bitmaps.of(hashes[a:b]) for a, b in zip(begins, begins[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, n), pa.array(np.diff(begins), pa.int32()), pa.array(bits, pa.binary()), batch.column("z").slice(start, n)], ["doc_id", "n", "bits", "z"])
-
-    def packed(text: pa.Array) -> pa.Array:
-        import zstandard
-
-        z = zstandard.ZstdCompressor(level=3)
-        return pa.array([z.compress(t or b"") for t in text.cast(pa.binary()).to_pylist()], pa.binary())
+                own = _sums(hashes, begins).view(np.int64) == batch.column("node").slice(start, n).to_numpy()
+                kept = [*(batch.column(c).slice(start, n) for c in ("node", "doc_id")), pa.array(np.diff(begins), pa.int32()), pa.array(bits, pa.binary()), batch.column("z").slice(start, n)]
+                yield pa.RecordBatch.from_arrays(kept, ["node", "doc_id", "n", "bits", "z"]).filter(pa.array(own))
 
-    texts = known.select("doc_id", F.arrow_udf(packed, "binary")("text").alias("z")).join(wanted, "doc_id", "left_semi")
-    return texts.groupBy("doc_id").agg(F.max("z").alias("z")).mapInArrow(rows, "doc_id long, n int, bits binary, z binary")
+    texts = known.withColumn("place", F.pmod(F.xxhash64("doc_id"), F.lit(_SENT_BITS))).mapInArrow(packed, "doc_id long, z binary")
+    met = texts.join(wanted, "doc_id").select("node", "doc_id", "z").mapInArrow(rows, "node long, doc_id long, n int, bits binary, z binary")
+    return met.groupBy("node").agg(*(F.first(c).alias(c) for c in ("doc_id", "n", "bits", "z")))  # a row that repeats counts once
 
 
 def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Suffix filter: the pairs whose bitmaps do not rule the threshold out."""
-    a = nodes.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"))
-    b = nodes.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
+    a = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"))
+    b = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
 
     def rows(batches):
         for batch in batches:
@@ -277,7 +331,7 @@ def _crossing(percent: int, every: bool):
 
 
 def _verify(pairs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b), each with whether its whole sets reach the threshold."""
+    """The pairs (a, b) with a document of each, da and db, and whether the whole sets reach the threshold."""
 
     def rows(batches):
         for batch in batches:
@@ -290,53 +344,84 @@ def _verify(pairs: DataFrame, nodes: DataFrame, words: int, percent: int) -> Dat
                 both = (h[o][1:] == h[o][:-1]) & (r[o][1:] == r[o][:-1])
                 shared = np.bincount(r[o][1:][both], minlength=n)
                 ok = (na > 0) & (nb > 0) & (100 * shared >= percent * (na + nb - shared))
-                yield pa.RecordBatch.from_arrays([some.column("a"), some.column("b"), pa.array(ok)], ["a", "b", "linked"])
+                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in ("a", "b", "da", "db")), pa.array(ok)], ["a", "b", "da", "db", "linked"])
 
-    first = nodes.select(F.col("doc_id").alias("b"), F.col("z").alias("zb"))
-    second = nodes.select(F.col("doc_id").alias("a"), F.col("z").alias("za"))
+    first = nodes.select(F.col("node").alias("b"), F.col("doc_id").alias("db"), F.col("z").alias("zb"))
+    second = nodes.select(F.col("node").alias("a"), F.col("doc_id").alias("da"), F.col("z").alias("za"))
     met = pairs.join(first, "b").join(second, "a")
-    return met.select("a", "b", "za", "zb").mapInArrow(rows, "a long, b long, linked boolean")
+    return met.select("a", "b", "da", "db", "za", "zb").mapInArrow(rows, "a long, b long, da long, db long, linked boolean")
 
 
-def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, counters: int = COUNTERS, few: int = FEW) -> DataFrame:
+def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, few: int = FEW) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text).
 
     Words are runs without space and tab to carriage return, A-Z lower-cased. Sets link when
     100 * shared >= percent * united. component_id is the least doc_id reachable by links.
 
     Defined cases: fewer words than a shingle make one of all of them; texts that are null or hold no
-    word have an empty set and stand alone; repeated rows each get their row; should one doc_id bear
-    different texts, the greatest of them decides its links to unequal sets; a null doc_id takes no
-    part in links and has a null component; an empty table gives an empty result; other columns are
-    ignored.
+    word have an empty set and stand alone; repeated rows each get their row; rows of one doc_id with
+    different texts link by their texts, each for itself; a null doc_id takes no part in links and has
+    a null component; an empty table gives an empty result; other columns are ignored.
     """
+    return _grouped(docs, words, percent, few).select("doc_id", "n_shingles", "component_id")
+
+
+def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, few: int = FEW) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, any others) without near duplicates: of each group the row of least id.
+
+    Defined cases: of rows of the least id that belong to the group, the one whose text has the least
+    hash stays, and of rows equal in id and text the least by their other columns; rows without an
+    id, and rows whose text is null or holds no word, are in no group and all stay; an empty table
+    gives an empty result; other columns pass through.
+    """
+    groups = _grouped(docs.select("doc_id", "text"), words, percent, few).where("doc_id is not null")
+    first = groups.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "told")).alias("m")).select("m.doc_id", "m.told", F.lit(True).alias("__one"))
+    alone = groups.where("n_shingles = 0").select("doc_id", "told", F.lit(False).alias("__one")).distinct()
+    chosen = first.unionByName(alone).select(F.col("doc_id").alias("__id"), F.col("told").alias("__told"), "__one")
+    rows = docs.withColumn("__told", F.xxhash64("text")).withColumn("__id", F.col("doc_id").cast("long"))
+    met = rows.where("doc_id is not null").join(chosen, ["__id", "__told"])
+    order = [c for c, kind in docs.dtypes if "map<" not in kind and c not in ("doc_id", "text")]
+    place = F.row_number().over(Window.partitionBy("__id", "__told").orderBy(*(order or ["__id"])))
+    kept = met.withColumn("__place", place).where("not __one or __place = 1")
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def _grouped(docs: DataFrame, words: int, percent: int, few: int) -> DataFrame:
+    """doc_id, told (a hash of the text), n_shingles, component_id."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = docs.where("doc_id is not null")
     told_sets = cut(_sets(docs, words))
-    sets = told_sets.where("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("node"))
+    sets = told_sets.where("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("doc_id"))
+    total = told_sets.agg(F.sum("n_shingles")).first()[0] or 0
+    counters = min(MOST_COUNTERS, max(LEAST_COUNTERS, 1 << (total // SHINGLES_A_COUNTER).bit_length()))
     prefixes = _prefixes(known, words, percent, counters)
     found = cut(prefixes.repartition("h").sortWithinPartitions("h").mapInArrow(_candidates(percent, few), "a long, b long, h long, n int, at int"))
     pairs = found.where("b is not null").select("a", "b").distinct()
     crowded = found.where("b is null").drop("b")
-    wanted = found.select(F.explode(F.array("a", "b")).alias("doc_id")).where("doc_id is not null").distinct()
-    nodes = cut(_nodes(known, wanted, words))
+    wanted = found.select(F.explode(F.array("a", "b")).alias("node")).where("node is not null").distinct()
+    placed_sets = sets.select(F.col("s1").alias("node"), "doc_id").join(wanted, "node", "left_semi")
+    nodes = cut(_nodes(known, placed_sets, words))
     tested = cut(_verify(_likely(pairs, nodes, percent), nodes, words, percent))
-    bits = nodes.select(F.col("doc_id").alias("a"), "bits")
-
-    def crossing(some: DataFrame, every_pair: bool) -> DataFrame:
-        """Verified pairs, not tested before, across components on shingles of (h, a, n, at, component)."""
-        mixed = some.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("h")
-        left = some.join(mixed, "h", "left_semi").join(bits, "a").select("h", "a", "n", "at", "bits", "component")
+    named = nodes.select(F.col("node").alias("a"), "doc_id", "bits")
+
+    def crossing(some: DataFrame, parts: DataFrame | None, every_pair: bool) -> DataFrame:
+        """Verified pairs, not tested before, across components on shingles of (h, a, n, at)."""
+        where = named if parts is None else named.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+        where = where.select("a", "bits", F.col("doc_id").alias("component") if parts is None else F.coalesce("component", "doc_id").alias("component"))
+        rows = some.join(where.select("a", "component"), "a")
+        mixed = rows.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("h")
+        left = rows.join(mixed, "h", "left_semi").join(named.select("a", "bits"), "a").select("h", "a", "n", "at", "bits", "component")
         more = left.repartition("h").sortWithinPartitions("h").mapInArrow(_crossing(percent, every_pair), "a long, b long").distinct()
         return cut(_verify(more.join(tested.select("a", "b"), ["a", "b"], "left_anti"), nodes, words, percent))
 
-    # A forest of pairs on a sixteenth of the crowded shingles joins most of what there is to join;
-    # every likely pair on all of them that is then still across two components decides the rest.
-    tested = tested.unionByName(crossing(crowded.where(F.pmod(F.xxhash64("h"), F.lit(16)) == 0).withColumn("component", F.col("a")), False))
-    parts = components(tested.where("linked"))
-    placed = crowded.join(parts.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
-    late = crossing(placed, True).where("linked")
+    # A forest of pairs on a sixteenth of the crowded shingles joins most of what there is to join, one on
+    # all of them what is left; every likely pair that is then still across two components decides the rest.
+    linked = lambda t: t.where("linked").select(F.col("da").alias("a"), F.col("db").alias("b"))
+    tested = tested.unionByName(crossing(crowded.where(F.pmod(F.xxhash64("h"), F.lit(16)) == 0), None, False))
+    tested = tested.unionByName(crossing(crowded, components(linked(tested)), False))
+    parts = components(linked(tested))
+    late = linked(crossing(crowded, parts, True))
     if not late.isEmpty():
-        parts = components(tested.where("linked").unionByName(late))
-    reps = sets.join(parts, "node", "left").select("s1", "s2", "n_shingles", F.coalesce("component", "node").alias("component_id"))
-    return told_sets.join(reps, ["s1", "s2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce(F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")), "doc_id").alias("component_id"))
+        parts = components(linked(tested).unionByName(late))
+    reps = sets.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("s1", "s2", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return told_sets.join(reps, ["s1", "s2", "n_shingles"], "left").select("doc_id", "told", "n_shingles", F.coalesce(F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")), "doc_id").alias("component_id"))
