@@ -6,39 +6,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailweave.llm import bpe, langid, mixing, near, quality
-from trailweave.llm.common import cut, table
+from trailweave.llm.common import aside, cut, table
 from trailweave.llm.queries import tokenizer_path
 
 #: A document goes if less than this share of its letters is in its main language, or if it has no letter.
 LEAST_LANGUAGE_SHARE = 0.5
 
 
+# All stages: columns beyond doc_id, text, lang and source pass through untouched, whatever their names;
+# an empty table gives an empty one; rows that repeat are judged alike; whole texts are read.
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rule ensemble predicts to be good."""
+    """Documents that the rule ensemble predicts to be good; null and empty texts are scored as empty ones."""
     return quality.keep_quality(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language that most of their letters are in."""
-    told = langid.identify(docs)
-    return told.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SHARE)).select(*docs.columns)
+    """Documents with a language that most of their letters are in; texts that are null or without letters go."""
+    slim, back = aside(docs, "doc_id", "text", "lang")
+    told = langid.identify(slim)
+    return back(told.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SHARE)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the least id. Rows without an id stay."""
-    groups = near.jaccard_components(docs.select("doc_id", "text"))
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    once = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """One document of each group of near duplicates, the one of least id; rows without an id or a word stay."""
+    return near.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, in the order of their finish times."""
-    return mixing.mixed_stream(docs.withColumn("size", mixing.word_count())).select(*docs.columns)
+    """Documents as often as the mix takes them, in the order of their finish times; those without words go."""
+    slim, back = aside(docs, "doc_id", "source")
+    return back(mixing.mixed_stream(slim.withColumn("size", mixing.word_count("__aside.text"))))
 
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's number of tokens, and hashes of its ids and of the text decoded from them."""
+    """Each document's number of tokens, and hashes of its ids and of the text decoded from them; null texts have none."""
     return bpe.encode_digest(docs, tokenizer_path())
 
 
