@@ -105,7 +105,31 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         label = low
 
 
-def _links(hashing: LatticeTables, dimension: int, least: float):
+class Hashing:
+    """Lattice tables by dimension, made where they are first needed."""
+
+    def __init__(self, *how):
+        self.how, self.made = how, {}
+
+    def __getstate__(self):
+        return {"how": self.how, "made": {}}
+
+    def of(self, dimension: int) -> LatticeTables:
+        if dimension not in self.made:
+            if len(self.made) >= 16:
+                self.made.clear()
+            self.made[dimension] = LatticeTables(dimension, *self.how)
+        return self.made[dimension]
+
+
+def _by_dimension(column: pa.Array):
+    """(dimension, rows) for each length of a list column."""
+    sizes = column.value_lengths().to_numpy(zero_copy_only=False)
+    for d in np.unique(sizes).tolist():
+        yield int(d), np.nonzero(sizes == d)[0]
+
+
+def _links(hashing: Hashing, least: float):
     """Rows sorted by group: node, links (rows that the node's vector links with here first) and root (the least node it reaches here)."""
 
     def pairs_of(group, unit, t, node, home):
@@ -134,40 +158,50 @@ def _links(hashing: LatticeTables, dimension: int, least: float):
                 yield x + r, y + s
 
     def rows(batches):
-        for t in _runs(batches, "grouped"):
-            group, table, block, node, n = (t.column(c).to_numpy() for c in ("grouped", "t", "block", "node", "n"))
-            home = t.column("home").to_numpy()
-            unit = _unit(t.column("embedding").combine_chunks(), dimension)
-            order = np.lexsort((node, group))
-            group, table, block, node, n, home, unit = (x[order] for x in (group, table, block, node, n, home, unit))
-            links, involved = np.zeros(len(node), np.int64), [[], []]
-            for a, b in pairs_of(group, unit, table, node, home):
-                # In a group of two blocks only pairs across them are new.
-                ok = (block[a] < 0) | (block[a] != block[b])
-                a, b = a[ok], b[ok]
-                if not len(a):
-                    continue
-                involved[0].append(a)
-                involved[1].append(b)
-                first = np.ones(len(a), bool)
-                for k in range(1, int(table[a].max()) + 1):
-                    on = first & (table[a] >= k)
-                    if not on.any():
-                        break
-                    who, back = np.unique(np.concatenate([a[on], b[on]]), return_inverse=True)
-                    cells = hashing.cells(unit[who], [k - 1])[:, 0]
-                    x, y = cells[back[: on.sum()]], cells[back[on.sum() :], 0]
-                    first[on] = ~(x == y[:, None]).any(1)
-                a, b = a[first], b[first]
-                links += np.bincount(a, weights=n[b], minlength=len(node)).astype(np.int64) + np.bincount(b, weights=n[a], minlength=len(node)).astype(np.int64)
-            if not involved[0]:
+        for every in _runs(batches, "grouped"):
+            every = every.combine_chunks()
+            column = every.column("embedding").combine_chunks()
+            for d, on in _by_dimension(column):  # a group's vectors agree in it
+                t = every.take(pa.array(on)) if len(on) < every.num_rows else every
+                found = linked(t, d)
+                if found is not None:
+                    yield found
+
+    def linked(t, dimension):
+        tables = hashing.of(dimension)
+        group, table, block, node, n = (t.column(c).to_numpy() for c in ("grouped", "t", "block", "node", "n"))
+        home = t.column("home").to_numpy()
+        unit = _unit(t.column("embedding").combine_chunks(), dimension)
+        order = np.lexsort((node, group))
+        group, table, block, node, n, home, unit = (x[order] for x in (group, table, block, node, n, home, unit))
+        links, involved = np.zeros(len(node), np.int64), [[], []]
+        for a, b in pairs_of(group, unit, table, node, home):
+            # In a group of two blocks only pairs across them are new.
+            ok = (block[a] < 0) | (block[a] != block[b])
+            a, b = a[ok], b[ok]
+            if not len(a):
                 continue
-            a, b = (np.concatenate(x) for x in involved)
-            names, back = np.unique(node, return_inverse=True)
-            root = names[_forest(back[a], back[b], len(names))]
-            total = np.bincount(back, weights=links, minlength=len(names)).astype(np.int64)
-            on = np.unique(np.concatenate([back[a], back[b]]))
-            yield pa.RecordBatch.from_arrays([pa.array(names[on]), pa.array(total[on]), pa.array(root[on])], ["node", "links", "root"])
+            involved[0].append(a)
+            involved[1].append(b)
+            first = np.ones(len(a), bool)
+            for k in range(1, int(table[a].max()) + 1):
+                on = first & (table[a] >= k)
+                if not on.any():
+                    break
+                who, back = np.unique(np.concatenate([a[on], b[on]]), return_inverse=True)
+                cells = tables.cells(unit[who], [k - 1])[:, 0]
+                x, y = cells[back[: on.sum()]], cells[back[on.sum() :], 0]
+                first[on] = ~(x == y[:, None]).any(1)
+            a, b = a[first], b[first]
+            links += np.bincount(a, weights=n[b], minlength=len(node)).astype(np.int64) + np.bincount(b, weights=n[a], minlength=len(node)).astype(np.int64)
+        if not involved[0]:
+            return None
+        a, b = (np.concatenate(x) for x in involved)
+        names, back = np.unique(node, return_inverse=True)
+        root = names[_forest(back[a], back[b], len(names))]
+        total = np.bincount(back, weights=links, minlength=len(names)).astype(np.int64)
+        on = np.unique(np.concatenate([back[a], back[b]]))
+        return pa.RecordBatch.from_arrays([pa.array(names[on]), pa.array(total[on]), pa.array(root[on])], ["node", "links", "root"])
 
     return rows
 
@@ -177,33 +211,31 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLE
 
     Defined cases: vectors that are null, empty, zero or hold a null or non-finite component link
     with nothing, and so do rows with a null vec_id, whose component is null and which are not kept;
-    vectors of the most frequent dimension are compared, all others link with nothing; equal vectors
-    are one node and link with one another; an empty table gives an empty result; other columns are
-    ignored.
+    vectors of every dimension are compared with those of the same one; equal vectors are one node and
+    link with one another; an empty table gives an empty result; other columns are ignored.
     """
     e = F.col("embedding")
     rows = vectors.select("vec_id", e.cast("array<double>").alias("embedding"))
-    usual = rows.where(F.size("embedding") > 0).groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    dimension = usual["d"] if usual else 1
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
-    valid = F.coalesce((F.size(e) == dimension) & F.forall(e, fine) & F.exists(e, lambda x: x != 0) & F.col("vec_id").isNotNull(), F.lit(False))
+    valid = F.coalesce((F.size(e) > 0) & F.forall(e, fine) & F.exists(e, lambda x: x != 0) & F.col("vec_id").isNotNull(), F.lit(False))
     told = rows.select("vec_id", "embedding", valid.alias("valid"), *(F.when(valid, F.xxhash64(F.lit(k), "embedding")).alias(f"k{k}") for k in (1, 2)))
     every = cut(told.drop("embedding"))
     nodes = cut(every.where("valid").groupBy("k1", "k2").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("n")))
     of_node = nodes.select("node", "n").join(told.where("valid").select(F.col("vec_id").alias("node"), "embedding").dropDuplicates(["node"]), "node")
-    hashing = LatticeTables(dimension, tables, lattices, probes, scale)
+    hashing = Hashing(tables, lattices, probes, scale)
     shared = rows.sparkSession.sparkContext.broadcast(hashing)
     width = 1 + lattices * probes
 
     def keys(batches):
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
-                some = batch.slice(start, 1000)
-                cells = shared.value.cells(_unit(some.column("embedding"), dimension))
-                m = some.num_rows
-                node = np.repeat(some.column("node").to_numpy(), tables * width)
-                t = np.tile(np.repeat(np.arange(tables, dtype=np.int32), width), m)
-                yield pa.RecordBatch.from_arrays([pa.array(cells.ravel().view(np.int64)), pa.array(t), pa.array(node), pa.array(np.tile(np.arange(width) == 0, m * tables))], ["cell", "t", "node", "home"])
+                for d, on in _by_dimension(batch.column("embedding").slice(start, 1000)):
+                    some = batch.slice(start, 1000).take(pa.array(on))
+                    cells = mix(shared.value.of(d).cells(_unit(some.column("embedding"), d)) + np.uint64(d))
+                    m = some.num_rows
+                    node = np.repeat(some.column("node").to_numpy(), tables * width)
+                    t = np.tile(np.repeat(np.arange(tables, dtype=np.int32), width), m)
+                    yield pa.RecordBatch.from_arrays([pa.array(cells.ravel().view(np.int64)), pa.array(t), pa.array(node), pa.array(np.tile(np.arange(width) == 0, m * tables))], ["cell", "t", "node", "home"])
 
     keyed = of_node.select("node", "embedding").mapInArrow(keys, "cell long, t int, node long, home boolean")
     many = keyed.groupBy("cell").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("low"), F.max(F.when(F.col("home"), F.col("node"))).alias("high"))
@@ -213,7 +245,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLE
     grouped = F.xxhash64("cell", F.least("b", "with"), F.greatest("b", "with"))
     met = met.select("t", "node", "home", grouped.alias("grouped"), F.when(F.col("b") == F.col("with"), F.lit(-1)).otherwise(F.col("b")).alias("block"))
     dealt = met.join(of_node, "node").repartition("grouped").sortWithinPartitions("grouped")
-    found = cut(dealt.select("grouped", "t", "block", "node", "n", "home", "embedding").mapInArrow(_links(hashing, dimension, cosine), "node long, links long, root long"))
+    found = cut(dealt.select("grouped", "t", "block", "node", "n", "home", "embedding").mapInArrow(_links(hashing, cosine), "node long, links long, root long"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     parts = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     names = nodes.join(links, "node", "left").join(parts, "node", "left")
