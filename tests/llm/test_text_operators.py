@@ -278,6 +278,41 @@ def test_gif_palettes_disposal_transparency():
         gif.decode(b"PNG")
 
 
+def _unlzw(stream, depth):
+    """A plain decoder: one code at a time."""
+    bits, at, width, clear = np.unpackbits(np.frombuffer(stream, np.uint8), bitorder="little").tolist(), 0, depth + 1, 1 << depth
+    table, out, last = [], bytearray(), None
+    while True:
+        code = sum(b << k for k, b in enumerate(bits[at : at + width]))
+        at += width
+        if code == clear:
+            table, width, last = [bytes([i]) for i in range(clear)] + [b"", b""], depth + 1, None
+            continue
+        if code == clear + 1:
+            return bytes(out)
+        run = table[code] if code < len(table) else last + last[:1]
+        out += run
+        if last is not None and len(table) < 4096:
+            table.append(last + run[:1])
+        if len(table) == 1 << width and width < 12:
+            width += 1
+        last = run
+
+
+def test_gif_streams_grow_a_dictionary_that_a_plain_decoder_reads():
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 2, 500, 12_288, 40_000):
+        x = rng.choice(np.frombuffer(b"etaoin shrdlu", np.uint8), n)
+        stream = gif.lzw_encode(x)
+        assert _unlzw(stream, 8) == x.tobytes()
+        assert n < 500 or len(stream) < 0.8 * n
+    media = gif.encode(gif.padded(b"many words, many frames " * 4000))
+    kinds = [(f.disposal, f.delay) for f in gif.frames(media)]
+    assert {d for d, _ in kinds} == {1, 2, 3} and len(kinds) > 6
+    shown = [f.canvas[0, 0, :3].tolist() for f in gif.frames(media)][:2]
+    assert shown[0] == gif.COLOURS[ord("m")].tolist() and shown[1] != shown[0]  # the second has its own palette
+
+
 def test_gif_store_digest(spark, docs):
     got = gif.store_digest(docs).collect()
     assert len(got) == docs.count()
@@ -288,7 +323,7 @@ def test_gif_store_digest(spark, docs):
             media = gif.encode(payload)
             assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(text), len(payload), hashlib.sha256(payload).hexdigest())
             assert (r.tail_crc32, r.media_bytes, r.media_sha256) == (zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest())
-            assert sum(map(int, r.feature.split(","))) == len(payload)
+            assert sum(map(int, r.feature.split(","))) == len(payload) and r.duration == gif.DELAY * r.n_frames
     frames = gif.frames_of(gif.as_media(docs.where("doc_id = 20")), "doc_id").collect()
     assert [f.frame for f in frames] == list(range(len(frames))) and len(frames) > 2 and frames[1].shown_at == gif.DELAY
     assert gif.store_digest(spark.createDataFrame([], SCHEMA)).collect() == []

@@ -3,7 +3,8 @@
 ``decode`` reads any GIF87a or GIF89a file into timed frames on a canvas. Its LZW decoder works on
 whole arrays: code widths follow from a code's place behind the last clear code; each code of more
 than one sample repeats a stretch of earlier output, so samples resolve by pointer doubling.
-``encode`` writes samples as frames of grey levels without loss.
+``encode`` writes samples as frames of colours without loss, each frame's stream with a growing
+dictionary; local palettes, transparency and disposals take turns.
 """
 
 from __future__ import annotations
@@ -19,26 +20,56 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 UNIT, ROWS, DELAY = 192, 64, 4
-BINS = 16
-GREY = np.repeat(np.arange(256, dtype=np.uint8), 3).reshape(256, 3)
+#: Levels of each of red, green and blue that histograms tell apart.
+BINS = 4
+_LEVEL = np.arange(256)
+#: Sample i as a colour: three bits of red, three of green, two of blue; frames of odd number swap red and blue.
+COLOURS = np.stack([(_LEVEL >> 5) * 36, (_LEVEL >> 2 & 7) * 36, (_LEVEL & 3) * 85], 1).astype(np.uint8)
+#: Frames from the second on leave sample 0, which UTF-8 text hardly holds, clear; they are disposed of in turn.
+CLEAR, DISPOSALS = 0, (1, 2, 3)
 
 
-def lzw_encode(samples: np.ndarray, depth: int = 8) -> bytes:
-    """A code stream of samples below 2**depth: one code a sample, cleared before the codes would widen.
+def _widths(depth: int, n: int) -> np.ndarray:
+    """Bits of the code at each of n places behind a clear code: place k defines entry clear + 1 + k."""
+    width = np.minimum(12, np.maximum(depth + 1, np.ceil(np.log2((1 << depth) + 2 + np.arange(n))).astype(np.int64)))
+    width[:1] = depth + 1
+    return width
 
-    Valid for every decoder and about 9/8 of the samples at 8 bits; no dictionary is searched, so
-    it runs on whole arrays.
-    """
-    clear, width, block = 1 << depth, depth + 1, (1 << depth) - 2
-    n = len(samples)
-    blocks = max(1, -(-n // block))
-    codes = np.full(blocks * (block + 1), clear, np.uint16)
-    filled = np.zeros(blocks * block, np.uint16)
-    filled[:n] = samples
-    codes.reshape(blocks, block + 1)[:, 1:] = filled.reshape(blocks, block)
-    codes = np.append(codes[: n + blocks], np.uint16(clear + 1))
-    low = np.unpackbits(codes.view(np.uint8).reshape(-1, 2), axis=1, bitorder="little")[:, :width]
-    return np.packbits(low.ravel(), bitorder="little").tobytes()
+
+def lzw_encode(samples: np.ndarray, depth: int = 8) -> bytes:
+    """The code stream of samples below 2**depth: the longest known run each time, cleared when the dictionary is full."""
+    clear = 1 << depth
+    known: dict[int, int] = {}
+    codes, cleared = [clear], [0]
+    free, rest = clear + 2, iter(samples.tobytes())
+    held = next(rest, None)
+    for s in rest:
+        run = held << 8 | s
+        code = known.get(run)
+        if code is not None:
+            held = code
+            continue
+        codes.append(held)
+        known[run] = free
+        free += 1
+        held = s
+        if free == 4096:
+            cleared.append(len(codes))
+            codes.append(clear)
+            known = {}
+            free = clear + 2
+    if held is not None:
+        codes.append(held)
+    codes.append(clear + 1)
+    table = np.array(codes, np.uint16)
+    width = np.empty(len(table), np.int64)
+    at, every = np.array([*cleared, len(table)]), _widths(depth, 4100)
+    width[0] = depth + 1
+    for a, b in zip(at, at[1:]):  # the places behind each clear code, up to the next one and with it
+        stop = min(b + 1, len(table))
+        width[a + 1 : stop] = every[: stop - a - 1]
+    bits = np.unpackbits(table.view(np.uint8).reshape(-1, 2), axis=1, bitorder="little")
+    return np.packbits(bits[np.arange(16) < width[:, None]], bitorder="little").tobytes()
 
 
 def _read(bits: np.ndarray, at: np.ndarray, width: np.ndarray) -> np.ndarray:
@@ -54,14 +85,10 @@ def lzw_decode(stream: bytes, depth: int, most: int) -> np.ndarray:
     Raises ValueError on a code that is not defined yet.
     """
     clear, end = 1 << depth, (1 << depth) + 1
-    if (all_narrow := _narrow(stream, depth)) is not None:
-        return all_narrow[:most]
     bits = np.frombuffer(stream + b"\0" * 4, np.uint8)
     total, at, parts, made = len(stream) * 8, 0, [], 0
     # Place k behind a clear code: entry clear + 1 + k is defined by it, so widths are fixed by place.
-    place = np.arange(1 << 13)
-    width = np.minimum(12, np.maximum(depth + 1, np.ceil(np.log2(clear + 2 + place)).astype(np.int64)))
-    width[0] = depth + 1
+    width = _widths(depth, 1 << 13)
     starts = np.concatenate([[0], np.cumsum(width)])
     while made < most and at + depth + 1 <= total:
         room = np.searchsorted(starts, total - at, "right") - 1
@@ -87,21 +114,6 @@ def lzw_decode(stream: bytes, depth: int, most: int) -> np.ndarray:
     return np.concatenate(parts)[:most] if parts else np.zeros(0, np.uint8)
 
 
-def _narrow(stream: bytes, depth: int):
-    """The samples if all codes have the first width and stand for one sample each, else None."""
-    clear, width = 1 << depth, depth + 1
-    bits = np.frombuffer(stream + b"\0" * 4, np.uint8)
-    codes = _read(bits, np.arange(len(stream) * 8 // width) * width, np.int64(width))
-    end = np.nonzero(codes == clear + 1)[0]
-    codes = codes[: end[0]] if len(end) else codes
-    if not len(codes) or codes.max() > clear:
-        return None
-    cleared = np.nonzero(codes == clear)[0]
-    if np.diff(np.concatenate([[-1], cleared, [len(codes)]])).max() > clear - 1:
-        return None
-    return codes[codes < clear].astype(np.uint8)
-
-
 def _expand(codes: np.ndarray, clear: int) -> np.ndarray:
     """Samples of the codes between two clear codes."""
     n = len(codes)
@@ -146,7 +158,11 @@ def _blocks(data: bytes, at: int) -> tuple[bytes, int]:
 
 
 def decode(data: bytes) -> list[Frame]:
-    """All frames with the canvas as shown after each; raises ValueError on what is no GIF."""
+    return list(frames(data))
+
+
+def frames(data: bytes):
+    """Each frame with the canvas as shown after it; raises ValueError on what is no GIF."""
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     width, height, flags = struct.unpack_from("<HHB", data, 6)
@@ -156,7 +172,6 @@ def decode(data: bytes) -> list[Frame]:
         shared = np.frombuffer(data, np.uint8, 3 * n, at).reshape(n, 3)
         at += 3 * n
     canvas = np.zeros((height, width), np.uint32)  # red, green, blue, opacity as bytes
-    frames: list[Frame] = []
     delay, disposal, clear_index = 0, 0, None
     while at < len(data) and data[at] != 0x3B:
         if data[at] == 0x21:
@@ -198,35 +213,33 @@ def decode(data: bytes) -> list[Frame]:
             part[:] = shown
         else:
             np.copyto(part, shown, where=seen != clear_index)
-        frames.append(Frame(left, top, indices, canvas.copy().view(np.uint8).reshape(height, width, 4), delay, disposal))
+        yield Frame(left, top, indices, canvas.copy().view(np.uint8).reshape(height, width, 4), delay, disposal)
         if disposal == 2:
             part[:] = 0
         elif disposal == 3:
             canvas = before
         delay, disposal, clear_index = 0, 0, None
-    return frames
 
 
 def encode(payload: bytes, rows: int = ROWS, delay: int = DELAY) -> bytes:
     """A GIF whose frames hold the payload, UNIT samples a row; its length is a positive multiple of UNIT."""
     samples = np.frombuffer(payload, np.uint8).reshape(-1, UNIT)
-    out = [b"GIF89a", struct.pack("<HHBBB", UNIT, min(rows, len(samples)), 0xF7, 0, 0), GREY.tobytes()]
-    for start in range(0, len(samples), rows):
+    out = [b"GIF89a", struct.pack("<HHBBB", UNIT, min(rows, len(samples)), 0xF7, 0, 0), COLOURS.tobytes()]
+    for i, start in enumerate(range(0, len(samples), rows)):
         some = samples[start : start + rows]
         stream = lzw_encode(some.ravel())
         padded = [bytes([len(stream[i : i + 255])]) + stream[i : i + 255] for i in range(0, len(stream), 255)]
-        out += [struct.pack("<BBBBHBB", 0x21, 0xF9, 4, 1 << 2, delay, 0, 0), struct.pack("<BHHHHBB", 0x2C, 0, 0, UNIT, len(some), 0, 8), *padded, b"\0"]
+        own = COLOURS[:, ::-1].tobytes() if i % 2 else b""
+        control = struct.pack("<BBBBHBB", 0x21, 0xF9, 4, DISPOSALS[i % 3] << 2 | (i > 0), delay, CLEAR, 0)
+        out += [control, struct.pack("<BHHHHB", 0x2C, 0, 0, UNIT, len(some), 0x87 if own else 0), own, b"\x08", *padded, b"\0"]
     return b"".join([*out, b"\x3b"])
 
 
 def histogram(canvas: np.ndarray, bins: int = BINS) -> np.ndarray:
-    """Counts of shown samples by brightness; samples that nothing was drawn on are left out."""
-    level = (canvas[:, :, 0].astype(np.uint16) + canvas[:, :, 1] + canvas[:, :, 2]) // 3
-    hidden = canvas[:, :, 3] == 0
-    if hidden.any():
-        level = level[~hidden]
-    counts = np.bincount(level.ravel(), minlength=256)
-    return np.bincount(np.arange(256) * bins // 256, weights=counts).astype(np.int64)
+    """Counts of shown samples by red, green and blue level; samples that nothing was drawn on are left out."""
+    level = canvas[:, :, :3].astype(np.uint16) * bins >> 8
+    code = ((level[:, :, 0] * bins + level[:, :, 1]) * bins + level[:, :, 2])[canvas[:, :, 3] > 0]
+    return np.bincount(code.ravel(), minlength=bins**3)
 
 
 def frames_of(media: DataFrame, key: str, column: str = "media") -> DataFrame:
@@ -237,7 +250,7 @@ def frames_of(media: DataFrame, key: str, column: str = "media") -> DataFrame:
             out = []
             for k, data in zip(batch.column(0), batch.column(1)):
                 at = 0
-                for i, f in enumerate(decode(data.as_py()) if data.is_valid else []):
+                for i, f in enumerate(frames(data.as_py()) if data.is_valid else []):
                     out.append((k.as_py(), i, f.left, f.top, f.indices.shape[1], f.indices.shape[0], f.delay, f.disposal, at, histogram(f.canvas).tolist()))
                     at += f.delay
             yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in out], pa.schema([(names[0], batch.schema.types[0]), *((n, pa.int32()) for n in names[1:-1]), (names[-1], pa.list_(pa.int64()))]))
@@ -254,17 +267,20 @@ def padded(text: bytes) -> bytes:
 
 _FIELDS = (
     ("n_bytes", pa.int64(), "long"), ("payload_bytes", pa.int64(), "long"), ("payload_sha256", pa.string(), "string"), ("tail_crc32", pa.int64(), "long"),
-    ("media_bytes", pa.int64(), "long"), ("media_sha256", pa.string(), "string"), ("feature", pa.string(), "string"), ("n_frames", pa.int32(), "int"),
+    ("media_bytes", pa.int64(), "long"), ("media_sha256", pa.string(), "string"), ("feature", pa.string(), "string"), ("n_frames", pa.int32(), "int"), ("duration", pa.int64(), "long"),
 )
 
 
 def _digest(text: bytes) -> tuple:
     media = encode(padded(text))
-    frames = decode(media)
-    read = b"".join(f.indices.tobytes() for f in frames)
-    # Frames lie on the canvas from the top; what an earlier frame left below a short last one is not its own.
-    shown = sum(histogram(f.canvas[: f.indices.shape[0]]) for f in frames)
-    return len(text), len(read), hashlib.sha256(read).hexdigest(), zlib.crc32(read[-16:]), len(media), hashlib.sha256(media).hexdigest(), ",".join(map(str, shown.tolist())), len(frames)
+    read, crc, size, shown, n, lasts = hashlib.sha256(), b"", 0, np.zeros(BINS**3, np.int64), 0, 0
+    for f in frames(media):
+        stored = f.indices.tobytes()
+        read.update(stored)
+        crc, size, n, lasts = stored[-16:], size + len(stored), n + 1, lasts + f.delay
+        # Frames lie on the canvas from the top; what an earlier frame left below a short last one is not its own.
+        shown += histogram(f.canvas[: f.indices.shape[0]])
+    return len(text), size, read.hexdigest(), zlib.crc32(crc), len(media), hashlib.sha256(media).hexdigest(), ",".join(map(str, shown.tolist())), n, lasts
 
 
 def _store(text: pa.Array) -> pa.Array:
