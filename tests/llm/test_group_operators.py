@@ -133,6 +133,20 @@ def test_near_vectors_equal_brute_force(spark):
     assert lattice.near_vectors(df.limit(0)).collect() == []
 
 
+def test_near_vectors_of_every_dimension(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for d, n in ((2, 6), (3, 2), (40, 12), (5, 3)):
+        centre = rng.normal(size=d)
+        rows += [centre + rng.normal(size=d) * 0.02 for _ in range(n)]
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in lattice.near_vectors(df).collect()}
+    unit = [v / np.linalg.norm(v) for v in rows]
+    for i, v in enumerate(unit):
+        near_by = [j for j, w in enumerate(unit) if len(w) == len(v) and w @ v >= 0.95]
+        assert got[i] == (len(near_by) - 1, min(near_by))
+
+
 def test_chat_reads_back_what_went_in(spark):
     said = "\\### Assistant: </turn> ok"
     turns = [
@@ -214,21 +228,42 @@ def test_shards_are_even_gapless_and_keep_groups_whole(spark):
     assert sharding.shard(df.limit(0)).collect() == []
 
 
+def _plain_best_fit(sizes, capacity):
+    """Item by item: (size, bin) in order, and the room left in each bin."""
+    rooms, out = [], []
+    for s in sorted(sizes, reverse=True):
+        fits = [(r, b) for b, r in enumerate(rooms) if r >= s]
+        b = min(fits)[1] if fits else len(rooms)
+        if not fits:
+            rooms.append(capacity)
+        rooms[b] -= s
+        out.append((s, b))
+    return out, rooms
+
+
 def test_best_fit_takes_the_tightest_bin():
     rng = random.Random(9)
     for _ in range(50):
-        items = [(i, rng.randint(1, 60)) for i in range(rng.randint(0, 80))]
-        got = sharding.best_fit_decreasing(items, 60)
-        rooms, want = [], {}
-        for i, s in sorted(items, key=lambda x: (-x[1], x[0])):
-            fits = [(r, b) for b, r in enumerate(rooms) if r >= s]
-            b = min(fits)[1] if fits else len(rooms)
-            if not fits:
-                rooms.append(60)
-            rooms[b] -= s
-            want[i] = b
-        assert got == want
-    assert sharding.best_fit_decreasing([(0, 61)], 60) is None
+        sizes = [rng.randint(1, 60) for _ in range(rng.randint(0, 80))]
+        got = sharding.best_fit_decreasing(list(collections.Counter(sizes).items()), 60)
+        assert [(s, b) for s in sorted(got, reverse=True) for b, k in got[s] for _ in range(k)] == _plain_best_fit(sizes, 60)[0]
+    assert sharding.best_fit_decreasing([(61, 1)], 60) is None
+
+
+def test_shards_are_those_of_best_fit_decreasing(spark):
+    rng = random.Random(4)
+    texts = [chr(97 + i % 26) * rng.randint(1, 30) + str(rng.randint(0, 50)) for i in range(700)]
+    got = sharding.shard(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    groups = collections.Counter(texts)
+    sizes = [(len(t) + 1) * n for t, n in groups.items()]
+    capacity = -(-sum(sizes) // 16)
+    more = 0
+    while len(_plain_best_fit(sizes, capacity + more)[1]) > 16:
+        more = max(1, 2 * more)
+    want = collections.Counter(_plain_best_fit(sizes, capacity + more)[0])
+    placed = {r.text_md5: r.shard for r in got}
+    mine = collections.Counter((sum(r.size for r in got if r.text_md5 == k), b) for k, b in placed.items())
+    assert mine == want
 
 
 def test_extract_finds_the_article(spark, data):

@@ -1,21 +1,24 @@
 """Sharding by best-fit-decreasing bin packing of indivisible groups.
 
-Groups are rows with equal texts. A group of at least 1 / (shards * grain) of all bytes is an item of
-its own, and there are at most shards * grain of those; the many small groups are bundled by hash
-into that number of further items. So the driver packs a bounded list whatever the corpus holds,
-while every row is placed and numbered by Spark.
+Groups are rows with equal texts. All groups are packed: those of one size in bytes form a class, and
+best fit puts as many of a class as have room into the tightest bin, which then stays the tightest,
+so a class costs a step a bin and not a step a group. The driver holds a count for each distinct size;
+sizes that differ add up, so there are at most sqrt(2 * bytes) of them. Within a class, groups take
+the places in order of a rank that Spark works out in buckets of bounded size.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
 
 SHARDS = 16
-GRAIN = 64
 LEAST_UNIT = 64
+#: Distinct sizes whose places are joined by broadcast, some 50 bytes each; more are joined by a shuffle.
+MOST_BROADCAST = 200_000
 
 
 class RoomTree:
@@ -80,54 +83,59 @@ class RoomTree:
         return best
 
 
-def best_fit_decreasing(items: list[tuple], capacity: int, bins: int | None = None) -> dict | None:
-    """item -> bin for (item, size) pairs; a bin opens only when none has room. None if ``bins`` don't do."""
+def best_fit_decreasing(classes: list[tuple[int, int]], capacity: int, bins: int | None = None) -> dict | None:
+    """size -> [(bin, how many)] for (size, count) pairs; a bin opens only when none has room. None if ``bins`` don't do."""
     tree, placed, opened = RoomTree(), {}, 0
-    for item, size in sorted(items, key=lambda x: (-x[1], x[0])):
-        found = tree.tightest(size)
-        if found is None:
-            if size > capacity or opened == bins:
-                return None
-            found, opened = (capacity, opened), opened + 1
-        else:
-            tree.take(found)
-        tree.add((found[0] - size, found[1]))
-        placed[item] = found[1]
+    for size, count in sorted(classes, reverse=True):
+        runs = placed.setdefault(size, [])
+        while count:
+            found = tree.tightest(size)
+            if found is None:
+                if size > capacity or opened == bins:
+                    return None
+                found, opened = (capacity, opened), opened + 1
+            else:
+                tree.take(found)
+            some = min(count, found[0] // size)  # after each it is tighter still, and the best fit again
+            tree.add((found[0] - some * size, found[1]))
+            runs.append((found[1], some))
+            count -= some
     return placed
 
 
-def pack(items: list[tuple], shards: int) -> dict:
-    """item -> shard by best fit decreasing with the least capacity that needs no more than ``shards`` bins.
+def pack(classes: list[tuple[int, int]], shards: int) -> dict:
+    """size -> [(shard, how many)] by best fit decreasing, with a capacity that needs no more than ``shards`` bins.
 
-    An item above an equal share of what is left takes a shard alone, as no packing can do better.
+    The capacity is an equal share plus the least power of two that does. A group above an equal
+    share of what is left takes a shard alone, as no packing can do better.
     """
-    items, placed, first = sorted(items, key=lambda x: (-x[1], x[0])), {}, 0
-    while len(items) > 1 and shards - first > 1 and items[0][1] * (shards - first) > sum(s for _, s in items):
-        placed[items.pop(0)[0]], first = first, first + 1
-    if not items:
+    left, placed, first = sorted(classes), {}, 0
+    total = sum(s * c for s, c in left)
+    while left and shards - first > 1 and left[-1][0] * (shards - first) > total and (len(left) > 1 or left[-1][1] > 1):
+        size, count = left.pop()
+        placed.setdefault(size, []).append((first, 1))
+        first, total = first + 1, total - size
+        if count > 1:
+            left.append((size, count - 1))
+    if not left:
         return placed
-    low = max(-(-sum(s for _, s in items) // (shards - first)), items[0][1])
-    high = low
-    while (best := best_fit_decreasing(items, high, shards - first)) is None:
-        high += max(1, high // 8)
-    while low < high:
-        middle = (low + high) // 2
-        if (tried := best_fit_decreasing(items, middle, shards - first)) is not None:
-            best, high = tried, middle
-        else:
-            low = middle + 1
-    return placed | {k: b + first for k, b in best.items()}
-
-
-def shard(docs: DataFrame, shards: int = SHARDS, grain: int = GRAIN) -> DataFrame:
+    low = max(-(-total // (shards - first)), left[-1][0])
+    more = 0
+    while (best := best_fit_decreasing(left, low + more, shards - first)) is None:
+        more = max(1, 2 * more)
+    for size, runs in best.items():
+        placed.setdefault(size, []).extend((b + first, k) for b, k in runs)
+    return placed
+
+
+def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, text_md5, shard, slot for every row of ``docs`` (doc_id, text).
 
     Size is the text's UTF-8 bytes plus 1. Rows with equal texts share a shard. Slots number a
     shard's rows from 0 without gaps. Reruns agree.
 
-    Defined cases: a null text has size 1 and is a group apart from the empty text; null ids sort
-    first; rows equal in everything get slots in any order among themselves; an empty table gives
-    an empty result; other columns are ignored.
+    Defined cases: a null text has size 1 and is a group apart from the empty text; rows equal in
+    everything get slots in any order among themselves; an empty table gives an empty result; other columns are ignored, whatever their names.
     """
     text = F.col("text")
     rows = cut(
@@ -138,33 +146,37 @@ def shard(docs: DataFrame, shards: int = SHARDS, grain: int = GRAIN) -> DataFram
             F.coalesce(F.unhex(F.md5(text.cast("binary"))), F.lit(b"")).alias("text_md5"),
         )
     )
-    groups = rows.groupBy("text_md5").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
-    total, n = rows.agg(F.sum("size"), F.count(F.lit(1))).first()
-    parts = shards * grain
-    heavy = F.col("bytes") * parts >= F.lit(total or 0)
-    bundle = F.pmod(F.xxhash64("text_md5"), F.lit(parts))
-    items = (
-        groups.select(F.when(heavy, F.col("text_md5")).alias("own"), F.when(~heavy, bundle).alias("bundle"), "bytes", "n")
-        .groupBy("own", "bundle").agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n")).collect()
-    )  # 2 * parts rows at most
-    keyed = {(0, bytes(r.own)) if r.own is not None else (1, r.bundle): r for r in items}
-    at = pack([(k, r.bytes) for k, r in keyed.items()], shards)
-    number = {k: i for i, k in enumerate(sorted(keyed))}
-    unit = max(LEAST_UNIT, int((n or 0) ** 0.5))
-    schema = "own binary, bundle long, item int, shard int, subs long"
-    plan = [(k[1] if k[0] == 0 else None, k[1] if k[0] else None, number[k], at[k], -(-r.n // unit)) for k, r in keyed.items()]
-    plan = rows.sparkSession.createDataFrame(plan, schema)
-    owns, bundles = plan.where("own is not null").drop("bundle"), plan.where("bundle is not null").drop("own")
-    # Both sides are bounded by shards * grain rows.
-    a = rows.join(F.broadcast(owns), F.col("text_md5") == F.col("own"), "left").drop("own").withColumn("bundle", bundle)
-    b = F.broadcast(bundles.toDF("bundle", "item_", "shard_", "subs_"))
-    placed = a.join(b, "bundle", "left").select(
-        "doc_id", "size", "text_crc32", "text_md5",
-        *(F.coalesce(c, f"{c}_").alias(c) for c in ("item", "shard", "subs")),
-    ).withColumn("sub", F.pmod(F.xxhash64("doc_id"), F.col("subs")))
-    units = placed.groupBy("shard", "item", "sub").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("shard").orderBy("item", "sub").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = units.select("item", "sub", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    inside = Window.partitionBy("item", "sub").orderBy(F.col("doc_id").asc_nulls_first(), "size", "text_crc32")
-    numbered = placed.withColumn("in_unit", F.row_number().over(inside)).join(offsets, ["item", "sub"])
-    return numbered.select("doc_id", "size", "text_crc32", "text_md5", "shard", (F.col("first") + F.col("in_unit") - 1).cast("long").alias("slot"))
+    spark = rows.sparkSession
+    n = rows.count()
+    unit = max(LEAST_UNIT, int(n**0.5))
+    groups = cut(rows.groupBy("text_md5").agg(F.sum("size").alias("bytes")))
+    classes = groups.groupBy("bytes").agg(F.count(F.lit(1)).alias("n")).toArrow()  # at most sqrt(2 * bytes) rows
+    counts = dict(zip(classes.column("bytes").to_pylist(), classes.column("n").to_pylist()))
+    packed = pack(list(counts.items()), shards)
+    sizes = list(packed)
+    told = {
+        "bytes": pa.array(sizes, pa.int64()),
+        "parts": pa.array([-(-counts[s] // unit) for s in sizes], pa.int64()),
+        "places": pa.array([[k for _, k in packed[s]] for s in sizes], pa.list_(pa.int64())),
+        "bins": pa.array([[b for b, _ in packed[s]] for s in sizes], pa.list_(pa.int32())),
+    }
+    plan = spark.createDataFrame(pa.table(told))
+    few = F.broadcast if len(sizes) <= MOST_BROADCAST else (lambda df: df)
+    # Ranks of groups within their class: by bucket, buckets in order.
+    dealt = groups.join(few(plan.select("bytes", "parts")), "bytes").withColumn("part", F.pmod(F.xxhash64("text_md5"), F.col("parts")))
+    behind = Window.partitionBy("bytes").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = dealt.groupBy("bytes", "part").agg(F.count(F.lit(1)).alias("m")).select("bytes", "part", F.coalesce(F.sum("m").over(behind), F.lit(0)).alias("first"))
+    ranked = dealt.withColumn("place", F.row_number().over(Window.partitionBy("bytes", "part").orderBy("text_md5"))).join(firsts, ["bytes", "part"])
+    rank = F.col("first") + F.col("place") - 1
+    # The run that a rank falls into: how many runs end at or before it.
+    ends = F.transform(F.sequence(F.lit(1), F.size("places")), lambda i: F.aggregate(F.slice("places", F.lit(1), i), F.lit(0).cast("long"), lambda a, x: a + x))
+    run = F.size(F.filter(ends, lambda end: end <= rank))
+    placed = ranked.join(few(plan.select("bytes", "places", "bins")), "bytes").select("text_md5", F.col("bins")[run].alias("shard"))
+    # Slots: rows in buckets by hash, counted within, buckets in order.
+    where = rows.join(placed, "text_md5").withColumn("part", F.pmod(F.xxhash64("doc_id", "text_md5"), F.lit(-(-n // unit) or 1)))
+    parts = where.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("m"))
+    before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select("shard", "part", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("first"))
+    inside = Window.partitionBy("shard", "part").orderBy(F.col("doc_id").asc_nulls_first(), "size", "text_md5")
+    numbered = where.withColumn("in_part", F.row_number().over(inside)).join(offsets, ["shard", "part"])
+    return numbered.select("doc_id", "size", "text_crc32", "text_md5", "shard", (F.col("first") + F.col("in_part") - 1).cast("long").alias("slot"))
