@@ -266,6 +266,57 @@ def test_shards_are_those_of_best_fit_decreasing(spark):
     assert mine == want
 
 
+_P = [
+    "The river rose slowly through the night, and by morning the lower fields were under water again.",
+    "Nobody in the village could remember a spring like it. The old mill stood in the middle of a lake, and people went to the shop by boat.",
+    "A spokesman said that the dam would hold.", "By Friday the rain had stopped.",
+    "Farmers counted their losses while the council met to decide what to rebuild first, which took most of the evening and pleased no one.",
+]
+_MENU = '<ul><li><a href="/">Home</a></li><li><a href="/n">News</a></li><li><a href="/c">Contact us</a></li></ul>'
+_REMARKS = '<div class="comments"><h3>Comments</h3><div class="comment"><p>I was there and it was bad.</p></div><div class="comment"><p>Great article, thanks for it!</p></div></div>'
+_COOKIES, _FOOT = '<div class="cookie-banner">We use cookies to make this site better. <button>OK</button></div>', "<footer>&copy; 2024 River News. All rights reserved.</footer>"
+_ADVERT, _SEARCH = '<div class="advert">Buy one pump, get one free!</div>', '<form action="/s"><label>Search</label><input name="q"><button>Go</button></form>'
+
+
+def _hand_written():
+    """(html, main blocks) of pages in many layouts."""
+    paragraphs = "".join(f"<p>{x}</p>" for x in _P)
+    table = "<table><tr><th>Year</th><th>Level</th></tr><tr><td>1999</td><td>3.2</td></tr><tr><td>2024</td><td>4.1</td></tr></table>"
+    for head, title in (("", []), ("<h1>The spring flood</h1>", ["The spring flood"])):
+        for body, told in (
+            (head + paragraphs, title + _P),
+            (head + "".join(f"<div>{x}</div>" for x in _P), title + _P),
+            (head + f"<p>{_P[0]}</p>{table}<p>{_P[1]}</p><p>{_P[4]}</p>", title + [_P[0], "Year", "Level", "1999", "3.2", "2024", "4.1", _P[1], _P[4]]),
+            (head + f"<p>{_P[0]}</p><h2>Afterwards</h2><ul><li>{_P[2]}</li><li>{_P[3]}</li></ul><blockquote>{_P[4]}</blockquote>", title + [_P[0], "Afterwards", _P[2], _P[3], _P[4]]),
+        ):
+            yield f"<html><body><nav>{_MENU}</nav><article>{body}</article>{_FOOT}</body></html>", told
+            yield f'<body><div class="wrapper"><div class="top">{_MENU}</div><div class="inner">{body}</div></div></body>', told
+            yield f'<body>{_COOKIES}<div id="xq7"><div class="rt">{_MENU}</div><main>{body}{_ADVERT}</main></div>{_REMARKS}{_FOOT}</body>', told
+            yield f"<body><header>River News</header><table><tr><td>{_MENU}</td><td>{body}</td></tr></table>{_FOOT}</body>", told
+            yield f'<body>{_SEARCH}<section class="zzt"><div class="p1">{body}</div></section><aside><h3>Popular</h3>{_MENU}</aside></body>', told
+
+
+def test_extract_hand_written_pages():
+    field = extract.fit_field(["alpha", "beta", "gamma", "delta", "word", "text", "and", "the", "of", "in"], 500)
+    hits = found = wanted = 0
+    for page, told in _hand_written():
+        got = extract.main_text(page, field).split("\n\n")
+        assert got != [""], page
+        both = sum((collections.Counter(got) & collections.Counter(told)).values())
+        hits, found, wanted = hits + both, found + len(got), wanted + len(told)
+    assert 2 * hits / (found + wanted) > 0.95
+
+
+def test_extract_takes_broken_pages_in_time():
+    import time
+
+    field = extract.ChainField()
+    for page in ('<a "x ' * 100_000, "<a 'x " * 100_000, '<div class="a' * 50_000, "<!-" * 200_000, "<script " * 50_000):
+        began = time.time()
+        extract.main_text(page, field)
+        assert time.time() - began < 10
+
+
 def test_extract_finds_the_article(spark, data):
     field = extract.fit_field(["alpha", "beta", "gamma", "delta", "word", "text", "and", "the"], 300)
     held = extract.labelled_pages(["some", "other", "words", "here", "now"], 120, seed=77)

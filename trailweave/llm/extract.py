@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Hashed features, labelled pages, passes over them, sample of pages that lend words.
-FEATURES, PAGES, PASSES, WORD_PAGES = 1 << 13, 500, 12, 200
+#: Hashed features, labelled pages, passes over them, pages that lend words, about.
+FEATURES, PAGES, PASSES, WORD_PAGES = 1 << 13, 700, 10, 200
 
 # HTML element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -29,37 +29,51 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 CLOSED_BY_BLOCK = frozenset(("p",))
 SAME_CLOSES = frozenset("li dt dd tr td th option p thead tbody tfoot".split())
 
+# Attributes: up to 30 quoted ones, else up to the next angle bracket; possessive, so that broken quotes cost little.
+_ATTRS = r"(?:(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+'){0,60}+(?=>)|[^<>]*+)"
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(sorted(RAW)) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<",
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(sorted(RAW)) + rf")\b{_ATTRS}>.*?(?:</(?P=raw)\s*>|\Z)"
+    rf"|<(?P<close>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>{_ATTRS})>|<[!?][^<>]*+>|[^<]+|<",
     re.IGNORECASE | re.DOTALL,
 )
 _ATTR = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _NAME = re.compile(r"[a-z]+")
 _SPACES = re.compile(r"[\s\x1c-\x1f]+")
 _STOPS = ".!?:;…\"»”)"
+_SENTENCE = re.compile(r"[.!?…](?:\s|$)")
+# Elements that stand inside a part of a page rather than make one, and those of tables.
+_INNER = frozenset("p li dt dd ul ol dl h1 h2 h3 h4 h5 h6 blockquote figure figcaption pre caption address".split())
+_TABLE = frozenset("td th tr tbody thead tfoot table".split())
 
 
 class Block:
-    __slots__ = ("path", "names", "text", "linked")
+    __slots__ = ("path", "names", "text", "linked", "home")
 
-    def __init__(self, path, names, text, linked):
-        self.path, self.names, self.text, self.linked = path, names, text, linked
+    def __init__(self, path, names, text, linked, home=0):
+        self.path, self.names, self.text, self.linked, self.home = path, names, text, linked, home
+
+
+def _home(stack) -> int:
+    """The number of the element that makes the part of the page which a block stands in."""
+    i = len(stack) - 1
+    while i >= 0 and (stack[i][0] in _INNER or (stack[i][0] in _TABLE and (i + 1 == len(stack) or stack[i + 1][0] in _TABLE))):
+        i -= 1
+    return stack[i][2] if i >= 0 else 0
 
 
 def blocks(page: str) -> list[Block]:
     """Leaf blocks in page order: open tags, words of their classes and ids, text, characters inside links."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple]] = []  # block-level elements; inline ones only matter for links
+    stack: list[tuple[str, tuple, int]] = []  # block-level elements, numbered; inline ones only matter for links
     parts: list[str] = []
-    linked = links = 0
+    linked = links = made = 0
 
     def flush():
         nonlocal linked
         if parts:
             text = _SPACES.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                out.append(Block(tuple(t for t, _ in stack), tuple(n for _, names in stack for n in names), text, min(linked, len(text))))
+                out.append(Block(tuple(t for t, _, _ in stack), tuple(n for _, names, _ in stack for n in names), text, min(linked, len(text)), _home(stack)))
             parts.clear()
         linked = 0
 
@@ -97,7 +111,8 @@ def blocks(page: str) -> list[Block]:
             names = ()
             if m["attrs"]:
                 names = tuple(n for a in _ATTR.findall(m["attrs"]) for n in _NAME.findall("".join(a).lower()))
-            stack.append((tag, names))
+            made += 1
+            stack.append((tag, names, made))
     flush()
     return out
 
@@ -111,20 +126,33 @@ def _feature(*told, known: dict = {}) -> int:  # noqa: B006  hashes of names met
 
 
 def features(found: list[Block]) -> list[list[int]]:
-    """Hashed features of each block."""
+    """Hashed features of each block, of its neighbours and of the part of the page it stands in."""
     out, n = [], len(found)
+    plain: dict[int, int] = {}
+    for b in found:
+        plain[b.home] = plain.get(b.home, 0) + len(b.text) - b.linked
+    total, most = max(1, sum(plain.values())), max(plain.values(), default=0)
+    looks = [(min(9, len(b.text).bit_length()), min(4, 4 * b.linked // len(b.text)), b.text[-1] in _STOPS) for b in found]
     for i, b in enumerate(found):
         size, text = len(b.text), b.text
+        bits, links, ends = looks[i]
         words = text.count(" ") + 1
-        mine = {_feature("bias"), _feature("leaf", b.path[-1] if b.path else ""), _feature("size", min(9, size.bit_length())), _feature("words", min(8, words.bit_length()))}
+        mine = {_feature("bias"), _feature("leaf", b.path[-1] if b.path else ""), _feature("size", bits), _feature("words", min(8, words.bit_length()))}
         mine.update(_feature("in", t) for t in b.path)
         mine.update(_feature("named", w) for w in b.names)
-        mine.add(_feature("links", min(4, 4 * b.linked // size)))
-        mine.add(_feature("ends", text[-1] in _STOPS))
+        mine.add(_feature("links", links))
+        mine.add(_feature("ends", ends))
+        mine.add(_feature("prose", bits > 6 and links == 0 and ends))
+        mine.add(_feature("sentences", min(4, len(_SENTENCE.findall(text)))))
         mine.add(_feature("sign", text[0] in "©®→»|•"))
         mine.add(_feature("first", i == 0))
         mine.add(_feature("last", i == n - 1))
         mine.add(_feature("depth", min(6, len(b.path))))
+        mine.add(_feature("share", min(9, 10 * plain[b.home] // total), plain[b.home] == most))
+        for side, j in (("before", i - 1), ("behind", i + 1)):
+            if 0 <= j < n:
+                mine.add(_feature(side, min(4, looks[j][0] // 2), looks[j][1], looks[j][2]))
+                mine.add(_feature(side, "together", found[j].home == b.home))
         out.append(sorted(mine))
     return out
 
@@ -199,7 +227,7 @@ class ChainField:
         return self
 
 
-# What page parts are called in classes, ids and elements, and what stands in them.
+# A grammar of pages: what their parts are often called; as often, training gives parts names that say nothing.
 _MAIN = ("article", "main", "div.content", "div.post", "div.entry", "section.story", "div.article-body", "div#content", "article.post", "div.text", "div")
 _REST = {
     "nav": ("nav", "ul.menu", "div.navigation", "div.nav", "div.breadcrumb", "nav.menu", "div#menu"),
@@ -222,8 +250,18 @@ def labelled_pages(words: list[str], pages: int = PAGES, seed: int = 11) -> list
         some = [rng.choice(words) for _ in range(rng.randint(low, high))]
         return html.escape(" ".join(some)[:1].upper() + " ".join(some)[1:], quote=False) + rng.choice((".", ".", ".", "", "!", "?"))
 
-    def opened(told: str, inner: str) -> str:
+    def invented() -> str:
+        return "".join(rng.choice("abcdefghiklmnoprstuw") for _ in range(rng.randint(2, 8)))
+
+    def wrapped(inner: str, most: int) -> str:
+        for _ in range(rng.randint(0, most)):
+            inner = f'<div class="{rng.choice((invented(), invented(), "wrapper", "inner", "container", "row", "page", "col"))}">{inner}</div>'
+        return inner
+
+    def opened(told: str, inner: str, unnamed: float = 0.0) -> str:
         tag, mark, name = re.match(r"(\w+)([.#]?)(.*)", told).groups()
+        if rng.random() < unnamed:
+            tag, mark, name = rng.choice(("div", "div", "section")), ".", invented()
         if mark == "." and rng.random() < 0.2:
             name += " " + rng.choice(("box", "block", "wrap", "inner", "clearfix"))
         attrs = f' {"class" if mark == "." else "id"}="{name}"' if mark else ""
@@ -251,7 +289,7 @@ def labelled_pages(words: list[str], pages: int = PAGES, seed: int = 11) -> list
             inner, n = f"<h3>{said(1, 4)}</h3><p>{said(3, 20)}</p>", 2
         else:
             inner, n = rng.choice(("{}", "<p>{}</p>", "<span>{}</span>")).format(said(3, 25)), 1
-        return opened(rng.choice(_REST[kind]), inner), n
+        return opened(rng.choice(_REST[kind]), inner, 0.0 if kind in ("notice", "advert", "comments") else 0.3), n
 
     out = []
     for _ in range(pages):
@@ -271,12 +309,22 @@ def labelled_pages(words: list[str], pages: int = PAGES, seed: int = 11) -> list
         for _ in range(rng.randint(1, 14)):
             roll = rng.random()
             if roll < 0.08:
-                main.append(f"<h2>{said(1, 6)}</h2>")
+                head = rng.choice(("h2", "h2", "h3", "h4"))
+                main.append(f"<{head}>{said(1, 6)}</{head}>")
                 marks.append(1)
-            elif roll < 0.14:
+            elif roll < 0.12:
                 n = rng.randint(2, 5)
-                main.append("<ul>" + "".join(f"<li>{said(2, 12)}</li>" for _ in range(n)) + "</ul>")
+                main.append(rng.choice(("<ul>{}</ul>", "<ol>{}</ol>")).format("".join(f"<li>{said(2, 12)}</li>" for _ in range(n))))
                 marks += [1] * n
+            elif roll < 0.15:
+                rows, columns = rng.randint(2, 4), rng.randint(2, 4)
+                head = "".join(f"<th>{said(1, 2)}</th>" for _ in range(columns))
+                cells = "".join("<tr>" + "".join(f"<td>{rng.choice((said(1, 3), str(rng.randint(1, 9999))))}</td>" for _ in range(columns)) + "</tr>" for _ in range(rows))
+                main.append(f"<table><tr>{head}</tr>{cells}</table>")
+                marks += [1] * ((rows + 1) * columns)
+            elif roll < 0.16:
+                main.append(f"<figure><img src=x><figcaption>{said(2, 12)}</figcaption></figure><pre>{said(3, 20)}</pre><dl><dt>{said(1, 2)}</dt><dd>{said(2, 9)}</dd></dl>")
+                marks += [1] * 4
             elif roll < 0.18:
                 main.append(f"<blockquote>{said(5, 40)}</blockquote>")
                 marks.append(1)
@@ -288,12 +336,22 @@ def labelled_pages(words: list[str], pages: int = PAGES, seed: int = 11) -> list
                 text = said(*rng.choice(((1, 6), (5, 40), (20, 120))))
                 main.append(rng.choice(("<p>{}</p>", "<p>{}</p>", "<p>{}", "<p><b>{}<br><p>", "<div>{}</div>")).format(text))
                 marks.append(1)
-        body.append(opened(rng.choice(_MAIN), "".join(main)))
-        labels += marks
+        held = "".join(main)
+        roll = rng.random()
+        if roll < 0.1:
+            body.append(held)  # no element of its own
+            labels += marks
+        elif roll < 0.22:  # a table lays the page out
+            side, n = rest("nav")
+            body.append(f"<table><tr><td>{side}</td><td>{held}</td></tr></table>")
+            labels += [0] * n + marks
+        else:
+            body.append(wrapped(opened(rng.choice(_MAIN), wrapped(held, 2), 0.35), 2))
+            labels += marks
         for kind in ("share", "comments", "side", "advert", "form", "nav", "footer"):
             if rng.random() < 0.45:
                 add(rest(kind), 0)
-        page = "<!DOCTYPE html><html><head><title>x</title><style>p{}</style></head><body>" + "".join(body) + "</body></html>"
+        page = "<!DOCTYPE html><html><head><title>x</title><style>p{}</style></head><body>" + wrapped("".join(body), 1) + "</body></html>"
         if len(blocks(page)) == len(labels):
             out.append((page, labels))
     return out
@@ -304,11 +362,18 @@ def fit_field(words: list[str], pages: int = PAGES) -> ChainField:
     return ChainField().fit(labelled)
 
 
-def sample_words(pages: DataFrame, most_pages: int = WORD_PAGES) -> list[str]:
-    """Words of a bounded sample of pages under 50,000 characters: those with the least hashes; a few fixed ones if there are none."""
-    some = pages.where(F.length("html") < 50_000).select("html").orderBy(F.xxhash64("html")).limit(most_pages).collect()
-    words = sorted({w for r in some for b in blocks(r[0]) for w in b.text.split()[:400]})
-    return words[:: max(1, len(words) // 5000)] or ["one", "two", "three"]
+def sample_words(pages: DataFrame, most_pages: int = WORD_PAGES, most_words: int = 5000) -> list[str]:
+    """Words of about ``most_pages`` pages, chosen by a hash of their html, ``most_words`` at most; a few fixed ones if there are none."""
+    share = int((1 << 20) * min(1.0, most_pages / max(1, pages.count())))
+
+    def words(batches):
+        for batch in batches:
+            said = sorted({w for page in batch.column("html").to_pylist() for b in blocks(page or "") for w in b.text.split()})
+            yield pa.RecordBatch.from_arrays([pa.array(said, pa.string())], ["word"])
+
+    some = pages.where(F.pmod(F.xxhash64(F.lit(2), "html"), F.lit(1 << 20)) < share).select("html")
+    got = some.mapInArrow(words, "word string").distinct().orderBy(F.xxhash64("word")).limit(most_words).collect()
+    return sorted(r["word"] for r in got) or ["one", "two", "three"]
 
 
 def main_text(page: str, field: ChainField) -> str:
