@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def label_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def label_components(edges: DataFrame) -> DataFrame:
     """node, component (the least node reached) of undirected edges (a, b); nodes without an edge are left out.
 
     Labels take the least of their neighbours' and then their label's own label, until none changes;
@@ -15,7 +15,7 @@ def label_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = _cut(both)
     labels = _cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("c")))
-    for _ in range(rounds):
+    while True:
         seen = both.join(labels.select(F.col("a").alias("b"), "c"), "b").groupBy("a").agg(F.min("c").alias("m"))
         low = labels.join(seen, "a").select("a", "c", F.least("c", "m").alias("m"))
         jumped = low.join(labels.select(F.col("a").alias("m"), F.col("c").alias("j")), "m", "left").select("a", "c", F.least("m", F.coalesce("j", "m")).alias("m"))

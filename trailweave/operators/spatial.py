@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..config import CONFIG
 from ..functions.geo import degrees_to_m, flat_m, foot
 
+#: Height of the bands of latitude in which points meet the edges of polygons.
+BAND_DEG = 0.1
+
 
 def _around(cell: Column) -> Column:
     return F.explode(F.sequence(cell - 1, cell + 1))
@@ -73,8 +76,13 @@ def ever_nearest(places: DataFrame, vertices: DataFrame, key: str, radius_deg: f
 
 
 def inside(points: DataFrame, edges: DataFrame) -> DataFrame:
-    """point, poly for each point (area, point, px, py) inside a polygon given by edges (area, poly, x1, y1, x2, y2): crossings to the right are odd."""
-    met = points.join(edges, "area")
+    """point, poly for each point (area, point, px, py) inside a polygon given by edges (area, poly, x1, y1, x2, y2): crossings to the right are odd.
+
+    Points meet only edges that pass their band of latitude, so that work follows the edges beside them.
+    """
+    band = lambda c: F.floor(c / BAND_DEG)
+    passed = edges.withColumn("_band", F.explode(F.sequence(band(F.least("y1", "y2")), band(F.greatest("y1", "y2")))))
+    met = points.withColumn("_band", band(F.col("py"))).join(passed, ["area", "_band"])
     above = (F.col("y1") > F.col("py")) != (F.col("y2") > F.col("py"))
     x = F.col("x1") + (F.col("py") - F.col("y1")) * (F.col("x2") - F.col("x1")) / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0))
     crossed = met.groupBy("point", "poly").agg(F.count_if(above & (F.col("px") < x)).alias("n"))

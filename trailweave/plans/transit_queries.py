@@ -42,9 +42,13 @@ def _names(spark, d):
 
 
 def _connected(spark, d):
-    p = _at_places(spark, d).join(site(spark, d).select("site", "area"), "site")
-    a, b = p.select("area", F.col("site").alias("a"), F.col("routes").alias("ra")), p.select("area", F.col("site").alias("b"), F.col("routes").alias("rb"))
-    return a.join(b, "area").where("a < b").where(transit.connected(F.col("ra"), F.col("rb"))).groupBy("area").agg(F.count(F.lit(1)).alias("links"))
+    """Linked pairs of places by nation. Places with the same routes count as one class, so pairs of places are never listed."""
+    p = _at_places(spark, d).join(site(spark, d).select("site", "area"), "site").where("size(routes) > 0")
+    classes = p.groupBy("area", "routes").agg(F.count(F.lit(1)).alias("n"))
+    side = lambda r, n: classes.select("area", F.explode("routes").alias("route"), F.col("routes").alias(r), F.col("n").alias(n))
+    met = side("ra", "na").join(side("rb", "nb"), ["area", "route"]).where("ra < rb").select("area", "ra", "rb", "na", "nb").distinct()
+    links = met.select("area", (F.col("na") * F.col("nb")).alias("links")).unionByName(classes.select("area", F.expr("n * (n - 1) div 2").alias("links")))
+    return links.groupBy("area").agg(F.sum("links").alias("links")).where("links > 0")
 
 
 def _codes(spark, d):
@@ -127,9 +131,12 @@ def _wraps(spark, d):
     """
     n = _nodes(spark, d)
     c = n.groupBy("area").agg((F.max("km") + 6).alias("around"))
-    hi, lo = n.join(c, "area").select("area", "around", F.col("idx").alias("hi"), F.col("km").alias("b")), n.select("area", F.col("idx").alias("lo"), F.col("km").alias("a"))
+    # The way around is a step for stations in two bands of 25 km of the way between.
+    least = F.floor((F.col("a") + F.col("around") - 25) / 25 - 1e-9)
+    lo = n.join(c, "area").select("area", "around", F.col("idx").alias("lo"), F.col("km").alias("a")).withColumn("band", F.explode(F.array(least, least + 1)))
+    hi = n.select("area", F.col("idx").alias("hi"), F.col("km").alias("b"), F.floor(F.col("km") / 25).alias("band"))
     wrap = F.col("around") - (F.col("b") - F.col("a"))
-    w = hi.join(lo, "area").where("hi > lo").withColumn("wrap", wrap).where("wrap between 8 and 25")
+    w = lo.join(hi, ["area", "band"]).where("hi > lo").withColumn("wrap", wrap).where("wrap between 8 and 25")
     return w.groupBy("area").agg(F.count(F.lit(1)).alias("wraps"), F.max(F.col("b") - F.col("a") + F.col("wrap")).alias("best_total"), F.min_by(F.struct("lo", "hi"), F.struct(-(F.col("b") - F.col("a")), "lo", "hi")).alias("p")).select("area", "wraps", "best_total", "p.lo", "p.hi")
 
 
