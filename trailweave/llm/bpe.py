@@ -26,7 +26,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, utf8
+from .common import chunks, small_batches, utf8
 from .words import SPACE, span_hashes
 
 # White space as Unicode has it, without U+180E, which is not.
@@ -213,6 +213,7 @@ def encode_digest(docs: DataFrame, tokenizer_path: str, sample_texts: int = SAMP
     docs = docs.drop("n_tokens", "ids_sha256", "decoded_sha256", *_KEY)
     text = F.coalesce("text", F.lit(""))  # a null text counts as an empty one: neither has a token
     keyed = docs.withColumn("_k1", F.xxhash64(F.lit(1), text)).withColumn("_len", F.octet_length(text))
+    small_batches(docs.sparkSession)
     table = _common(docs, told, sample_texts, common_words, common_bytes)
     sc = docs.sparkSession.sparkContext
     shared_words, shared_ids = sc.broadcast(_packed(table.column("word"))), sc.broadcast((_packed(table.column("ids")), told))

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Hashed features, labelled pages, passes over them, pages that lend words, about.
 FEATURES, PAGES, PASSES, WORD_PAGES = 1 << 13, 700, 10, 200
 
@@ -391,6 +393,7 @@ def extract(pages: DataFrame, field: ChainField | None = None) -> DataFrame:
     as a block; unclosed elements end where their parents do; null ids and urls pass through;
     repeated rows each get their row; an empty table gives an empty result; other columns are ignored.
     """
+    small_batches(pages.sparkSession)
     field = field or fit_field(sample_words(pages))
     shared = pages.sparkSession.sparkContext.broadcast(field)
 

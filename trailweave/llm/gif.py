@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 UNIT, ROWS, DELAY = 192, 64, 4
 #: Levels of each of red, green and blue that histograms tell apart.
 BINS = 4
@@ -295,6 +297,7 @@ def store_digest(docs: DataFrame) -> DataFrame:
     pass through; repeated rows each get their row; an empty table gives an empty result; other
     columns are ignored.
     """
+    small_batches(docs.sparkSession)
     stored = F.arrow_udf(_store, "struct<" + ", ".join(f"{n}: {k}" for n, _, k in _FIELDS) + ">")
     return docs.select("doc_id", stored("text").alias("m")).select("doc_id", "m.*")
 

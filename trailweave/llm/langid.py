@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, held_out
+from .common import chunks, held_out, small_batches
 from .words import mix
 
 UNKNOWN = "und"
@@ -88,7 +88,7 @@ class Words:
 
 
 def _of(column: pa.Array):
-    for start, n in chunks(column, 3_000_000):
+    for start, n in chunks(column, 1_000_000):
         yield start, n, Words([t or "" for t in column.slice(start, n).to_pylist()])
 
 
@@ -219,6 +219,7 @@ def identify(docs: DataFrame, most_texts: int = MOST_TEXTS) -> DataFrame:
     those added are replaced.
     """
     docs = docs.drop("held_out", "lang_pred", "score", "_found")
+    small_batches(docs.sparkSession)
     model = learn(docs.where(~held_out()).select("doc_id", "text", "lang"), most_texts)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, utf8
+from .common import chunks, cut, small_batches, utf8
 from .components import components
 from .words import mix, shingles
 
@@ -390,6 +390,7 @@ def _grouped(docs: DataFrame, words: int, percent: int, few: int) -> DataFrame:
     """doc_id, told (a hash of the text), n_shingles, component_id."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = docs.where("doc_id is not null")
+    small_batches(docs.sparkSession)
     told_sets = cut(_sets(docs, words))
     sets = told_sets.where("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("doc_id"))
     total = told_sets.agg(F.sum("n_shingles")).first()[0] or 0

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, held_out, utf8
+from .common import chunks, held_out, small_batches, utf8
 from .words import LOWER, span_hashes, word_spans
 
 #: Labelled rows that a model is fitted on, about; those with the least hashes of their ids.
@@ -248,6 +248,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS
     rows each get their row; an id with several labels counts with each; equal texts have equal
     scores; an empty table gives an empty result; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     model = fit_quality(docs, labels, most_rows)
     known = docs.select("doc_id", text_statistics("text").alias("statistics"))
     scored = known.select("doc_id", held_out().alias("held_out"), model.column().alias("score"))
@@ -256,6 +257,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS
 
 def keep_quality(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, threshold: float = 0.7) -> DataFrame:
     """The rows of ``docs`` predicted 1, with all their columns; see score_quality for the cases."""
+    small_batches(docs.sparkSession)
     model = fit_quality(docs, labels, most_rows)
     marked = docs.withColumn("__statistics", text_statistics("text"))
     return marked.where(model.column("__statistics") >= threshold).select(*docs.columns)
