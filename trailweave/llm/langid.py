@@ -20,6 +20,8 @@ UNKNOWN = "und"
 #: Texts of each language that its model is learned from, at most; those with the least hashes of their ids.
 MOST_TEXTS = 4_000
 BUCKETS, SWITCH, SMOOTH = 1 << 16, 6.0, 0.5
+#: Letters that a word's score weighs by, at most, so that one long run does not outvote a text; all its n-grams count in the mean.
+MOST_LETTERS = 12
 #: A script counts as a language's if it has that share of the language's letters.
 LEAST_SHARE = 0.02
 
@@ -109,7 +111,7 @@ class LanguageModel:
             if len(have):
                 sums[have] += np.add.reduceat(self.logs[grams], first[have])
                 counts += np.diff(first)
-        scores = sums / np.maximum(1, counts)[:, None] * np.minimum(words.letters, 12)[:, None]
+        scores = sums / np.maximum(1, counts)[:, None] * np.minimum(words.letters, MOST_LETTERS)[:, None]
         may = self.written[:, words.script].T
         may[~may.any(1)] = True  # a script that no language was learned in says nothing
         return np.where(may, scores, -1e6)
