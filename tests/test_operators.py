@@ -91,8 +91,26 @@ def test_box_chunks_begin_at_the_last_vertex(spark):
     ],
 )
 def test_longest_path_needs_trains_at_the_ends_and_hotels_between(spark, nodes, km):
-    column = F.array(*(F.struct(F.lit(float(k)).alias("km"), F.lit(t).alias("train"), F.lit(h).alias("hotel")) for k, t, h in nodes)).cast("array<struct<km: double, train: boolean, hotel: boolean>>")
-    assert _one(spark, folds.longest_path(column, 8.0, 25.0)) == km
+    assert _one(spark, folds.longest_path(_stations([(k, [-1, 7] if t else [7], h) for k, t, h in nodes]), 8.0, 25.0)["km"]) == km
+
+
+def _stations(nodes):
+    each = (F.struct(F.lit(i).alias("idx"), F.lit(float(k)).alias("km"), F.lit(-1 in r).alias("train"), F.lit(h).alias("hotel"), F.array(*map(F.lit, r)).alias("routes")) for i, (k, r, h) in enumerate(nodes))
+    return F.array(*each).cast("array<struct<idx: int, km: double, train: boolean, hotel: boolean, routes: array<bigint>>>")
+
+
+@pytest.mark.parametrize(
+    ("nodes", "path"),
+    [
+        ([(0, [-1], False), (10, [-1, 3], True), (20, [3], True), (30, [3, -1], False)], [0, 1, 3]),  # of equal ways the one over the first node
+        ([(0, [-1], False), (20, [-1, 3], True), (40, [3], True), (60, [3, -1], False)], [0, 1, 2, 3]),  # by trains, then by a shared bus route
+        ([(0, [-1], False), (20, [-1], False), (40, [-1], False)], [0, 1]),  # a train once reached starts no hike
+        ([(0, [-1], True), (10, [4], True), (30, [-1], True)], None),  # nothing joins a train and a bus
+        ([(0, [-1], True), (10, [-1], True), (20, [-1], True)], [0, 2]),  # equal lengths: straight from the first
+    ],
+)
+def test_longest_path_gives_its_stations(spark, nodes, path):
+    assert _one(spark, folds.longest_path(_stations(nodes), 8.0, 25.0)["path"]) == path
 
 
 def test_band_join_meets_each_pair_once(spark):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import CONFIG
 from ..functions.geo import degree_distance
+from .transit import connected
 
 
 def _ordered(df: DataFrame, key: str, order: str, *columns: str) -> DataFrame:
@@ -79,26 +80,36 @@ def box_chunks(vertices: DataFrame, side: float) -> DataFrame:
 
 
 def longest_path(nodes: Column, min_km: float, max_km: float) -> Column:
-    """struct(km, stop) of the longest hike over ordered nodes (km, train, hotel).
+    """struct(km, path) of the longest hike over ordered nodes (idx, km, train, hotel, routes); null if there is none.
 
-    Steps go forward between ``min_km`` and ``max_km`` and join two trains or any with a bus; hikes start and end at trains; a node that was
-    reached is left only if it has a hotel. State: best distance (-1 if none) and whether reached, by node.
+    Steps go forward between ``min_km``, above 0, and ``max_km`` and join connected nodes; hikes start and end at
+    trains; a node that was reached, a train too, is left only if it has a hotel. Of equal ways the one over the
+    first node wins, of equal hikes the one that ends first. State: each node with its best distance (-1 if
+    none) and its predecessor.
     """
+    kind = "array<struct<idx: int, at: double, km: double, prev: int, train: boolean, hotel: boolean, routes: array<bigint>>>"
 
-    def merge(best, x):
-        i = F.size(best)
+    def merge(seen, x):
+        gap = lambda b: x["km"] - b["at"]
+        ways = F.filter(seen, lambda b: (b["km"] >= 0) & (b["prev"].isNull() | b["hotel"]) & (gap(b) >= min_km) & (gap(b) <= max_km) & connected(b["routes"], x["routes"]))
+        top = F.array_min(F.transform(ways, lambda b: F.struct((-(b["km"] + gap(b))).alias("less"), b["idx"].alias("idx"))))
         own = F.when(x["train"], F.lit(0.0)).otherwise(F.lit(-1.0))
-        ways = F.transform(
-            best,
-            lambda b, j: F.when((b["km"] >= 0) & (~b["reached"] | b["hotel"]) & (x["km"] - b["at"] >= min_km) & (x["km"] - b["at"] <= max_km), b["km"] + x["km"] - b["at"]).otherwise(F.lit(-1.0)),
-        )
-        top = F.when(i > 0, F.array_max(ways)).otherwise(F.lit(-1.0))
-        reached = top > own
-        return F.concat(best, F.array(F.struct(F.when(reached, top).otherwise(own).alias("km"), reached.alias("reached"), x["hotel"].alias("hotel"), x["train"].alias("train"), x["km"].alias("at"))))
+        here = F.struct(x["idx"].alias("idx"), x["km"].alias("at"), F.coalesce(-top["less"], own).alias("km"), top["idx"].alias("prev"), x["train"].alias("train"), x["hotel"].alias("hotel"), x["routes"].alias("routes"))
+        return F.concat(seen, F.array(here).cast(kind))
+
+    def finish(seen):
+        ends = F.filter(seen, lambda b: b["train"] & (b["km"] > 0))
+        best = F.array_min(F.transform(ends, lambda b: F.struct((-b["km"]).alias("less"), b["idx"].alias("idx"))))
+        return F.when(best.isNotNull(), F.struct((-best["less"]).alias("km"), _traced(seen, best["idx"]).alias("path")))
+
+    return F.aggregate(nodes, F.array().cast(kind), merge, finish)
 
-    start = F.array().cast("array<struct<km: double, reached: boolean, hotel: boolean, train: boolean, at: double>>")
-    ends = lambda best: F.array_max(F.transform(F.filter(best, lambda b: b["train"] & (b["km"] > 0)), lambda b: b["km"]))
-    return F.aggregate(nodes, start, merge, ends)
+
+def _traced(seen: Column, last: Column) -> Column:
+    """Numbers of the nodes that lead to ``last`` by their predecessors, over ordered nodes (idx, prev)."""
+    start = F.struct(last.cast("int").alias("need"), F.array().cast("array<int>").alias("path"))
+    back = lambda s, x: F.when(x["idx"] == s["need"], F.struct(x["prev"].alias("need"), F.concat(F.array(x["idx"]), s["path"]).alias("path"))).otherwise(s)
+    return F.aggregate(F.reverse(seen), start, back, lambda s: s["path"])
 
 
 def forward_path(nodes: Column, lo: Column, hi: Column, min_km: float, max_km: float) -> Column:
@@ -116,7 +127,5 @@ def forward_path(nodes: Column, lo: Column, hi: Column, min_km: float, max_km: f
         return F.when(first | (F.size(prev) > 0), F.concat(seen, here)).otherwise(seen)
 
     seen = F.aggregate(F.filter(nodes, lambda x: (x["idx"] >= lo) & (x["idx"] <= hi)), F.array().cast(kind), merge)
-    start = F.struct(hi.cast("int").alias("need"), F.array().cast("array<int>").alias("path"))
-    back = lambda s, x: F.when(x["idx"] == s["need"], F.struct(x["prev"].alias("need"), F.concat(F.array(x["idx"]), s["path"]).alias("path"))).otherwise(s)
-    path = F.aggregate(F.reverse(seen), start, back, lambda s: s["path"])
+    path = _traced(seen, hi)
     return F.when(F.size(path) > 1, path)

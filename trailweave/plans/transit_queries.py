@@ -90,10 +90,12 @@ def _nodes(spark, d):
     """Stations along one line for each nation: suppliers in order of key, kilometres from their places."""
     w = Window.partitionBy("area").orderBy("stop")
     g = gstop(spark, d).withColumn("idx", F.row_number().over(w)).withColumn("km", F.col("idx") * 6.0 + (F.col("stop") * 13 % 7))
-    return g.select("area", "idx", "km", ((F.col("stop") % 3) != 1).alias("train"), (F.col("stop") % 2 == 0).alias("hotel"))
+    train = (F.col("stop") % 3) != 1
+    routes = F.when(train, F.array(F.lit(-1).cast("bigint"))).otherwise(F.array(F.col("stop") % 4, F.col("stop") % 7 + 10).cast("array<bigint>"))
+    return g.select("area", "idx", "km", train.alias("train"), (F.col("stop") % 2 == 0).alias("hotel"), routes.alias("routes"))
 
 
-NODES = f"{GSTOP}, node AS (SELECT area, row_number() OVER (PARTITION BY area ORDER BY stop) AS idx, stop FROM gstop), nodes AS (SELECT area, idx, idx*6e0 + (stop*13 % 7) AS km, stop % 3 <> 1 AS train, stop % 2 = 0 AS hotel FROM node)"
+NODES = f"{GSTOP}, node AS (SELECT area, row_number() OVER (PARTITION BY area ORDER BY stop) AS idx, stop FROM gstop), nodes AS (SELECT area, idx, idx*6e0 + (stop*13 % 7) AS km, stop % 3 <> 1 AS train, stop % 2 = 0 AS hotel, CASE WHEN stop % 3 <> 1 THEN [-1::BIGINT] ELSE [(stop % 4)::BIGINT, (stop % 7 + 10)::BIGINT] END AS routes FROM node)"
 
 
 def _edges(spark, d):
@@ -119,9 +121,52 @@ two AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(n, m) AS (SELECT DISTINC
 c AS (SELECT n, min(m) AS component FROM r GROUP BY n) SELECT component, count(*) AS nodes FROM c GROUP BY component"""
 
 
+def _constrained(spark, d):
+    """Steps between stations that are both trains or share a bus route."""
+    n = _nodes(spark, d)
+    end = lambda idx, routes: n.select("area", F.col("idx").alias(idx), F.col("routes").alias(routes))
+    e = _edges(spark, d).join(end("src", "ra"), ["area", "src"]).join(end("dst", "rb"), ["area", "dst"])
+    return e.where(transit.connected(F.col("ra"), F.col("rb"))).select("area", "src", "dst")
+
+
+CONSTRAINED = f"{NODES}, ce AS (SELECT a.area, a.idx AS src, b.idx AS dst FROM nodes a JOIN nodes b ON a.area = b.area AND a.idx < b.idx AND b.km-a.km BETWEEN 8 AND 25 AND list_has_any(a.routes, b.routes))"
+
+
+def _hikes(spark, d):
+    """The longest hike of each component of the constrained steps, with its stations."""
+    from ..operators.graph import label_components
+
+    e = _constrained(spark, d)
+    node = lambda c: F.struct("area", F.col(c).alias("idx"))
+    part = label_components(e.select(node("src").alias("a"), node("dst").alias("b"))).select("node.area", "node.idx", F.col("component.idx").alias("component"))
+    n = _nodes(spark, d).join(part, ["area", "idx"]).groupBy("area", "component").agg(F.sort_array(F.collect_list(F.struct("idx", "km", "train", "hotel", "routes"))).alias("nodes"))
+    return n.select("area", "component", folds.longest_path(F.col("nodes"), 8.0, 25.0).alias("hike")).where("hike is not null").select("area", "component", "hike.*")
+
+
 def _longest(spark, d):
-    n = _nodes(spark, d).groupBy("area").agg(F.sort_array(F.collect_list(F.struct("idx", "km", "train", "hotel"))).alias("nodes"))
-    return n.select("area", rounded(folds.longest_path(F.col("nodes"), 8.0, 25.0), 1).alias("km")).where("km is not null")
+    path = F.array_join(F.transform("path", lambda x: x.cast("string")), ">")
+    return _hikes(spark, d).select("area", "component", rounded(F.col("km"), 1).alias("km"), path.alias("path"))
+
+
+def _hike_steps(spark, d):
+    """The steps of the longest hikes in order, each with its way along the line."""
+    at = _nodes(spark, d)
+    rest = F.size("path") - 1
+    pairs = F.arrays_zip(F.slice("path", F.lit(1), rest).alias("src"), F.slice("path", F.lit(2), rest).alias("dst"))
+    steps = _hikes(spark, d).select("area", "component", F.posexplode(pairs).alias("step", "s")).select("area", "component", (F.col("step") + 1).alias("step"), "s.src", "s.dst")
+    place = lambda idx, km: at.select("area", F.col("idx").alias(idx), F.col("km").alias(km))
+    met = steps.join(place("src", "a"), ["area", "src"]).join(place("dst", "b"), ["area", "dst"])
+    return met.select("area", "component", "step", "src", "dst", rounded(F.col("b") - F.col("a"), 1).alias("km"))
+
+
+# The same fold over a line's stations in order: a list of what was reached grows by one station a round.
+HIKES = f"""WITH RECURSIVE {CONSTRAINED}, two AS (SELECT area, src AS a, dst AS b FROM ce UNION SELECT area, dst, src FROM ce),
+r(area, n, m) AS (SELECT DISTINCT area, a, a FROM two UNION SELECT t.area, t.b, r.m FROM r JOIN two t ON t.area = r.area AND t.a = r.n), comp AS (SELECT area, n AS idx, min(m) AS component FROM r GROUP BY ALL),
+f(area, k, st) AS (SELECT DISTINCT area, 0::BIGINT, []::STRUCT(idx BIGINT, at0 DOUBLE, km DOUBLE, path BIGINT[], train BOOLEAN, hotel BOOLEAN, routes BIGINT[])[] FROM nodes
+ UNION ALL SELECT area, idx, list_append(st, {{'idx': idx, 'at0': km, 'km': CASE WHEN top IS NOT NULL THEN -top.less WHEN train THEN 0e0 ELSE -1e0 END, 'path': CASE WHEN top IS NOT NULL THEN list_append(top.path, idx) ELSE [idx] END, 'train': train, 'hotel': hotel, 'routes': routes}})
+ FROM (SELECT n.*, f.st, list_sort(list_transform(list_filter(f.st, lambda b: b.km >= 0 AND (len(b.path) = 1 OR b.hotel) AND n.km-b.at0 BETWEEN 8 AND 25 AND list_has_any(b.routes, n.routes)), lambda b: {{'less': -(b.km+n.km-b.at0), 'idx': b.idx, 'path': b.path}}))[1] AS top FROM f JOIN nodes n ON n.area = f.area AND n.idx = f.k+1)),
+ends AS (SELECT f.area, unnest(st) AS s FROM f JOIN (SELECT area, max(k) AS k FROM f GROUP BY area) USING (area, k)),
+best AS (SELECT e.area, component, arg_min(s, (-s.km, s.idx)) AS s FROM ends e JOIN comp ON comp.area = e.area AND comp.idx = s.idx WHERE s.train AND s.km > 0 GROUP BY ALL)"""
 
 
 def _wraps(spark, d):
@@ -193,10 +238,10 @@ QUERIES = {
     ),
     "step_graph": (_edges, f"WITH {NODES} SELECT a.area, a.idx AS src, b.idx AS dst, b.km-a.km AS km FROM nodes a JOIN nodes b ON a.area = b.area AND a.idx < b.idx AND b.km-a.km BETWEEN 8 AND 25"),
     "step_components": (_components, COMPONENTS_SQL),
-    "longest_hike": (
-        _longest,
-        f"WITH RECURSIVE {NODES}, d(area, idx, km, total) AS (SELECT area, idx, km, 0e0 FROM nodes WHERE train UNION SELECT b.area, b.idx, b.km, d.total + b.km - d.km FROM d JOIN nodes a ON a.area = d.area AND a.idx = d.idx JOIN nodes b ON b.area = d.area AND b.idx > d.idx AND b.km-d.km BETWEEN 8 AND 25 WHERE d.total = 0 OR a.hotel) "
-        f"SELECT d.area, {rnd('max(total)', 1)} AS km FROM d JOIN nodes n ON n.area = d.area AND n.idx = d.idx WHERE n.train AND total > 0 GROUP BY d.area",
+    "longest_hike": (_longest, f"{HIKES} SELECT area, component, {rnd('s.km', 1)} AS km, array_to_string(s.path, '>') AS path FROM best"),
+    "hike_steps": (
+        _hike_steps,
+        f"{HIKES}, p AS (SELECT area, component, s.path AS p, unnest(range(1, len(s.path))) AS step FROM best) SELECT p.area, component, step, p[step] AS src, p[step+1] AS dst, {rnd('(b.km-a.km)', 1)} AS km FROM p JOIN nodes a ON a.area = p.area AND a.idx = p[step] JOIN nodes b ON b.area = p.area AND b.idx = p[step+1]",
     ),
     "round_trip": (_round_trip, ROUND_TRIP_SQL),
     "best_loop_total": (
