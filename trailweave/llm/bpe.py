@@ -26,7 +26,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, small_batches, utf8
+from .common import chunks, lean, small_batches, utf8
 from .words import SPACE, span_hashes
 
 # White space as Unicode has it, without U+180E, which is not.
@@ -61,19 +61,23 @@ def vocabulary(spark, tokenizer_json: str) -> DataFrame:
     return spark.createDataFrame(sorted(pieces_of(tokenizer_json).items()), "id int, piece binary")
 
 
-def encode_words(tokenizer_json: str, words: list[str], made: dict = {}) -> list[list[int]]:  # noqa: B006  one tokenizer a worker
+#: What a Python worker keeps between tasks: the tokenizer, and one of the two columns of the table of words.
+_KEPT: dict = {}
+
+
+def encode_words(tokenizer_json: str, words: list[str]) -> list[list[int]]:
     """Ids of each word as the library gives them, without special tokens added, cut or padded."""
     key = hash(tokenizer_json)
-    if key not in made:
+    if key not in _KEPT:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        made[key] = Tokenizer.from_str(tokenizer_json)
-        made[key].no_truncation()
-        made[key].no_padding()
-    return [e.ids for i in range(0, len(words), 2000) for e in made[key].encode_batch(words[i : i + 2000], add_special_tokens=False)]
+        _KEPT[key] = Tokenizer.from_str(tokenizer_json)
+        _KEPT[key].no_truncation()
+        _KEPT[key].no_padding()
+    return [e.ids for i in range(0, len(words), 2000) for e in _KEPT[key].encode_batch(words[i : i + 2000], add_special_tokens=False)]
 
 
 def word_table(words: DataFrame, tokenizer_json: str) -> DataFrame:
@@ -162,7 +166,7 @@ def _common(docs: DataFrame, tokenizer_json: str, sample_texts: int, common_word
 
     share = min(1.0, sample_texts / max(1, docs.count()))
     some = docs.select("text").where(F.rand(5) < share)  # by row, so that copies are in it in proportion
-    table = some.mapInArrow(counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).persist(StorageLevel.DISK_ONLY)
+    table = some.mapInArrow(lean(counted), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).persist(StorageLevel.DISK_ONLY)
     spread = table.groupBy(F.least("n", F.lit(10_000)).alias("n")).agg(F.count(F.lit(1)).alias("words"), F.sum(F.length("word")).alias("bytes")).orderBy(F.desc("n"))
     least, words, size = 1 << 62, 0, 0
     for row in spread.collect():  # 10,000 rows at most
@@ -190,11 +194,13 @@ def _unpacked(packed: bytes) -> pa.Array:
     return column if isinstance(column, pa.Array) else pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], table.schema.field("x").type)
 
 
-def _once(packed: bytes, make, made: dict = {}):  # noqa: B006  one of each kind a worker
-    key = hashlib.md5(packed).digest()
-    if make not in made or made[make][0] != key:
-        made[make] = key, make(packed)
-    return made[make][1]
+def _once(packed: bytes, make):
+    """``make`` of what was packed, made once a worker; whatever else the worker kept goes first."""
+    key = make, hashlib.md5(packed).digest()
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make(packed)
+    return _KEPT[key]
 
 
 def _table_of_words(packed: bytes) -> CommonWords:
@@ -292,10 +298,10 @@ def encode_digest(docs: DataFrame, tokenizer_path: str, sample_texts: int = SAMP
             yield _digested(rest, table, pieces, names, narrow)
 
     row = "_k1 long, _len int, at int, told binary"
-    places = texts.mapInArrow(lambda b: coded(b, True), "word binary, _k1 long, _len int, at int")
-    rare = places.repartition("word").sortWithinPartitions("word").mapInArrow(encode, row)
-    numbers = texts.mapInArrow(lambda b: coded(b, False), row)
-    met = numbers.unionByName(rare).repartition(*_KEY).sortWithinPartitions(*_KEY, "at").mapInArrow(finish, _FOUND)
+    places = texts.mapInArrow(lean(lambda b: coded(b, True)), "word binary, _k1 long, _len int, at int")
+    rare = places.repartition("word").sortWithinPartitions("word").mapInArrow(lean(encode), row)
+    numbers = texts.mapInArrow(lean(lambda b: coded(b, False)), row)
+    met = numbers.unionByName(rare).repartition(*_KEY).sortWithinPartitions(*_KEY, "at").mapInArrow(lean(finish), _FOUND)
     others = [c for c in docs.columns if c != "text"]
     told_hex = [F.lower(F.hex(c)).alias(c) for c in ("ids_sha256", "decoded_sha256")]
     return keyed.select(*others, *_KEY).join(met, list(_KEY), "left").select(*others, "n_tokens", *told_hex)

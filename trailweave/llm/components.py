@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, lean
 
 #: Edges that one task replaces by stars: some 100 bytes of memory each.
 EDGES_A_TASK = 500_000
@@ -59,7 +59,7 @@ def components(edges: DataFrame, edges_a_task: int = EDGES_A_TASK) -> DataFrame:
     """
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
     tasks = -(-now.count() // edges_a_task)
-    now = cut(now.coalesce(max(1, tasks)).mapInArrow(_in_task, "a long, b long"))
+    now = cut(now.coalesce(max(1, tasks)).mapInArrow(lean(_in_task), "a long, b long"))
     told = _sum(now) if tasks > 1 else None
     while tasks > 1:  # what one task held is whole
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, held_out, small_batches
+from .common import chunks, give_back, held_out, lean, small_batches
 from .words import mix
 
 UNKNOWN = "und"
@@ -172,7 +172,7 @@ def learn(docs: DataFrame, most_texts: int = MOST_TEXTS) -> LanguageModel:
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(both[used])], ["cell", "n"])
 
     width = BUCKETS + len(SCRIPTS)
-    got = some.select("text", "lang").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # of fixed size
+    got = some.select("text", "lang").mapInArrow(lean(count), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # of fixed size
     both = np.zeros(len(langs) * width)
     both[got.column("cell").to_numpy()] = got.column("n").to_numpy()
     both = both.reshape(len(langs), width)
@@ -226,7 +226,9 @@ def identify(docs: DataFrame, most_texts: int = MOST_TEXTS) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(text: pa.Array) -> pa.Array:
-        return _predict(shared.value, text)
+        told = _predict(shared.value, text)
+        give_back()
+        return told
 
     found = F.arrow_udf(predict, "struct<lang_pred: string, score: double>")
     return docs.withColumn("held_out", held_out()).withColumn("_found", found("text")).select(*docs.columns, "held_out", "_found.lang_pred", "_found.score")

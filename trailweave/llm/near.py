@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, small_batches, utf8
+from .common import chunks, cut, lean, small_batches, utf8
 from .components import components
 from .words import mix, shingles
 
@@ -63,7 +63,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
                 two = (_sums(hashes, begins), _sums(hashes * np.uint64(0x2545F4914F6CDD1D), begins))
                 yield pa.RecordBatch.from_arrays([ids, told, pa.array(np.diff(begins)), *(pa.array(s.view(np.int64)) for s in two)], ["doc_id", "told", "n_shingles", "s1", "s2"])
 
-    return docs.withColumn("told", F.xxhash64("text")).mapInArrow(rows, "doc_id long, told long, n_shingles long, s1 long, s2 long")
+    return docs.withColumn("told", F.xxhash64("text")).mapInArrow(lean(rows), "doc_id long, told long, n_shingles long, s1 long, s2 long")
 
 
 def _counter(hashes: np.ndarray, counters: int) -> np.ndarray:
@@ -96,7 +96,7 @@ def _ranks(docs: DataFrame, words: int, counters: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([step.astype(np.uint8).tobytes()], pa.binary())], ["block", "ranks"])
 
     out = np.zeros(counters, np.uint8)
-    got = docs.mapInArrow(count, "block int, counts binary").repartition("block").mapInArrow(add, "block int, ranks binary").toArrow()  # a byte a counter
+    got = docs.mapInArrow(lean(count), "block int, counts binary").repartition("block").mapInArrow(lean(add), "block int, ranks binary").toArrow()  # a byte a counter
     for k, told in zip(got.column("block").to_pylist(), got.column("ranks").to_pylist()):
         out[k * _BLOCK : (k + 1) * _BLOCK] = np.frombuffer(told, np.uint8)
     return out
@@ -131,7 +131,7 @@ def _prefixes(docs: DataFrame, words: int, percent: int, counters: int) -> DataF
                 of = text[keep]
                 yield pa.RecordBatch.from_arrays([pa.array(hashes[order[keep]].view(np.int64)), pa.array(node[of]), pa.array(n[of], pa.int32()), pa.array(at[keep], pa.int32())], ["h", "node", "n", "at"])
 
-    return docs.mapInArrow(rows, "h long, node long, n int, at int")
+    return docs.mapInArrow(lean(rows), "h long, node long, n int, at int")
 
 
 def _runs(batches, key: str):
@@ -267,8 +267,8 @@ def _nodes(known: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 kept = [*(batch.column(c).slice(start, n) for c in ("node", "doc_id")), pa.array(np.diff(begins), pa.int32()), pa.array(bits, pa.binary()), batch.column("z").slice(start, n)]
                 yield pa.RecordBatch.from_arrays(kept, ["node", "doc_id", "n", "bits", "z"]).filter(pa.array(own))
 
-    texts = known.withColumn("place", F.pmod(F.xxhash64("doc_id"), F.lit(_SENT_BITS))).mapInArrow(packed, "doc_id long, z binary")
-    met = texts.join(wanted, "doc_id").select("node", "doc_id", "z").mapInArrow(rows, "node long, doc_id long, n int, bits binary, z binary")
+    texts = known.withColumn("place", F.pmod(F.xxhash64("doc_id"), F.lit(_SENT_BITS))).mapInArrow(lean(packed), "doc_id long, z binary")
+    met = texts.join(wanted, "doc_id").select("node", "doc_id", "z").mapInArrow(lean(rows), "node long, doc_id long, n int, bits binary, z binary")
     return met.groupBy("node").agg(*(F.first(c).alias(c) for c in ("doc_id", "n", "bits", "z")))  # a row that repeats counts once
 
 
@@ -286,7 +286,7 @@ def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             ok = both.differ(at, at + batch.num_rows) <= na + nb - 2 * _needed(na, nb, percent)
             yield batch.select(["a", "b"]).filter(pa.array(ok))
 
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "ba", "bb").mapInArrow(rows, "a long, b long")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "ba", "bb").mapInArrow(lean(rows), "a long, b long")
 
 
 def _crossing(percent: int, every: bool):
@@ -349,7 +349,7 @@ def _verify(pairs: DataFrame, nodes: DataFrame, words: int, percent: int) -> Dat
     first = nodes.select(F.col("node").alias("b"), F.col("doc_id").alias("db"), F.col("z").alias("zb"))
     second = nodes.select(F.col("node").alias("a"), F.col("doc_id").alias("da"), F.col("z").alias("za"))
     met = pairs.join(first, "b").join(second, "a")
-    return met.select("a", "b", "da", "db", "za", "zb").mapInArrow(rows, "a long, b long, da long, db long, linked boolean")
+    return met.select("a", "b", "da", "db", "za", "zb").mapInArrow(lean(rows), "a long, b long, da long, db long, linked boolean")
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, few: int = FEW) -> DataFrame:
@@ -396,7 +396,7 @@ def _grouped(docs: DataFrame, words: int, percent: int, few: int) -> DataFrame:
     total = told_sets.agg(F.sum("n_shingles")).first()[0] or 0
     counters = min(MOST_COUNTERS, max(LEAST_COUNTERS, 1 << (total // SHINGLES_A_COUNTER).bit_length()))
     prefixes = _prefixes(known, words, percent, counters)
-    found = cut(prefixes.repartition("h").sortWithinPartitions("h").mapInArrow(_candidates(percent, few), "a long, b long, h long, n int, at int"))
+    found = cut(prefixes.repartition("h").sortWithinPartitions("h").mapInArrow(lean(_candidates(percent, few)), "a long, b long, h long, n int, at int"))
     pairs = found.where("b is not null").select("a", "b").distinct()
     crowded = found.where("b is null").drop("b")
     wanted = found.select(F.explode(F.array("a", "b")).alias("node")).where("node is not null").distinct()
@@ -412,7 +412,7 @@ def _grouped(docs: DataFrame, words: int, percent: int, few: int) -> DataFrame:
         rows = some.join(where.select("a", "component"), "a")
         mixed = rows.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("h")
         left = rows.join(mixed, "h", "left_semi").join(named.select("a", "bits"), "a").select("h", "a", "n", "at", "bits", "component")
-        more = left.repartition("h").sortWithinPartitions("h").mapInArrow(_crossing(percent, every_pair), "a long, b long").distinct()
+        more = left.repartition("h").sortWithinPartitions("h").mapInArrow(lean(_crossing(percent, every_pair)), "a long, b long").distinct()
         return cut(_verify(more.join(tested.select("a", "b"), ["a", "b"], "left_anti"), nodes, words, percent))
 
     # A forest of pairs on a sixteenth of the crowded shingles joins most of what there is to join, one on

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, held_out, small_batches, utf8
+from .common import chunks, give_back, held_out, small_batches, utf8
 from .words import LOWER, span_hashes, word_spans
 
 #: Labelled rows that a model is fitted on, about; those with the least hashes of their ids.
@@ -96,6 +96,7 @@ def text_statistics(text: str = "text") -> Column:
 def _arrow_statistics(text: pa.Array) -> pa.Array:
     parts = [_statistics(*utf8(text.slice(a, n))) for a, n in chunks(text, 4 * _STEP)]
     flat = np.concatenate(parts).ravel() if parts else np.zeros(0)
+    give_back()
     return pa.FixedSizeListArray.from_arrays(pa.array(flat), len(STATISTICS)).cast(pa.list_(pa.float64()))
 
 
