@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 CATALOG = "generated_at string, source string, license string, routes array<struct<id: string, slug: string, path_ref: string, path_name: string, region: string, departement: string, distance_km: double, difficulty: string, terrain: array<string>, bbox: array<double>, image_path: string, pois: array<struct<name: string, poi_type: string, lat: double, lon: double, url: string, distance_km: double>>>>"
 FEATURES = "type string, features array<struct<type: string, properties: struct<stop_id: string, resource_id: string>, geometry: struct<type: string, coordinates: array<double>>>>"
-ELEMENTS = "elements array<struct<type: string, id: bigint, tags: map<string, string>, lat: double, lon: double, center: struct<lat: double, lon: double>, geometry: array<struct<lat: double, lon: double>>, members: array<struct<type: string, ref: bigint>>>>"
+ELEMENTS = "elements array<struct<type: string, id: bigint, tags: map<string, string>, lat: double, lon: double, center: struct<lat: double, lon: double>, geometry: array<struct<lat: double, lon: double>>, members: array<struct<type: string, ref: bigint, geometry: array<struct<lat: double, lon: double>>>>>>"
 VOID = -32768
 
 
@@ -27,9 +27,9 @@ def feed_stops(spark: SparkSession, path: str) -> DataFrame:
 
 
 def elements(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
-    """Map elements of captured answers, of one type if asked; ways without two points are left out."""
+    """Map elements of captured answers, of one type if asked; ways with neither a centre nor two points are left out."""
     e = spark.read.schema(ELEMENTS).json(path, multiLine=True).select(F.inline("elements"))
-    e = e.where("type <> 'way' or size(geometry) >= 2")
+    e = e.where("type <> 'way' or center is not null or size(geometry) >= 2")
     return e.where(F.col("type") == kind) if kind else e
 
 
