@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -48,22 +49,34 @@ def lean(rows):
     return freed
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the folder that the session names.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder for intermediate results that all machines of the session see.
 
     Only a local session without that setting gets a temporary folder; on a cluster a missing
     setting is an error, since a machine's own folder is not visible to the others.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", "")
         if not named and not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a reliable checkpoint in the folder that the session names."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written once as a compressed table in the shared folder and read again: for rows too large for ``cut``."""
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def aside(docs: DataFrame, *keep: str):
     """``docs`` with its other columns in one struct, out of the way of names that an operator adds, and what puts them back."""
     others = [c for c in docs.columns if c not in keep]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, extract, gif, langid, lattice, mixing, near, quality, sharding
+from . import align, bpe, chat, extract, gif, langid, lattice, mixing, near, quality, sharding, variants, warc
 from .common import table
 
 
@@ -62,6 +62,28 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def piece_model() -> bytes:
+    """The public piece tokenizer's model, read where the library has it."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        return f.read()
+
+
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        return align.alignment(table(spark, sf_dir, "documents").select("doc_id", "text"), f.read(), piece_model())
+
+
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return warc.page_digest(warc.archive_pages(pages))
+
+
 def queries() -> dict:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -74,6 +96,9 @@ def queries() -> dict:
         "op8_html_extract": op8_html_extract,
         "op9_gif_media": op9_gif_media,
         "op10_shard": op10_shard,
+        "op11_align": op11_align,
+        "op12_variants": op12_variants,
+        "op13_warc": op13_warc,
     }
 
 
@@ -118,6 +143,26 @@ k AS (SELECT rid, count(*) AS copies FROM x WHERE total <= budget GROUP BY rid)
 SELECT doc_id, size, source_size, target, (size*coalesce(copies, 0))::BIGINT AS taken FROM c LEFT JOIN k USING (rid)"""
 
 
+_BITS = "flatten(list_transform(range(1, octet_length(raw)+1), lambda i: list_transform(range(0, 8), lambda k: (('0x' || substr(hex(raw), (2*i-1)::INT, 2))::BIGINT >> k) & 1)))"
+OP12 = rf"""WITH RECURSIVE t AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents),
+d AS (SELECT doc_id, run, count(*) AS c FROM t WHERE length(run) >= 7 GROUP BY ALL),
+b AS (SELECT run, c, encode(coalesce(doc_id::VARCHAR, '') || ':' || run) AS raw FROM d),
+h AS (SELECT run, c, xor(list_reduce([4294967295::BIGINT] || {_BITS}, lambda x, y: xor(x >> 1, 3988292384 * (xor(x, y) & 1))), 4294967295) AS h FROM b),
+g AS (SELECT CASE WHEN h % 31 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, c FROM h),
+w AS (SELECT word, sum(c)::BIGINT AS n FROM g WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+x AS (SELECT word, n, i, left(word, (i-1)::INT) || substr(word, (i+1)::INT) AS rest FROM (SELECT word, n, unnest(range(1, length(word)+1)) AS i FROM w)),
+l AS (SELECT DISTINCT x.word AS a, w.word AS b FROM x JOIN w ON w.word = x.rest), p AS (SELECT a, b FROM l UNION SELECT b, a FROM l UNION SELECT u.word, v.word FROM x u JOIN x v ON u.i = v.i AND u.rest = v.rest AND u.word <> v.word),
+k AS (SELECT p.a AS word, count(*) AS n_near, arg_min(b, (-w.n, b)) AS form, max(w.n) AS m FROM p JOIN w ON w.word = p.b GROUP BY p.a),
+f AS (SELECT w.word, w.n, coalesce(k.n_near, 0) AS n_near, CASE WHEN k.m >= 10*w.n THEN k.form END AS form, CASE WHEN k.m >= 10*w.n THEN k.m END AS form_n FROM w LEFT JOIN k USING (word)),
+r(word, root) AS (SELECT word, form FROM f WHERE form IS NOT NULL UNION SELECT r.word, f.form FROM r JOIN f ON f.word = r.root WHERE f.form IS NOT NULL),
+e AS (SELECT r.word, r.root FROM r JOIN f ON f.word = r.root WHERE f.form IS NULL)
+SELECT f.word, f.form, coalesce(e.root, f.word) AS root, f.n, f.n_near, f.form_n FROM f LEFT JOIN e USING (word)"""
+
+OP13 = """WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to FROM f"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Trained models, tokenizers, media formats and packing are beyond SQL; tests hold those against brute force."""
-    return {"op4_ngram_jaccard": OP4, "op5_lattice_dedup": OP5, "op6_chat_format": OP6, "op7_mix_sources": OP7}
+    return {"op4_ngram_jaccard": OP4, "op5_lattice_dedup": OP5, "op6_chat_format": OP6, "op7_mix_sources": OP7, "op12_variants": OP12, "op13_warc": OP13}
