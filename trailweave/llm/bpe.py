@@ -26,7 +26,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, lean, small_batches, utf8
+from .common import aside, chunks, lean, small_batches, utf8
 from .words import SPACE, span_hashes
 
 # White space as Unicode has it, without U+180E, which is not.
@@ -212,11 +212,13 @@ def encode_digest(docs: DataFrame, tokenizer_path: str, sample_texts: int = SAMP
 
     Defined cases: null and empty texts have no token, and the hashes of nothing; repeated rows each
     get their row, their text being encoded once; null ids pass through; an empty table gives an
-    empty result; columns named like the ones added, or like the keys used here, are replaced.
+    empty result; columns named like the ones added are replaced.
     """
     with open(tokenizer_path, encoding="utf-8") as f:
         told = f.read()
-    docs = docs.drop("n_tokens", "ids_sha256", "decoded_sha256", *_KEY)
+    docs = docs.drop("n_tokens", "ids_sha256", "decoded_sha256")
+    others = [F.col("__aside").getField(c).alias(c) for c in docs.columns if c != "text"]
+    docs, _ = aside(docs, "text")
     text = F.coalesce("text", F.lit(""))  # a null text counts as an empty one: neither has a token
     keyed = docs.withColumn("_k1", F.xxhash64(F.lit(1), text)).withColumn("_len", F.octet_length(text))
     small_batches(docs.sparkSession)
@@ -302,9 +304,8 @@ def encode_digest(docs: DataFrame, tokenizer_path: str, sample_texts: int = SAMP
     rare = places.repartition("word").sortWithinPartitions("word").mapInArrow(lean(encode), row)
     numbers = texts.mapInArrow(lean(lambda b: coded(b, False)), row)
     met = numbers.unionByName(rare).repartition(*_KEY).sortWithinPartitions(*_KEY, "at").mapInArrow(lean(finish), _FOUND)
-    others = [c for c in docs.columns if c != "text"]
     told_hex = [F.lower(F.hex(c)).alias(c) for c in ("ids_sha256", "decoded_sha256")]
-    return keyed.select(*others, *_KEY).join(met, list(_KEY), "left").select(*others, "n_tokens", *told_hex)
+    return keyed.drop("text").join(met, list(_KEY), "left").select(*others, "n_tokens", *told_hex)
 
 
 def _digested(t: pa.Table, table: pa.Array, pieces: pa.Array, names: pa.Array, narrow: str) -> pa.RecordBatch:

@@ -88,6 +88,15 @@ def aside(docs: DataFrame, *keep: str):
     return slim, back
 
 
+#: Samples by hash are taken on this many values, so that a share of any use is above none of them.
+SHARES = 1 << 62
+
+
+def in_share(hashed, share):
+    """Whether a 64-bit hash falls into a share: a number from 0 to 1, or a Column of whole numbers up to SHARES."""
+    return F.pmod(hashed, F.lit(SHARES)) < (F.lit(int(SHARES * share)) if isinstance(share, float) else share)
+
+
 def held_out(doc_id: str = "doc_id"):
     """crc32 of the id as text, modulo 4, is 2: these rows teach nothing."""
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import in_share, small_batches
 
 #: Hashed features, labelled pages, passes over them, pages that lend words, about.
 FEATURES, PAGES, PASSES, WORD_PAGES = 1 << 13, 700, 10, 200
@@ -366,14 +366,14 @@ def fit_field(words: list[str], pages: int = PAGES) -> ChainField:
 
 def sample_words(pages: DataFrame, most_pages: int = WORD_PAGES, most_words: int = 5000) -> list[str]:
     """Words of about ``most_pages`` pages, chosen by a hash of their html, ``most_words`` at most; a few fixed ones if there are none."""
-    share = int((1 << 20) * min(1.0, most_pages / max(1, pages.count())))
+    share = min(1.0, most_pages / max(1, pages.count()))
 
     def words(batches):
         for batch in batches:
             said = sorted({w for page in batch.column("html").to_pylist() for b in blocks(page or "") for w in b.text.split()})
             yield pa.RecordBatch.from_arrays([pa.array(said, pa.string())], ["word"])
 
-    some = pages.where(F.pmod(F.xxhash64(F.lit(2), "html"), F.lit(1 << 20)) < share).select("html")
+    some = pages.where(in_share(F.xxhash64(F.lit(2), "html"), share)).select("html")
     got = some.mapInArrow(words, "word string").distinct().orderBy(F.xxhash64("word")).limit(most_words).collect()
     return sorted(r["word"] for r in got) or ["one", "two", "three"]
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, give_back, held_out, lean, small_batches
+from .common import SHARES, chunks, give_back, held_out, in_share, lean, small_batches
 from .words import mix
 
 UNKNOWN = "und"
@@ -153,8 +153,8 @@ def learn(docs: DataFrame, most_texts: int = MOST_TEXTS) -> LanguageModel:
     known = docs.where("lang is not null and text is not null")
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # one row per language
     langs = sorted(counts)
-    share = F.create_map(*(F.lit(x) for lang in langs for x in (lang, int((1 << 20) * min(1.0, most_texts / counts[lang]))))) if langs else None
-    some = known.where(F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(1 << 20)) < share[F.col("lang")]) if langs else known
+    share = F.create_map(*(F.lit(x) for lang in langs for x in (lang, int(SHARES * min(1.0, most_texts / counts[lang]))))) if langs else None
+    some = known.where(in_share(F.xxhash64(F.lit(9), "doc_id"), share[F.col("lang")])) if langs else known
 
     def count(batches):
         grams, scripts = np.zeros((len(langs), BUCKETS), np.int64), np.zeros((len(langs), len(SCRIPTS)), np.int64)

@@ -211,7 +211,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLE
 
     Defined cases: vectors that are null, empty, zero or hold a null or non-finite component link
     with nothing, and so do rows with a null vec_id, whose component is null and which are not kept;
-    vectors of every dimension are compared with those of the same one; equal vectors are one node and
+    rows of one vec_id with unlike vectors link each by its own vector; vectors of every dimension are compared with those of the same one; equal vectors are one node and
     link with one another; an empty table gives an empty result; other columns are ignored.
     """
     e = F.col("embedding")
@@ -219,9 +219,10 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLE
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
     valid = F.coalesce((F.size(e) > 0) & F.forall(e, fine) & F.exists(e, lambda x: x != 0) & F.col("vec_id").isNotNull(), F.lit(False))
     told = rows.select("vec_id", "embedding", valid.alias("valid"), *(F.when(valid, F.xxhash64(F.lit(k), "embedding")).alias(f"k{k}") for k in (1, 2)))
-    every = cut(told.drop("embedding"))
-    nodes = cut(every.where("valid").groupBy("k1", "k2").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("n")))
-    of_node = nodes.select("node", "n").join(told.where("valid").select(F.col("vec_id").alias("node"), "embedding").dropDuplicates(["node"]), "node")
+    every = told.drop("embedding")
+    alike = told.where("valid").groupBy("k1", "k2").agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("n"), F.first("embedding").alias("embedding"))
+    nodes = cut(alike.withColumn("node", F.monotonically_increasing_id()))  # a number that the checkpoint fixes
+    of_node = nodes.select("node", "n", "embedding")
     hashing = Hashing(tables, lattices, probes, scale)
     shared = rows.sparkSession.sparkContext.broadcast(hashing)
     width = 1 + lattices * probes
@@ -248,7 +249,8 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLE
     found = cut(dealt.select("grouped", "t", "block", "node", "n", "home", "embedding").mapInArrow(_links(hashing, cosine), "node long, links long, root long"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     parts = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    names = nodes.join(links, "node", "left").join(parts, "node", "left")
+    least = parts.join(nodes.select("node", "low"), "node").groupBy("component").agg(F.min("low").alias("least"))
+    names = nodes.drop("embedding").join(links, "node", "left").join(parts, "node", "left").join(least, "component", "left")
     out = every.join(names, ["k1", "k2"], "left")
-    component = F.when(F.col("valid"), F.coalesce("component", "node")).otherwise(F.col("vec_id"))
+    component = F.when(F.col("valid"), F.coalesce("least", "low")).otherwise(F.col("vec_id"))
     return out.select("vec_id", F.when(F.col("valid"), F.col("n") - 1 + F.coalesce("links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

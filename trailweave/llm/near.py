@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, lean, small_batches, utf8
+from .common import aside, chunks, cut, lean, small_batches, utf8
 from .components import components
 from .words import mix, shingles
 
@@ -52,6 +52,11 @@ def _sums(hashes: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return mix(total[begins[1:]] - total[begins[:-1]])
 
 
+def _names(hashes: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two values of each set, which together with its size identify it; the first names it in pairs."""
+    return _sums(hashes, begins).view(np.int64), _sums(hashes * np.uint64(0x2545F4914F6CDD1D), begins).view(np.int64)
+
+
 def _sets(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, told (a hash of the text), n_shingles, s1, s2 (what identifies the set) of every row."""
 
@@ -60,8 +65,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
             at = 0
             for ids, hashes, begins in _of_text(batch, words):
                 told, at = batch.column("told").slice(at, len(ids)), at + len(ids)
-                two = (_sums(hashes, begins), _sums(hashes * np.uint64(0x2545F4914F6CDD1D), begins))
-                yield pa.RecordBatch.from_arrays([ids, told, pa.array(np.diff(begins)), *(pa.array(s.view(np.int64)) for s in two)], ["doc_id", "told", "n_shingles", "s1", "s2"])
+                yield pa.RecordBatch.from_arrays([ids, told, pa.array(np.diff(begins)), *map(pa.array, _names(hashes, begins))], ["doc_id", "told", "n_shingles", "s1", "s2"])
 
     return docs.withColumn("told", F.xxhash64("text")).mapInArrow(lean(rows), "doc_id long, told long, n_shingles long, s1 long, s2 long")
 
@@ -242,7 +246,7 @@ def _sent_bitmap(ids: DataFrame) -> np.ndarray:
 
 
 def _nodes(known: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """node, doc_id, n, bits, z (the text, compressed) for each (node, doc_id) in ``wanted``."""
+    """node, s2, doc_id, n, bits, z (the text, compressed) for each (node, doc_id) in ``wanted``."""
     ids = wanted.select("doc_id").distinct()
     sent = known.sparkSession.sparkContext.broadcast(_sent_bitmap(ids))
 
@@ -263,13 +267,15 @@ def _nodes(known: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             for start, n in chunks(batch.column("z"), 500_000):
                 hashes, begins = shingles(*utf8(_opened(batch.column("z").slice(start, n))), words)
                 bits = [Bitmaps.of(hashes[a:b]) for a, b in zip(begins, begins[1:])]
-                own = _sums(hashes, begins).view(np.int64) == batch.column("node").slice(start, n).to_numpy()
-                kept = [*(batch.column(c).slice(start, n) for c in ("node", "doc_id")), pa.array(np.diff(begins), pa.int32()), pa.array(bits, pa.binary()), batch.column("z").slice(start, n)]
-                yield pa.RecordBatch.from_arrays(kept, ["node", "doc_id", "n", "bits", "z"]).filter(pa.array(own))
+                s1, s2 = _names(hashes, begins)
+                own = s1 == batch.column("node").slice(start, n).to_numpy()
+                kept = [batch.column("node").slice(start, n), pa.array(s2), batch.column("doc_id").slice(start, n), pa.array(np.diff(begins), pa.int32()), pa.array(bits, pa.binary()), batch.column("z").slice(start, n)]
+                yield pa.RecordBatch.from_arrays(kept, ["node", "s2", "doc_id", "n", "bits", "z"]).filter(pa.array(own))
 
     texts = known.withColumn("place", F.pmod(F.xxhash64("doc_id"), F.lit(_SENT_BITS))).mapInArrow(lean(packed), "doc_id long, z binary")
-    met = texts.join(wanted, "doc_id").select("node", "doc_id", "z").mapInArrow(lean(rows), "node long, doc_id long, n int, bits binary, z binary")
-    return met.groupBy("node").agg(*(F.first(c).alias(c) for c in ("doc_id", "n", "bits", "z")))  # a row that repeats counts once
+    met = texts.join(wanted, "doc_id").select("node", "doc_id", "z").mapInArrow(lean(rows), "node long, s2 long, doc_id long, n int, bits binary, z binary")
+    one = F.min(F.struct("s2", "n", "doc_id", "bits", "z")).alias("x")  # a row that repeats counts once
+    return met.groupBy("node").agg(one).select("node", "x.*")
 
 
 def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -331,7 +337,7 @@ def _crossing(percent: int, every: bool):
 
 
 def _verify(pairs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) with a document of each, da and db, and whether the whole sets reach the threshold."""
+    """The pairs (a, b), and whether the whole sets reach the threshold."""
 
     def rows(batches):
         for batch in batches:
@@ -344,12 +350,12 @@ def _verify(pairs: DataFrame, nodes: DataFrame, words: int, percent: int) -> Dat
                 both = (h[o][1:] == h[o][:-1]) & (r[o][1:] == r[o][:-1])
                 shared = np.bincount(r[o][1:][both], minlength=n)
                 ok = (na > 0) & (nb > 0) & (100 * shared >= percent * (na + nb - shared))
-                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in ("a", "b", "da", "db")), pa.array(ok)], ["a", "b", "da", "db", "linked"])
+                yield pa.RecordBatch.from_arrays([some.column("a"), some.column("b"), pa.array(ok)], ["a", "b", "linked"])
 
-    first = nodes.select(F.col("node").alias("b"), F.col("doc_id").alias("db"), F.col("z").alias("zb"))
-    second = nodes.select(F.col("node").alias("a"), F.col("doc_id").alias("da"), F.col("z").alias("za"))
+    first = nodes.select(F.col("node").alias("b"), F.col("z").alias("zb"))
+    second = nodes.select(F.col("node").alias("a"), F.col("z").alias("za"))
     met = pairs.join(first, "b").join(second, "a")
-    return met.select("a", "b", "da", "db", "za", "zb").mapInArrow(lean(rows), "a long, b long, da long, db long, linked boolean")
+    return met.select("a", "b", "za", "zb").mapInArrow(lean(rows), "a long, b long, linked boolean")
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, few: int = FEW) -> DataFrame:
@@ -370,24 +376,26 @@ def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, few: i
     """The rows of ``docs`` (doc_id, text, any others) without near duplicates: of each group the row of least id.
 
     Defined cases: of rows of the least id that belong to the group, the one whose text has the least
-    hash stays, and of rows equal in id and text the least by their other columns; rows without an
-    id, and rows whose text is null or holds no word, are in no group and all stay; an empty table
-    gives an empty result; other columns pass through.
+    hash stays, and of rows equal in id and text the least by their other columns; rows of one id
+    whose texts are no near duplicates are in groups of their own; rows without an id, and rows
+    whose text is null or holds no word, are in no group and all stay; an empty table gives an empty
+    result; other columns pass through, whatever their names.
     """
-    groups = _grouped(docs.select("doc_id", "text"), words, percent, few).where("doc_id is not null")
-    first = groups.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "told")).alias("m")).select("m.doc_id", "m.told", F.lit(True).alias("__one"))
-    alone = groups.where("n_shingles = 0").select("doc_id", "told", F.lit(False).alias("__one")).distinct()
-    chosen = first.unionByName(alone).select(F.col("doc_id").alias("__id"), F.col("told").alias("__told"), "__one")
-    rows = docs.withColumn("__told", F.xxhash64("text")).withColumn("__id", F.col("doc_id").cast("long"))
-    met = rows.where("doc_id is not null").join(chosen, ["__id", "__told"])
-    order = [c for c, kind in docs.dtypes if "map<" not in kind and c not in ("doc_id", "text")]
-    place = F.row_number().over(Window.partitionBy("__id", "__told").orderBy(*(order or ["__id"])))
-    kept = met.withColumn("__place", place).where("not __one or __place = 1")
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    slim, back = aside(docs, "doc_id", "text")
+    groups = _grouped(slim.select("doc_id", "text"), words, percent, few).where("doc_id is not null")
+    first = groups.where("n_shingles > 0").groupBy("part").agg(F.min(F.struct("doc_id", "told")).alias("m")).select("m.doc_id", "m.told", F.lit(True).alias("one"))
+    alone = groups.where("n_shingles = 0").select("doc_id", "told", F.lit(False).alias("one")).distinct()
+    chosen = first.unionByName(alone).withColumnRenamed("doc_id", "id")
+    rows = slim.withColumn("told", F.xxhash64("text")).withColumn("id", F.col("doc_id").cast("long"))
+    met = rows.where("doc_id is not null").join(chosen, ["id", "told"])
+    order = [F.col("__aside").getField(c) for c, kind in docs.dtypes if "map<" not in kind and c not in ("doc_id", "text")]
+    place = F.row_number().over(Window.partitionBy("id", "told").orderBy(*(order or ["id"])))
+    kept = met.withColumn("place", place).where("not one or place = 1")
+    return back(kept.select(*slim.columns).unionByName(slim.where("doc_id is null")))
 
 
 def _grouped(docs: DataFrame, words: int, percent: int, few: int) -> DataFrame:
-    """doc_id, told (a hash of the text), n_shingles, component_id."""
+    """doc_id, told (a hash of the text), n_shingles, component_id and part, which tells components of one least id apart."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = docs.where("doc_id is not null")
     small_batches(docs.sparkSession)
@@ -403,26 +411,32 @@ def _grouped(docs: DataFrame, words: int, percent: int, few: int) -> DataFrame:
     placed_sets = sets.select(F.col("s1").alias("node"), "doc_id").join(wanted, "node", "left_semi")
     nodes = cut(_nodes(known, placed_sets, words))
     tested = cut(_verify(_likely(pairs, nodes, percent), nodes, words, percent))
-    named = nodes.select(F.col("node").alias("a"), "doc_id", "bits")
+    named = nodes.select(F.col("node").alias("a"), "bits")
 
     def crossing(some: DataFrame, parts: DataFrame | None, every_pair: bool) -> DataFrame:
         """Verified pairs, not tested before, across components on shingles of (h, a, n, at)."""
-        where = named if parts is None else named.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        where = where.select("a", "bits", F.col("doc_id").alias("component") if parts is None else F.coalesce("component", "doc_id").alias("component"))
-        rows = some.join(where.select("a", "component"), "a")
+        rows = some.withColumn("component", F.col("a"))
+        if parts is not None:
+            rows = some.join(parts.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
         mixed = rows.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("h")
-        left = rows.join(mixed, "h", "left_semi").join(named.select("a", "bits"), "a").select("h", "a", "n", "at", "bits", "component")
+        left = rows.join(mixed, "h", "left_semi").join(named, "a").select("h", "a", "n", "at", "bits", "component")
         more = left.repartition("h").sortWithinPartitions("h").mapInArrow(lean(_crossing(percent, every_pair)), "a long, b long").distinct()
         return cut(_verify(more.join(tested.select("a", "b"), ["a", "b"], "left_anti"), nodes, words, percent))
 
     # A forest of pairs on a sixteenth of the crowded shingles joins most of what there is to join, one on
     # all of them what is left; every likely pair that is then still across two components decides the rest.
-    linked = lambda t: t.where("linked").select(F.col("da").alias("a"), F.col("db").alias("b"))
+    linked = lambda t: t.where("linked").select("a", "b")
     tested = tested.unionByName(crossing(crowded.where(F.pmod(F.xxhash64("h"), F.lit(16)) == 0), None, False))
     tested = tested.unionByName(crossing(crowded, components(linked(tested)), False))
     parts = components(linked(tested))
     late = linked(crossing(crowded, parts, True))
     if not late.isEmpty():
         parts = components(linked(tested).unionByName(late))
-    reps = sets.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("s1", "s2", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    return told_sets.join(reps, ["s1", "s2", "n_shingles"], "left").select("doc_id", "told", "n_shingles", F.coalesce(F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")), "doc_id").alias("component_id"))
+    # Only the set that gave a node its text has the node's links; one that shared its name by accident stands alone.
+    of_sets = parts.join(nodes.select("node", "s2", F.col("n").alias("n_shingles")), "node").withColumnRenamed("node", "s1")
+    alone = F.xxhash64("s1", "s2", "n_shingles")
+    placed = sets.join(of_sets, ["s1", "s2", "n_shingles"], "left").withColumn("part", F.coalesce("component", alone))
+    least = placed.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
+    reps = placed.join(least, "component", "left").select("s1", "s2", "n_shingles", "part", F.coalesce("least", "doc_id").alias("component_id"))
+    known_set = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    return told_sets.join(reps, ["s1", "s2", "n_shingles"], "left").select("doc_id", "told", "n_shingles", "part", F.coalesce(F.when(known_set, F.col("component_id")), "doc_id").alias("component_id"))

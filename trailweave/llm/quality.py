@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, give_back, held_out, small_batches, utf8
+from .common import aside, chunks, give_back, held_out, in_share, small_batches, utf8
 from .words import LOWER, span_hashes, word_spans
 
 #: Labelled rows that a model is fitted on, about; those with the least hashes of their ids.
@@ -227,11 +227,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS)
     """
     marks = labels.where("quality is not null").where(~held_out()).where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("_of"), F.col("quality").cast("int").alias("_label"))
     total = marks.count()
-    share = int((1 << 20) * min(1.0, most_rows / max(1, total)))
-    chosen = marks.where(F.pmod(F.xxhash64(F.lit(3), "_of"), F.lit(1 << 20)) < share).limit(2 * most_rows)
-    rows = docs.select("doc_id", "text").where(F.pmod(F.xxhash64(F.lit(3), F.col("doc_id").cast("long")), F.lit(1 << 20)) < share)
-    met = rows.join(F.broadcast(chosen), F.col("doc_id").cast("long") == F.col("_of")).select("_label", "text").limit(2 * most_rows)
-    got = met.select("_label", text_statistics("text").alias("_statistics")).toArrow().combine_chunks()
+    share = min(1.0, most_rows / max(1, total))
+    chosen = marks.where(in_share(F.xxhash64(F.lit(3), "_of"), share)).orderBy(F.xxhash64(F.lit(4), "_of"), "_of", "_label").limit(2 * most_rows)
+    rows = docs.select("doc_id", "text").where(in_share(F.xxhash64(F.lit(3), F.col("doc_id").cast("long")), share))
+    met = rows.join(F.broadcast(chosen), F.col("doc_id").cast("long") == F.col("_of")).select("_label", text_statistics("text").alias("_statistics"))
+    got = met.orderBy(F.xxhash64("_label", "_statistics"), "_label", "_statistics").limit(2 * most_rows).toArrow().combine_chunks()
     table = got.column("_statistics").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(STATISTICS))
     label = got.column("_label").to_numpy()
     order = np.lexsort((*table.T, label))  # whatever order the rows came in
@@ -260,5 +260,5 @@ def keep_quality(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS,
     """The rows of ``docs`` predicted 1, with all their columns; see score_quality for the cases."""
     small_batches(docs.sparkSession)
     model = fit_quality(docs, labels, most_rows)
-    marked = docs.withColumn("__statistics", text_statistics("text"))
-    return marked.where(model.column("__statistics") >= threshold).select(*docs.columns)
+    slim, back = aside(docs, "text")
+    return back(slim.withColumn("statistics", text_statistics("text")).where(model.column("statistics") >= threshold))
