@@ -14,6 +14,12 @@ def haversine_m(lat1, lon1, lat2, lon2) -> Column:
     return F.lit(2 * CONFIG.earth_m) * F.atan2(F.sqrt(a), F.sqrt(F.lit(1.0) - a))
 
 
+def arc_m(lat1, lon1, lat2, lon2) -> Column:
+    """Great-circle metres, arcsine form."""
+    a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), F.lit(2)) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), F.lit(2))
+    return F.lit(2 * CONFIG.earth_m) * F.asin(F.sqrt(a))
+
+
 def degrees_to_m(degrees, lat) -> Column:
     """Degrees to metres with the mean of the scales along the meridian and the parallel."""
     return degrees * CONFIG.degree_m * (F.lit(1.0) + F.cos(F.radians(lat))) / 2
@@ -62,6 +68,12 @@ def rounded(value, digits: int) -> Column:
     return F.floor(value * scale + 0.5) / scale
 
 
+def rounded_even(value, digits: int) -> Column:
+    """To the nearest on the scaled double, halves to the even neighbour."""
+    scale = float(10**digits)
+    return F.rint(value * scale) / scale
+
+
 def bilinear(nw, ne, sw, se, fx, fy) -> Column:
     """Between four samples, fx eastward and fy southward from the north-west one; null next to a void."""
     void = (nw == -32768) | (ne == -32768) | (sw == -32768) | (se == -32768)

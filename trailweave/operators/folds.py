@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import CONFIG
-from ..functions.geo import degree_distance
+from .trails import turned
 from .transit import connected
 
 
@@ -18,21 +18,9 @@ def chain_ways(ways: DataFrame) -> DataFrame:
     """route, pos, flipped, part of ways (route, pos, x1, y1, x2, y2) in order.
 
     A way is turned if its far end is nearer to where the chain ends, the first never; a gap over the
-    limit starts a new part. The state holds the chain's end and what was decided, not the vertices.
+    limit starts a new part.
     """
-    kind = "struct<x: double, y: double, part: int, out: array<struct<pos: bigint, flipped: boolean, part: int>>>"
-    decided = lambda pos, flip, part: F.struct(pos.cast("bigint").alias("pos"), flip.alias("flipped"), part.alias("part"))
-
-    def merge(s, w):
-        first = F.size(s["out"]) == 0
-        ahead, back = degree_distance(s["x"], s["y"], w["x1"], w["y1"]), degree_distance(s["x"], s["y"], w["x2"], w["y2"])
-        flip = F.when(first, F.lit(False)).otherwise(back < ahead)
-        part = F.when(~first & (F.least(ahead, back) > CONFIG.gap_deg), s["part"] + 1).otherwise(s["part"])
-        return F.struct(F.when(flip, w["x1"]).otherwise(w["x2"]).alias("x"), F.when(flip, w["y1"]).otherwise(w["y2"]).alias("y"), part.alias("part"), F.concat(s["out"], F.array(decided(w["pos"], flip, part))).alias("out"))
-
-    start = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0).alias("part"), F.array().cast("array<struct<pos: bigint, flipped: boolean, part: int>>").alias("out")).cast(kind)
-    done = _ordered(ways, "route", "pos", "x1", "y1", "x2", "y2").select("route", F.aggregate("rows", start, merge)["out"].alias("out"))
-    return done.select("route", F.inline("out"))
+    return turned(ways, ["route"], ["pos"]).select("route", "pos", "flipped", "part")
 
 
 def greedy_dedup(places: DataFrame) -> DataFrame:
