@@ -56,8 +56,10 @@ def elevation_tiles(spark: SparkSession, path: str) -> DataFrame:
     def decode(raw: pa.Array) -> pa.Array:
         import numpy as np
 
-        out = [np.frombuffer(x, ">i2").astype(np.int32) for x in raw.to_pylist()]
-        return pa.array([[None if v == VOID else v for v in x.tolist()] for x in out], pa.list_(pa.int32()))
+        parts = [np.frombuffer(x.as_buffer(), ">i2") for x in raw]
+        values = np.concatenate(parts).astype(np.int32) if parts else np.zeros(0, np.int32)
+        ends = np.cumsum([0, *map(len, parts)])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, mask=values == VOID))
 
     return rows.select("tile", "row", F.arrow_udf(decode, "array<int>")(part).alias("samples"))
 
