@@ -22,17 +22,16 @@ def sessions(events: DataFrame, gap: str = "1 day", late: str = "2 days") -> Dat
     return g.select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n", "total")
 
 
-def merge_batches(stream: DataFrame, key: str, order: str, path: str, staging: str):
-    """Starts a query that keeps the newest row of each key: each batch is merged into a table and swapped in.
+def merge_batches(stream: DataFrame, key: str, order: str, path: str, staging: str, keep: int = 2):
+    """Starts a query that keeps the newest row of each key by ``order`` in a versioned table at ``path``.
 
-    The table at ``path`` holds numbered versions, so that a batch which is run again writes its own anew.
+    A batch that is run again changes nothing, numbers may be skipped, and all but the last ``keep`` versions are removed.
     """
-    from ..operators.catalog import first_wins, upsert
+    from ..sources.versions import Versions
 
     def merge(batch: DataFrame, number: int) -> None:
-        new = first_wins(batch, [key], F.col(order).desc())
-        if number:
-            new = upsert(batch.sparkSession.read.parquet(f"{path}/v{number - 1}"), new, key)
-        new.write.mode("overwrite").parquet(f"{path}/v{number}")
+        table = Versions(batch.sparkSession, path)
+        table.merge(batch, [key], F.col(order), number)
+        table.clean(keep)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", staging).start()
