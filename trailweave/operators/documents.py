@@ -32,7 +32,8 @@ def escaped(text: Column) -> Column:
 
 def quoted(text: Column) -> Column:
     """A JSON string, with what is not ASCII left as it is."""
-    return F.regexp_extract(F.to_json(F.struct(text.alias("x")), {"ignoreNullFields": "false"}), r"(?s)^\{\"x\":(.*)\}$", 1)
+    json = F.to_json(F.struct(text.alias("x")))
+    return F.when(text.isNotNull(), F.regexp_extract(json, r"(?s)^\{\"x\":(.*)\}$", 1))
 
 
 def _joined(rows: DataFrame, key: list[str], order: list[str], text: Column, name: str, between: str = "") -> DataFrame:
@@ -97,7 +98,8 @@ def joined_profiles(steps: DataFrame) -> DataFrame:
 
 def _numbers(rows: DataFrame, key: str, order: list[str], columns: dict) -> DataFrame:
     each = rows.select(key, F.struct(*order, *(fixed(F.col(c), d).alias(c) for c, d in columns.items())).alias("_s")).groupBy(key).agg(F.sort_array(F.collect_list("_s")).alias("_a"))
-    return each.select(key, *(F.concat(F.lit("["), F.array_join(F.transform("_a", lambda x, c=c: x[c]), ", "), F.lit("]")).alias(c) for c in columns))
+    listed = lambda c: F.concat(F.lit("["), F.array_join(F.transform("_a", lambda x: x[c]), ", "), F.lit("]")).alias(c)
+    return each.select(key, *map(listed, columns))
 
 
 def profile_documents(steps: DataFrame) -> DataFrame:
