@@ -9,6 +9,7 @@ parts with the words of a bounded sample of pages; Viterbi decodes each page.
 
 from __future__ import annotations
 
+import functools
 import html
 import random
 import re
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import in_share, small_batches
 
 #: Hashed features, labelled pages, passes over them, pages that lend words, about.
-FEATURES, PAGES, PASSES, WORD_PAGES = 1 << 13, 700, 10, 200
+FEATURES, PAGES, PASSES, WORD_PAGES = 1 << 13, 1000, 10, 200
 
 # HTML element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -41,8 +42,9 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _NAME = re.compile(r"[a-z]+")
 _SPACES = re.compile(r"[\s\x1c-\x1f]+")
-_STOPS = ".!?:;…\"»”)"
-_SENTENCE = re.compile(r"[.!?…](?:\s|$)")
+_STOPS = ".!?:;…\"»”)。！？"
+_SENTENCE = re.compile(r"[.!?…](?:\s|$)|[。！？]")
+_UNSPACED = re.compile("[\u2e80-\u9fff\uac00-\ud7af\u0e00-\u0eff]")  # scripts that set few spaces or none
 # Elements that stand inside a part of a page rather than make one, and those of tables.
 _INNER = frozenset("p li dt dd ul ol dl h1 h2 h3 h4 h5 h6 blockquote figure figcaption pre caption address".split())
 _TABLE = frozenset("td th tr tbody thead tfoot table".split())
@@ -138,7 +140,7 @@ def features(found: list[Block]) -> list[list[int]]:
     for i, b in enumerate(found):
         size, text = len(b.text), b.text
         bits, links, ends = looks[i]
-        words = text.count(" ") + 1
+        words = text.count(" ") + 1 + len(_UNSPACED.findall(text)) // 2
         mine = {_feature("bias"), _feature("leaf", b.path[-1] if b.path else ""), _feature("size", bits), _feature("words", min(8, words.bit_length()))}
         mine.update(_feature("in", t) for t in b.path)
         mine.update(_feature("named", w) for w in b.names)
@@ -147,8 +149,9 @@ def features(found: list[Block]) -> list[list[int]]:
         mine.add(_feature("prose", bits > 6 and links == 0 and ends))
         mine.add(_feature("sentences", min(4, len(_SENTENCE.findall(text)))))
         mine.add(_feature("sign", text[0] in "©®→»|•"))
-        mine.add(_feature("first", i == 0))
-        mine.add(_feature("last", i == n - 1))
+        mine.add(_feature("first", i == 0, min(4, n)))
+        mine.add(_feature("last", i == n - 1, min(4, n)))
+        mine.add(_feature("few", min(4, n), bits, links))
         mine.add(_feature("depth", min(6, len(b.path))))
         mine.add(_feature("share", min(9, 10 * plain[b.home] // total), plain[b.home] == most))
         for side, j in (("before", i - 1), ("behind", i + 1)):
@@ -248,7 +251,11 @@ def labelled_pages(words: list[str], pages: int = PAGES, seed: int = 11) -> list
     """Pages laid out at random from the parts above, with the label of each of their blocks."""
     rng = random.Random(seed)
 
+    unspaced = False
+
     def said(low: int, high: int) -> str:
+        if unspaced:
+            return "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(2 * rng.randint(low, high))) + rng.choice("。。。！？,")
         some = [rng.choice(words) for _ in range(rng.randint(low, high))]
         return html.escape(" ".join(some)[:1].upper() + " ".join(some)[1:], quote=False) + rng.choice((".", ".", ".", "", "!", "?"))
 
@@ -281,8 +288,8 @@ def labelled_pages(words: list[str], pages: int = PAGES, seed: int = 11) -> list
         elif kind == "form":
             inner, n = f"<label>{said(1, 3)}</label><input name=q><button>{said(1, 2)}</button>", 2
         elif kind == "comments":
-            n = rng.randint(1, 5)
-            inner = "".join(rng.choice(("<div class=\"comment\">{}</div>", "<p>{}</p>", "<li>{}</li>", "<div class=\"reply\"><p>{}</p></div>")).format(said(3, 40)) for _ in range(n))
+            n = rng.randint(1, 7)
+            inner = "".join(rng.choice(("<div class=\"comment\">{}</div>", "<p>{}</p>", "<li>{}</li>", "<div class=\"reply\"><p>{}</p></div>")).format(said(*rng.choice(((3, 40), (20, 60))))) for _ in range(n))
             if rng.random() < 0.5:
                 inner, n = f"<h3>{said(1, 3)}</h3>" + inner, n + 1
         elif kind == "footer":
@@ -293,23 +300,31 @@ def labelled_pages(words: list[str], pages: int = PAGES, seed: int = 11) -> list
             inner, n = rng.choice(("{}", "<p>{}</p>", "<span>{}</span>")).format(said(3, 25)), 1
         return opened(rng.choice(_REST[kind]), inner, 0.0 if kind in ("notice", "advert", "comments") else 0.3), n
 
+    def prose(low: int, high: int) -> str:
+        """Words, of which some may be links."""
+        if rng.random() < 0.8:
+            return said(low, high)
+        return " ".join(rng.choice(("{}", '<a href="/x">{}</a>', "<em>{}</em>")).format(said(low, high)) for _ in range(rng.randint(2, 4)))
+
     out = []
     for _ in range(pages):
         body, labels = [], []
+        unspaced, short, all_linked = rng.random() < 0.08, rng.random() < 0.35, rng.random() < 0.04
+        often = rng.choice((0.0, 0.2, 0.45)) if short else 0.45  # pages of a block or two have few other parts
 
         def add(part: tuple[str, int], label: int):
             body.append(part[0])
             labels.extend([label] * part[1])
 
         for kind in ("notice", "header", "nav", "form", "advert", "side"):
-            if rng.random() < 0.45:
+            if rng.random() < often:
                 add(rest(kind), 0)
         main, marks = [], []
-        if rng.random() < 0.8:
+        if rng.random() < (0.3 if short else 0.8):
             main.append(f"<h1>{said(2, 9)}</h1>")
             marks.append(1)
-        for _ in range(rng.randint(1, 14)):
-            roll = rng.random()
+        for _ in range(rng.randint(1, 2) if short else rng.randint(1, 14)):
+            roll = rng.uniform(0.2, 1.0) if short else rng.random()
             if roll < 0.08:
                 head = rng.choice(("h2", "h2", "h3", "h4"))
                 main.append(f"<{head}>{said(1, 6)}</{head}>")
@@ -335,12 +350,16 @@ def labelled_pages(words: list[str], pages: int = PAGES, seed: int = 11) -> list
                 main.append(inner)
                 marks += [0] * n
             else:
-                text = said(*rng.choice(((1, 6), (5, 40), (20, 120))))
+                text = prose(*rng.choice(((4, 20), (10, 60), (20, 120)) if short else ((1, 6), (5, 40), (20, 120))))
+                text = f'<a href="/y">{text}</a>' if all_linked and "<" not in text else text
                 main.append(rng.choice(("<p>{}</p>", "<p>{}</p>", "<p>{}", "<p><b>{}<br><p>", "<div>{}</div>")).format(text))
                 marks.append(1)
         held = "".join(main)
         roll = rng.random()
-        if roll < 0.1:
+        if short and len(main) == 1 and marks == [1] and roll < 0.3:
+            body.append(re.sub("</?(?:p|div|h1)>", "", held))  # bare text
+            labels += marks
+        elif roll < (0.35 if short else 0.1):
             body.append(held)  # no element of its own
             labels += marks
         elif roll < 0.22:  # a table lays the page out
@@ -351,7 +370,7 @@ def labelled_pages(words: list[str], pages: int = PAGES, seed: int = 11) -> list
             body.append(wrapped(opened(rng.choice(_MAIN), wrapped(held, 2), 0.35), 2))
             labels += marks
         for kind in ("share", "comments", "side", "advert", "form", "nav", "footer"):
-            if rng.random() < 0.45:
+            if rng.random() < (max(often, 0.35) if kind == "comments" else often):
                 add(rest(kind), 0)
         page = "<!DOCTYPE html><html><head><title>x</title><style>p{}</style></head><body>" + wrapped("".join(body), 1) + "</body></html>"
         if len(blocks(page)) == len(labels):
@@ -364,6 +383,12 @@ def fit_field(words: list[str], pages: int = PAGES) -> ChainField:
     return ChainField().fit(labelled)
 
 
+@functools.lru_cache(maxsize=8)
+def fitted(words: tuple[str, ...]) -> ChainField:
+    """fit_field, once for the same words."""
+    return fit_field(list(words))
+
+
 def sample_words(pages: DataFrame, most_pages: int = WORD_PAGES, most_words: int = 5000) -> list[str]:
     """Words of about ``most_pages`` pages, chosen by a hash of their html, ``most_words`` at most; a few fixed ones if there are none."""
     share = min(1.0, most_pages / max(1, pages.count()))
@@ -394,7 +419,7 @@ def extract(pages: DataFrame, field: ChainField | None = None) -> DataFrame:
     repeated rows each get their row; an empty table gives an empty result; other columns are ignored.
     """
     small_batches(pages.sparkSession)
-    field = field or fit_field(sample_words(pages))
+    field = field or fitted(tuple(sample_words(pages)))
     shared = pages.sparkSession.sparkContext.broadcast(field)
 
     def texts(column: pa.Array) -> pa.Array:
