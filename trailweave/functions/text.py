@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,8 +15,47 @@ PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
 LIFECYCLE = ("abandoned:", "construction:", "demolished:", "disused:", "proposed:", "razed:")
 
 
+@functools.cache
+def _folds(form: str, ascii_only: bool) -> tuple[str, str, dict[str, str]]:
+    """Characters that fold to one, what to, and those that fold to several, by Unicode's decompositions; without Hangul, which has thousands."""
+    one, many = {}, {}
+    for c in map(chr, (*range(0x80, 0xAC00), *range(0xF900, 0x1F200))):
+        whole = unicodedata.normalize(form, c)
+        kept = "".join(x for x in whole if (x < "\x80" if ascii_only else not "\u0300" <= x <= "\u036f"))
+        if whole != c and kept:
+            (one if len(kept) == 1 else many)[c] = kept
+    return "".join(one), "".join(one.values()), many
+
+
+def _folded(text, form: str, ascii_only: bool) -> Column:
+    frm, to, many = _folds(form, ascii_only)
+    text = F.translate(text, frm, to)
+    told = F.create_map(*(F.lit(x) for pair in many.items() for x in pair))
+    there = F.array_distinct(F.regexp_extract_all(text, F.lit(_any_of(many)), F.lit(0)))
+    return F.aggregate(there, text, lambda s, c: F.replace(s, c, F.element_at(told, c)))
+
+
+def _any_of(chars) -> str:
+    """A pattern that finds one of the characters; most others are ruled out at a glance."""
+    runs = []
+    for n in sorted(map(ord, chars)):
+        if runs and runs[-1][1] == n - 1:
+            runs[-1][1] = n
+        else:
+            runs.append([n, n])
+    shown = lambda some: "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in some)
+    near, far = shown(r for r in runs if r[0] < 256), shown(r for r in runs if r[0] >= 256)
+    return (f"[{near}]|" if near else "") + f"(?=[^\\x{{0}}-\\x{{ff}}])[{far}]"
+
+
 def plain(text) -> Column:
-    return F.translate(text, ACCENTED, PLAIN)
+    """Letters without their accents: canonical decompositions without combining marks."""
+    return F.regexp_replace(_folded(text, "NFD", False), "[\u0300-\u036f]", "")
+
+
+def ascii_plain(text) -> Column:
+    """What compatibility decompositions leave of a text in ASCII."""
+    return F.regexp_replace(_folded(text, "NFKD", True), r"[^\x00-\x7F]", "")
 
 
 def fold(text) -> Column:
@@ -23,8 +65,8 @@ def fold(text) -> Column:
 
 def slug(text) -> Column:
     """Lower-case ASCII words joined by hyphens."""
-    ascii_only = F.regexp_replace(F.lower(plain(text)), r"[^\x00-\x7F]", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(ascii_only, r"[^a-z0-9_\s-]", ""), r"[\s-]+", "-"), F.lit("-"))
+    words = F.regexp_replace(F.lower(ascii_plain(text)), r"[^a-z0-9_\s-]", "")
+    return F.trim(F.regexp_replace(words, r"[\s-]+", "-"), F.lit("-"))
 
 
 def station_slug(text) -> Column:

@@ -107,8 +107,8 @@ def relation_trails(elements: DataFrame) -> DataFrame:
     ways = told.where("role = 'way'").select("relation", F.col("id").alias("way"), "geometry")
     met = relation_ways(told).join(ways, ["relation", "way"])
     points = met.select("relation", "child", "pos", F.posexplode("geometry").alias("seq", "p")).select("relation", "child", "pos", "seq", "p.lon", "p.lat")
-    lines = chained(points, ["relation", "child"], ["pos"]).withColumnRenamed("part", "line")
-    return without_spurious(chained(lines, ["relation"], ["child", "line"]), "relation")
+    lines = once(chained(once(points), ["relation", "child"], ["pos"])).withColumnRenamed("part", "line")
+    return once(without_spurious(once(chained(lines, ["relation"], ["child", "line"])), "relation"))
 
 
 def relation_errors(asked: DataFrame, elements: DataFrame) -> DataFrame:
