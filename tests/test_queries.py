@@ -49,6 +49,17 @@ def test_plans_stay_in_the_engine(spark, data, name):
     assert "PythonUDF" not in plan and "ArrowEvalPython" not in plan and "Join Cross" not in plan
 
 
+#: Queries whose physical plan may hold a nested loop, and the side of it that no input makes longer.
+BOUNDED_LOOPS = {"unused_squares": "the grid's 8 rows", "manifest_json": "three layers"}
+
+
+@pytest.mark.parametrize("name", list(registry.QUERIES))
+def test_physical_plans_join_by_keys(spark, data, name):
+    plan = registry.QUERIES[name][0](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan
+    assert ("BroadcastNestedLoopJoin" in plan) <= (name in BOUNDED_LOOPS)
+
+
 def test_entry_and_names(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())

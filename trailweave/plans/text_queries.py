@@ -103,9 +103,9 @@ PROMPT_SQL = """WITH p AS (SELECT *, list_sort(string_split(p_name, ' ')) AS w F
 
 
 def _destination(spark, d):
-    """What follows the first 'to', 'of', 'de' or 'von' in the documents' first lines; ``destination_lines`` reads the whole texts by the reference's rule."""
-    t = table(spark, d, "documents").select("doc_id", F.element_at(F.split("text", "\n"), 1).alias("line"))
-    return t.select("doc_id", F.regexp_extract("line", r"^[A-Z]\S* .*?\b(?:to|of|de|von) ([A-Za-z]\S*)", 1).alias("destination"))
+    """What follows the first 'to', 'of', 'de' or 'von' in the first line that has one; ``destination_lines`` gives every line's by the reference's rule."""
+    t = table(spark, d, "documents")
+    return t.select("doc_id", F.regexp_extract("text", r"(?md)^[A-Z]\S* .*?\b(?:to|of|de|von) ([A-Za-z]\S*)", 1).alias("destination"))
 
 
 def _destination_lines(spark, d):
@@ -142,7 +142,7 @@ QUERIES = {
     "template_fill": (_labels, LABELS_SQL),
     "locale_from_url": (_urls, URLS_SQL),
     "prompt_content": (_prompt, PROMPT_SQL),
-    "destination_regex": (_destination, "SELECT doc_id, regexp_extract(string_split(text, chr(10))[1], '^[A-Z]\\S* .*?\\b(?:to|of|de|von) ([A-Za-z]\\S*)', 1) AS destination FROM documents"),
+    "destination_regex": (_destination, "SELECT doc_id, regexp_extract(text, '(?m)^[A-Z]\\S* .*?\\b(?:to|of|de|von) ([A-Za-z]\\S*)', 1) AS destination FROM documents"),
     "destination_lines": (
         _destination_lines,
         f"WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS line_no FROM t) SELECT doc_id, line_no, nullif(regexp_extract(line, '{tx.DESTINATION}', 1), '') AS destination FROM l",
