@@ -76,27 +76,27 @@ ELEMENTS = f"""{VERTEX}, e0 AS (SELECT route AS relation, seq-1 AS n, lon, lat F
 e2 AS (SELECT relation, k, k // {WAYS} AS child, n, lon, lat + CASE WHEN (k // {WAYS}) = 1 AND relation % 4 = 1 THEN {MOVED_DEG}e0 ELSE 0e0 END AS lat, count(*) OVER (PARTITION BY relation, k) AS size FROM e1),
 e3 AS (SELECT relation, CASE WHEN relation % 3 = 0 THEN 0 ELSE child END AS child, k, CASE WHEN (relation*7 + k*5) % 3 = 0 THEN -n ELSE n END AS n, lon, lat FROM e2
  WHERE size >= 2 AND (relation + k) % 11 <> 0 AND relation % 17 <> 0 AND NOT (relation % 3 <> 0 AND child = 2 AND relation % 5 = 0)),
-l0 AS (SELECT relation AS g, relation*1000 + child AS key, k AS ord, row_number() OVER (PARTITION BY relation, child, k ORDER BY n) - 1 AS seq, lon, lat FROM e3)"""
+l0 AS MATERIALIZED (SELECT relation AS g, relation*1000 + child AS key, k AS ord, row_number() OVER (PARTITION BY relation, child, k ORDER BY n) - 1 AS seq, lon, lat FROM e3)"""
 
 
 def _chain_sql(name: str, source: str) -> str:
     """CTEs up to ``name`` (g, key, part, seq, lon, lat) for lines ``source`` (g, key, ord, seq, lon, lat): one recursion over the lines of a key in order."""
     gap = "sqrt((x-{0})*(x-{0})+(y-{1})*(y-{1}))"
     ahead, back = gap.format("x1", "y1"), gap.format("x2", "y2")
-    return f"""{name}_e AS (SELECT g, key, ord, count(*) AS n, arg_min(lon, seq) AS x1, arg_min(lat, seq) AS y1, arg_max(lon, seq) AS x2, arg_max(lat, seq) AS y2, row_number() OVER (PARTITION BY g, key ORDER BY ord) AS i FROM {source} GROUP BY g, key, ord),
+    return f"""{name}_e AS MATERIALIZED (SELECT g, key, ord, count(*) AS n, arg_min(lon, seq) AS x1, arg_min(lat, seq) AS y1, arg_max(lon, seq) AS x2, arg_max(lat, seq) AS y2, row_number() OVER (PARTITION BY g, key ORDER BY ord) AS i FROM {source} GROUP BY g, key, ord),
 {name}_f(g, key, ord, n, i, x, y, flip, part, joined) AS (SELECT g, key, ord, n, i, x2, y2, false, 0, false FROM {name}_e WHERE i = 1
  UNION ALL SELECT g, key, ord, n, i, CASE WHEN b < a THEN x1 ELSE x2 END, CASE WHEN b < a THEN y1 ELSE y2 END, b < a, part + (least(a, b) > 0.05e0)::INT, least(a, b) <= 0.05e0 AND CASE WHEN b < a THEN x2 = x AND y2 = y ELSE x1 = x AND y1 = y END
  FROM (SELECT e.*, f.x, f.y, f.part, {ahead} AS a, {back} AS b FROM {name}_f f JOIN {name}_e e ON e.g = f.g AND e.key = f.key AND e.i = f.i + 1)),
 {name}_o AS (SELECT *, coalesce(sum(n - joined::INT) OVER (PARTITION BY g, key, part ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM {name}_f),
 {name}_v AS (SELECT o.g, o.key, o.part, CASE WHEN flip THEN n - 1 - seq ELSE seq END AS pos, joined, start, lon, lat FROM {source} s JOIN {name}_o o ON o.g = s.g AND o.key = s.key AND o.ord = s.ord),
-{name} AS (SELECT g, key, part, (start + pos - joined::INT)::BIGINT AS seq, lon, lat FROM {name}_v WHERE NOT (joined AND pos = 0))"""
+{name} AS MATERIALIZED (SELECT g, key, part, (start + pos - joined::INT)::BIGINT AS seq, lon, lat FROM {name}_v WHERE NOT (joined AND pos = 0))"""
 
 
 _arc = "(12742000e0*asin(sqrt(pow(sin(radians(lat-plat)/2),2) + cos(radians(plat))*cos(radians(lat))*pow(sin(radians(lon-plon)/2),2))))"
-TRAILS = f"""{ELEMENTS}, {_chain_sql('l1', 'l0')}, l2 AS (SELECT g, g AS key, (key % 1000)*1000 + part AS ord, seq, lon, lat FROM l1), {_chain_sql('l3', 'l2')},
+TRAILS = f"""{ELEMENTS}, {_chain_sql('l1', 'l0')}, l2 AS MATERIALIZED (SELECT g, g AS key, (key % 1000)*1000 + part AS ord, seq, lon, lat FROM l1), {_chain_sql('l3', 'l2')},
 m0 AS (SELECT *, lag(lon) OVER w AS plon, lag(lat) OVER w AS plat FROM l3 WINDOW w AS (PARTITION BY g, part ORDER BY seq)), m1 AS (SELECT g, part, sum(coalesce({_arc}, 0e0))/1000e0 AS km FROM m0 GROUP BY ALL),
 m2 AS (SELECT *, max(km) OVER (PARTITION BY g) AS top, row_number() OVER (PARTITION BY g ORDER BY km DESC, part) AS rn FROM m1), m3 AS (SELECT g, part, km FROM m2 WHERE km >= 10 OR km >= 0.05e0*top OR rn = 1),
-t AS (SELECT l3.*, m3.km FROM l3 JOIN m3 USING (g, part))"""
+t AS MATERIALIZED (SELECT l3.*, m3.km FROM l3 JOIN m3 USING (g, part))"""
 
 QUERIES = {
     "relation_trails": (
@@ -106,7 +106,7 @@ QUERIES = {
     ),
     "fused_trails": (
         _fused,
-        f"WITH RECURSIVE {TRAILS}, n0 AS (SELECT g // 2 AS g, g // 2 AS key, (g % 2)*1000 + part AS ord, row_number() OVER (PARTITION BY g, part ORDER BY seq) - 1 AS seq, lon, lat FROM t), {_chain_sql('n1', 'n0')} SELECT g AS route, max(part) + 1 AS parts, count(*) AS n_points FROM n1 GROUP BY g",
+        f"WITH RECURSIVE {TRAILS}, n0 AS MATERIALIZED (SELECT g // 2 AS g, g // 2 AS key, (g % 2)*1000 + part AS ord, row_number() OVER (PARTITION BY g, part ORDER BY seq) - 1 AS seq, lon, lat FROM t), {_chain_sql('n1', 'n0')} SELECT g AS route, max(part) + 1 AS parts, count(*) AS n_points FROM n1 GROUP BY g",
     ),
     "relation_errors": (
         _errors,
