@@ -1,10 +1,10 @@
 """GIF media columns: LZW code streams, palettes, disposal and transparency.
 
-``decode`` reads any GIF87a or GIF89a file into timed frames on a canvas. Its LZW decoder works on
-whole arrays: code widths follow from a code's place behind the last clear code; each code of more
-than one sample repeats a stretch of earlier output, so samples resolve by pointer doubling.
-``encode`` writes samples as frames of colours without loss, each frame's stream with a growing
-dictionary; local palettes, transparency and disposals take turns.
+``decode`` reads any GIF87a or GIF89a file into timed frames on a canvas. Its LZW decoder reads all
+codes up to the next clear code at once, as their widths follow from their places, and then joins the
+runs they stand for. ``encode_all`` writes samples as frames of colours without loss, each frame's
+stream with a growing dictionary, the frames of a batch of files step by step together; local
+palettes, transparency and disposals take turns.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import chunks, small_batches
 
 UNIT, ROWS, DELAY = 192, 64, 4
 #: Levels of each of red, green and blue that histograms tell apart.
@@ -38,40 +38,123 @@ def _widths(depth: int, n: int) -> np.ndarray:
     return width
 
 
+def _places(depth: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Widths of n codes behind a clear code and the bits at which they start."""
+    width = _widths(depth, n)
+    return width, np.concatenate([[0], np.cumsum(width)])
+
+
+#: For the usual depths, more places than a dictionary has entries.
+_PLACES = {depth: _places(depth, 1 << 13) for depth in range(2, 9)}
+
+
+#: Entries of the tables of known runs, two bytes each, of frames that are encoded side by side.
+SIDE_BY_SIDE = 1 << 26
+#: Bytes of texts whose files are decoded together, one text at least.
+DECODED_TOGETHER = 1 << 20
+
+
 def lzw_encode(samples: np.ndarray, depth: int = 8) -> bytes:
     """The code stream of samples below 2**depth: the longest known run each time, cleared when the dictionary is full."""
-    clear = 1 << depth
-    known: dict[int, int] = {}
-    codes, cleared = [clear], [0]
-    free, rest = clear + 2, iter(samples.tobytes())
-    held = next(rest, None)
-    for s in rest:
-        run = held << 8 | s
-        code = known.get(run)
-        if code is not None:
-            held = code
-            continue
-        codes.append(held)
-        known[run] = free
-        free += 1
-        held = s
-        if free == 4096:
-            cleared.append(len(codes))
-            codes.append(clear)
-            known = {}
-            free = clear + 2
-    if held is not None:
-        codes.append(held)
-    codes.append(clear + 1)
-    table = np.array(codes, np.uint16)
-    width = np.empty(len(table), np.int64)
-    at, every = np.array([*cleared, len(table)]), _widths(depth, 4100)
-    width[0] = depth + 1
-    for a, b in zip(at, at[1:]):  # the places behind each clear code, up to the next one and with it
-        stop = min(b + 1, len(table))
-        width[a + 1 : stop] = every[: stop - a - 1]
-    bits = np.unpackbits(table.view(np.uint8).reshape(-1, 2), axis=1, bitorder="little")
-    return np.packbits(bits[np.arange(16) < width[:, None]], bitorder="little").tobytes()
+    return lzw_encode_all([samples], depth)[0]
+
+
+def lzw_encode_all(frames: list[np.ndarray], depth: int = 8) -> list[bytes]:
+    """``lzw_encode`` of each frame; all frames take their steps together, as many as SIDE_BY_SIDE has room for."""
+    streams: list[bytes] = [b""] * len(frames)
+    used = [np.flatnonzero(np.bincount(x, minlength=1)) for x in frames]
+    group, room = [], 0
+    for i in sorted(range(len(frames)), key=lambda i: len(frames[i]), reverse=True):
+        need = (len(used[i]) + min(4096, len(frames[i]))) * len(used[i])
+        if group and room + need > SIDE_BY_SIDE:
+            _encode_group(frames, group, used, depth, streams)
+            group, room = [], 0
+        group.append(i)
+        room += need
+    if group:
+        _encode_group(frames, group, used, depth, streams)
+    return streams
+
+
+def _encode_group(frames: list[np.ndarray], group: list[int], used: list[np.ndarray], depth: int, streams: list[bytes]) -> None:
+    """Code streams of the frames ``group``, longest first, one sample of each a step.
+
+    Inside, a frame's samples are numbered from 0 in the order of ``used`` and longer runs from there
+    on. Its table says at held run x samples + sample which number that longer run has, 0 if none.
+    """
+    sizes, kinds = np.array([len(frames[i]) for i in group]), np.array([len(used[i]) for i in group])
+    steps, grown = int(sizes[0]), 4096 - (1 << depth) - 2
+    samples = np.zeros((len(group), steps), np.uint8)
+    for row, i in zip(samples, group):
+        rank = np.zeros(256, np.uint8)
+        rank[used[i]] = np.arange(len(used[i]))
+        row[: len(frames[i])] = rank[frames[i]]
+    samples = np.ascontiguousarray(samples.T)
+    room = (kinds + np.minimum(4096, sizes)) * kinds
+    begin = np.cumsum(room) - room
+    known = np.zeros(int(room.sum()), np.uint16)
+    going = len(group) - np.searchsorted(sizes[::-1], np.arange(steps), "right")
+    free, limit, due = kinds.astype(np.uint16), kinds + grown, grown
+    told, ends = np.zeros((steps, len(group)), np.uint16), np.zeros((steps, len(group)), bool)
+    full: dict[int, list[int]] = {}
+    held = samples[0].astype(np.uint16) if steps else np.zeros(0, np.uint16)
+    last = held.copy()
+    for t in range(1, steps):
+        n = going[t]
+        if n < len(held):
+            last[n : len(held)] = held[n:]
+            held, free = held[:n], free[:n]
+        key = held * kinds[:n]
+        key += begin[:n]
+        key += samples[t, :n]
+        code = known.take(key)
+        new = np.equal(code, 0, out=ends[t, :n])
+        told[t, :n] = held
+        known[key] = np.where(new, free, code)
+        free += new
+        held = np.where(new, samples[t, :n], code)
+        if t >= due:  # no dictionary is full before
+            left = limit[:n] - free
+            for i in np.flatnonzero(left == 0).tolist():
+                full.setdefault(i, []).append(t)
+                known[begin[i] : begin[i] + room[i]] = 0
+                free[i], left[i] = kinds[i], grown
+            due = t + int(left.min())
+    last[: len(held)] = held
+    told, ends, clear = np.ascontiguousarray(told.T), np.ascontiguousarray(ends.T), 1 << depth
+    every, entries = _PLACES[depth][0], np.arange(clear + 2, 4096)
+    begun, marks = np.array([depth + 1]), np.array([clear, clear + 1])
+    all_codes, widths = [], []
+    for i, g in enumerate(group):
+        numbers = np.append(told[i][ends[i]], last[i : i + 1]) if sizes[i] else told[i, :0]
+        codes = np.concatenate([marks[:1], np.concatenate([used[g], entries])[numbers], marks[1:]])
+        if i in full:
+            after = np.searchsorted(np.flatnonzero(ends[i]), full[i], "right") + 1
+            codes = np.insert(codes, after, clear)
+            places = np.diff([0, *(after + np.arange(len(after))), len(codes) - 1])
+            widths += [begun, *(every[:n] for n in places)]
+        else:
+            widths += [begun, every[: len(codes) - 1]]
+        all_codes.append(codes)
+    packed = _packed(np.concatenate(all_codes), np.concatenate(widths), np.array([len(codes) for codes in all_codes]))
+    for g, stream in zip(group, packed):
+        streams[g] = stream
+
+
+def _packed(codes: np.ndarray, widths: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """The bits of the codes, a new stream of whole bytes after every ``sizes`` of them."""
+    at = np.cumsum(widths) - widths
+    start = np.cumsum(sizes) - sizes
+    bits = np.add.reduceat(widths, start)
+    size = bits + 7 >> 3
+    begin = np.cumsum(size) - size
+    at += np.repeat(begin * 8 - at[start], sizes)
+    word, byte = codes << (at & 7), at >> 3
+    out = np.zeros(int(size.sum()) + 3, np.uint8)
+    for shift in range(3):  # codes share a byte, but no bit
+        out += np.bincount(byte + shift, word >> 8 * shift & 255, len(out)).astype(np.uint8)
+    data = out.tobytes()
+    return [data[a : a + n] for a, n in zip(begin.tolist(), size.tolist())]
 
 
 def _read(bits: np.ndarray, at: np.ndarray, width: np.ndarray) -> np.ndarray:
@@ -86,60 +169,80 @@ def lzw_decode(stream: bytes, depth: int, most: int) -> np.ndarray:
 
     Raises ValueError on a code that is not defined yet.
     """
+    return lzw_decode_all([(stream, depth, most)])[0]
+
+
+def lzw_decode_all(streams: list[tuple[bytes, int, int]]) -> list[np.ndarray]:
+    """``lzw_decode`` of each (stream, depth, most), all worked out together."""
+    parts = [_runs(*x) for x in streams]
+    samples = iter(_expand([run for some in parts for run in some], [1 << depth for (_, depth, _), some in zip(streams, parts) for _ in some]))
+    return [np.concatenate([np.zeros(0, np.uint8), *(next(samples) for _ in some)])[:most] for (_, _, most), some in zip(streams, parts)]
+
+
+def _runs(stream: bytes, depth: int, most: int) -> list[np.ndarray]:
+    """A stream's codes between clear codes, none empty, up to its end or to ``most`` codes."""
     clear, end = 1 << depth, (1 << depth) + 1
     bits = np.frombuffer(stream + b"\0" * 4, np.uint8)
     total, at, parts, made = len(stream) * 8, 0, [], 0
     # Place k behind a clear code: entry clear + 1 + k is defined by it, so widths are fixed by place.
-    width = _widths(depth, 1 << 13)
-    starts = np.concatenate([[0], np.cumsum(width)])
+    width, starts = _PLACES[depth] if depth in _PLACES else _places(depth, 1 << 13)
     while made < most and at + depth + 1 <= total:
-        room = np.searchsorted(starts, total - at, "right") - 1
-        batch, seen = 512, np.zeros(0, np.int64)
+        if total - at >= starts[-1]:  # more codes than that, should a dictionary stay full
+            width, starts = _places(depth, len(width) + (total - at) // 12 + 1)
+        room = int(np.searchsorted(starts, total - at, "right") - 1)
+        batch, seen = 5000, np.zeros(0, np.int64)
         while True:  # up to the next clear or end code
             lo, hi = len(seen), min(room, len(seen) + batch)
-            if hi > len(width):
-                more = np.full(hi - len(width) + 4096, 12)
-                width = np.append(width, more)
-                starts = np.concatenate([[0], np.cumsum(width)])
             fresh = _read(bits, at + starts[lo:hi], width[lo:hi])
-            stop = np.nonzero((fresh == clear) | (fresh == end))[0]
+            stop = np.flatnonzero((fresh == clear) | (fresh == end))
             seen = np.append(seen, fresh[: stop[0]] if len(stop) else fresh)
             if len(stop) or hi >= room:
                 break
             batch *= 2
         if len(seen):
-            parts.append(_expand(seen, clear))
-            made += len(parts[-1])
+            parts.append(seen)
+            made += len(seen)
         if not len(stop) or fresh[stop[0]] == end:
             break
         at += int(starts[len(seen) + 1])
-    return np.concatenate(parts)[:most] if parts else np.zeros(0, np.uint8)
+    return parts
+
 
+def _expand(runs: list[np.ndarray], clears: list[int]) -> list[np.ndarray]:
+    """Samples of each run of codes between two clear codes.
 
-def _expand(codes: np.ndarray, clear: int) -> np.ndarray:
-    """Samples of the codes between two clear codes."""
-    n = len(codes)
-    source = codes - clear - 2  # entry clear + 2 + k is code k's samples and the first of code k + 1's
-    if (source >= np.arange(n)).any() or (codes[:1] >= clear).any():
+    Entry clear + 2 + k stands for code k's samples and the first of code k + 1's, so all but single
+    samples repeat earlier output and resolve by pointer doubling.
+    """
+    if not runs:
+        return []
+    sizes, codes = np.array([len(run) for run in runs]), np.concatenate(runs)
+    start = np.cumsum(sizes) - sizes
+    source, n = codes - np.repeat(np.array(clears) + 2, sizes), len(codes)
+    first = np.repeat(start, sizes)
+    if (source + first >= np.arange(n)).any() or (codes[start] >= clears).any():
         raise ValueError("a code is not defined yet")
-    if (source < 0).all():
-        return codes.astype(np.uint8)
+    source = np.where(source >= 0, source + first, -1)
     # Length: one more than that of the code whose samples it begins with, found by doubling.
-    length, up = np.ones(n, np.int64), np.where(source >= 0, source, -1)
-    while (up >= 0).any():
-        on = up >= 0
-        length[on] += length[up[on]]
-        up = np.where(on, up[np.maximum(up, 0)], -1)
+    length, up, on = np.ones(n, np.int64), source.copy(), np.flatnonzero(source >= 0)
+    while len(on):
+        add, further = length[up[on]], up[up[on]]
+        length[on] += add
+        up[on] = further
+        on = on[further >= 0]
     begin = np.cumsum(length) - length
-    of = np.repeat(np.arange(n), length)
-    place = np.arange(length.sum())
-    copied = np.where(source[of] >= 0, begin[np.maximum(source[of], 0)] + place - begin[of], place)
+    kind = np.int32 if begin[-1] + length[-1] < 1 << 31 else np.int64
+    back = np.where(source >= 0, begin - begin[source], 0).astype(kind)  # how far back a code's samples begin
+    copied = np.arange(begin[-1] + length[-1], dtype=kind)
+    copied -= np.repeat(back, length)
     while True:
         further = copied[copied]
         if (further == copied).all():
             break
         copied = further
-    return codes[of[copied]].astype(np.uint8)
+    single = np.zeros(len(copied), np.uint8)
+    single[begin] = np.where(source < 0, codes, 0)
+    return np.split(single[copied], begin[start[1:]])
 
 
 class Frame(NamedTuple):
@@ -159,12 +262,20 @@ def _blocks(data: bytes, at: int) -> tuple[bytes, int]:
     return b"".join(out), at + 1
 
 
-def decode(data: bytes) -> list[Frame]:
-    return list(frames(data))
+class Part(NamedTuple):
+    """One frame as stored."""
 
+    box: tuple[int, int, int, int]  # left, top, width, height
+    interlaced: bool
+    colours: np.ndarray | None
+    stream: tuple[bytes, int, int]  # code stream, depth, number of samples
+    delay: int
+    disposal: int
+    clear: int | None
 
-def frames(data: bytes):
-    """Each frame with the canvas as shown after it; raises ValueError on what is no GIF."""
+
+def _parse(data: bytes) -> tuple[int, int, list[Part]]:
+    """Width, height and frames as stored; raises ValueError on what is no GIF."""
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     width, height, flags = struct.unpack_from("<HHB", data, 6)
@@ -173,19 +284,18 @@ def frames(data: bytes):
         n = 2 << (flags & 7)
         shared = np.frombuffer(data, np.uint8, 3 * n, at).reshape(n, 3)
         at += 3 * n
-    canvas = np.zeros((height, width), np.uint32)  # red, green, blue, opacity as bytes
-    delay, disposal, clear_index = 0, 0, None
+    parts, delay, disposal, clear = [], 0, 0, None
     while at < len(data) and data[at] != 0x3B:
         if data[at] == 0x21:
             label = data[at + 1]
             told, at = _blocks(data, at + 2)
             if label == 0xF9 and len(told) >= 4:
                 disposal, delay = told[0] >> 2 & 7, told[1] | told[2] << 8
-                clear_index = told[3] if told[0] & 1 else None
+                clear = told[3] if told[0] & 1 else None
             continue
         if data[at] != 0x2C:
             raise ValueError("an unknown block")
-        left, top, w, h, flags = struct.unpack_from("<HHHHB", data, at + 1)
+        *box, flags = struct.unpack_from("<HHHHB", data, at + 1)
         at += 10
         colours = shared
         if flags & 128:
@@ -194,54 +304,87 @@ def frames(data: bytes):
             at += 3 * n
         depth = data[at]
         stream, at = _blocks(data, at + 1)
+        parts.append(Part(tuple(box), bool(flags & 64), colours, (stream, depth, box[2] * box[3]), delay, disposal, clear))
+        delay, disposal, clear = 0, 0, None
+    return width, height, parts
+
+
+def decode(data: bytes) -> list[Frame]:
+    return list(frames(data))
+
+
+def frames(data: bytes):
+    """Each frame with the canvas as shown after it; raises ValueError on what is no GIF."""
+    return next(frames_all([data]))
+
+
+def frames_all(files: list[bytes]):
+    """``frames`` of each file; the streams of all are decoded together."""
+    parsed = [_parse(data) for data in files]
+    samples = iter(lzw_decode_all([part.stream for _, _, parts in parsed for part in parts]))
+    for width, height, parts in parsed:
+        yield _shown(width, height, parts, [next(samples) for _ in parts])
+
+
+def _shown(width: int, height: int, parts: list[Part], samples: list[np.ndarray]):
+    canvas = np.zeros((height, width), np.uint32)  # red, green, blue, opacity as bytes
+    for part, got in zip(parts, samples):
+        left, top, w, h = part.box
         indices = np.zeros(w * h, np.uint8)
-        got = lzw_decode(stream, depth, w * h)
         indices[: len(got)] = got
         indices = indices.reshape(h, w)
-        if flags & 64:  # rows came in four passes
+        if part.interlaced:  # rows came in four passes
             rows = np.concatenate([np.arange(a, h, s) for a, s in ((0, 8), (4, 8), (2, 4), (1, 2))])
             straight = np.empty_like(indices)
             straight[rows] = indices
             indices = straight
-        before = canvas.copy() if disposal == 3 else None
-        part = canvas[top : top + h, left : left + w]
-        seen = indices[: part.shape[0], : part.shape[1]]
+        before = canvas.copy() if part.disposal == 3 else None
+        place = canvas[top : top + h, left : left + w]
+        seen = indices[: place.shape[0], : place.shape[1]]
         table = np.zeros((256, 4), np.uint8)
         table[:, 3] = 255
-        if colours is not None:
-            table[: len(colours), :3] = colours
+        if part.colours is not None:
+            table[: len(part.colours), :3] = part.colours
         shown = table.view(np.uint32).ravel()[seen]
-        if clear_index is None:
-            part[:] = shown
+        if part.clear is None:
+            place[:] = shown
         else:
-            np.copyto(part, shown, where=seen != clear_index)
-        yield Frame(left, top, indices, canvas.copy().view(np.uint8).reshape(height, width, 4), delay, disposal)
-        if disposal == 2:
-            part[:] = 0
-        elif disposal == 3:
+            np.copyto(place, shown, where=seen != part.clear)
+        yield Frame(left, top, indices, canvas.copy().view(np.uint8).reshape(height, width, 4), part.delay, part.disposal)
+        if part.disposal == 2:
+            place[:] = 0
+        elif part.disposal == 3:
             canvas = before
-        delay, disposal, clear_index = 0, 0, None
 
 
 def encode(payload: bytes, rows: int = ROWS, delay: int = DELAY) -> bytes:
     """A GIF whose frames hold the payload, UNIT samples a row; its length is a positive multiple of UNIT."""
-    samples = np.frombuffer(payload, np.uint8).reshape(-1, UNIT)
-    out = [b"GIF89a", struct.pack("<HHBBB", UNIT, min(rows, len(samples)), 0xF7, 0, 0), COLOURS.tobytes()]
-    for i, start in enumerate(range(0, len(samples), rows)):
-        some = samples[start : start + rows]
-        stream = lzw_encode(some.ravel())
-        padded = [bytes([len(stream[i : i + 255])]) + stream[i : i + 255] for i in range(0, len(stream), 255)]
-        own = COLOURS[:, ::-1].tobytes() if i % 2 else b""
-        control = struct.pack("<BBBBHBB", 0x21, 0xF9, 4, DISPOSALS[i % 3] << 2 | (i > 0), delay, CLEAR, 0)
-        out += [control, struct.pack("<BHHHHB", 0x2C, 0, 0, UNIT, len(some), 0x87 if own else 0), own, b"\x08", *padded, b"\0"]
-    return b"".join([*out, b"\x3b"])
+    return encode_all([payload], rows, delay)[0]
+
+
+def encode_all(payloads: list[bytes], rows: int = ROWS, delay: int = DELAY) -> list[bytes]:
+    """``encode`` of each payload."""
+    samples = [np.frombuffer(p, np.uint8) for p in payloads]
+    parts = [[x[at : at + rows * UNIT] for at in range(0, len(x), rows * UNIT)] for x in samples]
+    streams = iter(lzw_encode_all([some for frames in parts for some in frames]))
+    files = []
+    for x, frames in zip(samples, parts):
+        out = [b"GIF89a", struct.pack("<HHBBB", UNIT, min(rows, len(x) // UNIT), 0xF7, 0, 0), COLOURS.tobytes()]
+        for i, some in enumerate(frames):
+            stream = next(streams)
+            padded = [bytes([len(stream[k : k + 255])]) + stream[k : k + 255] for k in range(0, len(stream), 255)]
+            own = COLOURS[:, ::-1].tobytes() if i % 2 else b""
+            control = struct.pack("<BBBBHBB", 0x21, 0xF9, 4, DISPOSALS[i % 3] << 2 | (i > 0), delay, CLEAR, 0)
+            out += [control, struct.pack("<BHHHHB", 0x2C, 0, 0, UNIT, len(some) // UNIT, 0x87 if own else 0), own, b"\x08", *padded, b"\0"]
+        files.append(b"".join([*out, b"\x3b"]))
+    return files
 
 
 def histogram(canvas: np.ndarray, bins: int = BINS) -> np.ndarray:
     """Counts of shown samples by red, green and blue level; samples that nothing was drawn on are left out."""
-    level = canvas[:, :, :3].astype(np.uint16) * bins >> 8
-    code = ((level[:, :, 0] * bins + level[:, :, 1]) * bins + level[:, :, 2])[canvas[:, :, 3] > 0]
-    return np.bincount(code.ravel(), minlength=bins**3)
+    level = _LEVEL * bins >> 8
+    code = (level * bins**2)[canvas[:, :, 0]] + (level * bins)[canvas[:, :, 1]] + level[canvas[:, :, 2]]
+    return np.bincount(code[canvas[:, :, 3] > 0], minlength=bins**3)
 
 
 def frames_of(media: DataFrame, key: str, column: str = "media") -> DataFrame:
@@ -273,10 +416,9 @@ _FIELDS = (
 )
 
 
-def _digest(text: bytes) -> tuple:
-    media = encode(padded(text))
+def _digest(text: bytes, media: bytes, shown_frames) -> tuple:
     read, crc, size, shown, n, lasts = hashlib.sha256(), b"", 0, np.zeros(BINS**3, np.int64), 0, 0
-    for f in frames(media):
+    for f in shown_frames:
         stored = f.indices.tobytes()
         read.update(stored)
         crc, size, n, lasts = stored[-16:], size + len(stored), n + 1, lasts + f.delay
@@ -286,12 +428,16 @@ def _digest(text: bytes) -> tuple:
 
 
 def _store(text: pa.Array) -> pa.Array:
-    done = [_digest(t or b"") for t in text.cast(pa.binary()).to_pylist()]
+    texts, done = [t or b"" for t in text.cast(pa.binary()).to_pylist()], []
+    media = encode_all([padded(t) for t in texts])
+    for start, n in chunks(text, DECODED_TOGETHER):
+        some = slice(start, start + n)
+        done += map(_digest, texts[some], media[some], frames_all(media[some]))
     return pa.StructArray.from_arrays([pa.array([d[i] for d in done], kind) for i, (_, kind, _) in enumerate(_FIELDS)], [n for n, _, _ in _FIELDS])
 
 
 def store_digest(docs: DataFrame) -> DataFrame:
-    """doc_id and what was read back from each text's GIF: sizes, hashes, a brightness histogram, frames.
+    """doc_id and what was read back from each text's GIF: sizes, hashes, a colour histogram, frames.
 
     Defined cases: a null text is an empty one, and an empty one is stored as UNIT spaces; null ids
     pass through; repeated rows each get their row; an empty table gives an empty result; other
@@ -304,5 +450,5 @@ def store_digest(docs: DataFrame) -> DataFrame:
 
 def as_media(docs: DataFrame) -> DataFrame:
     """doc_id, media: each text as a GIF file."""
-    made = F.arrow_udf(lambda t: pa.array([encode(padded(x or b"")) for x in t.cast(pa.binary()).to_pylist()], pa.binary()), "binary")
+    made = F.arrow_udf(lambda t: pa.array(encode_all([padded(x or b"") for x in t.cast(pa.binary()).to_pylist()]), pa.binary()), "binary")
     return docs.select("doc_id", made("text").alias("media"))
