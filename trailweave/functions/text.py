@@ -114,6 +114,51 @@ def natural_list(words, default: str) -> Column:
     return F.when(n == 0, F.lit(default)).when(n == 1, F.element_at(words, 1)).otherwise(F.concat(head, F.lit(" and "), F.try_element_at(words, F.lit(-1))))
 
 
+# What landmarks of a kind are called in a picture's description.
+LANDMARK_PROSE = {
+    "castle": "a hilltop medieval castle",
+    "ruins": "weathered stone ruins overgrown with ivy",
+    "fort": "an old stone fortress",
+    "monument": "a stately stone monument",
+    "memorial": "a quiet memorial cross",
+    "archaeological_site": "ancient archaeological remains",
+    "tower": "a lone watchtower",
+    "wayside_cross": "a wayside stone cross",
+    "viewpoint": "a panoramic viewpoint over the valley",
+    "attraction": "a scenic local attraction",
+    "peak": "a prominent rocky peak",
+    "cliff": "dramatic limestone cliffs",
+    "cave_entrance": "the dark mouth of a cave",
+    "waterfall": "a cascading waterfall",
+    "lighthouse": "a tall coastal lighthouse",
+}
+
+
+def landmark_prose(marks) -> Column:
+    """The first three of an array of landmarks (name, kind) in words; unnamed ones of an unknown kind are left out."""
+    words = F.create_map(*(F.lit(x) for both in LANDMARK_PROSE.items() for x in both))
+
+    def told(mark):
+        known = F.try_element_at(words, mark["kind"])
+        named = F.concat(mark["name"], F.lit(" ("), F.coalesce(known, F.replace(mark["kind"], F.lit("_"), F.lit(" "))), F.lit(")"))
+        return F.when(mark["name"] != "", named).otherwise(known)
+
+    some = F.slice(F.coalesce(marks, F.array()), 1, 3)
+    return F.array_join(F.filter(F.transform(some, told), lambda x: x.isNotNull()), ", ")
+
+
+def transport_kind(tags) -> Column:
+    """train or bus by a map of tags: stations and halts first, then bus stops and platforms for buses; train otherwise."""
+    tag = lambda key: F.try_element_at(tags, F.lit(key))
+    bus = (tag("highway") == "bus_stop") | ((tag("public_transport") == "platform") & (tag("bus") == "yes"))
+    return F.when(tag("railway").isin("station", "halt"), "train").when(bus, "bus").otherwise("train")
+
+
+def kind_counts(rows) -> Column:
+    """An array of (kind, n) as "3 bus, 2 train", kinds in order."""
+    return F.array_join(F.transform(F.sort_array(rows), lambda x: F.concat(x["n"].cast("string"), F.lit(" "), x["kind"])), ", ")
+
+
 def replace_once(text, mark, value) -> Column:
     """The first ``mark`` in the text replaced by ``value``."""
     at = F.instr(text, mark) if isinstance(mark, str) else F.locate(mark, text)

@@ -121,6 +121,27 @@ def resample(vertices: DataFrame, step_m: float) -> DataFrame:
     return on.unionByName(tail)
 
 
+def sample_shares(vertices: DataFrame, step_m: float) -> DataFrame:
+    """Samples every ``step_m`` along lines of parts (route, part, seq, lon, lat): k, share of the whole length, lon, lat.
+
+    The gap between two parts has no length and no sample. The end, share 1, is the last sample unless one lies
+    there; a line without a length has none.
+    """
+    lag = lambda c: F.lag(c).over(_by_route())
+    step = F.when(F.col("part") == lag("part"), haversine_m(lag("lat"), lag("lon"), F.col("lat"), F.col("lon"))).otherwise(F.lit(0.0))
+    run = vertices.withColumn("step", step).withColumn("b", F.sum("step").over(_so_far()))
+    ends = run.groupBy("route").agg(F.max("b").alias("total"), F.max_by(F.struct("lon", "lat"), "seq").alias("e")).where("total > 0")
+    piece = run.select("route", "b", "lon", "lat", *(lag(c).alias(f"{c}0") for c in ("b", "lon", "lat"))).where("b > b0")
+    first = F.when(F.col("b0") == 0, F.lit(0)).otherwise(F.floor(F.col("b0") / step_m) + 1).cast("long")
+    last = F.floor(F.col("b") / step_m).cast("long")
+    on = piece.where(first <= last).withColumn("k", F.explode(F.sequence(first, last))).join(ends.select("route", "total"), "route")
+    t = (F.col("k") * step_m - F.col("b0")) / (F.col("b") - F.col("b0"))
+    on = on.select("route", "k", (F.col("k") * step_m / F.col("total")).alias("share"), *((F.col(f"{c}0") + (F.col(c) - F.col(f"{c}0")) * t).alias(c) for c in ("lon", "lat")))
+    count = F.floor(F.col("total") / step_m)
+    tail = ends.where(count * step_m / F.col("total") < 1.0 - 1e-9).select("route", (count + 1).cast("long").alias("k"), F.lit(1.0).alias("share"), "e.lon", "e.lat")
+    return on.unionByName(tail)
+
+
 def as_of(samples: DataFrame, targets: DataFrame) -> DataFrame:
     """For each target (route, target_km) the seq of the last sample at or before it, from 1 to one less than the last.
 

@@ -75,6 +75,24 @@ def ever_nearest(places: DataFrame, vertices: DataFrame, key: str, radius_deg: f
     return best.select(key, "site").distinct()
 
 
+def nearest_kept(candidates: DataFrame, vertices: DataFrame, radius_m: float) -> DataFrame:
+    """Candidates (route, ord, site, lon, lat) that are their route's nearest one to some vertex within ``radius_m``.
+
+    Nearness is compared in degrees, of equals the first by ``ord`` counts, and the metres follow from the
+    vertex's latitude. A route's lone candidate stays wherever it is. Candidates and vertices meet in cells as
+    wide as the radius can be in degrees.
+    """
+    widest = 2 * radius_m / CONFIG.degree_m
+    cell = lambda v: F.floor(v / widest)
+    v = vertices.select("route", "seq", F.col("lon").alias("vx"), F.col("lat").alias("vy")).withColumn("_x", cell(F.col("vx"))).withColumn("_y", cell(F.col("vy")))
+    p = candidates.select("route", "ord", "site", F.col("lon").alias("px"), F.col("lat").alias("py"))
+    p = p.withColumn("_x", _around(cell(F.col("px")))).withColumn("_y", _around(cell(F.col("py"))))
+    met = v.join(p, ["route", "_x", "_y"]).withColumn("d2", F.pow(F.col("vx") - F.col("px"), F.lit(2)) + F.pow(F.col("vy") - F.col("py"), F.lit(2)))
+    best = met.groupBy("route", "seq").agg(F.min(F.struct("d2", "ord", "site", "vy")).alias("b")).where(degrees_to_m(F.sqrt("b.d2"), F.col("b.vy")) <= radius_m)
+    lone = candidates.groupBy("route").agg(F.count(F.lit(1)).alias("n"), F.first("site").alias("site")).where("n = 1").select("route", "site")
+    return candidates.join(best.select("route", "b.site").unionByName(lone).distinct(), ["route", "site"], "left_semi")
+
+
 def inside(points: DataFrame, edges: DataFrame) -> DataFrame:
     """point, poly for each point (area, point, px, py) inside a polygon given by edges (area, poly, x1, y1, x2, y2): crossings to the right are odd.
 
