@@ -7,6 +7,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -313,6 +314,20 @@ def test_gif_streams_grow_a_dictionary_that_a_plain_decoder_reads():
     assert shown[0] == gif.COLOURS[ord("m")].tolist() and shown[1] != shown[0]  # the second has its own palette
 
 
+def test_gif_frames_side_by_side_are_those_alone(monkeypatch):
+    rng = np.random.default_rng(7)
+    frames = [rng.choice(np.frombuffer(b"etaoin shrdlu\xc3\xa9", np.uint8), n) for n in (0, 1, 3000, 12_288, 2, 25_000, 3000, 0)]
+    alone = [gif.lzw_encode(x) for x in frames]
+    assert [_unlzw(stream, 8) for stream in alone] == [x.tobytes() for x in frames]
+    for room in (1, 1 << 18, 1 << 26):
+        monkeypatch.setattr(gif, "SIDE_BY_SIDE", room)
+        assert gif.lzw_encode_all(frames) == alone
+    together = gif.lzw_decode_all([(stream, 8, len(x)) for stream, x in zip(alone, frames)])
+    assert all((a == b).all() and len(a) == len(b) for a, b in zip(together, frames))
+    assert gif.encode_all([]) == [] and gif.lzw_encode_all([]) == [] and list(gif.frames_all([])) == []
+    assert len(gif._store(pa.array([], pa.string()))) == 0 and gif._store(pa.array([None, ""])).to_pylist()[0]["n_bytes"] == 0
+
+
 def test_gif_store_digest(spark, docs):
     got = gif.store_digest(docs).collect()
     assert len(got) == docs.count()
