@@ -91,6 +91,39 @@ def test_bpe_common_table_is_bounded_in_bytes(spark):
     assert got == {i: _tokens(t) for i, t in enumerate(texts)}
 
 
+def test_bpe_worker_keeps_one_table_and_digests_some_texts_at_a_time(monkeypatch):
+    import zstandard
+
+    with open(queries.tokenizer_path(), encoding="utf-8") as f:
+        told = f.read()
+    common, rare = ["one", " two", " three"], [" rarely", " seldomly"]
+    bpe._once(bpe._packed(pa.chunked_array([pa.array([w.encode() for w in common])])), bpe._table_of_words)
+    ids = bpe.encode_words(told, common)
+    assert len(bpe._KEPT) == 1  # the tokenizer, no table of words beside it
+    late = [np.array(x, "<u2").tobytes() for x in bpe.encode_words(told, rare)]
+    texts = [[0, 1, 3], [], [2], [3, 3, 0], [0, 1, 2, 1, 2, 1], [3]]  # 3 stands for a word that the table lacks
+    rows, whole, met = [], [], 0
+    for k, text in enumerate(texts):
+        planes = np.array(text, "<u4").view(np.uint8).reshape(-1, 4)[:, :3].T.tobytes()
+        rows.append((k, k, -1, bytes(8) + zstandard.compress(planes)))
+        words = []
+        for at, n in enumerate(text):
+            if n == 3:
+                rows.append((k, k, at, late[met % 2]))
+                met += 1
+            words.append(common[n] if n < 3 else rare[(met - 1) % 2])
+        whole.append("".join(words))
+    t = pa.table([pa.array(c, kind) for c, kind in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["_k1", "_len", "at", "told"])
+    by_id = bpe.pieces_of(told)
+    pieces = pa.array([by_id.get(i, b"") for i in range(max(by_id) + 1)], pa.large_binary())
+    names = pa.array([b"%d," % i for i in range(len(pieces))], pa.large_binary())
+    monkeypatch.setattr(bpe, "_AT_ONCE", 3)
+    made = list(bpe._digested(t, pa.array(ids, pa.list_(pa.int32())), pieces, names, "<u2"))
+    assert [b.num_rows for b in made] == [1, 3, 1, 1]
+    got = [(r["n_tokens"], r["ids_sha256"].hex(), r["decoded_sha256"].hex()) for b in made for r in b.to_pylist()]
+    assert got == [_tokens(w) for w in whole]
+
+
 def test_bpe_empty_table(spark):
     assert bpe.encode_digest(spark.createDataFrame([], SCHEMA), queries.tokenizer_path()).collect() == []
 

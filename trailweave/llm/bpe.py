@@ -26,7 +26,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import aside, chunks, lean, small_batches, utf8
+from .common import aside, chunks, give_back, lean, small_batches, utf8
 from .words import SPACE, span_hashes
 
 # White space as Unicode has it, without U+180E, which is not.
@@ -36,6 +36,8 @@ PIECE = f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+"
 _WIDE = [chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 #: Rows in the sample that common words come from, about; common words and their bytes, at most.
 SAMPLE_TEXTS, COMMON_WORDS, COMMON_BYTES = 60_000, 2_000_000, 48_000_000
+#: Words that are hashed together, and words of whole texts that are digested together, so that no passing array grows with table or batch.
+_AT_ONCE = 200_000
 #: A text's key: 64 bits of hash and its bytes. Texts that agree in both but not in 64 further bits stop the job.
 _KEY = ("_k1", "_len")
 _FOUND = "_k1 long, _len int, n_tokens long, ids_sha256 binary, decoded_sha256 binary"
@@ -61,23 +63,26 @@ def vocabulary(spark, tokenizer_json: str) -> DataFrame:
     return spark.createDataFrame(sorted(pieces_of(tokenizer_json).items()), "id int, piece binary")
 
 
-#: What a Python worker keeps between tasks: the tokenizer, and one of the two columns of the table of words.
+#: What a Python worker keeps between tasks: the tokenizer or one of the two columns of the table of words.
 _KEPT: dict = {}
 
 
 def encode_words(tokenizer_json: str, words: list[str]) -> list[list[int]]:
     """Ids of each word as the library gives them, without special tokens added, cut or padded."""
-    key = hash(tokenizer_json)
-    if key not in _KEPT:
-        import os
+    library = _once(tokenizer_json, _tokenizer)
+    return [e.ids for i in range(0, len(words), 2000) for e in library.encode_batch(words[i : i + 2000], add_special_tokens=False)]
+
+
+def _tokenizer(tokenizer_json: str):
+    import os
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
 
-        _KEPT[key] = Tokenizer.from_str(tokenizer_json)
-        _KEPT[key].no_truncation()
-        _KEPT[key].no_padding()
-    return [e.ids for i in range(0, len(words), 2000) for e in _KEPT[key].encode_batch(words[i : i + 2000], add_special_tokens=False)]
+    made = Tokenizer.from_str(tokenizer_json)
+    made.no_truncation()
+    made.no_padding()
+    return made
 
 
 def word_table(words: DataFrame, tokenizer_json: str) -> DataFrame:
@@ -121,9 +126,11 @@ class CommonWords:
     """Words by number, found by hash and compared by value."""
 
     def __init__(self, words: pa.Array):
-        self.words = words.cast(pa.large_binary())
-        hashes = self.hashed(self.words)
-        self.order = np.argsort(hashes, kind="stable")
+        self.words = words.cast(pa.binary())
+        hashes = np.zeros(len(words), np.uint64)
+        for k in range(0, len(words), _AT_ONCE):
+            hashes[k : k + _AT_ONCE] = self.hashed(self.words.slice(k, _AT_ONCE))
+        self.order = np.argsort(hashes, kind="stable").astype(np.int32)
         self.hashes = hashes[self.order]
 
     def __len__(self) -> int:
@@ -141,7 +148,7 @@ class CommonWords:
         wanted = self.hashed(words)
         at = np.minimum(np.searchsorted(self.hashes, wanted), len(self) - 1)
         rows = self.order[at]
-        same = pc.equal(self.words.take(pa.array(rows)), words).to_numpy(zero_copy_only=False).copy()
+        same = pc.equal(self.words.take(pa.array(rows)).cast(pa.large_binary()), words).to_numpy(zero_copy_only=False).copy()
         for i in np.nonzero(~same & (self.hashes[at] == wanted))[0].tolist():  # other words with that hash lie behind
             for j in range(at[i] + 1, len(self)):
                 if self.hashes[j] != wanted[i]:
@@ -183,23 +190,25 @@ def _packed(column: pa.ChunkedArray) -> bytes:
     """A column as compressed Arrow bytes, to be sent to every executor."""
     table = pa.table({"x": column})
     sink = pa.BufferOutputStream()
-    with pa.CompressedOutputStream(sink, "zstd") as packed, pa.ipc.new_stream(packed, table.schema) as out:
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
         out.write_table(table)
     return sink.getvalue().to_pybytes()
 
 
 def _unpacked(packed: bytes) -> pa.Array:
-    table = pa.ipc.open_stream(pa.CompressedInputStream(pa.BufferReader(packed), "zstd").read()).read_all()
-    column = table.column("x").combine_chunks()
-    return column if isinstance(column, pa.Array) else pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], table.schema.field("x").type)
+    table = pa.ipc.open_stream(pa.BufferReader(packed), options=pa.ipc.IpcReadOptions(use_threads=False)).read_all()
+    column = table.column("x")
+    return column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
 
 
-def _once(packed: bytes, make):
-    """``make`` of what was packed, made once a worker; whatever else the worker kept goes first."""
-    key = make, hashlib.md5(packed).digest()
+def _once(told: bytes | str, make):
+    """``make`` of what was told, made once a worker; whatever else the worker kept goes first, back to the machine."""
+    key = make, hash(told)
     if key not in _KEPT:
         _KEPT.clear()
-        _KEPT[key] = make(packed)
+        give_back()
+        _KEPT[key] = make(told)
+        give_back()
     return _KEPT[key]
 
 
@@ -294,10 +303,10 @@ def encode_digest(docs: DataFrame, tokenizer_path: str, sample_texts: int = SAMP
             while last and all(c[last] == c[last - 1] for c in k):  # the last text may go on in the next batch
                 last -= 1
             if last:
-                yield _digested(t.slice(0, last), table, pieces, names, narrow)
+                yield from _digested(t.slice(0, last), table, pieces, names, narrow)
             rest = t.slice(last)
         if rest is not None and rest.num_rows:
-            yield _digested(rest, table, pieces, names, narrow)
+            yield from _digested(rest, table, pieces, names, narrow)
 
     row = "_k1 long, _len int, at int, told binary"
     places = texts.mapInArrow(lean(lambda b: coded(b, True)), "word binary, _k1 long, _len int, at int")
@@ -308,8 +317,8 @@ def encode_digest(docs: DataFrame, tokenizer_path: str, sample_texts: int = SAMP
     return keyed.drop("text").join(met, list(_KEY), "left").select(*others, "n_tokens", *told_hex)
 
 
-def _digested(t: pa.Table, table: pa.Array, pieces: pa.Array, names: pa.Array, narrow: str) -> pa.RecordBatch:
-    """n_tokens and digests of whole texts from their sorted rows; repeated rows, of copies, count once."""
+def _digested(t: pa.Table, table: pa.Array, pieces: pa.Array, names: pa.Array, narrow: str):
+    """n_tokens and digests of whole texts from their sorted rows, some texts at a time; repeated rows, of copies, count once."""
     import zstandard
 
     t = t.combine_chunks()
@@ -320,18 +329,31 @@ def _digested(t: pa.Table, table: pa.Array, pieces: pa.Array, names: pa.Array, n
         if t.column("told")[i].as_py()[:8] != t.column("told")[i - 1].as_py()[:8]:
             raise RuntimeError("two texts agree in length and hash; another seed of the hash tells them apart")
     t = t.filter(pa.array(fresh)) if not fresh.all() else t
+    begins = np.nonzero(t.column("at").to_numpy() == -1)[0]
+    told, unz = t.column("told"), zstandard.ZstdDecompressor()
+    planes, size, start = [], 0, 0
+    for i, begin in enumerate(begins.tolist()):
+        planes.append(np.frombuffer(unz.decompress(told[begin].as_py()[8:]), np.uint8).reshape(3, -1))
+        size += planes[-1].shape[1]
+        if size >= _AT_ONCE or i + 1 == len(begins):
+            end = begins[i + 1] if i + 1 < len(begins) else t.num_rows
+            yield _some_digested(t.slice(start, end - start), planes, table, pieces, names, narrow)
+            planes, size, start = [], 0, end
+
+
+def _some_digested(t: pa.Table, planes: list[np.ndarray], table: pa.Array, pieces: pa.Array, names: pa.Array, narrow: str) -> pa.RecordBatch:
     own = t.column("at").to_numpy() == -1
-    unz = zstandard.ZstdDecompressor()
-    planes = [np.frombuffer(unz.decompress(x[8:]), np.uint8).reshape(3, -1) for x in t.column("told").filter(pa.array(own)).to_pylist()]
     first = np.concatenate([[0], np.cumsum([p.shape[1] for p in planes])])
     number = np.concatenate([p[0] + (p[1].astype(np.int64) << 8) + (p[2].astype(np.int64) << 16) for p in planes])
     data, ends = utf8(t.column("told").filter(pa.array(~own)).combine_chunks())
     holes = np.nonzero(number == len(table))[0]
     if len(holes) != len(ends) - 1:
         raise RuntimeError(f"{len(holes)} words lack ids, {len(ends) - 1} came")
-    number[holes] += np.arange(len(holes))
     late = pa.ListArray.from_arrays(pa.array(ends // np.dtype(narrow).itemsize, pa.int32()), pa.array(np.frombuffer(data.tobytes(), narrow).astype(np.int32)))
-    of = pa.concat_arrays([table, late]).take(pa.array(number))
+    used, at = np.unique(number, return_inverse=True)  # only the words of these texts are copied out of the table
+    used = used[used < len(table)]
+    at[holes] = len(used) + np.arange(len(holes))
+    of = pa.concat_arrays([table.take(pa.array(used)), late]).take(pa.array(at))
     flat, in_words = of.flatten(), np.concatenate([[0], np.cumsum(of.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
     return _hashed(t.select(list(_KEY)).filter(pa.array(own)), _joined(names, flat), _joined(pieces, flat), in_words[first].tolist())
 
