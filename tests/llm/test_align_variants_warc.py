@@ -98,6 +98,27 @@ def test_alignment_equals_brute_force(spark, most_pairs):
             assert x[7] == y[7]
 
 
+def test_segments_are_encoded_as_runs_and_alone_where_a_run_does_not_fit(monkeypatch):
+    with open(queries.tokenizer_path(), encoding="utf-8") as f:
+        pair = align.Pair(f.read(), queries.piece_model())
+    plain = [f"word{i}, it's" for i in range(1000)]
+    odd = ["", "tail ", "\n", "ﬁ", "\u0301con", "½", "\x1f", "\u3000x", "日本語", "<s>", "plain"]
+    encoded, many = align.Pair._encode_a, []
+    monkeypatch.setattr(align.Pair, "_encode_a", lambda self, texts: many.append(len(texts)) or encoded(self, texts))
+    pair.encoded(plain)
+    assert sum(many) <= 10
+    segs = plain[:300] + odd
+    order, a, b, na, nb, fits = pair.encoded(segs)
+    assert sorted(order) == list(range(len(segs)))
+    x = y = 0
+    for i, n, m, fit in zip(order, na.tolist(), nb.tolist(), fits.tolist()):
+        want_a, want_b = (t[0] for t in (pair._encode_a([segs[i]]), pair._encode_b([segs[i]])))
+        whole = all(b"".join(p[k] for k in w) == (" " + segs[i]).encode() for w, p in ((want_a, pair.bytes_a), (want_b, pair.bytes_b)))
+        assert fit == whole and (a[x : x + n].tolist(), b[y : y + m].tolist()) == ((want_a, want_b) if whole else ([], []))
+        x, y = x + n, y + m
+    assert 0 in fits and (x, y) == (len(a), len(b))
+
+
 def test_alignment_of_an_empty_table(spark):
     with open(queries.tokenizer_path(), encoding="utf-8") as f:
         assert align.alignment(spark.createDataFrame([], "doc_id long, text string"), f.read(), queries.piece_model()).count() == 0

@@ -7,8 +7,9 @@ group is resolved by stepping the side that lags, which gives the next shift.
 
 A text is cut before each space that follows a character other than white space. No token of either
 tokenizer reaches across such a place (a byte-level pre-token holds no space behind another
-character, a piece none inside), so each distinct segment is encoded once a task, all new ones of a
-batch side by side, and a text's groups are its segments' groups in a row.
+character, a piece none inside), so each distinct segment is encoded once a task, and a text's groups
+are its segments' groups in a row. New segments are encoded as runs, some hundred joined as one text; a run
+whose tokens do not end where its segments do, or do not give back its bytes, is encoded segment by segment.
 
 Texts' links travel packed, some thousand texts in one row: the pairs of a text once each with how
 often they occur. The most frequent pairs' counts, a bounded number, reach every task; the others
@@ -35,6 +36,8 @@ MOST_PAIRS = 1_000_000
 KEPT_SEGMENTS, KEPT_CHARS = 150_000, 8_000_000
 #: Pairs that a task counts together before it hands them on.
 COUNTED = 4_000_000
+#: Segments that are encoded together as one text, at most.
+RUN = 200
 
 # Not before a space at the very end: alone it would be an empty text to the piece tokenizer.
 _CUT = re.compile(r"(?<=\S)(?= [\s\S])")
@@ -108,61 +111,105 @@ class Pair:
         self.bytes_b = piece_bytes(piece_model)
         self.len_a, self.len_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
         self.width = len(self.bytes_b)
+        # A token's decimal id and what follows it in a list of groups: "," or "|" for A, "," or ";" for B.
+        self.told = pa.array([b"%d%s" % (i, end) for n, ends in ((len(self.bytes_a), b",|"), (self.width, b",;")) for end in (ends[:1], ends[1:]) for i in range(n)], pa.large_binary())
         self.forget()
 
     def forget(self):
         self.number: dict[str, int] = {}
         self.chars = 0
-        self.groups: list[str] = []
+        self.groups: list[bytes] = []  # each group ends with ";"
         self.sizes = np.zeros((4, 0), np.int64)  # tokens a, tokens b, groups, fits
         self.links, self.first = np.zeros(0, np.uint64), np.zeros(1, np.int64)
 
+    def _encode_a(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for k in range(0, len(texts), 2000) for e in self.bpe.encode_batch_fast([" " + t for t in texts[k : k + 2000]], add_special_tokens=False)]
+
+    def _encode_b(self, texts: list[str]) -> list[list[int]]:
+        return self.pieces.encode(texts, num_threads=1)
+
     def _side(self, ids: list[list[int]], raw: list[bytes], pieces: list[bytes]) -> list[bool]:
         return [b"".join([pieces[i] for i in x]) == r for x, r in zip(ids, raw)]
 
-    def learn(self, segs: list[str]) -> None:
-        """Encodes and aligns segments not seen before."""
-        raw = [(" " + s).encode() for s in segs]
-        ids_a = [e.ids for k in range(0, len(segs), 2000) for e in self.bpe.encode_batch_fast([" " + s for s in segs[k : k + 2000]], add_special_tokens=False)]
-        ids_b = self.pieces.encode(segs, num_threads=1)
-        fits = [x and y for x, y in zip(self._side(ids_a, raw, self.bytes_a), self._side(ids_b, raw, self.bytes_b))]
-        if not all(fits):
-            ids_a, ids_b = ([x if ok else [] for x, ok in zip(ids, fits)] for ids in (ids_a, ids_b))
-        na, nb = (np.array([len(x) for x in ids], np.int64) for ids in (ids_a, ids_b))
-        a, b = (np.array([i for x in ids for i in x], np.int64) for ids in (ids_a, ids_b))
+    def encoded(self, segs: list[str]):
+        """Tokens of both sides of all segments in a row, how many each segment has, and whether it fits; one that does not has none."""
+        sizes = np.array([len(s.encode()) + 1 for s in segs], np.int64)
+        runs, alone = [], []
+        for k in range(0, len(segs), RUN):
+            joined = [i for i in range(k, min(k + RUN, len(segs))) if segs[i] and not segs[i][-1].isspace()]
+            alone += [i for i in range(k, min(k + RUN, len(segs))) if not segs[i] or segs[i][-1].isspace()]
+            if joined:
+                runs.append(joined)
+        texts = [" ".join([segs[i] for i in run]) for run in runs]
+        raw = [(" " + t).encode() for t in texts]
+        parts = {}
+        both = self._encode_a(texts), self._encode_b(texts)
+        fits = [x and y for x, y in zip(self._side(both[0], raw, self.bytes_a), self._side(both[1], raw, self.bytes_b))]
+        for run, fit, x, y in zip(runs, fits, *both):
+            if fit:
+                stops = np.cumsum(sizes[run])
+                ids = np.array(x, np.int64), np.array(y, np.int64)
+                ends = np.cumsum(self.len_a[ids[0]]), np.cumsum(self.len_b[ids[1]])
+                at = [np.searchsorted(e, stops, side="right") for e in ends]
+                fit = all((e[k - 1] == stops).all() for e, k in zip(ends, at))
+            if fit:
+                parts[run[0]] = run, *ids, *(np.diff(k, prepend=0) for k in at), np.ones(len(run), np.int64)
+            else:
+                alone += run
+        alone_ids = [segs[i] for i in alone]
+        both = self._encode_a(alone_ids), self._encode_b(alone_ids)
+        raw = [(" " + t).encode() for t in alone_ids]
+        fits = [x and y for x, y in zip(self._side(both[0], raw, self.bytes_a), self._side(both[1], raw, self.bytes_b))]
+        for i, fit, x, y in zip(alone, fits, *both):
+            x, y = (x, y) if fit else ([], [])
+            parts[i] = [i], np.array(x, np.int64), np.array(y, np.int64), [len(x)], [len(y)], [int(fit)]
+        order, *rest = zip(*parts.values()) if parts else ([[]], *[[np.zeros(0, np.int64)]] * 5)
+        return [i for run in order for i in run], *(np.concatenate(x).astype(np.int64) for x in rest)
+
+    def learn(self, segs: list[str]) -> list[str]:
+        """Encodes and aligns segments not seen before; they are numbered in the order that is returned."""
+        order, a, b, na, nb, fits = self.encoded(segs)
         ends_a, ends_b = np.cumsum(self.len_a[a]), np.cumsum(self.len_b[b])
-        cut_a, cut_b = align(ends_a.tolist(), ends_b.tolist())
-        text_a, text_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        told, i, j = [], 0, 0
-        for p, q in zip(cut_a, cut_b):
-            told.append(f"{','.join(text_a[i:p])}|{','.join(text_b[j:q])}")
-            i, j = p, q
-        until = np.searchsorted(np.array(cut_a, np.int64), np.cumsum(na), side="right").tolist()
-        self.groups += [";".join(told[x:y]) for x, y in zip([0, *until], until)]
-        groups = np.diff(np.array([0, *until], np.int64))
+        cut_a, cut_b = (np.array(x, np.int64) for x in align(ends_a.tolist(), ends_b.tolist()))
+        # In a list of groups a token stands behind the other side's tokens of the groups before, and B's also behind A's of its own.
+        last_a, last_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        last_a[cut_a - 1] = last_b[cut_b - 1] = 1
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        codes = np.empty(len(a) + len(b), np.int64)
+        codes[np.arange(len(a)) + np.append(0, cut_b)[group_a]] = a + last_a * len(self.bytes_a)
+        codes[np.arange(len(b)) + np.append(cut_a, len(a))[group_b]] = b + last_b * self.width + 2 * len(self.bytes_a)
+        _, at, data = self.told.take(pa.array(codes)).buffers()
+        places = np.frombuffer(at, np.int64, len(codes) + 1)[np.append(0, np.cumsum(na + nb))].tolist()
+        data = memoryview(data) if data is not None else b""
+        self.groups += [bytes(data[x:y]) for x, y in zip(places, places[1:])]
+        groups = np.diff(np.searchsorted(cut_a, np.cumsum(na), side="right"), prepend=0)
         # Between two neighbouring ends of either side lies one pair of overlapping tokens.
-        every = np.union1d(ends_a, ends_b)
+        every = np.sort(np.concatenate([ends_a, ends_b]), kind="stable")  # two runs, merged
+        every = every[np.append(True, every[1:] != every[:-1])] if len(every) else every
         met = a[np.searchsorted(ends_a, every)] * self.width + b[np.searchsorted(ends_b, every)]
         self.links = np.concatenate([self.links, met.astype(np.uint64)])
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(na + nb - groups)])
-        self.sizes = np.concatenate([self.sizes, np.stack([na, nb, groups, np.array(fits, np.int64)])], axis=1)
+        self.sizes = np.concatenate([self.sizes, np.stack([na, nb, groups, fits])], axis=1)
         self.chars += sum(map(len, segs))
+        return [segs[i] for i in order]
 
     def texts(self, texts: list[str | None]):
         """Of each text: tokens a, tokens b, groups, hash of the groups; and sorted text * pairs + pair with its times, distinct."""
         if len(self.number) > KEPT_SEGMENTS or self.chars > KEPT_CHARS:
             self.forget()
         parts = [segments(t) if t else [] for t in texts]
-        fresh = list({s: None for p in parts for s in p if s not in self.number})
-        for s in fresh:
-            self.number[s] = len(self.number)
+        every = [s for p in parts for s in p]
+        flat = list(map(self.number.get, every))
+        fresh = list(dict.fromkeys([s for s, k in zip(every, flat) if k is None]))
         for k in range(0, len(fresh), 50_000):
-            self.learn(fresh[k : k + 50_000])
-        numbers = [[self.number[s] for s in p] for p in parts]
+            for s in self.learn(fresh[k : k + 50_000]):
+                self.number[s] = len(self.number)
+        flat = np.array(list(map(self.number.get, every)) if fresh else flat, np.int64)
         text = np.repeat(np.arange(len(texts)), [len(p) for p in parts])
-        flat = np.array([k for x in numbers for k in x], np.int64)
+        told = list(map(self.groups.__getitem__, flat.tolist()))
+        ends = np.cumsum([0, *(len(p) for p in parts)]).tolist()
         fits = np.bincount(text, weights=1 - self.sizes[3, flat], minlength=len(texts)) == 0
-        hashed = [hashlib.sha256(";".join([self.groups[k] for k in x]).encode()).hexdigest() if x and ok else "" for x, ok in zip(numbers, fits.tolist())]
+        hashed = [hashlib.sha256(b"".join(told[x:y])[:-1]).hexdigest() if x < y and ok else "" for x, y, ok in zip(ends, ends[1:], fits.tolist())]
         on = fits[text]
         text, flat = text[on], flat[on]
         sums = [np.bincount(text, weights=s[flat], minlength=len(texts)).astype(np.int32) for s in self.sizes[:3]]
