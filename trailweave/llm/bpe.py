@@ -183,14 +183,22 @@ def _common(docs: DataFrame, tokenizer_json: str, sample_texts: int, common_word
         least = row["n"]
     got = table.where(F.col("n") >= least).withColumn("ids", ids("word")).toArrow()
     table.unpersist()
-    return got.sort_by([("n", "descending"), ("word", "ascending")]).select(["word", "ids"]).combine_chunks()
+    order = pc.sort_indices(got.select(["n", "word"]), [("n", "descending"), ("word", "ascending")])
+    got, made = got.drop_columns("n"), {}
+    for c in ("word", "ids"):  # a column at a time, which then goes
+        column = got.column(c).take(order)
+        made[c] = column.chunk(0) if column.num_chunks == 1 else column.combine_chunks()
+        got = got.drop_columns(c)
+        del column
+        give_back()
+    return pa.table(made)
 
 
 def _packed(column: pa.ChunkedArray) -> bytes:
     """A column as compressed Arrow bytes, to be sent to every executor."""
     table = pa.table({"x": column})
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd", use_threads=False)) as out:
         out.write_table(table)
     return sink.getvalue().to_pybytes()
 
@@ -233,7 +241,10 @@ def encode_digest(docs: DataFrame, tokenizer_path: str, sample_texts: int = SAMP
     small_batches(docs.sparkSession)
     table = _common(docs, told, sample_texts, common_words, common_bytes)
     sc = docs.sparkSession.sparkContext
-    shared_words, shared_ids = sc.broadcast(_packed(table.column("word"))), sc.broadcast((_packed(table.column("ids")), told))
+    words, ids = _packed(table.column("word")), _packed(table.column("ids"))
+    del table
+    give_back()  # the driver's Python keeps what is sent, not what it was made of
+    shared_words, shared_ids = sc.broadcast(words), sc.broadcast((ids, told))
     texts = keyed.select(*_KEY, F.xxhash64(F.lit(2), text).alias("_k2"), "text")
     narrow = "<u2" if max(pieces_of(told), default=0) < 1 << 16 else "<i4"
 
