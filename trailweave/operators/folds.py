@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CONFIG
@@ -23,25 +23,35 @@ def chain_ways(ways: DataFrame) -> DataFrame:
     return turned(ways, ["route"], ["pos"]).select("route", "pos", "flipped", "part")
 
 
-def greedy_dedup(places: DataFrame) -> DataFrame:
-    """Places (route, ord, site, name, frac, dist) without duplicates, as slot, site, frac, dist.
+def greedy_dedup(places: DataFrame, by: tuple = ("route",)) -> DataFrame:
+    """Places (``by``, ord, site, name, frac, dist) without duplicates, as ``by``, slot, site, frac, dist.
 
     In order, a place is a duplicate of the first kept one of its name nearby, or of any at about the
-    same fraction; the nearer of both takes the slot.
+    same fraction; the nearer of both takes the slot. Kept places too far behind all that still come are
+    set aside, so that a place is compared with those about it and not with the whole line.
     """
     near, same = 500.0 / CONFIG.degree_m, 0.001
-    kept_kind = "array<struct<site: bigint, name: string, frac: double, dist: double>>"
-    item = lambda x: F.struct(x["site"].cast("bigint").alias("site"), x["name"].alias("name"), x["frac"].alias("frac"), x["dist"].alias("dist"))
-
-    def merge(kept, x):
+    kept_kind = "array<struct<slot: int, site: bigint, name: string, frac: double, dist: double>>"
+    item = lambda x, slot: F.struct(slot.cast("int").alias("slot"), x["site"].cast("bigint").alias("site"), x["name"].alias("name"), x["frac"].alias("frac"), x["dist"].alias("dist"))
+    state = lambda n, open_, done: F.struct(n.alias("n"), open_.alias("open"), done.alias("done"))
+
+    def merge(s, x):
+        passed = lambda k: (x["low"] - k["frac"] >= near) & (x["low"] - k["frac"] >= same)
+        gone = F.filter(s["open"], passed)
+        kept, done = F.when(F.size(gone) > 0, F.filter(s["open"], lambda k: ~passed(k))).otherwise(s["open"]), F.when(F.size(gone) > 0, F.concat(s["done"], gone)).otherwise(s["done"])
         gap = lambda k: F.abs(x["frac"] - k["frac"])
-        hits = F.transform(kept, lambda k: ((k["name"] == x["name"]) & (gap(k) < near)) | (gap(k) < same))
-        at = F.array_position(hits, True)
-        replaced = F.transform(kept, lambda k, i: F.when((i + 1 == at) & (x["dist"] < k["dist"]), item(x)).otherwise(k))
-        return F.when(at == 0, F.concat(kept, F.array(item(x)))).otherwise(replaced)
-
-    done = _ordered(places, "route", "ord", "site", "name", "frac", "dist").select("route", F.aggregate("rows", F.array().cast(kept_kind), merge).alias("kept"))
-    return done.select("route", F.posexplode("kept").alias("slot", "k")).select("route", "slot", "k.site", "k.frac", "k.dist")
+        hit = lambda k: ((k["name"] == x["name"]) & (gap(k) < near)) | (gap(k) < same)
+        at = F.get(F.filter(kept, hit), F.lit(0))["slot"]
+        # Open places are in order of their slots; one that is replaced keeps its slot.
+        replaced = F.transform(kept, lambda k: F.when((k["slot"] == at) & (x["dist"] < k["dist"]), item(x, k["slot"])).otherwise(k))
+        return F.when(at.isNull(), state(s["n"] + 1, F.concat(kept, F.array(item(x, s["n"]))), done)).otherwise(state(s["n"], replaced, done))
+
+    w = Window.partitionBy(*by).orderBy(F.desc("ord")).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = places.withColumn("low", F.min("frac").over(w))
+    start = state(F.lit(0), F.array().cast(kept_kind), F.array().cast(kept_kind))
+    rows = ahead.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("ord", "site", "name", "frac", "dist", "low"))).alias("rows"))
+    done = rows.select(*by, F.explode(F.aggregate("rows", start, merge, lambda s: F.concat(s["done"], s["open"]))).alias("k"))
+    return done.select(*by, "k.slot", "k.site", "k.frac", "k.dist")
 
 
 def box_chunks(vertices: DataFrame, side: float) -> DataFrame:
