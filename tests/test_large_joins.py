@@ -80,3 +80,25 @@ def test_greedy_dedup_of_a_long_line(spark):
             mine[hit] = (site, name, frac, dist)
     got = folds.greedy_dedup(spark.createDataFrame(rows, "route long, ord long, site long, name string, frac double, dist double")).collect()
     assert sorted((g.route, g.slot, g.site) for g in got) == sorted((r, i, k[0]) for r, mine in kept.items() for i, k in enumerate(mine))
+
+
+@pytest.mark.parametrize("name", ["never_closest_filter", "stations_kept"])
+def test_searches_for_the_nearest_sort_no_pairs(spark, data, name):
+    plan = _plan(spark, data, name)
+    assert "SortAggregate" not in plan
+    assert not re.search(r"Exchange hashpartitioning\([^)]*seq#", plan)
+
+
+def test_nearest_places_by_ever_wider_cells(spark):
+    """Places thick in one corner and thin elsewhere, two at one spot, vertices on them and beyond the radius."""
+    draw = random.Random(6)
+    places = [(i, draw.uniform(0, 0.02), draw.uniform(0, 0.02)) for i in range(300)] + [(300 + i, draw.uniform(-1, 1), draw.uniform(-1, 1)) for i in range(60)]
+    places.append((999, *places[5][1:]))
+    vertices = [(0, i, draw.uniform(-1, 1), draw.uniform(-1, 1)) for i in range(200)] + [(1, i, draw.uniform(0, 0.03), draw.uniform(0, 0.03)) for i in range(200)] + [(2, 0, *places[5][1:])]
+    told = set()
+    for r, _, x, y in vertices:
+        d2, site = min(((x - px) ** 2 + (y - py) ** 2, i) for i, px, py in places)
+        told |= {(r, site)} if d2 <= 0.1 * 0.1 else set()
+    p = spark.createDataFrame([(r, *x) for r in range(3) for x in places], "route long, site long, lon double, lat double")
+    got = spatial.ever_nearest(p, spark.createDataFrame(vertices, "route long, seq long, lon double, lat double"), "route", 0.1)
+    assert {(g.route, g.site) for g in got.collect()} == told
