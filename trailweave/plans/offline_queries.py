@@ -69,10 +69,12 @@ SELECT DISTINCT path, size FROM present WHERE path NOT IN (SELECT path FROM kept
 
 def _kept(spark, d):
     """Candidates of each line that are the nearest one to some vertex within 5 km; a lone candidate stays."""
-    m = spatial.match_to_lines(site(spark, d), vertex(spark, d), RADIUS_DEG)
-    ord_ = F.row_number().over(Window.partitionBy("route").orderBy("fraction", "site")).alias("ord")
-    some = m.select("route", ord_, "site").join(site(spark, d).select("site", "lon", "lat"), "site")
-    return spatial.nearest_kept(some, vertex(spark, d), CONFIG.station_radius_m).select("route", "site", "ord")
+    v = vertex(spark, d)
+    s = site(spark, d).withColumns({"at_lon": F.col("lon"), "at_lat": F.col("lat")})
+    m = spatial.match_to_lines(s, v, RADIUS_DEG, carried=("at_lon", "at_lat"))
+    ord_ = F.row_number().over(Window.partitionBy("home", "route").orderBy("fraction", "site")).alias("ord")
+    some = m.select("home", "route", ord_, "site", F.col("at_lon").alias("lon"), F.col("at_lat").alias("lat"))
+    return spatial.nearest_kept(some, spatial.homed_lines(v, spatial.home_side(RADIUS_DEG)), CONFIG.station_radius_m, ("home", "route")).select("route", "site", "ord")
 
 
 KEPT_SQL = f"""WITH {MATCH}, cand AS (SELECT route, site, s.lon, s.lat, row_number() OVER (PARTITION BY route ORDER BY fraction, site)::INT AS ord, count(*) OVER (PARTITION BY route) AS n FROM matched JOIN site s USING (site)),
