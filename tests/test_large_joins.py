@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from trailweave.operators import folds, spatial
 from trailweave.plans import registry
+from trailweave.sources import scans
 
 
 def _plan(spark, data, name):
@@ -102,3 +103,32 @@ def test_nearest_places_by_ever_wider_cells(spark):
     p = spark.createDataFrame([(r, *x) for r in range(3) for x in places], "route long, site long, lon double, lat double")
     got = spatial.ever_nearest(p, spark.createDataFrame(vertices, "route long, seq long, lon double, lat double"), "route", 0.1)
     assert {(g.route, g.site) for g in got.collect()} == told
+
+
+@pytest.mark.parametrize("name", ["scan_beds"])
+def test_scans_meet_boxes_in_small_cells(spark, data, name):
+    """No pair of a row and a box is ranked in a window, and rows do not meet boxes in cells of a whole degree."""
+    plan = _plan(spark, data, name)
+    assert "row_number() windowspecdefinition(route" not in plan
+    assert not re.search(r"Exchange hashpartitioning\(route#\d+L, (key|lat|lon)#", plan)
+
+
+def test_scan_of_boxes_of_all_sizes(spark):
+    """The first of a name by box and number, also where one number has two places, and a row on a box's edge."""
+    draw = random.Random(7)
+    boxes = []
+    for r in range(30):
+        x, y, w, h = draw.uniform(-3, 3), draw.uniform(-3, 3), draw.choice((0.001, 0.3, 5.0)), draw.choice((0.0, 0.05, 2.0))
+        boxes += [(r, c, x + w * c, y, x + w * (c + 1), y + h) for c in range(3)]
+    rows = [(draw.randrange(250), draw.choice("abc"), draw.uniform(-5, 5), draw.uniform(-5, 5)) for _ in range(600)]
+    rows.append((1000, "edge", boxes[0][2] - 0.5, boxes[0][3]))
+    told = {}
+    for i, key, lat, lon in rows:
+        for r, c, x0, y0, x1, y1 in boxes:
+            if x0 - 0.5 <= lon <= x1 + 0.5 and y0 - 0.5 <= lat <= y1 + 0.5:
+                told[r, key] = min(told.get((r, key), (9, 9)), (c, i))
+    kind = "id long, key string, lat double, lon double"
+    b = spark.createDataFrame(boxes, "route long, chunk int, min_lon double, min_lat double, max_lon double, max_lat double")
+    got = scans.scan(spark.createDataFrame(rows, kind), b, 0.5, ["key"], "id").collect()
+    assert {(g.route, g.key): (g.chunk, g.id) for g in got} == told and len(got) == len(told)
+    assert {(g.id, g.key, g.lat, g.lon) for g in got} <= set(rows)

@@ -40,7 +40,7 @@ def _boxes(spark, d):
 
 
 def _counted(found, *more):
-    return found.groupBy("route").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"), F.sum("chunk").cast("long").alias("chunks"), *more)
+    return found.groupBy("home", "route").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"), F.sum("chunk").cast("long").alias("chunks"), *more).drop("home")
 
 
 def _stations(spark, d):

@@ -5,11 +5,11 @@ Each takes rows of ``readers.elements`` and keeps what a scan of its kind asks f
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import first_filled
-from ..operators.catalog import first_wins
+from ..operators import spatial
 
 # The tag values that scans ask for, and their margins in degrees.
 BEDS = ("hotel", "guest_house", "hostel", "camp_site")
@@ -66,22 +66,40 @@ def forests(rows: DataFrame) -> DataFrame:
     return wood.select("id", F.posexplode(rings).alias("ring", "points")).where(F.size("points") >= 4)
 
 
-def in_boxes(rows: DataFrame, boxes: DataFrame, margin: float) -> DataFrame:
-    """``rows`` (lat, lon) in each of ``boxes`` (min_lon, min_lat, max_lon, max_lat, any others) widened by ``margin`` degrees.
+def in_boxes(rows: DataFrame, boxes: DataFrame, margin: float) -> tuple[DataFrame, DataFrame]:
+    """``rows`` (lat, lon) in each of ``boxes`` (route, min_lon, min_lat, max_lon, max_lat, any others) widened by ``margin`` degrees, and the rows at all homes.
 
-    Both meet on cells of a degree; boxes are those of a split line, some degrees wide.
+    A route's boxes and the rows beside them meet in the task of the route's home, and there on cells of a quarter of its tile.
     """
-    edge = lambda name, by: F.floor(F.col(name) + by)
-    cells = boxes.withColumn("_x", F.explode(F.sequence(edge("min_lon", -margin), edge("max_lon", margin)))).withColumn("_y", F.explode(F.sequence(edge("min_lat", -margin), edge("max_lat", margin))))
-    met = rows.withColumn("_x", F.floor("lon")).withColumn("_y", F.floor("lat")).join(cells, ["_x", "_y"])
+    side, whole = 4 * margin, Window.partitionBy("route")
+    low = {f"_{f.__name__}_{c}": f(f"{f.__name__}_{c}").over(whole) for f in (F.min, F.max) for c in ("lon", "lat")}
+    lines = boxes.withColumns(low)
+    homes = spatial.with_homes(lines.select("route", *(F.col(c).alias(c[1:]) for c in low)), side)
+    b = lines.drop(*low).join(homes.select("route", "_lx", "_ly", "home").distinct(), "route")
+    b, p = spatial.dealt(b, "home"), spatial.dealt(spatial.at_homes(rows.withColumns({"px": F.col("lon"), "py": F.col("lat")}), homes, side, margin), "home")
+    cell = lambda v, l: F.floor(v / (F.pow(F.lit(2.0), F.col(l)) * margin))
+    span = lambda c, l: F.explode(F.sequence(cell(F.col(f"min_{c}") - margin, l), cell(F.col(f"max_{c}") + margin, l)))
+    b = b.withColumn("_x", span("lon", "_lx")).withColumn("_y", span("lat", "_ly")).drop("_lx", "_ly")
+    met = p.withColumn("_x", cell(F.col("px"), "_lx")).withColumn("_y", cell(F.col("py"), "_ly")).drop("_lx", "_ly", "px", "py").join(b, ["home", "_x", "_y"])
     inside = F.col("lon").between(F.col("min_lon") - margin, F.col("max_lon") + margin) & F.col("lat").between(F.col("min_lat") - margin, F.col("max_lat") + margin)
-    return met.where(inside).drop("_x", "_y")
+    return met.where(inside).drop("_x", "_y"), p.drop("_lx", "_ly", "px", "py")
 
 
-def scan(rows: DataFrame, boxes: DataFrame, margin: float, keys: list, *order) -> DataFrame:
-    """Rows in any of a route's ``boxes`` (route, chunk, the box): of each key of a route the first by chunk, then by ``order``."""
-    met = in_boxes(rows, boxes, margin).drop("min_lon", "min_lat", "max_lon", "max_lat")
-    return first_wins(met, ["route", *keys], "chunk", *order)
+def scan(rows: DataFrame, boxes: DataFrame, margin: float, keys: list, order: str) -> DataFrame:
+    """home and ``rows`` in any of a route's ``boxes`` (route, chunk, the box): of each key of a route the first by chunk, then by ``order``.
+
+    The first is found by numbers of fixed width, so that nothing is sorted; what else it says is looked up then.
+    """
+    place = [c for c in ("lat", "lon") if c not in keys]
+    names = [*keys, order, *place]
+    met, there = in_boxes(rows.dropDuplicates(names), boxes, margin)
+    first = met.groupBy("home", "route", *keys, "chunk").agg(F.min(order).alias("_o"), *(F.min_by(c, order).alias(c) for c in place)).withColumnRenamed("_o", order)
+    first = first.groupBy("home", "route", *keys).agg(*(F.min_by(c, "chunk").alias(c) for c in (order, *place)), F.min("chunk").alias("_n")).withColumnRenamed("_n", "chunk")
+    there = there.withColumnsRenamed({c: f"_{c}" for c in names}).withColumnRenamed("home", "_home").hint("shuffle_hash")
+    same = F.col("home") == F.col("_home")
+    for c in names:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return first.join(there, same).drop("_home", *(f"_{c}" for c in names))
 
 
 def landmark_key():
