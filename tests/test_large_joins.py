@@ -105,7 +105,7 @@ def test_nearest_places_by_ever_wider_cells(spark):
     assert {(g.route, g.site) for g in got.collect()} == told
 
 
-@pytest.mark.parametrize("name", ["scan_beds", "scan_landmarks"])
+@pytest.mark.parametrize("name", ["scan_stations", "scan_beds", "scan_landmarks"])
 def test_scans_meet_boxes_in_small_cells(spark, data, name):
     """No pair of a row and a box is ranked in a window, and rows do not meet boxes in cells of a whole degree."""
     plan = _plan(spark, data, name)
