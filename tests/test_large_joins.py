@@ -9,7 +9,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from trailweave.operators import folds, spatial
+from trailweave.operators import folds, forests, spatial
 from trailweave.plans import registry
 from trailweave.sources import scans
 
@@ -132,3 +132,30 @@ def test_scan_of_boxes_of_all_sizes(spark):
     got = scans.scan(spark.createDataFrame(rows, kind), b, 0.5, ["key"], "id").collect()
     assert {(g.route, g.key): (g.chunk, g.id) for g in got} == told and len(got) == len(told)
     assert {(g.id, g.key, g.lat, g.lon) for g in got} <= set(rows)
+
+
+def test_points_in_covered_cells_meet_no_ring(spark):
+    """Ragged, upright and overlapping rings: every cell held whole lies inside its ring, and the union is what a check of every ring gives."""
+    draw = random.Random(8)
+    rings = []
+    for n in range(40):
+        x, y, k = draw.uniform(-0.2, 0.2), draw.uniform(-0.2, 0.2), draw.randint(3, 9)
+        rings.append([(x + draw.uniform(0.01, 0.09) * math.cos(a * 6.2832 / k), y + draw.uniform(0.01, 0.09) * math.sin(a * 6.2832 / k)) for a in range(k)])
+    rings.append([(0.3, 0.3), (0.36, 0.3), (0.36, 0.36), (0.3, 0.36)])
+    points = [(i, draw.uniform(-0.3, 0.4), draw.uniform(-0.3, 0.4)) for i in range(3000)]
+
+    def inside(x, y):
+        def odd(ring):
+            pairs = zip(ring, ring[1:] + ring[:1])
+            return sum((y1 > y) != (y2 > y) and x < x1 + (y - y1) * (x2 - x1) / (y2 - y1) for (x1, y1), (x2, y2) in pairs) % 2
+
+        return any(map(odd, rings))
+
+    told = spark.createDataFrame([(n, [(y, x) for x, y in r]) for n, r in enumerate(rings)], "ring long, points array<struct<lat: double, lon: double>>")
+    edges = forests.ring_edges(told)
+    cells = [(c["_x"], c["_y"]) for c in forests.covered_cells(edges).collect()]
+    assert len(cells) > 50
+    for cx, cy in cells:
+        assert all(inside((cx + a) * forests.RING_CELL, (cy + b) * forests.RING_CELL) for a in (0.001, 0.5, 0.999) for b in (0.001, 0.5, 0.999))
+    got = forests.in_union(spark.createDataFrame([(0, *p) for p in points], "route long, i int, lon double, lat double"), edges)
+    assert sorted(g.i for g in got.collect()) == [i for i, x, y in points if inside(x, y)]
