@@ -18,7 +18,7 @@ def _plan(spark, data, name):
     return registry.QUERIES[name][0](spark, data)._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["station_trail_match", "match_gate", "multipart_match", "poi_within_radius", "section_gate", "connector_attach", "greedy_station_dedup"])
+@pytest.mark.parametrize("name", ["station_trail_match", "match_gate", "multipart_match", "poi_within_radius", "section_gate", "connector_attach", "greedy_station_dedup", "refine_junction"])
 def test_matches_of_a_line_stay_in_its_task(spark, data, name):
     """No pair of a place and a line is sent by its place, nor sorted for an aggregation."""
     plan = _plan(spark, data, name)
