@@ -9,7 +9,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from trailweave.operators import folds, forests, spatial
+from trailweave.operators import folds, forests, spatial, transit
 from trailweave.plans import registry
 from trailweave.sources import scans
 
@@ -159,3 +159,26 @@ def test_points_in_covered_cells_meet_no_ring(spark):
         assert all(inside((cx + a) * forests.RING_CELL, (cy + b) * forests.RING_CELL) for a in (0.001, 0.5, 0.999) for b in (0.001, 0.5, 0.999))
     got = forests.in_union(spark.createDataFrame([(0, *p) for p in points], "route long, i int, lon double, lat double"), edges)
     assert sorted(g.i for g in got.collect()) == [i for i, x, y in points if inside(x, y)]
+
+
+def test_routes_at_places_by_kinds_of_stops(spark):
+    """Stops with the same, with other and with no routes, by a check of every pair."""
+    draw = random.Random(9)
+    stops = [(s, draw.uniform(45, 45.05), draw.uniform(2, 2.05)) for s in range(60)]
+    at = {(s, r) for s, *_ in stops if s % 7 for r in ((1, 2, 3) if s % 3 else draw.sample(range(9), 2))}
+    places = [(i, draw.uniform(45, 45.05), draw.uniform(2, 2.05), "train" if i % 9 == 0 else "bus") for i in range(200)]
+    told = {i: [-1] for i, *_, kind in places if kind == "train"}
+    for i, lat, lon, kind in places:
+        near = [s for s, a, b in stops if math.hypot((lat - a) * 111_320, (lon - b) * 77_400) <= 600]
+        routes = sorted({r for s, r in at if s in near})
+        if kind == "bus" and routes:
+            told[i] = routes
+    frame = lambda rows, kind: spark.createDataFrame(rows, kind)
+    got = transit.routes_at_places(frame(places, "site long, lat double, lon double, kind string"), frame(stops, "stop long, lat double, lon double"), frame(sorted(at), "stop long, route long"), 600.0)
+    assert {g.site: g.routes for g in got.collect()} == told
+
+
+@pytest.mark.parametrize("name", ["transit_line_names"])
+def test_places_meet_kinds_of_stops(spark, data, name):
+    """Before their routes are listed, a place's stops are told once by kind."""
+    assert re.search(r"Aggregate\(keys=\[site#\d+L, kind_of#\d+L\]", _plan(spark, data, name))
