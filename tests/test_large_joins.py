@@ -178,7 +178,7 @@ def test_routes_at_places_by_kinds_of_stops(spark):
     assert {g.site: g.routes for g in got.collect()} == told
 
 
-@pytest.mark.parametrize("name", ["transit_line_names", "station_routes"])
+@pytest.mark.parametrize("name", ["transit_line_names", "station_routes", "transport_connected"])
 def test_places_meet_kinds_of_stops(spark, data, name):
     """Before their routes are listed, a place's stops are told once by kind."""
     assert re.search(r"Aggregate\(keys=\[site#\d+L, kind_of#\d+L\]", _plan(spark, data, name))
