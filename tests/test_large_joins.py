@@ -186,3 +186,27 @@ def test_places_meet_kinds_of_stops(spark, data, name):
 
 def test_samples_meet_places_in_the_task_of_their_line(spark, data):
     assert not re.search(r"Exchange hashpartitioning\(([^)]*, )?site#", _plan(spark, data, "refine_junction"))
+
+
+def test_forward_paths_where_kilometres_rise_and_fall(spark):
+    """The first node within a step's reach counts, also one far back where the kilometres fall again."""
+    draw = random.Random(10)
+    lines = [[(i, 6.0 * i + draw.random() * 5) for i in range(1, 40)], [(i, draw.uniform(0, 60)) for i in range(1, 40)]]
+    told = []
+    for line in lines:
+        seen = {1: (line[0][1], None)}
+        for i, km in line[1:]:
+            prev = next((b for b, (at, _) in sorted(seen.items()) if 8 <= km - at <= 25), None)
+            if prev is not None:
+                seen[i] = (km, prev)
+        path, at = [], 39 if 39 in seen else None
+        while at:
+            path, at = [at, *path], seen[at][1]
+        told.append(path or None)
+    rows = spark.createDataFrame([(n, line) for n, line in enumerate(lines)], "n int, nodes array<struct<idx: int, km: double>>")
+    got = rows.select("n", folds.forward_path(F.col("nodes"), F.lit(1), F.lit(39), 8.0, 25.0).alias("p")).orderBy("n").collect()
+    assert [g.p for g in got] == told and told[0]
+
+
+def test_pairs_of_a_round_trip_are_dealt_over_tasks(spark, data):
+    assert re.search(r"Exchange hashpartitioning\(area#\d+, lo#\d+, hi#\d+, \d+\), REPARTITION_BY_NUM", _plan(spark, data, "round_trip"))

@@ -117,13 +117,21 @@ def forward_path(nodes: Column, lo: Column, hi: Column, min_km: float, max_km: f
     State: the nodes reached, each with its predecessor.
     """
     kind = "array<struct<idx: int, km: double, prev: int>>"
+    none = F.array().cast(kind)
+    # On a line whose kilometres never fall, nodes more than a step behind are set aside and not looked at again.
+    falls = F.coalesce(F.aggregate(nodes, F.struct(F.lit(False).alias("f"), F.lit(float("-inf")).alias("km")), lambda s, x: F.struct((s["f"] | (x["km"] < s["km"])).alias("f"), x["km"].alias("km")), lambda s: s["f"]), F.lit(True))
+    state = lambda falls, near, done: F.struct(falls.alias("falls"), near.alias("near"), done.alias("done"))
 
-    def merge(seen, x):
-        prev = F.filter(seen, lambda b: (x["km"] - b["km"] >= min_km) & (x["km"] - b["km"] <= max_km))
+    def merge(s, x):
+        passed = lambda b: ~s["falls"] & (x["km"] - b["km"] > max_km)
+        gone = F.filter(s["near"], passed)
+        near, done = F.when(F.size(gone) > 0, F.filter(s["near"], lambda b: ~passed(b))).otherwise(s["near"]), F.when(F.size(gone) > 0, F.concat(s["done"], gone)).otherwise(s["done"])
+        prev = F.filter(near, lambda b: (x["km"] - b["km"] >= min_km) & (x["km"] - b["km"] <= max_km))
         first = x["idx"] == lo
         here = F.array(F.struct(x["idx"].alias("idx"), x["km"].alias("km"), F.when(~first, F.get(prev, F.lit(0))["idx"]).alias("prev"))).cast(kind)
-        return F.when(first | (F.size(prev) > 0), F.concat(seen, here)).otherwise(seen)
+        return state(s["falls"], F.when(first | (F.size(prev) > 0), F.concat(near, here)).otherwise(near), done)
 
-    seen = F.aggregate(F.filter(nodes, lambda x: (x["idx"] >= lo) & (x["idx"] <= hi)), F.array().cast(kind), merge)
-    path = _traced(seen, hi)
-    return F.when(F.size(path) > 1, path)
+    some = F.filter(nodes, lambda x: (x["idx"] >= lo) & (x["idx"] <= hi))
+    seen = F.aggregate(some, state(falls, none, none), merge, lambda s: F.concat(s["done"], s["near"]))
+    # As a list of one, so that the way is worked out once.
+    return F.get(F.filter(F.array(_traced(seen, hi)), lambda path: F.size(path) > 1), F.lit(0))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import degree_distance, degrees_to_m, flat_m, haversine_m, rounded
 from ..operators import folds, transit
 from ..operators.catalog import first_wins
-from ..operators.spatial import band_join
+from ..operators.spatial import band_join, dealt
 from .derive import GSTOP, SITE, STOP_TIME, TRIP, gstop, hav, rnd, site, stop_time, table, trip
 
 RADIUS = 2000.0
@@ -197,7 +197,9 @@ def _round_trip(spark, d):
     lo = n.join(around, "area").select("area", "around", F.col("idx").alias("lo"), F.col("km").alias("a")).withColumn("band", F.explode(F.array(least, least + 1)))
     hi = n.select("area", F.col("idx").alias("hi"), F.col("km").alias("b"), F.floor(F.col("km") / 25).alias("band"))
     w = lo.join(hi, ["area", "band"]).where("hi > lo and around - (b - a) between 8 and 25").select("area", "around", "lo", "hi")
-    w = w.join(c.select("area", "nodes"), "area").withColumn("path", folds.forward_path(F.col("nodes"), F.col("lo"), F.col("hi"), 8.0, 25.0)).where("path is not null")
+    # Each pair's way is long work on a small row: pairs are dealt over the tasks, and the way worked out once.
+    w = dealt(w.join(c.select("area", "nodes"), "area"), "area", "lo", "hi")
+    w = w.withColumn("path", F.explode(F.array_compact(F.array(folds.forward_path(F.col("nodes"), F.col("lo"), F.col("hi"), 8.0, 25.0)))))
     best = w.groupBy("area").agg(F.count(F.lit(1)).alias("wraps"), F.min_by(F.struct("around", "lo", "hi", "path"), F.struct("hi", "lo")).alias("p"))
     return best.select("area", "wraps", F.col("p.around").alias("total_km"), "p.lo", "p.hi", F.array_join(F.transform("p.path", lambda x: x.cast("string")), ">").alias("path"))
 
